@@ -7,7 +7,7 @@ words, and texts that share a window share its fingerprint.
 
 The index is a list of immutable runs in a shared folder, each sorted by
 fingerprint: runs of blocks, and runs of full window hashes for fingerprints
-that more than one document has. A new batch is merge-joined with every run.
+of which there are different blocks. A new batch is merge-joined with every run.
 Blocks of a shared fingerprint are compared whole first (copies end here),
 and the rest window by window, under two independent 64-bit hashes of all the
 window's words. Whenever `fan_in` runs of one level have gathered they are
@@ -135,21 +135,26 @@ class FingerprintIndex:
         prints = blocks.groupBy("fp").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
         past = [run.join(prints.select("fp").hint("merge"), "fp", "left_semi") for run in self._read(self.runs, BLOCKS)]
         past = materialize(reduce(DataFrame.unionAll, past), "matched-runs") if past else self.spark.createDataFrame([], BLOCKS)
-        in_past = past.groupBy("fp").agg(F.min("doc").alias("past_low"), F.max("doc").alias("past_high"))
+        kinds = [f(c).alias(f.__name__ + c) for c in ("d1", "d2") for f in (F.min, F.max)]
+        mixed = (F.col("mind1") < F.col("maxd1")) | (F.col("mind2") < F.col("maxd2"))
+        in_past = materialize(past.groupBy("fp").agg(F.min("doc").alias("past_low"), *kinds).select("fp", "past_low", mixed.alias("was_mixed")), "past-prints")
         shared = prints.where("low < high").select("fp").unionAll(in_past.select("fp")).distinct()
         active = materialize(blocks.join(shared, "fp", "left_semi"), "active-blocks")
 
         same = ["d1", "d2", "size"]
         size = F.col("last") - F.col("first")
-        owners = active.withColumn("size", size).unionByName(past.withColumn("size", size)).groupBy(*same).agg(F.min("doc").alias("owner"))
+        both = active.withColumn("size", size).unionByName(past.withColumn("size", size))
+        owners = both.groupBy(*same).agg(F.min("doc").alias("owner"))
         owned = materialize(active.withColumn("size", size).join(materialize(owners, "block-owners"), same), "owned-blocks")
         whole = owned.where("owner < doc").select("doc", "tag", "first", (F.col("last") + window).alias("end"))
 
-        # Windows: those of blocks that no earlier document has whole, and of past documents
-        # whose fingerprint has just become shared.
+        # Windows matter where blocks of one fingerprint differ: those of the batch's blocks that no
+        # earlier document has whole, and the one block of a past fingerprint that has met another.
+        differ = materialize(both.groupBy("fp").agg(*kinds).where(mixed).select("fp"), "mixed-prints")
         ranges = F.collect_set(F.struct("first", "last")).alias("ranges")
-        fresh = owned.where("owner = doc").groupBy("doc", "tag").agg(ranges)
-        lone = past.join(in_past.where("past_low = past_high").select("fp"), "fp", "left_semi").groupBy("doc", "tag").agg(ranges)
+        fresh = owned.where("owner = doc").join(differ, "fp", "left_semi").groupBy("doc", "tag").agg(ranges)
+        newly = in_past.where("not was_mixed").join(differ, "fp", "left_semi").select("fp", F.col("past_low").alias("doc"))
+        lone = past.join(newly, ["fp", "doc"], "left_semi").groupBy("doc", "tag").agg(ranges)
         found = materialize(self._window_hashes(batch.join(fresh, ["doc", "tag"])), "batch-windows")
         woken = self._window_hashes(corpus.join(lone, ["doc", "tag"]))
         fresh_run = materialize(found.select("w1", "w2", "doc").unionAll(woken.select("w1", "w2", "doc")).groupBy("w1", "w2").agg(F.min("doc").alias("doc")), "window-run")
