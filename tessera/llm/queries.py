@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .decontaminate import find_overlap
 from .exact_dedup import exact_dedup
+from .language_id import identify
+from .near_dedup import near_duplicates
 from .sharding import shard_documents
+from .stages import MODEL_PATH, encoder
 from .substring_dedup import deduplicate_substrings
+from .suffix_tree import score_documents
 from .warc import archive_round_trip
 
 
@@ -19,6 +23,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = deduplicate_substrings(_table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
@@ -33,11 +41,25 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text by digest, and whether decoding them gives the text back."""
+    return encoder(spark, MODEL_PATH, digests=True)(_table(spark, sf_dir, "documents"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = identify(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", F.col("guess.lang").alias("lang_pred"), F.col("guess.score").alias("score"), F.col("guess.ambiguous").alias("ambiguous"))
+
+
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id", "group_id", "kept")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op4_substring_dedup, op5_sharding, op6_decontamination, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_lm_scoring, op4_substring_dedup, op5_sharding, op6_decontamination, op7_sentencepiece, op8_language_id, op9_exact_dedup, op10_near_dedup)}
 
 ORACLES = {
     "op1_warc": r"""

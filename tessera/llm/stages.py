@@ -2,11 +2,76 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.functions import arrow_udf
 
+from . import pieces
 from .decontaminate import find_overlap
 from .exact_dedup import exact_dedup, normalised
-from .shared import materialize
+from .language_id import UNKNOWN, identify
+from .near_dedup import near_duplicates
+from .shared import SLICE_BYTES, materialize
+
+#: The public SentencePiece model; its folder is a parameter and the same on all machines.
+MODEL_PATH = os.path.join(os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers"), "piece_bpe_32k.model")
+
+_loaded: dict[str, pieces.Vocabulary] = {}
+
+
+def _vocabulary(path: str) -> pieces.Vocabulary:
+    if path not in _loaded:
+        _loaded[path] = pieces.load(path)
+    return _loaded[path]
+
+
+def _parts(texts: pa.Array, limit: int = 4 * SLICE_BYTES):
+    sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    start = size = 0
+    for i, n in enumerate(sizes):
+        if i > start and size + n > limit:
+            yield texts.slice(start, i - start)
+            start, size = i, 0
+        size += int(n)
+    yield texts.slice(start)
+
+
+def encoder(spark: SparkSession, model: str = MODEL_PATH, digests: bool = False, id_col: str = "doc_id", text_col: str = "text") -> Callable[[DataFrame], DataFrame]:
+    """docs -> id and ids (array of int); with `digests`: id, n_ids, ids_sha256 (little-endian int32) and round_trip.
+
+    A null or empty text has no ids. The mark U+2581 is encoded as a space, as
+    the format has it, and so comes back as one.
+    """
+
+    @arrow_udf("array<int>")
+    def encode(texts: pa.Array) -> pa.Array:
+        return pa.concat_arrays([pieces.encode_texts(_vocabulary(model), x) for x in _parts(texts)])
+
+    @arrow_udf("n_ids long, ids_sha256 string, round_trip boolean")
+    def digest(texts: pa.Array) -> pa.Array:
+        v, out = _vocabulary(model), []
+        for part in _parts(texts):
+            lists = pieces.encode_texts(v, part)
+            ends, ids = lists.offsets.to_numpy(), lists.values.to_numpy().astype("<i4")
+            back = pieces.decode_lists(v, lists)
+            same = pa.compute.equal(back, pa.compute.fill_null(part.cast(pa.string()), ""))
+            sums = [hashlib.sha256(ids[a:b].tobytes()).hexdigest() for a, b in zip(ends[:-1], ends[1:])]
+            out.append(pa.StructArray.from_arrays([pa.array(np.diff(ends), pa.int64()), pa.array(sums), same], ["n_ids", "ids_sha256", "round_trip"]))
+        return pa.concat_arrays(out)
+
+    if digests:
+        return lambda docs: docs.select(F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("d")).select("doc_id", "d.*")
+    return lambda docs: docs.select(F.col(id_col).alias("doc_id"), encode(F.col(text_col)).alias("ids"))
+
+
+def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter go; all others have a language."""
+    return identify(docs).where(F.col("guess.lang") != UNKNOWN).select(*docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,15 +84,30 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return matched.dropDuplicates(["_id", "_digest"]).select(*docs.columns)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: the one with the smallest doc_id."""
+    kept = near_duplicates(docs).where("kept").select(F.coalesce("id", F.lit(-(1 << 63))).alias("_id"), F.col("text_tag").alias("_tag"))
+    matched = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(-(1 << 63))), "_tag": F.xxhash64(F.coalesce("text", F.lit("")))}).join(kept, ["_id", "_tag"], "left_semi")
+    return matched.dropDuplicates(["_id", "_tag"]).select(*docs.columns)
+
+
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     found = find_overlap(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return docs.join(found.where("contaminated").select(F.col("id").alias("doc_id")), "doc_id", "left_anti").select(*docs.columns)
 
 
+def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id and the SentencePiece ids of its text."""
+    return encoder(spark)(docs)
+
+
 STAGES = [
+    ("language ID", known_languages),
     ("exact dedup", exact_copies),
+    ("MinHash near-dedup", near_copies),
     ("benchmark decontamination", benchmark_leaks),
+    ("SentencePiece encoding", piece_ids),
 ]
 
 
