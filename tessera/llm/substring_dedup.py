@@ -20,6 +20,7 @@ id that has it, so what is in the index is never revised.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -109,21 +110,22 @@ class FingerprintIndex:
     def _read(self, runs: list[tuple[int, str]], schema: str) -> list[DataFrame]:
         return [self.spark.read.schema(schema).parquet(path) for _, path in runs]
 
-    def _add(self, runs: list[tuple[int, str]], df: DataFrame, schema: str, order: list[str]) -> None:
-        """Write a run of level 0, then compact full levels."""
-        level = 0
-        while True:
-            path = f"{self.path}/{order[0]}-{len(runs)}-{level}-{fresh_path(self.spark, '')[-12:]}"
-            df.repartitionByRange(int(self.spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order).write.parquet(path)
-            runs.append((level, path))
-            full = [r for r in runs if r[0] == level]
-            if len(full) < self.fan_in:
-                return
-            df = reduce(DataFrame.unionAll, self._read(full, schema))
-            old, level = full, level + 1
-            for r in old:
-                runs.remove(r)
-            self._stale = [*getattr(self, "_stale", []), *(p for _, p in old)]
+    def _write_run(self, runs: list[tuple[int, str]], level: int, df: DataFrame, schema: str, order: list[str]) -> DataFrame:
+        """Write a run, hash-dealt and sorted by its key, and read it back."""
+        path = f"{self.path}/{order[0]}-level{level}-{len(runs)}-{uuid.uuid4().hex[:12]}"
+        df.sortWithinPartitions(*order).write.parquet(path)
+        runs.append((level, path))
+        return self.spark.read.schema(schema).parquet(path)
+
+    def compact(self) -> None:
+        """Merge each level that has `fan_in` runs into one run of the next level; the merged runs are deleted."""
+        for runs, schema, order in ((self.runs, BLOCKS, ["fp"]), (self.window_runs, WINDOWS, ["w1", "w2"])):
+            while full := next((x for level in {r[0] for r in runs} if len(x := [r for r in runs if r[0] == level]) >= self.fan_in), None):
+                for r in full:
+                    runs.remove(r)
+                self._write_run(runs, full[0][0] + 1, reduce(DataFrame.unionAll, self._read(full, schema)).repartition(*order), schema, order)
+                for _, path in full:
+                    delete_path(self.spark, path)
 
     def ingest(self, batch: DataFrame, corpus: DataFrame) -> DataFrame:
         """Add a batch (as of `keyed`); `corpus`: all documents of earlier batches, likewise.
@@ -131,13 +133,14 @@ class FingerprintIndex:
         Returns the duplicate spans of the batch: doc, tag, first (word), end.
         """
         window = self.window
-        blocks = materialize(self._blocks(batch), "blocks")
+        past_runs, past_windows = self._read(self.runs, BLOCKS), self._read(self.window_runs, WINDOWS)
+        blocks = self._write_run(self.runs, 0, self._blocks(batch).repartition("fp"), BLOCKS, ["fp"])
         prints = blocks.groupBy("fp").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
-        past = [run.join(prints.select("fp").hint("merge"), "fp", "left_semi") for run in self._read(self.runs, BLOCKS)]
+        past = [run.join(prints.select("fp").hint("merge"), "fp", "left_semi") for run in past_runs]
         past = materialize(reduce(DataFrame.unionAll, past), "matched-runs") if past else self.spark.createDataFrame([], BLOCKS)
         kinds = [f(c).alias(f.__name__ + c) for c in ("d1", "d2") for f in (F.min, F.max)]
         mixed = (F.col("mind1") < F.col("maxd1")) | (F.col("mind2") < F.col("maxd2"))
-        in_past = materialize(past.groupBy("fp").agg(F.min("doc").alias("past_low"), *kinds).select("fp", "past_low", mixed.alias("was_mixed")), "past-prints")
+        in_past = past.groupBy("fp").agg(F.min("doc").alias("past_low"), *kinds).select("fp", "past_low", mixed.alias("was_mixed"))
         shared = prints.where("low < high").select("fp").unionAll(in_past.select("fp")).distinct()
         active = materialize(blocks.join(shared, "fp", "left_semi"), "active-blocks")
 
@@ -157,19 +160,16 @@ class FingerprintIndex:
         lone = past.join(newly, ["fp", "doc"], "left_semi").groupBy("doc", "tag").agg(ranges)
         found = materialize(self._window_hashes(batch.join(fresh, ["doc", "tag"])), "batch-windows")
         woken = self._window_hashes(corpus.join(lone, ["doc", "tag"]))
-        fresh_run = materialize(found.select("w1", "w2", "doc").unionAll(woken.select("w1", "w2", "doc")).groupBy("w1", "w2").agg(F.min("doc").alias("doc")), "window-run")
+        both = found.select("w1", "w2", "doc").unionAll(woken.select("w1", "w2", "doc"))
         key = ["w1", "w2"]
-        known = [run.join(fresh_run.select(*key).hint("merge"), key, "left_semi") for run in self._read(self.window_runs, WINDOWS)]
+        fresh_run = self._write_run(self.window_runs, 0, both.groupBy(*key).agg(F.min("doc").alias("doc")), WINDOWS, key)
+        known = [run.join(fresh_run.select(*key).hint("merge"), key, "left_semi") for run in past_windows]
         first = reduce(DataFrame.unionAll, known, fresh_run).groupBy(*key).agg(F.min("doc").alias("owner"))
         first = materialize(first, "window-owners")
         parts = found.join(first, key).where("owner < doc").select("doc", "tag", F.col("at").alias("first"), (F.col("at") + window).alias("end"))
         spans = materialize(whole.unionAll(parts), "spans")
 
-        self._add(self.runs, blocks, BLOCKS, ["fp"])
-        self._add(self.window_runs, fresh_run, WINDOWS, ["w1", "w2"])
-        for path in getattr(self, "_stale", []):  # compacted runs, which nothing reads any more
-            delete_path(self.spark, path)
-        self._stale = []
+        self.compact()
         return spans
 
 
