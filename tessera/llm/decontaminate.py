@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import words as W
-from .shared import materialize, numbered_columns, slices
+from .shared import lean_batches, materialize, numbered_columns, slices
 
 #: log2 of the bitmap's bits: 8 MB whatever the benchmark's size.
 SIFT_BITS = 26
@@ -79,6 +79,7 @@ def find_overlap(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     listed. Repeated items count once. Other columns are ignored.
     """
     spark = docs.sparkSession
+    lean_batches(spark)
     test = materialize(_item_windows(items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("t")), window, gram), "test-windows")
     lengths = sorted(r[0] for r in test.select("length").distinct().collect())  # `window` values at most
     shipped = spark.sparkContext.broadcast(_bitmap(test))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
 from . import words as W
-from .shared import SLICE_BYTES
+from .shared import SLICE_BYTES, lean_batches
 
 #: Hashed n-gram features.
 FEATURES = 1 << 15
@@ -198,6 +198,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     nothing to learn from. A row with a null id is neither held out nor
     learned from. Repeated rows are predicted alike.
     """
+    lean_batches(docs.sparkSession)
     fold = F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds))
     model = fit(docs.where(fold != held), id_col, text_col, lang_col)
     return docs.withColumns({"held_out": F.coalesce(fold == held, F.lit(False)), "guess": predictor(docs, model)(F.col(text_col))})

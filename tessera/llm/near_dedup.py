@@ -9,10 +9,18 @@ than all registers of the text; most stop at their first.
 
 Registers form bands; texts that agree in a whole band meet in its bucket, and
 what meets there is verified by the exact similarity. No bucket is paired off
-in full: first every member meets one leader (its most popular member, then
-others by hash), links are joined into components, and just members outside
-their bucket's largest component are compared with all the rest of it. That
-loses no component that all pairs of the bucket would give.
+in full: first every member meets a few leaders (those with the least share of
+shingles of their own, then others by hash), links are joined into
+components, and just members outside their bucket's largest component are
+compared with the rest of it. That loses no component that all pairs of the
+bucket would give.
+
+Before any comparison, shingles that no other candidate has bound what is
+possible: if shares u and v of two texts' weights are such shingles, their
+similarity is at most (1 - u)(1 - v) / (1 - uv). Pairs below the threshold by
+this bound are never formed, and a text with more than 1 - threshold of its
+own leaves the buckets. In a large group of loosely related copies, whose
+pairs are many and nearly all too far apart, this leaves few pairs.
 """
 
 from __future__ import annotations
@@ -25,13 +33,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import words as W
 from .components import connected_components
-from .shared import materialize, numbered_columns, slices
+from .shared import lean_batches, materialize, numbered_columns, slices
 from .substring_dedup import _stretch_hash, keyed
 
 SHINGLE = 5
 #: 16 bands of 4: two texts of similarity 0.8 meet with probability 0.9998.
 BANDS, ROWS = 16, 4
 REGISTERS = BANDS * ROWS
+#: Leaders of a bucket in a round: one of each part of its members.
+LEADERS = 8
+#: Members of a block in the last comparison.
+BLOCK = 256
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _SIGNED = "nth long, doc long, tag long, d1 long, d2 long, size long, bands array<long>"
@@ -141,6 +153,33 @@ def _pack(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     return found.mapInArrow(pack, "node long, packed binary").dropDuplicates(["node"])
 
 
+def _own_shares(packed: DataFrame) -> DataFrame:
+    """(node, own): the share of each node's weight in shingles that no other node of the table has."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, sets = batch.column(0).to_numpy(), [_unpack(x) for x in batch.column(1).to_pylist()]
+            if not len(nodes):
+                continue
+            sizes = [len(k) for k, _ in sets]
+            key, weight, node = np.concatenate([k for k, _ in sets]), np.concatenate([w for _, w in sets]), np.repeat(nodes, sizes)
+            order = np.argsort(key, kind="stable")
+            first, last = W.runs(key[order])
+            one = order[first]
+            yield pa.RecordBatch.from_arrays([pa.array(key[one].astype(np.int64)), pa.array(last - first), pa.array(node[one]), pa.array(weight[one].astype(np.int64))], names=["shingle", "n", "node", "weight"])
+
+    each = packed.mapInArrow(spread, "shingle long, n long, node long, weight long")
+    alone = each.groupBy("shingle").agg(F.sum("n").alias("n"), F.min("node").alias("node"), F.min("weight").alias("weight")).where("n = 1")
+    own = alone.groupBy("node").agg(F.sum("weight").alias("own"))
+    total = packed.mapInArrow(_totals, "node long, total long")
+    return total.join(own, "node", "left").select("node", (F.coalesce("own", F.lit(0)) / F.col("total")).alias("own"))
+
+
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([int(_unpack(x)[1].sum()) for x in batch.column(1).to_pylist()], pa.int64())], names=["node", "total"])
+
+
 def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = len(packed) // 12
     return np.frombuffer(packed, "<u8", n), np.frombuffer(packed, "<u4", n, 8 * n)
@@ -165,43 +204,104 @@ def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def near_duplicate_links(spark: SparkSession, rows: DataFrame, nodes: DataFrame, threshold: float, rounds: int = 2) -> DataFrame:
+def near_duplicate_links(spark: SparkSession, rows: DataFrame, nodes: DataFrame, threshold: float, rounds: int = 1) -> DataFrame:
     """Verified links (a, b) between nodes (node, doc, tag, bands) that join all components of the full graph."""
     banded = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     bucket = ["band", "key"]
     full = banded.groupBy(*bucket).agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select(*bucket, "n")
     members = materialize(banded.join(materialize(full, "buckets"), bucket), "members")
-    popular = materialize(members.groupBy("node").agg(F.sum("n").alias("fame")), "fame")
-    members = materialize(members.join(popular, "node"), "members")
-    packed = materialize(_pack(rows, nodes.join(popular, "node").select("node", "doc", "tag")), "packed")
+    chosen = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc", "tag")
+    packed = materialize(_pack(rows, chosen), "packed")
+    near = materialize(_own_shares(packed).where(F.col("own") <= 1 - threshold + 1e-9), "own-shares")
+    members = materialize(members.drop("n").join(near, "node"), "near-members")
+    possible = lambda u, v: (1 - F.col(u)) * (1 - F.col(v)) >= (threshold - 1e-9) * (1 - F.col(u) * F.col(v))
 
     seen = links = None
     component = None
-    for turn in range(rounds + 2):
+    for turn in range(rounds + 1):
         placed = members if component is None else members.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        if turn <= rounds:  # each member against its bucket's leader
-            rank = F.struct(-F.col("fame"), F.col("node")) if turn == 0 else F.struct(F.xxhash64("node", "band", F.lit(turn)), F.col("node"))
-            kept = "component" if component is not None else "node"
-            leaders = placed.groupBy(*bucket).agg(F.min(F.struct(rank.alias("rank"), F.col("node").alias("leader"), F.col(kept).alias("home"))).alias("top"), F.min(kept).alias("low"), F.max(kept).alias("high"))
-            leaders = materialize(leaders.where("low < high").select(*bucket, "top.leader", "top.home"), "leaders")
-            pairs = placed.join(leaders, bucket).where(F.col(kept) != F.col("home")).select(*_ordered("node", "leader"))
-        else:  # all that stay outside their bucket's largest component, against the rest of the bucket
-            sizes = placed.groupBy(*bucket, "component").count()
-            largest = sizes.groupBy(*bucket).agg(F.max(F.struct("count", "component")).alias("top"), F.min("component").alias("low"), F.max("component").alias("high"))
-            largest = materialize(largest.where("low < high").select(*bucket, F.col("top.component").alias("main")), "mixed-buckets")
-            mixed = materialize(placed.select("node", *bucket, "component").join(largest, bucket), "mixed")
-            outside = mixed.where("component <> main").select(*bucket, F.col("node").alias("other"), F.col("component").alias("home"))
-            pairs = mixed.join(outside, bucket).where("component <> home").select(*_ordered("node", "other"))
+        # Each member against its bucket's leaders.
+        rank = F.struct(F.col("own"), F.col("node")) if turn == 0 else F.struct(F.xxhash64("node", "band", F.lit(turn)), F.col("node"))
+        kept = "component" if component is not None else "node"
+        part = F.pmod(F.xxhash64("node", F.lit(turn + 1)), F.lit(LEADERS)).alias("part")
+        top = F.min(F.struct(rank.alias("rank"), F.col("node").alias("leader"), F.col(kept).alias("home"), F.col("own").alias("leader_own"))).alias("top")
+        leaders = placed.groupBy(*bucket, part).agg(top, F.min(kept).alias("low"), F.max(kept).alias("high"))
+        mixed = leaders.groupBy(*bucket).agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select(*bucket)
+        leaders = materialize(leaders.join(mixed, bucket, "left_semi").select(*bucket, "top.leader", "top.home", "top.leader_own"), "leaders")
+        pairs = placed.join(leaders, bucket).where(F.col(kept) != F.col("home")).where(possible("own", "leader_own")).select(*_ordered("node", "leader"))
         pairs = pairs.distinct()
-        if seen is not None:
+        if seen is not None:  # what has met before is settled
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
         fresh = materialize(_verified(pairs, packed, threshold), "links")
         links = fresh if links is None else links.unionAll(fresh)
         seen = pairs if seen is None else seen.unionAll(pairs)
-        if turn <= rounds:
-            component = materialize(connected_components(links), "components")
-    return links
+        component = materialize(connected_components(links), "components")
+    return links.unionAll(_across(members, component, bucket, packed, possible, threshold))
+
+
+def _across(members: DataFrame, component: DataFrame, bucket: list[str], packed: DataFrame, possible, threshold: float) -> DataFrame:
+    """Links between the members outside their bucket's largest component and the rest of the bucket.
+
+    Members without a possible partner go first, by semi-joins. The others
+    meet in blocks of BLOCK by BLOCK members: a task compares two blocks and
+    emits links, never pairs.
+    """
+    placed = members.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = placed.groupBy(*bucket, "component").count()
+    largest = sizes.groupBy(*bucket).agg(F.max(F.struct("count", "component")).alias("top"), F.min("component").alias("low"), F.max("component").alias("high"))
+    largest = materialize(largest.where("low < high").select(*bucket, F.col("top.component").alias("main")), "mixed-buckets")
+    mixed = materialize(placed.select("node", "own", *bucket, "component").join(largest, bucket), "mixed")
+    named = lambda df, t: df.select(*bucket, *(F.col(c).alias(f"{t}_{c}") for c in ("node", "own", "component")))
+    outside, inside = named(mixed.where("component <> main"), "o"), named(mixed, "i")
+    partner = [*(outside[c] == inside[c] for c in bucket), outside["o_component"] != inside["i_component"], possible("o_own", "i_own")]
+    outside = materialize(outside.join(inside, partner, "left_semi"), "outside")
+    partner = [*(outside[c] == inside[c] for c in bucket), outside["o_component"] != inside["i_component"], possible("o_own", "i_own")]
+    inside = materialize(inside.join(outside, partner, "left_semi"), "inside")
+
+    number = lambda df, t: df.groupBy(*bucket).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(f"{t}_blocks"))
+    blocks = materialize(number(outside, "o").join(number(inside, "i"), bucket), "blocks")
+
+    keys = [*bucket, "o", "i"]
+
+    def dealt(df: DataFrame, t: str, u: str) -> DataFrame:
+        own, other = F.pmod(F.xxhash64(f"{t}_node"), F.col(f"{t}_blocks")).cast("int").alias(t), F.explode(F.sequence(F.lit(0), F.col(f"{u}_blocks") - 1)).alias(u)
+        at = df.join(blocks, bucket).select(*bucket, own, other, f"{t}_node", f"{t}_component")
+        sets = packed.select(F.col("node").alias(f"{t}_node"), F.col("packed").alias(f"{t}_packed"))
+        return at.join(sets, f"{t}_node").select(*(F.col(c).alias(f"{t}_{c}") for c in keys), f"{t}_node", f"{t}_component", f"{t}_packed")
+
+    by = lambda t: [f"{t}_{c}" for c in keys]
+    found = dealt(outside, "o", "i").groupBy(*by("o")).cogroup(dealt(inside, "i", "o").groupBy(*by("i"))).applyInArrow(_compare(threshold), "a long, b long, similarity double")
+    return materialize(found.groupBy("a", "b").agg(F.first("similarity").alias("similarity")), "links")
+
+
+def _compare(threshold: float):
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
+        if not left.num_rows or not right.num_rows:
+            return out.empty_table()
+        sets = [_unpack(x) for x in right.column("i_packed").to_pylist()]
+        nodes, component = right.column("i_node").to_numpy(), right.column("i_component").to_numpy()
+        key, weight = np.concatenate([k for k, _ in sets]), np.concatenate([w for _, w in sets]).astype(np.float64)
+        begin = np.cumsum([0, *(len(k) for k, _ in sets)])[:-1]
+        total = np.add.reduceat(weight, begin)
+        found = []
+        for node, home, packed in zip(*(left.column(c).to_pylist() for c in ("o_node", "o_component", "o_packed"))):
+            a, x = _unpack(packed)
+            at = np.searchsorted(a, key)
+            at[at == len(a)] = 0
+            both = a[at] == key
+            # Shares p and q of the two weights that are common bound the similarity by pq / (p + q - pq).
+            p = np.add.reduceat(np.where(both, x[at], 0), begin) / x.sum()
+            q = np.add.reduceat(np.where(both, weight, 0), begin) / total
+            near = (component != home) & (p * q >= (threshold - 1e-9) * (p + q - p * q)) & (p > 0)
+            for i in np.flatnonzero(near):
+                j = probability_jaccard(a, x, *sets[i])
+                if j >= threshold:
+                    found.append((min(node, int(nodes[i])), max(node, int(nodes[i])), j))
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), out.types)], schema=out) if found else out.empty_table()
+
+    return compare
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
@@ -214,6 +314,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one class and link to nothing else. Other columns are ignored.
     """
     spark = docs.sparkSession
+    lean_batches(spark)
     rows = keyed(docs, id_col, text_col)
     signed = rows.select(F.monotonically_increasing_id().alias("nth"), "doc", "tag", "t").mapInArrow(_signatures, _SIGNED)
     signed = materialize(signed, "signatures")

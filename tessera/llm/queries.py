@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .decontaminate import find_overlap
 from .exact_dedup import exact_dedup
 from .language_id import identify
+from .license_scan import scan_licenses
 from .near_dedup import near_duplicates
 from .sharding import shard_documents
 from .stages import MODEL_PATH, encoder
@@ -27,6 +28,10 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = deduplicate_substrings(_table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
@@ -59,7 +64,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_lm_scoring, op4_substring_dedup, op5_sharding, op6_decontamination, op7_sentencepiece, op8_language_id, op9_exact_dedup, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_lm_scoring, op3_license_scan, op4_substring_dedup, op5_sharding, op6_decontamination, op7_sentencepiece, op8_language_id, op9_exact_dedup, op10_near_dedup)}
 
 ORACLES = {
     "op1_warc": r"""

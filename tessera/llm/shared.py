@@ -27,6 +27,17 @@ def work_dir(spark: SparkSession) -> str:
     return _own_dir
 
 
+#: Rows that Spark hands to Python at once, where the session has the default of 10,000: texts may be long.
+BATCH_ROWS = 1000
+
+
+def lean_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches for this session, unless it has set its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
 

@@ -16,7 +16,7 @@ from .decontaminate import find_overlap
 from .exact_dedup import exact_dedup, normalised
 from .language_id import UNKNOWN, identify
 from .near_dedup import near_duplicates
-from .shared import SLICE_BYTES, materialize
+from .shared import SLICE_BYTES, lean_batches, materialize
 
 #: The public SentencePiece model; its folder is a parameter and the same on all machines.
 MODEL_PATH = os.path.join(os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers"), "piece_bpe_32k.model")
@@ -48,6 +48,8 @@ def encoder(spark: SparkSession, model: str = MODEL_PATH, digests: bool = False,
     the format has it, and so comes back as one.
     """
 
+    lean_batches(spark)
+
     @arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
         return pa.concat_arrays([pieces.encode_texts(_vocabulary(model), x) for x in _parts(texts)])

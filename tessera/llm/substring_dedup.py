@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import words as W
-from .shared import delete_path, fresh_path, materialize, numbered_columns, slices
+from .shared import delete_path, fresh_path, lean_batches, materialize, numbered_columns, slices
 
 BLOCKS = "fp long, doc long, tag long, first long, last long, d1 long, d2 long"
 WINDOWS = "w1 long, w2 long, doc long"
@@ -223,6 +223,7 @@ def deduplicate_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: st
     from each other. Other columns are ignored.
     """
     spark = docs.sparkSession
+    lean_batches(spark)
     rows = keyed(docs, id_col, text_col)
     cuts = rows.where(F.col("doc") < NO_ID).approxQuantile("doc", [i / batches for i in range(1, batches)], 0.01)
     cuts = sorted({int(c) for c in cuts})

@@ -21,7 +21,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .shared import fresh_path
+from .shared import fresh_path, lean_batches
 
 #: Fixed values of the WARC/1.1 and WARC-Zstandard formats.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -93,6 +93,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", payload
     or with the smallest id itself. An empty table gives an empty manifest.
     """
     spark = pages.sparkSession
+    lean_batches(spark)
     dictionary = train_dictionary(pages, payload_col)
     shipped = spark.sparkContext.broadcast(dictionary)  # 110 KB at most
     uri = F.col(uri_col) if uri_col else F.lit(None).cast("string")
