@@ -110,7 +110,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", payload
             for page_id, uri, payload, digest, refers_to in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if out is None:
                     name = f"part-{context.partitionId():06d}-{number:03d}-{uuid.uuid4().hex[:12]}.warc.zst"
-                    out, n, size = fs.open_output_stream(f"{root}/{name}"), 0, 0
+                    out, n, size = fs.open_output_stream(f"{root}/{name}", compression=None), 0, 0
                     out.write(frame := dictionary_frame(shipped.value))
                     size, number = len(frame), number + 1
                 frame = packer.compress(record(page_id, uri, payload.encode(), digest, refers_to, date))
@@ -199,7 +199,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
             for path in batch.column(0).to_pylist():
                 fs, where = pa.fs.FileSystem.from_uri(path)
                 rows = []
-                with fs.open_input_stream(where) as stream:
+                with fs.open_input_stream(where, compression=None) as stream:
                     for offset, raw in records_of(stream):
                         rows.append((*parse(raw), path, offset))
                         if len(rows) == 4096:
