@@ -225,8 +225,8 @@ def deduplicate_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     lean_batches(spark)
     rows = keyed(docs, id_col, text_col)
-    cuts = rows.where(F.col("doc") < NO_ID).approxQuantile("doc", [i / batches for i in range(1, batches)], 0.01)
-    cuts = sorted({int(c) for c in cuts})
+    shares = [i / batches for i in range(1, batches)]
+    cuts = sorted({int(c) for c in rows.where(F.col("doc") < NO_ID).approxQuantile("doc", shares, 0.01)}) if shares else []
     index = FingerprintIndex(spark, window=window, gram=gram)
     spans = []
     for low, high in zip([None, *cuts], [*cuts, None]):
