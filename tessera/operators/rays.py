@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.functions import arrow_udf
 
 from ..functions import bounds, exact, kernels
 from ..functions.staged import apply, matching
@@ -125,16 +126,17 @@ def _by_tree(rays: DataFrame, tris: DataFrame, side: str, first: bool, far: floa
     return rays.mapInArrow(run, HIT)
 
 
-def tiled(tris: DataFrame, tile_rows: int = TILE_ROWS) -> tuple[DataFrame, DataFrame]:
+def tiled(tris: DataFrame, tile_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(triangles with a tile, tiles with bounds), see tiled_boxes."""
-    return tiled_boxes(apply(tris, [bounds.of_points([vec("a"), vec("vb"), vec("c")])]), "tri_id", tile_rows)
+    return tiled_boxes(apply(tris, [bounds.of_points([vec("a"), vec("vb"), vec("c")])]), tile_rows)
 
 
-def tiled_boxes(boxed: DataFrame, id_col: str, tile_rows: int = TILE_ROWS) -> tuple[DataFrame, DataFrame]:
+def tiled_boxes(boxed: DataFrame, tile_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows with a tile, tiles with bounds): runs of a Morton order, of about `tile_rows` rows each.
 
-    The range partitioner cuts the order by sampled quantiles, so crowded
-    regions get smaller tiles.
+    The order is cut at quantiles, so crowded regions get smaller tiles. The
+    cuts are fixed values from then on: every later evaluation of the plan puts
+    a row into the same tile.
     """
     whole = boxed.agg(*(F.expr(x).alias(n) for n, x in bounds.union_of().items()), F.count("*").alias("n")).first()
     if not whole["n"]:
@@ -145,8 +147,16 @@ def tiled_boxes(boxed: DataFrame, id_col: str, tile_rows: int = TILE_ROWS) -> tu
         cell = F.floor(((F.col(f"min{c}") + F.col(f"max{c}")) / 2 - whole[f"min{c}"]) / span * 1023).cast("long")
         for bit in range(10):
             code = code.bitwiseOR(F.shiftleft(F.shiftright(cell, bit).bitwiseAND(F.lit(1)), 3 * bit + i))
-    parts = max(1, -(-whole["n"] // tile_rows))
-    cut = boxed.withColumn("code", code).repartitionByRange(parts, "code", id_col).withColumn("tile", F.spark_partition_id()).drop("code")
+    parts = max(1, -(-whole["n"] // (tile_rows or TILE_ROWS)))
+    coded = boxed.withColumn("code", code)
+    shares = [i / parts for i in range(1, parts)]
+    cuts = np.unique(coded.approxQuantile("code", shares, min(0.01, 0.25 / parts))) if shares else np.zeros(0)
+
+    @arrow_udf("int")
+    def tile(codes: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(cuts, codes.to_numpy(), side="right").astype(np.int32))
+
+    cut = coded.withColumn("tile", tile("code")).drop("code")
     return cut, cut.groupBy("tile").agg(*(F.expr(x).alias(n) for n, x in bounds.union_of().items()))
 
 
@@ -260,7 +270,7 @@ def _threshold_hits(rays: DataFrame, prims: DataFrame, prim: str, ends: list[str
         return rays.mapInArrow(run, ddl)
 
     box = {f"{n}{c}": f"{f}({', '.join(x for x in ends if x[-1] == c or x[0] == c)}) {s} cast({threshold!r} as double)" for n, f, s in (("min", "least" if len(ends) > 3 else "", "-"), ("max", "greatest" if len(ends) > 3 else "", "+")) for c in AXES}
-    cut, tiles = tiled_boxes(apply(prims, [box]), prim)
+    cut, tiles = tiled_boxes(apply(prims, [box]))
     tiles = rays.sparkSession.createDataFrame(tiles.collect(), tiles.schema)  # a row per tile
     sent = matching(rays.crossJoin(F.broadcast(tiles)), bounds.ray_interval("", vec("o"), vec("d")), bounds.ray_hits()).select("tile", "ray_id", *RAY)
 
