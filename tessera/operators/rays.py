@@ -87,7 +87,8 @@ def cast(tree: Tree, ids: np.ndarray, tri: np.ndarray, ray_ids: np.ndarray, rays
         t_in, t_out = kernels.ray_box(tree.low[node], tree.high[node], o[q], d[q])
         # Bounds are widened by rounding, so that no hit on a box's face is lost.
         slack = 1e-12 * (1.0 + np.abs(t_in))
-        return (t_in <= t_out + slack) & (t_out >= -slack) & ((t_in - slack) * norm[q] <= best[q])
+        with np.errstate(invalid="ignore"):  # an infinite t of a flat direction: not kept
+            return (t_in <= t_out + slack) & (t_out >= -slack) & ((t_in - slack) * norm[q] <= best[q])
 
     def visit(q, p):
         hit, t, u, v = kernels.ray_triangle(o[q], d[q], *(x[p] for x in corners(tri)), side)
@@ -123,7 +124,7 @@ def _by_tree(rays: DataFrame, tris: DataFrame, side: str, first: bool, far: floa
             out = cast(tree, ids, tri, batch.column("ray_id").to_numpy(), columns(batch, RAY), side, first, far)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], schema=_HIT)
 
-    return rays.mapInArrow(run, HIT)
+    return plan.spread(rays).mapInArrow(run, HIT)
 
 
 def tiled(tris: DataFrame, tile_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -267,7 +268,7 @@ def _threshold_hits(rays: DataFrame, prims: DataFrame, prim: str, ends: list[str
             for batch in batches:
                 yield pa.RecordBatch.from_arrays(hits(shipped.value, batch), schema=schema)
 
-        return rays.mapInArrow(run, ddl)
+        return plan.spread(rays).mapInArrow(run, ddl)
 
     box = {f"{n}{c}": f"{f}({', '.join(x for x in ends if x[-1] == c or x[0] == c)}) {s} cast({threshold!r} as double)" for n, f, s in (("min", "least" if len(ends) > 3 else "", "-"), ("max", "greatest" if len(ends) > 3 else "", "+")) for c in AXES}
     cut, tiles = tiled_boxes(apply(prims, [box]))

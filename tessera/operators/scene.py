@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import bounds
 from ..functions.staged import apply, matching
 from ..functions.vectors import AXES, affine, vec
 from ..plans import strategy as plan
-from .rays import RAY, TRIANGLE, first_hits
+from ..plans.tree import build
+from .rays import RAY, TRIANGLE, cast, columns, corners, first_hits
 from .regions import BOX, NOT_INTERSECTED, _inverted, frustum_state
 
 MATRIX = [f"matrix[{i}]" for i in range(16)]
@@ -70,12 +73,9 @@ def raycast_scene(rays: DataFrame, instances: DataFrame, tris: DataFrame, side:
     local = met.join(seen.select("object_id", "instance_id", "geom_id", "matrix", _inverted(F.col("matrix")).alias("inverse")), ["object_id", "instance_id"])
     m = [f"inverse[{i}]" for i in range(16)]
     moved = dict(zip([f"l{x}" for x in RAY], affine(m, vec("o")) + affine(m, vec("d"), "0e0")))
-    # Local rays take the names of rays; the world ones are kept as w...
+    # Local rays take the names of rays; the world ones are kept as wox..wdz.
     local = apply(local, [moved]).select("ray_id", "object_id", "instance_id", "geom_id", *(F.col(x).alias(f"w{x}") for x in RAY), *(F.col(f"l{x}").alias(x) for x in RAY))
-    from ..functions import exact
-
-    steps, hit, after = exact.ray_triangle(side)
-    hits = apply(matching(local.join(tris.select("geom_id", "tri_id", *TRIANGLE), "geom_id"), steps, hit), after)
+    hits = _local_hits(local, tris, side, first is not None and near is None and far is None)
     world = apply(hits, [dict(zip(("gx", "gy", "gz"), (f"(wo{c} + wd{c} * t)" for c in AXES))), {"gap": "sqrt((gx - wox) * (gx - wox) + (gy - woy) * (gy - woy) + (gz - woz) * (gz - woz))"}])
     out = world.select("ray_id", "object_id", "instance_id", "tri_id", F.col("gap").alias("distance"), F.col("gx").alias("px"), F.col("gy").alias("py"), F.col("gz").alias("pz"))
     if near is not None:
@@ -89,6 +89,30 @@ def raycast_scene(rays: DataFrame, instances: DataFrame, tris: DataFrame, side:
     return out.groupBy(*keys).agg(F.min(F.struct("distance", *rest)).alias("m")).select(*keys, "m.*").select(out.columns)
 
 
+def _local_hits(local: DataFrame, tris: DataFrame, side: str, first: bool) -> DataFrame:
+    """Rays in the frames of instances against their geometries: one hierarchy per geometry and salt.
+
+    Rays of a geometry are salted over all cores, so that a geometry that most
+    instances share does not go to one task; its triangles go to each salt.
+    """
+    salts = local.sparkSession.sparkContext.defaultParallelism
+    keep = ["ray_id", "object_id", "instance_id", *(f"w{x}" for x in RAY)]
+    left = local.select(F.col("geom_id").alias("l_geom"), F.pmod(F.xxhash64("ray_id", "object_id"), F.lit(salts)).cast("int").alias("l_salt"), *keep, *RAY)
+    right = tris.select(F.col("geom_id").alias("r_geom"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("r_salt"), "tri_id", *TRIANGLE)
+    kinds = dict(left.dtypes)
+    ddl = ", ".join(f"{c} {kinds[c]}" for c in keep) + ", tri_id long, t double"
+
+    def run(key, rays: pa.Table, mesh: pa.Table) -> pa.Table:
+        rays = rays.combine_chunks()
+        tri, ids = (columns(mesh, TRIANGLE), mesh.column("tri_id").to_numpy()) if mesh.num_rows else (np.zeros((0, 9)), np.zeros(0, np.int64))
+        a, b, c = corners(tri)
+        tree = build(np.minimum(np.minimum(a, b), c), np.maximum(np.maximum(a, b), c))
+        at, hit, t, *_ = cast(tree, ids, tri, np.arange(rays.num_rows), columns(rays, RAY), side, first, None)
+        return rays.select(keep).take(pa.array(at, pa.int64())).append_column("tri_id", pa.array(hit, pa.int64())).append_column("t", pa.array(t, pa.float64()))
+
+    return left.groupBy("l_geom", "l_salt").cogroup(right.groupBy("r_geom", "r_salt")).applyInArrow(run, ddl)
+
+
 def raycast_object(rays: DataFrame, tris: DataFrame, matrix: list[float], side: str = "double", first: bool = False) -> DataFrame:
     """World-space hits (ray_id, tri_id, distance, px..pz) on one object placed by a matrix."""
     spark = rays.sparkSession

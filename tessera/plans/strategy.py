@@ -43,12 +43,19 @@ def bounded(df: DataFrame, rows: int = 100_000) -> DataFrame:
     return df.sparkSession.createDataFrame(found, df.schema)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, where it is so small that its files may make a few tasks only."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * (16 << 20) else df
+
+
 def cross_small(left: DataFrame, right: DataFrame) -> DataFrame | None:
     """left x right with the smaller of the small sides broadcast, or None if neither is small."""
     a, b = estimated_bytes(left), estimated_bytes(right)
     if min(a, b) > BROADCAST_BYTES:
         return None
-    return left.crossJoin(F.broadcast(right)) if b <= a else F.broadcast(left).crossJoin(right)
+    return spread(left).crossJoin(F.broadcast(right)) if b <= a else F.broadcast(left).crossJoin(spread(right))
 
 
 def _levelled(df: DataFrame, p: str) -> DataFrame:
