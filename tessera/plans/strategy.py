@@ -75,7 +75,7 @@ def _in_cells(df: DataFrame, p: str, levels: list[int]) -> DataFrame:
 
 def cell_join(left: DataFrame, right: DataFrame, a: str = "a_", b: str = "b_") -> DataFrame:
     """All pairs of overlapping boxes (columns a_minx.., b_minx..) by an equi-join on grid cells."""
-    left, right = _levelled(left, a), _levelled(right, b)
+    left, right = _levelled(spread(left), a), _levelled(spread(right), b)
     mine = {r[0] for r in left.select(f"{a}level").distinct().collect()}  # one of each level at most
     theirs = {r[0] for r in right.select(f"{b}level").distinct().collect()}
     both = sorted(mine | theirs)
