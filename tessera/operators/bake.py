@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.staged import apply
@@ -59,10 +61,23 @@ def skin(vertices: DataFrame, weights: DataFrame, bones: DataFrame) -> DataFrame
 def merge_offsets(counts: DataFrame) -> DataFrame:
     """(geom_id, n_vertices, first_vertex): running vertex offsets over the geometries in order of id.
 
-    A row per geometry; the running sum is over one ordered list of those.
+    The ids are cut at quantiles; offsets run inside each part, and the parts'
+    sums, one row for each shuffle partition, are added up on the driver.
     """
-    w = Window.orderBy("geom_id").rowsBetween(Window.unboundedPreceding, 0)
-    return counts.withColumn("first_vertex", F.sum("n_vertices").over(w) - F.col("n_vertices"))
+    spark = counts.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shares = [i / n for i in range(1, n)]
+    cuts = sorted(set(counts.approxQuantile("geom_id", shares, 0.25 / n))) if shares else []
+    part = reduce(lambda a, b: a + b, [(F.col("geom_id") >= int(c)).cast("int") for c in cuts], F.lit(0))
+    parted = counts.withColumn("part", part)
+    offsets, at = [], 0
+    for number, size in sorted(parted.groupBy("part").agg(F.sum("n_vertices")).collect()):
+        offsets.append((number, at))
+        at += size
+    w = Window.partitionBy("part").orderBy("geom_id").rowsBetween(Window.unboundedPreceding, 0)
+    inside = parted.withColumn("inside", F.sum("n_vertices").over(w) - F.col("n_vertices"))
+    offset = spark.createDataFrame(offsets, "part int, offset long")
+    return inside.join(F.broadcast(offset), "part").withColumn("first_vertex", F.col("inside") + F.col("offset")).select(*counts.columns, "first_vertex")
 
 
 def merge_geometries(parts: list[DataFrame]) -> DataFrame:
