@@ -57,7 +57,8 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id", "group_id", "kept")
+    """class_id: the smallest doc_id among all that links of similarity 0.8 or more connect with the document."""
+    return near_duplicates(_table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), F.col("group_id").alias("class_id"), "kept")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
