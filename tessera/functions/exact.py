@@ -9,10 +9,9 @@ from .staged import Steps
 from .vectors import add, affine, cross, dot, length, length2, named, scale, sub, vec
 
 A, B, C, O, D = vec("a"), vec("vb"), vec("c"), vec("o"), vec("d")
-SIDES = ("front", "back", "double")
 
 
-def ray_triangle(side: str = "double", near: str = "0e0", far: str | None = None) -> tuple[Steps, str, Steps]:
+def ray_triangle(side: str = "double") -> tuple[Steps, str, Steps]:
     """(steps, hit condition, steps for hits) of the Moeller-Trumbore test with one late division.
 
     Hits have t (in direction lengths), distance (Euclidean), u and v (weights
@@ -35,14 +34,9 @@ def ray_triangle(side: str = "double", near: str = "0e0", far: str | None = None
     return steps, hit, after
 
 
-def within(near: str = "0e0", far: str | None = None) -> str:
-    """After the steps for hits: the closed range of Euclidean distances."""
-    return f"distance >= {near}" + (f" and distance <= {far}" if far else "")
-
-
 def closest_on_triangle(p=vec("p")) -> Steps:
     """k..: the closest point of the triangle to p, d2: its squared distance, by Voronoi regions."""
-    steps = [
+    return [
         named("ab", sub(B, A)) | named("ac", sub(C, A)) | named("ap", sub(p, A)) | named("bp", sub(p, B)) | named("cp", sub(p, C)),
         {"d1": dot(vec("ab"), vec("ap")), "dd2": dot(vec("ac"), vec("ap")), "d3": dot(vec("ab"), vec("bp")), "d4": dot(vec("ac"), vec("bp")), "d5": dot(vec("ab"), vec("cp")), "d6": dot(vec("ac"), vec("cp"))},
         {"va": "d3 * d6 - d5 * d4", "vb_": "d5 * dd2 - d1 * d6", "vc": "d1 * d4 - d3 * dd2"},
@@ -51,19 +45,10 @@ def closest_on_triangle(p=vec("p")) -> Steps:
             "kv": "case region when 0 then 0e0 when 1 then 1e0 when 2 then d1 / nullif(d1 - d3, 0e0) when 3 then 0e0 when 4 then 0e0 when 5 then 1e0 - (d4 - d3) / nullif((d4 - d3) + (d5 - d6), 0e0) else vb_ / nullif(va + vb_ + vc, 0e0) end",
             "kw": "case region when 0 then 0e0 when 1 then 0e0 when 2 then 0e0 when 3 then 1e0 when 4 then dd2 / nullif(dd2 - d6, 0e0) when 5 then (d4 - d3) / nullif((d4 - d3) + (d5 - d6), 0e0) else vc / nullif(va + vb_ + vc, 0e0) end",
         },
-        {"kv": "coalesce(kv, 0e0)", "kw": "coalesce(kw, 0e0)"},
-        named("k", add(A, add(scale(vec("ab"), "kv"), scale(vec("ac"), "kw")))),
+        {"wv": "coalesce(kv, 0e0)", "ww": "coalesce(kw, 0e0)"},
+        named("k", add(A, add(scale(vec("ab"), "wv"), scale(vec("ac"), "ww")))),
         {"d2": length2(sub(p, vec("k")))},
     ]
-    return _renamed(steps)
-
-
-def _renamed(steps: Steps) -> Steps:
-    """A step may not redefine a column that SQL text would then hold twice: give the guarded weights names of their own."""
-    guarded = next(i for i, s in enumerate(steps) if set(s) == {"kv", "kw"} and "coalesce" in s["kv"])
-    steps[guarded] = {"wv": "coalesce(kv, 0e0)", "ww": "coalesce(kw, 0e0)"}
-    steps[guarded + 1] = named("k", add(A, add(scale(vec("ab"), "wv"), scale(vec("ac"), "ww"))))
-    return steps
 
 
 def ray_point(p=vec("p")) -> Steps:

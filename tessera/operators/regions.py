@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -163,6 +161,3 @@ def frustum_state(objects: DataFrame, planes: list[tuple[float, float, float, fl
     out = objects.withColumns(named)
     low = F.least(*named) if len(named) > 1 else F.col("side_0")
     return out.withColumn("state", F.when(low < 0, NOT_INTERSECTED).when(low > 0, CONTAINED).otherwise(INTERSECTED)).drop(*named)
-
-
-Predicate = Callable[[DataFrame], DataFrame]
