@@ -1,166 +1,284 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-Symbols are the frequent words (a share `least` of all training tokens or
-more: 1/least words at most), one symbol for all rarer words, the end, and the
-start, which occurs in contexts alone. A context is a candidate if it makes up
-a share `least` of the tokens; it becomes a state if its next-symbol
-distribution diverges from that of its suffix by more than its own
-description costs. A state's distribution is its counts, smoothed by its
-suffix's distribution down to the unigrams. A token is scored by the longest
-state that is a suffix of what precedes it; a rare word's probability is its
-class's, shared out by its smoothed unigram count.
-
-Unigram counts and scores need the count of every word, however rare. Each
-batch of documents sends its distinct words, packed by bucket of their hash,
-with who has them; a bucket's task adds the counts up and answers with sums by
-document. So words are counted and looked up in a single exchange.
+Symbols are the words that training rows hold `least` times or more, one
+symbol for all rarer words, the end, and the start, which occurs in contexts
+alone. A context is a candidate if it occurs `least` times; it becomes a state
+if its next-symbol distribution diverges from that of its longest suffix that
+is a state by more than its own description costs. A state's distribution is
+its counts, smoothed by that suffix's distribution, down to the unigrams. A
+token is scored by the longest state that is a suffix of what precedes it; a
+rare word's probability is its class's, shared out by its smoothed unigram count.
+
+The floors are counts, so the tree grows with the corpus, and nothing of it is
+held in one place. Documents are written in batches of word numbers. For each
+depth a batch sends its distinct (context, next symbol) pairs with their
+training counts, packed by bucket of the context's hash, and the probability
+that the tree has so far for the symbol. A bucket's task adds the counts up,
+puts its contexts to the test, and answers each batch in the order it was sent.
 """
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from . import words as W
-from .shared import lean_batches, materialize, slices
+from .shared import delete_path, lean_batches, materialize, slices
 from .substring_dedup import NO_ID
 
-#: Least share of the training tokens of a frequent word or of a context: 20,000 of each depth at most.
-LEAST = 5e-5
-#: Least share of a (context, symbol) count that is kept: a million for each depth at most.
-LEAST_PAIR = 1e-6
+#: Least training count of a word with a symbol of its own, of a context, and of a (context, symbol) pair that is kept.
+LEAST = 2
+LEAST_PAIR = 2
 DEPTH = 2
 #: Weight of the suffix's distribution, in tokens.
 SMOOTHING = 8.0
+#: Steps of a logarithm, as it is sent for the divergence test.
+_STEPS = 1000.0
+#: Parts of the buckets that a depth takes one after another, so that the pairs of one are on disk at a time.
+ROUNDS = 2
 
-#: A batch's words of a bucket, or (hash null) the ids and tags of its documents in idx and tf.
-_PACKED = "bucket int, base long, hash binary, count binary, ends binary, idx binary, tf binary"
-_PACKED_SCHEMA = pa.schema([("bucket", pa.int32()), ("base", pa.int64()), *((n, pa.binary()) for n in ("hash", "count", "ends", "idx", "tf"))])
-#: Sums for a batch's documents; or its ids and tags (known null); or a bucket's totals and frequent words (base null).
-_ANSWERED = "base long, idx binary, sums binary, known binary, n long, types long, hash binary, count binary"
-_ANSWERED_SCHEMA = pa.schema([("base", pa.int64()), ("idx", pa.binary()), ("sums", pa.binary()), ("known", pa.binary()), ("n", pa.int64()), ("types", pa.int64()), ("hash", pa.binary()), ("count", pa.binary())])
+#: One schema for batches of documents (depth -1: words a row, learns, id, -, distinct hashes, word numbers), what they
+#: send to a bucket (context hashes, pairs of each, symbols, training counts, -log p, totals), and a bucket's answers
+#: (depth 0: counts and ranks of words; deeper: totals and kept counts of states, counts of pairs). A bucket's sums have no base.
+_COLUMNS = "base long, depth int, bucket int, a binary, b binary, c binary, d binary, e binary, f binary"
+_SCHEMA = pa.schema([("base", pa.int64()), ("depth", pa.int32()), ("bucket", pa.int32()), *((n, pa.binary()) for n in "abcdef")])
+_MULTIPLIER = np.uint64(0x9FB21C651E98DF25)
 
 
-def _batches_of_one_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches whose row numbers (column 0) are consecutive and fit 16 bits from the first."""
+def _record(rows: list[tuple], of=pa.RecordBatch):
+    rows = [(*r, *[None] * (9 - len(r))) for r in rows]
+    return of.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 9, _SCHEMA.types)], schema=_SCHEMA)
+
+
+def _squeezed(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 on, of as few bytes as the greatest needs, compressed."""
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or not len(x) or x.max() < 1 << 8 * w)
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(x.astype(f"<u{width}").tobytes())
+
+
+def _loosened(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), f"<u{raw[0]}").astype(np.int64)
+
+
+def _column(table: pa.Table, name: str) -> list[np.ndarray]:
+    return [_loosened(x) for x in table.column(name).to_pylist()]
+
+
+def _hashes(table: pa.Table) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<u8") for x in table.column("a").to_pylist()]
+
+
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of documents as rows of word numbers: positions in the batch's sorted distinct hashes."""
     for batch in batches:
-        nth = batch.column(0).to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(nth) != 1) + 1), len(nth)]
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            for i in range(a, b, 1 << 15):
-                yield batch.slice(i, min(b, i + (1 << 15)) - i)
-
-
-def _distinct_words(part: pa.RecordBatch, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, row - base, count) of the distinct words of each row, sorted by hash and row."""
-    found = []
-    for piece in slices(part, 2):
-        words = W.tokenize(piece.column(2), W.SPACED_LOWER)
-        offset = piece.column(0)[0].as_py() - base
-        order = np.argsort(words.hash, kind="stable")
-        h, row = words.hash[order], words.row[order]
-        first, last = W.runs(h, row)
-        found.append((h[first], row[first] + offset, last - first))
-    h, row, n = (np.concatenate(x) for x in zip(*found))
-    order = np.argsort(h, kind="stable")
-    return h[order], row[order], n[order]
-
-
-def _pack(buckets: int):
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _batches_of_one_run(batches):
-            base = part.column(0)[0].as_py()
-            h, row, tf = _distinct_words(part, base)
-            while len(tf) and tf.max() > 65535:  # a count of more than 16 bits is told in parts
-                big = np.flatnonzero(tf > 65535)
-                h, row, tf = np.insert(h, big, h[big]), np.insert(row, big, row[big]), np.insert(tf, big, 65535)
-                tf[big + np.arange(len(big)) + 1] -= 65535
-            learns = np.asarray(part.column(1).to_numpy(zero_copy_only=False), bool)
-            first, last = W.runs(h)
-            train = np.add.reduceat(np.where(learns[row], tf, 0), first) if len(h) else np.zeros(0, np.int64)
-            kinds = h[first]
-            # Buckets are ranges of the hash, so each is a slice of the sorted words.
-            width = np.uint64(((1 << 64) + buckets - 1) // buckets)
-            edge = np.searchsorted(kinds // width, np.arange(buckets + 1, dtype=np.uint64))
-            rows = [(base % buckets, base, None, None, None, part.column(3).cast(pa.int64()).fill_null(NO_ID).to_numpy().tobytes(), part.column(4).to_numpy().tobytes())]
-            for b in range(buckets):
-                i, j = edge[b], edge[b + 1]
-                if i < j:
-                    a, z = first[i], last[j - 1]
-                    rows.append((b, base, kinds[i:j].tobytes(), train[i:j].astype(np.uint32).tobytes(), (last[i:j] - a).astype(np.uint32).tobytes(), row[a:z].astype(np.uint16).tobytes(), tf[a:z].astype(np.uint16).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _PACKED_SCHEMA.types)], schema=_PACKED_SCHEMA)
-
-    return pack
-
-
-def _views(column: pa.ChunkedArray, dtype: str) -> list[np.ndarray]:
-    """The values of a binary column as arrays, without copies."""
-    out = []
-    for chunk in column.chunks:
-        _, where, data = chunk.cast(pa.large_binary()).buffers()
-        ends = np.frombuffer(where, np.int64)[chunk.offset : chunk.offset + len(chunk) + 1]
-        raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
-        out += [raw[a:b].view(dtype) for a, b in zip(ends[:-1], ends[1:])]
-    return out
-
-
-def _answer(least: float):
+        for piece in slices(batch, 2):
+            words = W.tokenize(piece.column(2), W.SPACED_LOWER)
+            kinds, number = np.unique(words.hash, return_inverse=True)
+            learns = np.asarray(piece.column(1).to_numpy(zero_copy_only=False), np.uint8)
+            ids = piece.column(3).cast(pa.int64()).fill_null(NO_ID).to_numpy()
+            yield _record([(piece.column(0)[0].as_py(), -1, None, _squeezed(words.counts()), _squeezed(learns), ids.tobytes(), None, kinds.tobytes(), _squeezed(number))])
+
+
+def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets are ranges of the hash."""
+    return hashes // np.uint64(((1 << 64) + buckets - 1) // buckets)
+
+
+def _edges(sorted_hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket starts and ends in the sorted hashes."""
+    return np.searchsorted(_bucket(sorted_hashes, buckets), np.arange(buckets + 1, dtype=np.uint64))
+
+
+def _send_words(buckets: int):
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for base, rows, learns, kinds, number in zip(*(batch.column(c).to_pylist() for c in ("base", "a", "b", "e", "f"))):
+                kinds = np.frombuffer(kinds, "<u8")
+                told = np.repeat(_loosened(learns), _loosened(rows))
+                count = np.bincount(_loosened(number), told, len(kinds)).astype(np.int64)
+                edge = _edges(kinds, buckets)
+                yield _record([(base, 0, b, kinds[i:j].tobytes(), None, None, _squeezed(count[i:j])) for b, (i, j) in enumerate(zip(edge[:-1], edge[1:])) if i < j])
+
+    return send
+
+
+def _answer_words(floor: int):
     def answer(table: pa.Table) -> pa.Table:
-        """Total counts of a bucket's words; sums by document, packed by batch; its frequent words; its totals."""
-        named = table.filter(table.column("hash").is_null())
-        rows = [(b, i, t, None, None, None, None, None) for b, i, t in zip(*(named.column(c).to_pylist() for c in ("base", "idx", "tf")))]
-        table = table.filter(table.column("hash").is_valid())
-        if not table.num_rows:
-            return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ANSWERED_SCHEMA.types)], schema=_ANSWERED_SCHEMA)
-        get = lambda name, dtype: _views(table.column(name), dtype)
-        hashes, counts, ends, idx, tf = get("hash", "<u8"), get("count", "<u4"), get("ends", "<u4"), get("idx", "<u2"), get("tf", "<u2")
+        """Training counts of a bucket's words, and the rank of each that reaches the floor among those, from 1, or 0."""
+        hashes = _hashes(table)
         kinds, which = np.unique(np.concatenate(hashes), return_inverse=True)
-        total = np.bincount(which, np.concatenate(counts).astype(np.float64), len(kinds)).astype(np.int64)
-        value = np.log10(total + 1.0)
-        at = 0
-        for base, h, e, i, n in zip(table.column("base").to_pylist(), hashes, ends, idx, tf):
-            word = np.repeat(which[at : at + len(h)], np.diff(np.concatenate([[0], e.astype(np.int64)])))
+        total = np.bincount(which, np.concatenate(_column(table, "d")), len(kinds)).astype(np.int64)
+        common = total >= floor
+        rank = np.where(common, np.cumsum(common), 0)
+        bucket, at, rows = table.column("bucket")[0].as_py(), 0, []
+        for base, h in zip(table.column("base").to_pylist(), hashes):
+            mine = which[at : at + len(h)]
             at += len(h)
-            sums = np.bincount(i, value[word] * n)
-            known = np.bincount(i, np.where(total[word] > 0, n, 0))
-            there = np.flatnonzero(sums > 0)
-            rows.append((base, there.astype(np.uint16).tobytes(), sums[there].tobytes(), known[there].astype(np.uint32).tobytes(), None, None, None, None))
-        n = int(total.sum())
-        common = np.flatnonzero(total >= max(1, least * n))
-        rows.append((None, None, None, None, n, int((total > 0).sum()), kinds[common].tobytes(), total[common].tobytes()))
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ANSWERED_SCHEMA.types)], schema=_ANSWERED_SCHEMA)
+            rows.append((base, 0, bucket, _squeezed(total[mine]), _squeezed(rank[mine])))
+        rows.append((None, 0, bucket, _squeezed(np.array([total.sum(), (total > 0).sum(), common.sum(), total[common].sum()]))))
+        return _record(rows, pa.Table)
 
     return answer
 
 
-def _frequent(floor: float):
-    """(hash, n) of the packed words that reach the floor."""
+def _answer_pairs(depth: int, floor: int):
+    def answer(table: pa.Table) -> pa.Table:
+        """Totals and kept counts of a bucket's contexts, 0 for those that are no states, and counts of their pairs, 0 below the floor."""
+        contexts, symbols = _hashes(table), _column(table, "c")
+        sent = np.concatenate(contexts)
+        state, first = np.unique(sent, return_index=True)
+        total = np.concatenate(_column(table, "f"))[first]
+        context = np.repeat(sent, np.concatenate(_column(table, "b")))
+        pair, first, which = np.unique(_extended(context, np.concatenate(symbols)), return_index=True, return_inverse=True)
+        count = np.bincount(which, np.concatenate(_column(table, "d")), len(pair)).astype(np.int64)
+        count[count < floor] = 0
+        of = np.searchsorted(state, context[first])
+        seen = np.bincount(of, count, len(state)).astype(np.int64)
+        keep = diverging(of, count, np.concatenate(_column(table, "e"))[first] / -_STEPS, total, seen)
+        total[~keep] = seen[~keep] = 0
+        bucket, at, rows = table.column("bucket")[0].as_py(), 0, []
+        for base, c, s in zip(table.column("base").to_pylist(), contexts, symbols):
+            mine = np.searchsorted(state, c)
+            rows.append((base, depth, bucket, _squeezed(total[mine]), _squeezed(seen[mine]), _squeezed(count[which[at : at + len(s)]])))
+            at += len(s)
+        rows.append((None, depth, bucket, _squeezed(np.array([keep.sum()]))))
+        return _record(rows, pa.Table)
+
+    return answer
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for h, c in zip(*(batch.column(i).to_pylist() for i in range(2))):
-                h, c = np.frombuffer(h, "<i8"), np.frombuffer(c, "<i8")
-                yield pa.RecordBatch.from_arrays([pa.array(h[c >= floor]), pa.array(c[c >= floor])], names=["hash", "n"])
 
-    return unpack
+def diverging(state: np.ndarray, count: np.ndarray, log_p: np.ndarray, total: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Which contexts differ from their suffixes by more than they cost; per pair its context, kept count and ln p after the suffix."""
+    some = np.flatnonzero(count)
+    s, c, lp, n = state[some], count[some], log_p[some], len(total)
+    gain = np.bincount(s, c * (np.log(c / total[s]) - lp), n)
+    rest_q, rest_p = 1 - seen / np.maximum(total, 1), 1 - np.bincount(s, np.exp(lp), n)
+    some = (rest_q > 1e-12) & (rest_p > 1e-12)
+    gain[some] += total[some] * rest_q[some] * np.log(rest_q[some] / rest_p[some])
+    return gain > 0.5 * np.log(np.maximum(total, 2)) * np.bincount(s, minlength=n)
 
 
-def _gather(table: pa.Table) -> pa.Table:
-    """Sums of one batch's documents over all buckets, by id and tag."""
-    named = table.filter(table.column("known").is_null())
-    ids, tags = (np.frombuffer(named.column(c)[0].as_py(), "<i8") for c in ("idx", "sums"))
-    sums, known = np.zeros(len(ids)), np.zeros(len(ids), np.int64)
-    table = table.filter(table.column("known").is_valid())
-    answers = sorted(zip(table.column("idx").to_pylist(), table.column("sums").to_pylist(), table.column("known").to_pylist()))
-    for i, s, k in answers:
-        at = np.frombuffer(i, "<u2")
-        sums[at] += np.frombuffer(s, "<f8")
-        known[at] += np.frombuffer(k, "<u4")
-    return pa.table({"doc": pa.array(ids), "tag": pa.array(tags), "sums": pa.array(sums), "known": pa.array(known)})
+def _extended(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """Hash of each context with one more symbol."""
+    with np.errstate(over="ignore"):
+        return W.mix(context * _MULTIPLIER + symbol.astype(np.uint64) + np.uint64(1))
+
+
+@dataclass
+class Model:
+    """Sums of the words; offsets: by bucket, the number of its first frequent word."""
+
+    n: int
+    types: int
+    ends: int
+    frequent: int
+    frequent_n: int
+    offsets: np.ndarray
+    floor: int
+
+    @property
+    def size(self) -> int:
+        return self.n + self.types + 1
+
+    @property
+    def rare(self) -> float:
+        """Unigram probability of the class of rare words."""
+        return max(1 / self.size, 1 - (self.frequent_n + self.frequent + self.ends + 1) / self.size)
+
+
+class Batch:
+    """A batch's documents as symbols (0 rare, 1.. words, end, start), with the probability of each by the answers so far."""
+
+    def __init__(self, m: Model, table: pa.Table):
+        rows = table.to_pylist()
+        given = next(r for r in rows if r["depth"] == -1)
+        rows = sorted((r for r in rows if r["depth"] >= 0), key=lambda r: (r["depth"], r["bucket"]))
+        self.model, self.base = m, given["base"]
+        self.learns, self.ids = _loosened(given["b"]), np.frombuffer(given["c"], "<i8")
+        self.words, number = _loosened(given["a"]), _loosened(given["f"])
+        mine = [r for r in rows if r["depth"] == 0]
+        total, ranks = self._joined(mine, "a"), [_loosened(r["b"]) for r in mine]
+        symbol = np.concatenate([np.where(x > 0, x + m.offsets[r["bucket"]], 0) for r, x in zip(mine, ranks)] or [np.zeros(0, np.int64)])
+        end, start = m.frequent + 1, m.frequent + 2
+        self.ends = np.cumsum(self.words + 2)
+        at = np.arange(len(number)) + 2 * np.repeat(np.arange(len(self.words)), self.words) + 1
+        self.symbol = np.full(self.ends[-1], end, np.int64)
+        self.symbol[self.ends - self.words - 2] = start
+        self.symbol[at] = symbol[number]
+        self.count = np.full(len(self.symbol), m.ends, np.int64)
+        self.count[at] = total[number]
+        self.p = np.where(self.symbol == 0, m.rare, (self.count + 1) / m.size)
+        self.p[self.symbol == start] = 1.0
+        # By position: training count of the candidate context that ends there, its hash, and whether the symbol's last pair is kept.
+        self.total = np.where(self.symbol == 0, m.n - m.frequent_n - m.ends, self.count)
+        self.context = _extended(np.zeros(len(self.symbol), np.uint64), self.symbol)
+        self.hopeful = np.ones(len(self.symbol), bool)
+        self.active = np.flatnonzero((self.total >= m.floor) & (self.symbol != end))
+        self.depth = 1
+        while mine := [r for r in rows if r["depth"] == self.depth]:
+            self._apply(mine)
+            self.depth += 1
+
+    @staticmethod
+    def _joined(rows: list[dict], name: str) -> np.ndarray:
+        return np.concatenate([_loosened(r[name]) for r in rows] or [np.zeros(0, np.int64)])
+
+    def _pairs(self, active: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For candidates that end at `active`: positions after candidates in order of context and symbol, and the context's hash; number of the context; positions (in these) that
+        may be of a kept pair; first and last of each pair in those. A pair is kept only if the pair without the context's first symbol is."""
+        active = active[np.argsort(self.context[active])]
+        at, context = active + 1, self.context[active]
+        number = np.cumsum(np.diff(context, prepend=context[:1]) != 0)
+        # Contexts are in order already, by number; symbols are below 2^32.
+        at = at[np.argsort((number << 32) + self.symbol[at])]
+        hope = np.flatnonzero(self.hopeful[at])
+        return at, context, number, hope, *W.runs(number[hope], self.symbol[at[hope]])
+
+    def _apply(self, rows: list[dict]) -> None:
+        at, context, number, hope, first, last = self._pairs(self.active)
+        total, seen = (self._joined(rows, c)[number] for c in "ab")
+        count = np.zeros(len(at), np.int64)
+        count[hope] = np.repeat(self._joined(rows, "c"), last - first)
+        use = total > 0
+        i = at[use]
+        self.p[i] = (count[use] + (SMOOTHING + total[use] - seen[use]) * self.p[i]) / (total[use] + SMOOTHING)
+        self.hopeful[at] = count > 0
+        self.context[at], self.total[at] = _extended(context, self.symbol[at]), count
+        self.active = at[(count >= self.model.floor) & (self.symbol[at] != self.model.frequent + 1)]
+
+    def send(self, buckets: int, part: int, parts: int) -> pa.Table:
+        mine = _bucket(self.context[self.active], buckets) * np.uint64(parts) // np.uint64(buckets) == part
+        at, context, number, hope, first, last = self._pairs(self.active[mine])
+        if not len(at):
+            return _record([], pa.Table)
+        heads = W.runs(number)[0]
+        keys, totals, one = context[heads], self.total[at[heads] - 1], at[hope[first]]
+        size = np.bincount(number[hope[first]], minlength=len(heads))
+        learns = np.repeat(self.learns, self.words + 2)
+        count = np.add.reduceat(learns[at[hope]], first) if len(first) else first
+        symbol, log_p = self.symbol[one], np.minimum(np.rint(-_STEPS * np.log(self.p[one])), 65535)
+        ends, edge = np.concatenate([[0], np.cumsum(size)]), _edges(keys, buckets)
+        return _record(
+            [(self.base, self.depth, b, keys[i:j].tobytes(), _squeezed(size[i:j]), *(_squeezed(x[ends[i] : ends[j]]) for x in (symbol, count, log_p)), _squeezed(totals[i:j])) for b, (i, j) in enumerate(zip(edge[:-1], edge[1:])) if i < j],
+            pa.Table,
+        )
+
+    def scores(self) -> pa.Table:
+        m, begin = self.model, self.ends - self.words - 2
+        rare = self.symbol == 0
+        base, p = np.log10((self.count + 1) / m.size), np.log10(self.p)
+        base[begin] = 0.0
+        p[rare] += base[rare] - np.log10(m.rare)
+        known = (self.count > 0).astype(np.int64)
+        known[begin] = 0
+        return pa.table({"id": pa.array(self.ids, mask=self.ids == NO_ID), "held_out": pa.array(self.learns == 0), "n_tokens": pa.array(self.words + 1), "n_known": pa.array(np.add.reduceat(known, begin)), "train_tokens": pa.array(np.full(len(self.ids), m.n, np.int64)), "base_score": pa.array(np.add.reduceat(base, begin)), "score": pa.array(np.add.reduceat(p, begin))})
 
 
 @dataclass
@@ -177,7 +295,10 @@ class Level:
 
 @dataclass
 class Tree:
-    """words: sorted hashes of the frequent words; symbols: 0 rare, 1.. words, end, start."""
+    """The tree of a small corpus in memory, with the rules of Batch.
+
+    words: sorted hashes of the frequent words; symbols: 0 rare, 1.. words, end, start.
+    """
 
     words: np.ndarray
     counts: np.ndarray
@@ -207,18 +328,6 @@ class Tree:
         p[0] = max(1 / size, 1 - p.sum())
         return p
 
-    def encode(self, words: W.Words) -> tuple[np.ndarray, np.ndarray]:
-        """(symbols of all rows, each as start, words, end; where each row ends)."""
-        counts = words.counts()
-        at = np.searchsorted(self.words, words.hash)
-        at[at == len(self.words)] = 0
-        symbol = np.where(self.words[at] == words.hash, at + 1, 0) if len(self.words) else np.zeros(len(words.hash), np.int64)
-        ends = np.cumsum(counts + 2)
-        out = np.full(ends[-1] if len(ends) else 0, self.end, np.int64)
-        out[ends - counts - 2] = self.start
-        out[np.arange(len(symbol)) + 2 * words.row + 1] = symbol
-        return out, ends
-
     def contexts(self, symbol: np.ndarray, depth: int) -> list[np.ndarray]:
         """For each depth up to `depth`, the index of the candidate that ends at each position, or -1."""
         found, before = [], np.zeros(len(symbol), np.int64)
@@ -254,100 +363,23 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
-def _symbol_rows(tree: Tree):
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, 2):
-                symbol, ends = tree.encode(W.tokenize(part.column(2), W.SPACED_LOWER))
-                raw = symbol.astype("<u2").tobytes()
-                bounds = np.concatenate([[0], ends]) * 2
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array([raw[a:b] for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())], names=["doc", "learns", "tag", "symbols"])
+def _floor(least: float, n: int) -> int:
+    """A count of two at least; below 1, `least` is a share of the n training tokens."""
+    return max(2, math.ceil(least * n if least < 1 else least))
 
-    return encode
 
+def _written(df: DataFrame, label: str) -> DataFrame:
+    """Materialize df; its shuffle files go with the query, as each depth shuffles the documents."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return materialize(df, label)
+    finally:
+        conf.set(key, before)
 
-def _next_counts(tree: Tree):
-    """(context, next symbol, count) at the deepest level, for contexts of candidates."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = [np.frombuffer(x, "<u2") for x in batch.column(0).to_pylist()]
-            if not parts:
-                continue
-            symbol = np.concatenate(parts).astype(np.int64)
-            at = tree.contexts(symbol, len(tree.levels))[-1]
-            use = np.flatnonzero(at[:-1] >= 0)
-            key, n = np.unique(at[use] * tree.symbols + symbol[use + 1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
-
-    return count
-
-
-def _diverging(tree: Tree, level: Level) -> np.ndarray:
-    """Which candidates of the deepest level differ from their suffixes by more than they cost."""
-    state, symbol = level.pairs // tree.symbols, level.pairs % tree.symbols
-    # The suffix of a context: without its first symbol, found one depth below along the same way.
-    p = tree.root()[symbol]
-    suffix = _suffixes(tree, len(tree.levels) + 1, level.keys)
-    for depth, below in enumerate(tree.levels):
-        s = suffix[depth][state]
-        use = (s >= 0) & below.keep[np.maximum(s, 0)] if len(below.keep) else np.zeros(len(s), bool)
-        t = s[use]
-        hit = _find(below.pairs, t * tree.symbols + symbol[use])
-        count = np.where(hit >= 0, below.counts[np.maximum(hit, 0)], 0) if len(below.counts) else 0
-        p[use] = (count + (SMOOTHING + below.total[t] - below.seen[t]) * p[use]) / (below.total[t] + SMOOTHING)
-    q = level.counts / level.total[state]
-    gain = np.bincount(state, level.counts * np.log(q / p), len(level.total))
-    rest_q, rest_p = 1 - np.bincount(state, q, len(level.total)), 1 - np.bincount(state, p, len(level.total))
-    some = (rest_q > 1e-12) & (rest_p > 1e-12)
-    gain[some] += level.total[some] * rest_q[some] * np.log(rest_q[some] / rest_p[some])
-    cost = 0.5 * np.log(np.maximum(level.total, 2)) * np.bincount(state, minlength=len(level.total))
-    return gain > cost
-
-
-def _suffixes(tree: Tree, depth: int, keys: np.ndarray) -> list[np.ndarray]:
-    """For contexts of `depth` given by keys, the index of their last 1, 2, .. symbols at those depths."""
-    symbol = [keys % tree.symbols]
-    before = keys // tree.symbols
-    for level in reversed(tree.levels[: depth - 1]):
-        symbol.insert(0, level.keys[before] % tree.symbols)
-        before = level.keys[before] // tree.symbols
-    out = []
-    for d in range(1, depth):
-        at = np.zeros(len(keys), np.int64)
-        for level, s in zip(tree.levels[:d], symbol[-d:]):
-            at = np.where(at < 0, -1, _find(level.keys, at * tree.symbols + s))
-        out.append(at)
-    return out
-
-
-def _grow(tree: Tree, learned: DataFrame, depth: int, least: float, least_pair: float) -> None:
-    """Add levels: candidates, their next-symbol counts over all training rows, and the divergence test."""
-    floor = max(2, least * tree.n)
-    counts = np.concatenate([[tree.n - tree.counts.sum() - tree.ends], tree.counts, [0, tree.ends]])  # of symbols as contexts
-    keys, total = np.flatnonzero(counts >= floor), counts
-    total = total[keys]
-    for _ in range(depth):
-        if not len(keys):
-            return
-        level = Level(keys, total.astype(np.int64), np.zeros(len(keys), bool), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(keys), np.int64))
-        tree.levels.append(level)
-        found = learned.mapInArrow(_next_counts(tree), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-        found = found.where(F.col("n") >= max(2, least_pair * tree.n)).toArrow().sort_by("key")  # 1 / least_pair rows at most
-        level.pairs, level.counts = found.column(0).to_numpy(), found.column(1).to_numpy()
-        level.seen = np.bincount(level.pairs // tree.symbols, level.counts, len(keys)).astype(np.int64)
-        level.total = np.maximum(level.total, level.seen)
-        tree.levels.pop()
-        level.keep = _diverging(tree, level)
-        if tree.levels:  # a state's suffixes are states
-            for below, at in zip(tree.levels, _suffixes(tree, len(tree.levels) + 1, keys)):
-                below.keep[at[level.keep & (at >= 0)]] = True
-        tree.levels.append(level)
-        deeper = (level.counts >= floor) & (level.pairs % tree.symbols != tree.end)
-        keys, total = level.pairs[deeper], level.counts[deeper]
-
-
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2, depth: int = DEPTH, least: float = LEAST, least_pair: float = LEAST_PAIR) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2, depth: int | None = DEPTH, least: float = LEAST, least_pair: float = LEAST_PAIR) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from rows whose crc32(id) mod `folds` is not `held` (a null id is
@@ -360,48 +392,50 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     lean_batches(spark)
     fold = F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    # Documents are known by id and a hash of the text, which no order of evaluation changes.
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), (F.coalesce(fold, F.lit(-1)) != held).alias("learns"), text.alias("t"), F.xxhash64(text).alias("tag"))
+    rows = docs.select(F.monotonically_increasing_id().alias("nth"), (F.coalesce(fold, F.lit(-1)) != held).alias("learns"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.col(id_col).alias("doc"))
     # Several buckets for each shuffle task, as a bucket is held whole.
     buckets = 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = rows.select(F.monotonically_increasing_id().alias("nth"), "learns", "t", "doc", "tag").mapInArrow(_pack(buckets), _PACKED)
-    answered = materialize(packed.groupBy("bucket").applyInArrow(_answer(least), _ANSWERED), "word-counts")
-    totals = answered.where("types is not null").agg(F.sum("n"), F.sum("types")).first()
-    ends = rows.where("learns").count()
-    n, types = (totals[0] or 0) + ends, (totals[1] or 0) + (ends > 0)
-    packed_words = answered.where("hash is not null").select("hash", "count")
-    common = packed_words.mapInArrow(_frequent(max(1, least * n)), "hash long, n long").toArrow()  # 1 / least rows at most
-    hashes = common.column(0).to_numpy().view(np.uint64)
-    order = np.argsort(hashes)
-    tree = Tree(hashes[order], common.column(1).to_numpy()[order], n, types, ends, [])
-    coded = materialize(rows.select("doc", "learns", "t", "tag").mapInArrow(_symbol_rows(tree), "doc long, learns boolean, tag long, symbols binary"), "symbols")
-    _grow(tree, coded.where("learns").select("symbols"), depth, least, least_pair)
-
-    shipped = spark.sparkContext.broadcast(tree)  # bounded by the two shares
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = shipped.value
-        value = np.concatenate([[0.0], np.log10(t.counts + 1.0), [0.0, 0.0]])
-        for batch in batches:
-            parts = [np.frombuffer(x, "<u2") for x in batch.column(3).to_pylist()]
-            if not parts:
-                continue
-            symbol, ends = np.concatenate(parts).astype(np.int64), np.cumsum([len(p) for p in parts])
-            begin = np.concatenate([[0], ends[:-1]])
-            logs = np.add.reduceat(t.log_probability(symbol), begin)
-            common = np.add.reduceat(value[symbol], begin)
-            rare = np.add.reduceat((symbol == 0).astype(np.int64), begin)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(ends - begin - 1), pa.array(logs), pa.array(common), pa.array(rare)], names=["doc", "learns", "tag", "n_tokens", "logs", "common", "rare"])
-
-    scored = coded.mapInArrow(score, "doc long, learns boolean, tag long, n_tokens long, logs double, common double, rare long")
-    sums = answered.where("base is not null").select("base", "idx", "sums", "known").groupBy("base").applyInArrow(_gather, "doc long, tag long, sums double, known long")
-    sums = sums.groupBy("doc", "tag").agg(F.first("sums").alias("sums"), F.first("known").alias("known"))  # equal for repeated rows
-    size = float(np.log10(n + types + 1))
-    rare_share = float(np.log10(tree.root()[0]))
-    sums_of, known = F.coalesce("sums", F.lit(0.0)), F.coalesce("known", F.lit(0))
-    return scored.join(sums, ["doc", "tag"], "left").select(
-        F.when(F.col("doc") != NO_ID, F.col("doc")).alias("id"), (~F.col("learns")).alias("held_out"), "n_tokens", (known + int(ends > 0)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (sums_of + float(np.log10(ends + 1)) - F.col("n_tokens") * size).alias("base_score"),
-        (F.col("logs") + F.when(F.col("rare") > 0, sums_of - F.col("common") - F.col("rare") * (size + rare_share)).otherwise(0.0)).alias("score"),
-    )
+    coded = _written(rows.mapInArrow(_documents, _COLUMNS), "documents")
+    ends = docs.where(F.coalesce(fold, F.lit(-1)) != held).count()
+
+    def known(answers: DataFrame) -> list[tuple[int, np.ndarray]]:
+        return [(r.bucket, _loosened(r.a)) for r in answers.where("base is null").select("bucket", "a").collect()]
+
+    words = coded.mapInArrow(_send_words(buckets), _COLUMNS)
+    if least < 1 or least_pair < 1:
+        n = ends + sum(int(s[0]) for _, s in known(words.groupBy("bucket").applyInArrow(_answer_words(1), _COLUMNS)))
+    else:
+        n = 0
+    floor, floor_pair = _floor(least, n), _floor(least_pair, n)
+    answers = [_written(words.groupBy("bucket").applyInArrow(_answer_words(floor), _COLUMNS), "word-counts")]
+    sums, offsets = np.zeros(4, np.int64), np.zeros(buckets, np.int64)
+    for bucket, s in sorted(known(answers[0])):  # a row for each bucket
+        offsets[bucket] = sums[2]
+        sums += s
+    model = Model(int(sums[0]) + ends, int(sums[1]) + (ends > 0), ends, int(sums[2]), int(sums[3]), offsets, floor)
+    if model.frequent > (1 << 32) - 4:
+        raise ValueError("more frequent words than 32 bits number")
+
+    hashed, coded = coded, _written(coded.withColumn("e", F.lit(None).cast("binary")), "documents")  # hashes have served
+    for folder in {f.rsplit("/", 1)[0] for f in hashed.inputFiles()}:
+        delete_path(spark, folder)
+
+    def batches():
+        both = coded
+        for a in answers:
+            both = both.unionAll(a.where("base is not null"))
+        return both.groupBy("base")
+
+    def sender(part: int):
+        return lambda t: Batch(model, t).send(buckets, part, ROUNDS)
+
+    while depth is None or len(answers) <= depth:
+        answer, found = _answer_pairs(len(answers), floor_pair), []
+        for part in range(ROUNDS):
+            sent = batches().applyInArrow(sender(part), _COLUMNS)
+            found.append(_written(sent.groupBy("bucket").applyInArrow(answer, _COLUMNS), "pair-counts"))
+        answers.append(functools.reduce(DataFrame.unionAll, found))
+        if not sum(int(s[0]) for _, s in known(answers[-1])):  # no candidate passed
+            break
+    kind = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return batches().applyInArrow(lambda t: Batch(model, t).scores(), kind)
