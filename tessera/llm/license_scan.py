@@ -1,7 +1,7 @@
 """License scans: MinHash over overlapping windows, then exact shingle containment.
 
 For every template length a window of as many shingles slides over the whole
-text. Each window has one minimum per hash function, and a band is one
+text; a text of fewer shingles is one window. Each window has one minimum per hash function, and a band is one
 minimum: a window that holds 0.8 of a template's shingles shares at least two
 thirds of the union with it when aligned, so that all BANDS bands miss with
 probability 3^-BANDS, below 2e-6. What a band retrieves is verified exactly:
@@ -71,15 +71,17 @@ def hashed(shingle: np.ndarray, band: int) -> np.ndarray:
 def _retrieved(t: Templates, g: np.ndarray, row: np.ndarray) -> set[tuple[int, int]]:
     """(template, window start) of all windows that agree with a template in some band."""
     found: set[tuple[int, int]] = set()
+    first, last = W.runs(row)
     for band in range(BANDS):
         h = hashed(g, band)
+        lows = np.minimum.reduceat(h, first) if len(h) else h
         for m, ids in t.by_size.items():
-            if len(g) < m:
-                continue
             low = W.sliding(h, m)
-            whole = row[: len(low)] == row[m - 1 : m - 1 + len(low)]
+            whole = W.within(row, m)
+            short = last - first < m
             for i, want in zip(ids, t.minima[m][band]):
                 found.update((i, int(s)) for s in np.flatnonzero((low == want) & whole))
+                found.update((i, int(s)) for s in first[(lows == want) & short])
     return found
 
 
