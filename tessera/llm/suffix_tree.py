@@ -36,11 +36,12 @@ from .substring_dedup import NO_ID
 #: Least training count of a word with a symbol of its own, of a context, and of a (context, symbol) pair that is kept.
 LEAST = 2
 LEAST_PAIR = 2
-DEPTH = 2
+#: Most words of a context; None: depths are added until no candidate passes.
+DEPTH = None
 #: Weight of the suffix's distribution, in tokens.
 SMOOTHING = 8.0
 #: Steps of a logarithm, as it is sent for the divergence test.
-_STEPS = 1000.0
+_STEPS = 1e8
 #: Parts of the buckets that a depth takes one after another, so that the pairs of one are on disk at a time.
 ROUNDS = 2
 
@@ -158,7 +159,7 @@ def diverging(state: np.ndarray, count: np.ndarray, log_p: np.ndarray, total: np
     """Which contexts differ from their suffixes by more than they cost; per pair its context, kept count and ln p after the suffix."""
     some = np.flatnonzero(count)
     s, c, lp, n = state[some], count[some], log_p[some], len(total)
-    gain = np.bincount(s, c * (np.log(c / total[s]) - lp), n)
+    gain = np.bincount(s, c * (np.log(c / total[s]) - lp), n).astype(np.float64)  # whole numbers where s is empty
     rest_q, rest_p = 1 - seen / np.maximum(total, 1), 1 - np.bincount(s, np.exp(lp), n)
     some = (rest_q > 1e-12) & (rest_p > 1e-12)
     gain[some] += total[some] * rest_q[some] * np.log(rest_q[some] / rest_p[some])
@@ -263,7 +264,7 @@ class Batch:
         size = np.bincount(number[hope[first]], minlength=len(heads))
         learns = np.repeat(self.learns, self.words + 2)
         count = np.add.reduceat(learns[at[hope]], first) if len(first) else first
-        symbol, log_p = self.symbol[one], np.minimum(np.rint(-_STEPS * np.log(self.p[one])), 65535)
+        symbol, log_p = self.symbol[one], np.rint(-_STEPS * np.log(self.p[one]))
         ends, edge = np.concatenate([[0], np.cumsum(size)]), _edges(keys, buckets)
         return _record(
             [(self.base, self.depth, b, keys[i:j].tobytes(), _squeezed(size[i:j]), *(_squeezed(x[ends[i] : ends[j]]) for x in (symbol, count, log_p)), _squeezed(totals[i:j])) for b, (i, j) in enumerate(zip(edge[:-1], edge[1:])) if i < j],

@@ -95,3 +95,13 @@ def test_a_pair_counts_in_a_corpus_of_any_size(spark):
     got = {r.id: r for r in score_documents(docs).where(f"id <= {ids[2]}").collect()}
     assert math.isclose(got[ids[0]].base_score, got[ids[2]].base_score, rel_tol=1e-9)
     assert got[ids[0]].score > got[ids[2]].score + 5
+
+
+def test_depths_are_added_until_no_candidate_passes(spark):
+    rows = passages()
+    want, deepest = plain_scores(rows, None)
+    assert deepest > 4
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.id: r.score for r in score_documents(docs).collect()}
+    for (i, _), s in zip(rows, want):
+        assert math.isclose(got[i], s, rel_tol=1e-9), i
