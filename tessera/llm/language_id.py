@@ -19,14 +19,14 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
 from . import words as W
-from .shared import SLICE_BYTES, lean_batches
+from .shared import SLICE_BYTES, lean_batches, small_table
 
 #: Hashed n-gram features.
 FEATURES = 1 << 15
 #: Labelled documents of each language that the classifiers are fitted on, about.
 SAMPLE = 4000
-#: More labels than this are no languages.
-MOST_LANGUAGES = 1000
+#: Weight in n-grams that one text has at most in fitting, whatever its length (a parameter of the model).
+TEXT_WEIGHT = 4000
 UNKNOWN = "und"
 
 _FOLD = np.full(256, 32, np.uint32)
@@ -56,17 +56,21 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def codewords(n: int) -> np.ndarray:
-    """n x bits of +1 and -1: all splits for up to five languages, else the most spread of some random codes."""
+    """n x bits of +1 and -1: all splits for up to five languages, else the most spread of some random codes.
+
+    The bits grow with the logarithm of n, so a model's weights do, too.
+    """
     if n <= 5:
         columns = [[1 if (c >> i) & 1 else -1 for i in range(n)] for c in range(1 << max(0, n - 1), (1 << n) - 1)] if n > 1 else [[1]]
         return np.array(columns).T
     rng = np.random.default_rng(7)
     bits = ceil(10 * log2(n))
     best, spread = None, -1
-    for _ in range(200):
+    for _ in range(200 if n <= 200 else 5):  # codewords of a large n are far apart anyway
         code = rng.choice([-1, 1], (n, bits))
         code = code[:, np.abs(code.sum(0)) < n]
-        apart = int(((code.shape[1] - code @ code.T) // 2 + np.eye(n, dtype=int) * bits).min())
+        code = code.astype(np.float32)  # products of small whole numbers are exact
+        apart = int(((code.shape[1] - code @ code.T) / 2 + np.eye(n, dtype=np.float32) * bits).min())
         if apart > spread:
             best, spread = code, apart
     return best
@@ -98,7 +102,9 @@ class Model:
 
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(index of the language, score in 0..1, ambiguous) by loss-weighted decoding."""
-        loss = (np.logaddexp(0, -self.code[None, :, :] * margins[:, None, :]) * self.trust).sum(2)
+        # A bit's loss depends on the codeword by its sign alone: two products of matrices.
+        on, off = np.logaddexp(0, -margins) * self.trust, np.logaddexp(0, margins) * self.trust
+        loss = on @ (self.code > 0).T.astype(np.float64) + off @ (self.code < 0).T.astype(np.float64)
         best = loss.argmin(1)
         odds = np.exp(loss.min(1, keepdims=True) - loss)
         score = 1 / odds.sum(1)
@@ -118,20 +124,24 @@ class Model:
 
 
 def _trainable(docs: DataFrame, sample: int, salt: int) -> DataFrame:
-    """(lang, t): about `sample` texts of each language, chosen by a hash of their rows' ids."""
-    counts = {r[0]: r[1] for r in docs.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} labels")
-    share = F.lit(0)
-    for lang, n in sorted(counts.items()):
-        share = F.when(F.col("lang") == lang, F.lit(min(1_000_000, ceil(1_000_000 * sample / n)))).otherwise(share)
-    return docs.where(F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(1_000_000)) < share).select("lang", "t")
-
-
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """Fit on a bounded sample of the rows with a text and a label."""
+    """(lang, t): about `sample` texts of each language, chosen by a hash of their rows' ids.
+
+    The driver has a row for each label, as the model has.
+    """
+    spark, step = docs.sparkSession, 1_000_000
+    counts = [(r[0], min(step, ceil(step * sample / r[1]))) for r in docs.groupBy("lang").count().collect()]
+    if not counts:
+        return docs.select("lang", "t")
+    draw = F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(step))
+    some = docs.where(draw < max(share for _, share in counts)).withColumn("draw", draw)
+    shares = small_table(spark, sorted(counts), "lang string, share long")
+    return some.join(F.broadcast(shares), "lang").where("draw < share").select("lang", "t")
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, text_weight: int = TEXT_WEIGHT) -> Model:
+    """Fit on a bounded sample of the rows with a text and a label: about `sample` of each label."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("lang")).where("t is not null and lang is not null")
-    chosen = _trainable(rows, sample, 1).coalesce(16)
+    chosen = _trainable(rows, sample, 1)
     out = pa.schema([("lang", pa.string()), ("feature", pa.int32()), ("n", pa.float64())])
 
     def count(batches):
@@ -144,7 +154,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 total = seen.sum()
                 if total:  # a long text says no more than a few short ones
                     lang = batch.column(0)[i].as_py()
-                    sums[lang] = sums.get(lang, 0) + seen * (min(total, 4000) / total)
+                    sums[lang] = sums.get(lang, 0) + seen * (min(total, text_weight) / total)
         for lang, x in sums.items():
             at = np.flatnonzero(x)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(x[at])], schema=out)
@@ -171,7 +181,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def predictor(docs: DataFrame, model: Model):
-    """A column function text -> struct(lang, score, ambiguous); the model is at most MOST_LANGUAGES codewords."""
+    """A column function text -> struct(lang, score, ambiguous). The model that every task gets has FEATURES weights for each bit of the code: 1 MB for four labels, 13 MB for a thousand."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     @arrow_udf("lang string, score double, ambiguous boolean")
@@ -189,16 +199,23 @@ def predictor(docs: DataFrame, model: Model):
     return predict
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, held: int = 1) -> DataFrame:
-    """docs with held_out and guess: struct(lang, score, ambiguous).
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, held: int = 1, held_col: str = "held_out", guess_col: str = "guess") -> DataFrame:
+    """docs with two more columns: held_out, and guess: struct(lang, score, ambiguous).
 
     Learns from rows whose crc32(id) mod `folds` is not `held`, that have a
-    label and a text. A prediction reads the text alone. A text that is null
-    or has no letter is 'und' with score 0, as is every text if there is
-    nothing to learn from. A row with a null id is neither held out nor
-    learned from. Repeated rows are predicted alike.
+    label and a text. A prediction reads the text alone, and all of it. A text
+    that is null or has no letter is 'und' with score 0, as is every text if
+    there is nothing to learn from. Of languages with equal losses the first
+    by name is the guess, and the guess is flagged as ambiguous. A row with a
+    null id is neither held out nor learned from. Repeated rows are predicted
+    alike. Input columns named as the two (`held_col`, `guess_col`) are an
+    error; give other names then. Any others pass through. An empty table
+    stays empty.
     """
+    clash = {c.lower() for c in docs.columns} & {held_col.lower(), guess_col.lower()}
+    if clash:
+        raise ValueError(f"columns {sorted(clash)} are there already: give held_col and guess_col other names")
     lean_batches(docs.sparkSession)
     fold = F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds))
     model = fit(docs.where(fold != held), id_col, text_col, lang_col)
-    return docs.withColumns({"held_out": F.coalesce(fold == held, F.lit(False)), "guess": predictor(docs, model)(F.col(text_col))})
+    return docs.withColumns({held_col: F.coalesce(fold == held, F.lit(False)), guess_col: predictor(docs, model)(F.col(text_col))})

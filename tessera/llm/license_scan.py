@@ -1,55 +1,50 @@
-"""License scans: MinHash over overlapping windows, then exact shingle containment.
-
-For every template length a window of as many shingles slides over the whole
-text; a text of fewer shingles is one window. Each window has one minimum per hash function, and a band is one
-minimum: a window that holds 0.8 of a template's shingles shares at least two
-thirds of the union with it when aligned, so that all BANDS bands miss with
-probability 3^-BANDS, below 2e-6. What a band retrieves is verified exactly:
-the share of the template's shingles that occur in the window and a margin
-around it.
+"""License scans: MinHash bands over overlapping windows, then exact shingle containment.
+
+Windows of a few lengths slide over the whole text; a text of fewer shingles
+is one window. The lengths form a ladder whose steps grow by a quarter at
+most, so that their number depends on the longest template and not on how many
+there are; a template is sought by the shortest window that holds it. Each
+window has one minimum per hash function, and a band is one minimum. The
+templates' minima form a sorted table by (length, band), in which the windows'
+minima are looked up. A window that holds 0.8 of a template's shingles shares
+at least half of the union with it when aligned (0.8 m of m / 0.8 + 0.2 m
+shingles for the widest), so that all BANDS bands miss with probability
+2^-BANDS, about 1e-6. What a band retrieves is verified exactly: the share of
+the template's shingles that occur in the window and a margin around it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
 from . import words as W
+from .licenses import TEMPLATES
 from .shared import SLICE_BYTES, lean_batches
 
 SHINGLE = 5
-BANDS = 12
+BANDS = 20
 THRESHOLD = 0.8
+#: Bytes of template texts at most: the table goes to every task.
+TEMPLATE_BYTES = 64 << 20
+
 
-#: Notices of public licenses.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-header": (
-        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
-        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
-        'software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'
-    ),
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0-header": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
-        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
-    ),
-    "MIT": "Released under the MIT License.",
-    "MIT-text": (
-        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), '
-        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
-        "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"
-    ),
-}
+def ladder(m: int) -> int:
+    """The window length for a template of m shingles: the least step at or above m; steps are 1, 2, 3, 4, 5, then grow by a quarter at most."""
+    step = 1
+    while step < m:
+        step = max(step + 1, step * 5 // 4)
+    return step
 
 
 class Templates:
-    """Shingles and band keys of the templates; each needs five words at least."""
+    """Shingles and the band table of the templates; each needs five words at least."""
 
-    def __init__(self, texts: dict[str, str]):
+    def __init__(self, texts: Mapping[str, str]):
         self.names, self.shingles, self.sizes = [], [], []
         for name, text in sorted(texts.items()):
             words = W.tokenize(pa.array([text]), W.ALNUM_LOWER)
@@ -59,30 +54,49 @@ class Templates:
             self.names.append(name)
             self.shingles.append(np.unique(g))
             self.sizes.append(len(g))
-        #: By window length: the templates and, for each band, their minima.
-        self.by_size = {m: [i for i, n in enumerate(self.sizes) if n == m] for m in sorted(set(self.sizes))}
-        self.minima = {m: np.array([[hashed(self.shingles[i], b).min() for i in ids] for b in range(BANDS)]) for m, ids in self.by_size.items()}
+        length = np.array([ladder(n) for n in self.sizes])
+        #: By window length and band: sorted minima, and the template of each.
+        self.table = {}
+        for m in sorted(set(length.tolist())):
+            ids = np.flatnonzero(length == m)
+            for band in range(BANDS):
+                low = np.array([hashed(self.shingles[i], band).min() for i in ids], np.uint64)
+                order = np.argsort(low, kind="stable")
+                self.table[m, band] = low[order], ids[order]
+        self.lengths = sorted({m for m, _ in self.table})
 
 
 def hashed(shingle: np.ndarray, band: int) -> np.ndarray:
     return W.mix(shingle ^ np.uint64((0xA0761D6478BD642F * (band + 1)) & 0xFFFFFFFFFFFFFFFF))
 
 
-def _retrieved(t: Templates, g: np.ndarray, row: np.ndarray) -> set[tuple[int, int]]:
-    """(template, window start) of all windows that agree with a template in some band."""
-    found: set[tuple[int, int]] = set()
+def _met(low: np.ndarray, start: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(templates, starts) of the windows whose minima are in a sorted table."""
+    keys, ids = table
+    some = np.flatnonzero(np.isin(low, keys) if len(keys) < 32 else keys[np.minimum(np.searchsorted(keys, low), len(keys) - 1)] == low)
+    first, last = np.searchsorted(keys, low[some], "left"), np.searchsorted(keys, low[some], "right")
+    size = last - first
+    at = np.repeat(first, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    return ids[at], np.repeat(start[some], size)
+
+
+def _retrieved(t: Templates, g: np.ndarray, row: np.ndarray) -> list[tuple[int, int]]:
+    """Sorted (template, window start) of all windows that agree with a template in some band."""
+    if not len(g):
+        return []
+    found = []
     first, last = W.runs(row)
+    whole = {m: np.flatnonzero(W.within(row, m)) for m in t.lengths}
+    short = {m: np.flatnonzero(last - first < m) for m in t.lengths}
     for band in range(BANDS):
         h = hashed(g, band)
-        lows = np.minimum.reduceat(h, first) if len(h) else h
-        for m, ids in t.by_size.items():
-            low = W.sliding(h, m)
-            whole = W.within(row, m)
-            short = last - first < m
-            for i, want in zip(ids, t.minima[m][band]):
-                found.update((i, int(s)) for s in np.flatnonzero((low == want) & whole))
-                found.update((i, int(s)) for s in first[(lows == want) & short])
-    return found
+        lows = np.minimum.reduceat(h, first)
+        for m in t.lengths:
+            found.append(_met(W.sliding(h, m)[whole[m]], whole[m], t.table[m, band]))
+            found.append(_met(lows[short[m]], first[short[m]], t.table[m, band]))
+    who, start = (np.concatenate(x) for x in zip(*found))
+    pairs = np.unique(np.stack([who, start], 1), axis=0)
+    return [(int(i), int(s)) for i, s in pairs]
 
 
 def scan(t: Templates, texts: pa.Array, threshold: float) -> list[list[dict]]:
@@ -95,8 +109,8 @@ def scan(t: Templates, texts: pa.Array, threshold: float) -> list[list[dict]]:
     g, row = g[at], words.row[at]
     base = np.concatenate([[0], np.cumsum(words.counts())])
     best: dict[tuple[int, int], list] = {}
-    for i, s in sorted(_retrieved(t, g, row)):
-        m = t.sizes[i]
+    for i, s in _retrieved(t, g, row):
+        m = ladder(t.sizes[i])
         margin = m // 4
         # The window with its margin, inside its row.
         low = max(s - margin, int(np.searchsorted(row, row[s])))
@@ -118,16 +132,24 @@ def scan(t: Templates, texts: pa.Array, threshold: float) -> list[list[dict]]:
     return out
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: Mapping[str, str] | DataFrame | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per match: id, license, first_word, n_words, containment.
 
     Words are runs of digits, letters and non-ASCII characters, A-Z folded;
-    shingles are five words. Whole texts are scanned. Matches of one template
-    that overlap are one, with the best containment. A text that is null or
-    has fewer than five words has no match. Repeated rows match alike; other
-    columns are ignored. The templates are a bounded parameter.
+    shingles are five words. Whole texts are scanned, of any length. Matches
+    of one template that overlap are one, with the best containment, of equal
+    ones the first. A text that is null, empty or has fewer than five words
+    has no match. Repeated rows match alike, and rows with a null id are
+    scanned as others; other columns are ignored, so their names cannot clash.
+    An empty table gives an empty result. `templates`: texts by name, or a
+    table (name, text) of TEMPLATE_BYTES at most.
     """
     lean_batches(docs.sparkSession)
+    if isinstance(templates, DataFrame):
+        size = templates.agg(F.sum(F.octet_length("name") + F.octet_length("text"))).first()[0] or 0
+        if size > TEMPLATE_BYTES:
+            raise ValueError(f"templates of more than {TEMPLATE_BYTES} bytes")
+        templates = {r.name: r.text for r in templates.select("name", "text").collect()}
     shipped = docs.sparkSession.sparkContext.broadcast(Templates(TEMPLATES if templates is None else templates))
 
     @arrow_udf("array<struct<license: string, first_word: int, n_words: int, containment: double>>")

@@ -34,7 +34,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import words as W
 from .components import connected_components
 from .shared import lean_batches, materialize, numbered_columns, slices
-from .substring_dedup import _stretch_hash, keyed
 
 SHINGLE = 5
 #: 16 bands of 4: two texts of similarity 0.8 meet with probability 0.9998.
@@ -52,13 +51,16 @@ _SIGNED = "nth long, doc long, tag long, d1 long, d2 long, size long, bands arra
 def shingles(words: W.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, 48-bit shingle, count), sorted; a text of fewer than five words is one shingle."""
     k = SHINGLE
+    if words.n_rows > 1 << 16:
+        raise ValueError("a slice has 65,536 rows at most")
     h, row = W.grams(words.hash, k), words.row[: max(0, len(words.row) - k + 1)]
     inside = W.within(words.row, k)
     counts = words.counts()
     short = np.flatnonzero((counts > 0) & (counts < k))
     base = np.concatenate([[0], np.cumsum(counts)])
-    whole = _stretch_hash(words.hash, base[short], base[short + 1])
-    key = np.concatenate([h[inside], whole]) >> np.uint64(16)
+    whole = [W.grams(words.hash, n)[base[short[counts[short] == n]]] for n in range(1, k)]
+    short = np.concatenate([short[counts[short] == n] for n in range(1, k)])
+    key = np.concatenate([h[inside], *whole]) >> np.uint64(16)
     key |= np.concatenate([row[inside], short]).astype(np.uint64) << np.uint64(48)
     key.sort()
     first, last = W.runs(key)
@@ -114,7 +116,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             with np.errstate(over="ignore"):
                 item = W.mix(key * _GOLDEN + count.astype(np.uint64))
                 other = W.mix(item ^ _GOLDEN)
-            d1, d2 = (_stretch_hash(x, ends[:-1], ends[1:]) for x in (item, other))
+            # Sums over a set whose items are hashed each for itself.
+            d1, d2 = (np.diff(np.concatenate([np.zeros(1, np.uint64), np.cumsum(x)])[ends]) for x in (item, other))
             size = np.bincount(row, count, n).astype(np.int64)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(W.signed(band_keys(prob_min_hash(row, key, count, n))).ravel()))
             yield numbered_columns(out, [part.column(0), part.column(1), part.column(2), W.signed(d1), W.signed(d2), size, bands])
@@ -144,12 +147,13 @@ def _pack(docs: DataFrame, chosen: DataFrame) -> DataFrame:
                 words = W.tokenize(part.column(1), W.SPACED_LOWER)
                 row, key, count = shingles(words)
                 ends = np.searchsorted(row, np.arange(words.n_rows + 1))
-                # 48 bits of shingle and 16 of weight, or its full weight behind where that is larger.
+                # 48 bits of shingle in eight bytes each, then the weights in four bytes each.
                 packed = [key[i:j].astype("<u8").tobytes() + count[i:j].astype("<u4").tobytes() for i, j in zip(ends[:-1], ends[1:])]
                 yield numbered_columns(out, [part.column(0), packed])
 
     # Rows with one id and one text are the same node: one of them will do.
-    found = docs.join(chosen, ["doc", "tag"]).select("node", "t")
+    wanted = chosen.select("node", F.col("doc").alias("node_doc"), F.col("tag").alias("node_tag"))
+    found = docs.join(wanted, F.col("doc").eqNullSafe(F.col("node_doc")) & (F.col("tag") == F.col("node_tag"))).select("node", "t")
     return found.mapInArrow(pack, "node long, packed binary").dropDuplicates(["node"])
 
 
@@ -305,28 +309,37 @@ def _compare(threshold: float):
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
-    """One row per document: id, class_id, group_id, kept, text_tag.
+    """One row per document: id, class_id, group_id, kept, text_tag, n_links, similarity.
 
     class_id is the smallest id with the same shingles and counts; group_id
     the smallest id among all documents that links of similarity `threshold`
     or more connect. One row of each group is kept: the one with the smallest
-    id (a null id is last; among repeated rows one). Texts without words are
-    one class and link to nothing else. Other columns are ignored.
+    id (a null id is last; among repeated rows one). n_links and similarity:
+    how many links of the document's class to other classes were verified, and
+    the greatest of their similarities (null without a link); they join every
+    group, but are not all pairs of it.
+
+    A null or empty text, or one without words, has no shingles: all these are
+    one class and link to nothing else. A text of fewer than five words is one
+    shingle. Texts of any length are read whole. Ids are whole numbers. Other
+    columns are ignored, so their names cannot clash. An empty table gives an
+    empty result.
     """
     spark = docs.sparkSession
     lean_batches(spark)
-    rows = keyed(docs, id_col, text_col)
-    signed = rows.select(F.monotonically_increasing_id().alias("nth"), "doc", "tag", "t").mapInArrow(_signatures, _SIGNED)
-    signed = materialize(signed, "signatures")
-    same = ["d1", "d2", "size"]
-    classes = signed.groupBy(*same).agg(F.min(F.struct("doc", "nth", "tag")).alias("lead"), F.first("bands").alias("bands"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.monotonically_increasing_id().alias("nth"), F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("tag"), text.alias("t"))
+    signed = materialize(rows.mapInArrow(_signatures, _SIGNED), "signatures")
+    same, order = ["d1", "d2", "size"], [F.col("doc").isNull().alias("no_id"), F.col("doc")]
+    classes = signed.groupBy(*same).agg(F.min(F.struct(*order, "nth", "tag")).alias("lead"), F.first("bands").alias("bands"))
     classes = materialize(classes.select(*same, F.col("lead.nth").alias("node"), F.col("lead.doc").alias("doc"), F.col("lead.tag").alias("tag"), "bands"), "classes")
-    links = near_duplicate_links(spark, rows, classes.where("size > 0").select("node", "doc", "tag", "bands"), threshold)
+    links = materialize(near_duplicate_links(spark, rows.drop("nth"), classes.where("size > 0").select("node", "doc", "tag", "bands"), threshold), "all-links")
     component = materialize(connected_components(links), "components")
-    joined = classes.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    groups = joined.groupBy("component").agg(F.min(F.struct("doc", "node")).alias("top"))
-    final = joined.join(groups, "component").select(*same, F.col("doc").alias("class_doc"), F.col("top.doc").alias("group_doc"), F.col("top.node").alias("keep"))
-    named = lambda c: F.when(F.col(c) != (1 << 63) - 1, F.col(c))
+    ends = links.select(F.explode(F.array("a", "b")).alias("node"), "similarity")
+    linked = ends.groupBy("node").agg(F.count("*").alias("n_links"), F.max("similarity").alias("similarity"))
+    joined = classes.join(component, "node", "left").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    groups = joined.groupBy("component").agg(F.min(F.struct(*order, "node")).alias("top"))
+    final = joined.join(groups, "component").select(*same, F.col("doc").alias("class_id"), F.col("top.doc").alias("group_id"), F.col("top.node").alias("keep"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "similarity")
     return signed.drop("bands").join(materialize(final, "groups"), same).select(
-        named("doc").alias("id"), named("class_doc").alias("class_id"), named("group_doc").alias("group_id"), (F.col("nth") == F.col("keep")).alias("kept"), F.col("tag").alias("text_tag")
+        F.col("doc").alias("id"), "class_id", "group_id", (F.col("nth") == F.col("keep")).alias("kept"), F.col("tag").alias("text_tag"), "n_links", "similarity"
     )

@@ -53,6 +53,8 @@ class Vocabulary:
 
     def __post_init__(self):
         index = {s: i for i, s in enumerate(self.surface) if s is not None}
+        if any(after == 32 and before != 32 for s in index for before, after in zip(s, s[1:])):
+            raise ValueError("pieces with a space behind something else are not supported: texts are cut there")
         self.index, self.longest = index, max(map(len, index), default=1)
         self.unk = len(self.surface)  # stands for a character without a piece, of which each byte may become an id
         nodes: list[dict[int, int]] = [{}]
@@ -366,11 +368,14 @@ def encode_texts(v: Vocabulary, texts: pa.Array) -> pa.ListArray:
     cut[heads] = True
     start = np.flatnonzero(cut)
     end = np.append(start[1:], len(data))
-    # Distinct stretches by hash.
-    with np.errstate(over="ignore"):
-        power, inverse = W._power_tables(W._BASE, len(data))
-        h = W.mix(np.add.reduceat(_STRETCH[data] * power[: len(data)], start) * inverse[start] + (end - start).astype(np.uint64))
-    _, first, which = np.unique(h, return_index=True, return_inverse=True)
+    # Distinct stretches by hash, and the bytes of all compared with their first one's.
+    length = end - start
+    _, first, which = np.unique(W.hashes(data, start, length)[0], return_index=True, return_inverse=True)
+    same = length[first][which] == length
+    if same.all():
+        same = data == data[np.arange(len(data)) + np.repeat(start[first][which] - start, length)]
+    if not same.all():
+        first = which = np.arange(len(start))
     ids, stop = _distinct_ids(v, data, start[first], end[first])
     begin = np.concatenate([[0], stop[:-1]])
     count = (stop - begin)[which]
@@ -381,9 +386,6 @@ def encode_texts(v: Vocabulary, texts: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_text)]), pa.int32()), pa.array(ids[src], pa.int32()))
 
 
-_STRETCH = W._byte_values(77)
-
-
 def _distinct_ids(v: Vocabulary, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(ids, where each stretch's ids end) in the order given."""
     length = end - start

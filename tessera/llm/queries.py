@@ -52,13 +52,14 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = identify(_table(spark, sf_dir, "documents"))
+    found = identify(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return found.select("doc_id", "held_out", F.col("guess.lang").alias("lang_pred"), F.col("guess.score").alias("score"), F.col("guess.ambiguous").alias("ambiguous"))
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """class_id: the smallest doc_id among all that links of similarity 0.8 or more connect with the document."""
-    return near_duplicates(_table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), F.col("group_id").alias("class_id"), "kept")
+    found = near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.col("group_id").alias("class_id"), "kept", F.col("class_id").alias("same_shingles_id"), "n_links", "similarity")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

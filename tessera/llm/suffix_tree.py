@@ -2,25 +2,32 @@
 
 Symbols are the words that training rows hold `least` times or more, one
 symbol for all rarer words, the end, and the start, which occurs in contexts
-alone. A context is a candidate if it occurs `least` times; it becomes a state
-if its next-symbol distribution diverges from that of its longest suffix that
-is a state by more than its own description costs. A state's distribution is
-its counts, smoothed by that suffix's distribution, down to the unigrams. A
-token is scored by the longest state that is a suffix of what precedes it; a
-rare word's probability is its class's, shared out by its smoothed unigram count.
+alone. A context is a candidate if training rows hold it `least` times; it
+becomes a state if its next-symbol distribution diverges from that of its
+longest suffix that is a state by more than its own description costs. A
+state's distribution is its counts, smoothed by that suffix's distribution,
+down to the unigrams. A token is scored by the longest state that is a suffix
+of what precedes it; a rare word's probability is its class's, shared out by
+its smoothed unigram count.
 
 The floors are counts, so the tree grows with the corpus, and nothing of it is
-held in one place. Documents are written in batches of word numbers. For each
-depth a batch sends its distinct (context, next symbol) pairs with their
-training counts, packed by bucket of the context's hash, and the probability
-that the tree has so far for the symbol. A bucket's task adds the counts up,
-puts its contexts to the test, and answers each batch in the order it was sent.
+held in one place. Documents are written in batches of word numbers. A batch
+sends each of its distinct tuples (the last `depth` symbols, the next one) once,
+with its training count and the documents that have it, to a range of the
+tuples' order. The order has all tuples of a context together, whatever its
+length, so that the task of a range grows the whole tree below its contexts,
+puts them to the test and scores its tuples. What returns are sums by document.
+
+A context may be more than a range holds, or lie across a cut. Next-symbol
+counts of all contexts that a cut goes through (at most depth - 1 blocks for a
+cut) are added up beforehand and handed to every range that they reach; there
+they stand for the range's own counts of these contexts. The cuts are chosen
+from a sample of the order, so ranges are of like sizes however hot a word, a
+pair or a line is. They change the work of a task and never a result.
 """
 
 from __future__ import annotations
 
-import functools
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,25 +38,22 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import words as W
 from .shared import delete_path, lean_batches, materialize, slices
-from .substring_dedup import NO_ID
 
-#: Least training count of a word with a symbol of its own, of a context, and of a (context, symbol) pair that is kept.
+#: Least training count of a word with a symbol of its own, and of a context.
 LEAST = 2
-LEAST_PAIR = 2
-#: Most words of a context; None: depths are added until no candidate passes.
-DEPTH = None
+#: Most words of a context.
+DEPTH = 5
 #: Weight of the suffix's distribution, in tokens.
 SMOOTHING = 8.0
-#: Steps of a logarithm, as it is sent for the divergence test.
-_STEPS = 1e8
-#: Parts of the buckets that a depth takes one after another, so that the pairs of one are on disk at a time.
-ROUNDS = 2
-
-#: One schema for batches of documents (depth -1: words a row, learns, id, -, distinct hashes, word numbers), what they
-#: send to a bucket (context hashes, pairs of each, symbols, training counts, -log p, totals), and a bucket's answers
-#: (depth 0: counts and ranks of words; deeper: totals and kept counts of states, counts of pairs). A bucket's sums have no base.
-_COLUMNS = "base long, depth int, bucket int, a binary, b binary, c binary, d binary, e binary, f binary"
-_SCHEMA = pa.schema([("base", pa.int64()), ("depth", pa.int32()), ("bucket", pa.int32()), *((n, pa.binary()) for n in "abcdef")])
+#: Steps of a decimal logarithm: sums of whole steps don't depend on their order.
+STEPS = 1e10
+#: Keys of the sample for each range.
+SAMPLE = 200
+
+#: One schema for all that is sent: batches of documents, word counts and their answers, tuples, counts of cut contexts, and sums.
+_COLUMNS = "base long, kind int, bucket int, a binary, b binary, c binary, d binary, e binary, f binary"
+_SCHEMA = pa.schema([("base", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), *((n, pa.binary()) for n in "abcdef")])
+DOCUMENTS, WORDS, TUPLES, CUT, SUMS = range(5)
 _MULTIPLIER = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -72,29 +76,27 @@ def _column(table: pa.Table, name: str) -> list[np.ndarray]:
     return [_loosened(x) for x in table.column(name).to_pylist()]
 
 
-def _hashes(table: pa.Table) -> list[np.ndarray]:
-    return [np.frombuffer(x, "<u8") for x in table.column("a").to_pylist()]
-
-
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of documents as rows of word numbers: positions in the batch's sorted distinct hashes."""
+    """Batches of documents: words and learning by row, ids, which ids are null, the batch's sorted distinct hashes, and words by number in these."""
     for batch in batches:
         for piece in slices(batch, 2):
             words = W.tokenize(piece.column(2), W.SPACED_LOWER)
             kinds, number = np.unique(words.hash, return_inverse=True)
             learns = np.asarray(piece.column(1).to_numpy(zero_copy_only=False), np.uint8)
-            ids = piece.column(3).cast(pa.int64()).fill_null(NO_ID).to_numpy()
-            yield _record([(piece.column(0)[0].as_py(), -1, None, _squeezed(words.counts()), _squeezed(learns), ids.tobytes(), None, kinds.tobytes(), _squeezed(number))])
+            ids = piece.column(3)
+            null = np.asarray(ids.is_null().to_numpy(zero_copy_only=False), np.uint8)
+            told = ids.cast(pa.int64()).fill_null(0).to_numpy().astype("<i8").tobytes()
+            yield _record([(piece.column(0)[0].as_py(), DOCUMENTS, None, _squeezed(words.counts()), _squeezed(learns), told, _squeezed(null), kinds.tobytes(), _squeezed(number))])
 
 
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     """Buckets are ranges of the hash."""
-    return hashes // np.uint64(((1 << 64) + buckets - 1) // buckets)
+    return (hashes // np.uint64(((1 << 64) + buckets - 1) // buckets)).astype(np.int64)
 
 
-def _edges(sorted_hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket starts and ends in the sorted hashes."""
-    return np.searchsorted(_bucket(sorted_hashes, buckets), np.arange(buckets + 1, dtype=np.uint64))
+def _runs_of(sorted_buckets: np.ndarray) -> list[tuple[int, int, int]]:
+    """(bucket, first, last) of the rows of each bucket that has some."""
+    return [(int(sorted_buckets[i]), int(i), int(j)) for i, j in zip(*W.runs(sorted_buckets))]
 
 
 def _send_words(buckets: int):
@@ -104,8 +106,7 @@ def _send_words(buckets: int):
                 kinds = np.frombuffer(kinds, "<u8")
                 told = np.repeat(_loosened(learns), _loosened(rows))
                 count = np.bincount(_loosened(number), told, len(kinds)).astype(np.int64)
-                edge = _edges(kinds, buckets)
-                yield _record([(base, 0, b, kinds[i:j].tobytes(), None, None, _squeezed(count[i:j])) for b, (i, j) in enumerate(zip(edge[:-1], edge[1:])) if i < j])
+                yield _record([(base, WORDS, b, kinds[i:j].tobytes(), _squeezed(count[i:j])) for b, i, j in _runs_of(_bucket(kinds, buckets))])
 
     return send
 
@@ -113,65 +114,22 @@ def _send_words(buckets: int):
 def _answer_words(floor: int):
     def answer(table: pa.Table) -> pa.Table:
         """Training counts of a bucket's words, and the rank of each that reaches the floor among those, from 1, or 0."""
-        hashes = _hashes(table)
+        hashes = [np.frombuffer(x, "<u8") for x in table.column("a").to_pylist()]
         kinds, which = np.unique(np.concatenate(hashes), return_inverse=True)
-        total = np.bincount(which, np.concatenate(_column(table, "d")), len(kinds)).astype(np.int64)
+        total = np.bincount(which, np.concatenate(_column(table, "b")), len(kinds)).astype(np.int64)
         common = total >= floor
         rank = np.where(common, np.cumsum(common), 0)
         bucket, at, rows = table.column("bucket")[0].as_py(), 0, []
         for base, h in zip(table.column("base").to_pylist(), hashes):
             mine = which[at : at + len(h)]
             at += len(h)
-            rows.append((base, 0, bucket, _squeezed(total[mine]), _squeezed(rank[mine])))
-        rows.append((None, 0, bucket, _squeezed(np.array([total.sum(), (total > 0).sum(), common.sum(), total[common].sum()]))))
-        return _record(rows, pa.Table)
-
-    return answer
-
-
-def _answer_pairs(depth: int, floor: int):
-    def answer(table: pa.Table) -> pa.Table:
-        """Totals and kept counts of a bucket's contexts, 0 for those that are no states, and counts of their pairs, 0 below the floor."""
-        contexts, symbols = _hashes(table), _column(table, "c")
-        sent = np.concatenate(contexts)
-        state, first = np.unique(sent, return_index=True)
-        total = np.concatenate(_column(table, "f"))[first]
-        context = np.repeat(sent, np.concatenate(_column(table, "b")))
-        pair, first, which = np.unique(_extended(context, np.concatenate(symbols)), return_index=True, return_inverse=True)
-        count = np.bincount(which, np.concatenate(_column(table, "d")), len(pair)).astype(np.int64)
-        count[count < floor] = 0
-        of = np.searchsorted(state, context[first])
-        seen = np.bincount(of, count, len(state)).astype(np.int64)
-        keep = diverging(of, count, np.concatenate(_column(table, "e"))[first] / -_STEPS, total, seen)
-        total[~keep] = seen[~keep] = 0
-        bucket, at, rows = table.column("bucket")[0].as_py(), 0, []
-        for base, c, s in zip(table.column("base").to_pylist(), contexts, symbols):
-            mine = np.searchsorted(state, c)
-            rows.append((base, depth, bucket, _squeezed(total[mine]), _squeezed(seen[mine]), _squeezed(count[which[at : at + len(s)]])))
-            at += len(s)
-        rows.append((None, depth, bucket, _squeezed(np.array([keep.sum()]))))
+            rows.append((base, WORDS, bucket, _squeezed(total[mine]), _squeezed(rank[mine])))
+        rows.append((None, WORDS, bucket, _squeezed(np.array([total.sum(), (total > 0).sum(), common.sum(), total[common].sum()]))))
         return _record(rows, pa.Table)
 
     return answer
 
 
-def diverging(state: np.ndarray, count: np.ndarray, log_p: np.ndarray, total: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    """Which contexts differ from their suffixes by more than they cost; per pair its context, kept count and ln p after the suffix."""
-    some = np.flatnonzero(count)
-    s, c, lp, n = state[some], count[some], log_p[some], len(total)
-    gain = np.bincount(s, c * (np.log(c / total[s]) - lp), n).astype(np.float64)  # whole numbers where s is empty
-    rest_q, rest_p = 1 - seen / np.maximum(total, 1), 1 - np.bincount(s, np.exp(lp), n)
-    some = (rest_q > 1e-12) & (rest_p > 1e-12)
-    gain[some] += total[some] * rest_q[some] * np.log(rest_q[some] / rest_p[some])
-    return gain > 0.5 * np.log(np.maximum(total, 2)) * np.bincount(s, minlength=n)
-
-
-def _extended(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    """Hash of each context with one more symbol."""
-    with np.errstate(over="ignore"):
-        return W.mix(context * _MULTIPLIER + symbol.astype(np.uint64) + np.uint64(1))
-
-
 @dataclass
 class Model:
     """Sums of the words; offsets: by bucket, the number of its first frequent word."""
@@ -183,6 +141,7 @@ class Model:
     frequent_n: int
     offsets: np.ndarray
     floor: int
+    depth: int
 
     @property
     def size(self) -> int:
@@ -193,184 +152,289 @@ class Model:
         """Unigram probability of the class of rare words."""
         return max(1 / self.size, 1 - (self.frequent_n + self.frequent + self.ends + 1) / self.size)
 
+    # Symbols: 0 rare, 1.. words, then these.
+    @property
+    def end(self) -> int:
+        return self.frequent + 1
 
-class Batch:
-    """A batch's documents as symbols (0 rare, 1.. words, end, start), with the probability of each by the answers so far."""
+    @property
+    def start(self) -> int:
+        return self.frequent + 2
 
-    def __init__(self, m: Model, table: pa.Table):
+    @property
+    def none(self) -> int:
+        """Stands before the start."""
+        return self.frequent + 3
+
+    @property
+    def symbols(self) -> int:
+        return self.frequent + 4
+
+    @property
+    def bits(self) -> int:
+        """Bits of each symbol in the order."""
+        return 60 // self.depth
+
+    def unigram(self, symbol: np.ndarray, count: np.ndarray) -> np.ndarray:
+        return np.where(symbol == 0, self.rare, (count + 1) / self.size)
+
+
+def _numbered(m: Model):
+    def number(table: pa.Table) -> pa.Table:
+        """A batch with the symbols and counts of its distinct words instead of their hashes."""
         rows = table.to_pylist()
-        given = next(r for r in rows if r["depth"] == -1)
-        rows = sorted((r for r in rows if r["depth"] >= 0), key=lambda r: (r["depth"], r["bucket"]))
-        self.model, self.base = m, given["base"]
-        self.learns, self.ids = _loosened(given["b"]), np.frombuffer(given["c"], "<i8")
-        self.words, number = _loosened(given["a"]), _loosened(given["f"])
-        mine = [r for r in rows if r["depth"] == 0]
-        total, ranks = self._joined(mine, "a"), [_loosened(r["b"]) for r in mine]
-        symbol = np.concatenate([np.where(x > 0, x + m.offsets[r["bucket"]], 0) for r, x in zip(mine, ranks)] or [np.zeros(0, np.int64)])
-        end, start = m.frequent + 1, m.frequent + 2
-        self.ends = np.cumsum(self.words + 2)
-        at = np.arange(len(number)) + 2 * np.repeat(np.arange(len(self.words)), self.words) + 1
-        self.symbol = np.full(self.ends[-1], end, np.int64)
-        self.symbol[self.ends - self.words - 2] = start
-        self.symbol[at] = symbol[number]
-        self.count = np.full(len(self.symbol), m.ends, np.int64)
-        self.count[at] = total[number]
-        self.p = np.where(self.symbol == 0, m.rare, (self.count + 1) / m.size)
-        self.p[self.symbol == start] = 1.0
-        # By position: training count of the candidate context that ends there, its hash, and whether the symbol's last pair is kept.
-        self.total = np.where(self.symbol == 0, m.n - m.frequent_n - m.ends, self.count)
-        self.context = _extended(np.zeros(len(self.symbol), np.uint64), self.symbol)
-        self.hopeful = np.ones(len(self.symbol), bool)
-        self.active = np.flatnonzero((self.total >= m.floor) & (self.symbol != end))
-        self.depth = 1
-        while mine := [r for r in rows if r["depth"] == self.depth]:
-            self._apply(mine)
-            self.depth += 1
-
-    @staticmethod
-    def _joined(rows: list[dict], name: str) -> np.ndarray:
-        return np.concatenate([_loosened(r[name]) for r in rows] or [np.zeros(0, np.int64)])
-
-    def _pairs(self, active: np.ndarray) -> tuple[np.ndarray, ...]:
-        """For candidates that end at `active`: positions after candidates in order of context and symbol, and the context's hash; number of the context; positions (in these) that
-        may be of a kept pair; first and last of each pair in those. A pair is kept only if the pair without the context's first symbol is."""
-        active = active[np.argsort(self.context[active])]
-        at, context = active + 1, self.context[active]
-        number = np.cumsum(np.diff(context, prepend=context[:1]) != 0)
-        # Contexts are in order already, by number; symbols are below 2^32.
-        at = at[np.argsort((number << 32) + self.symbol[at])]
-        hope = np.flatnonzero(self.hopeful[at])
-        return at, context, number, hope, *W.runs(number[hope], self.symbol[at[hope]])
-
-    def _apply(self, rows: list[dict]) -> None:
-        at, context, number, hope, first, last = self._pairs(self.active)
-        total, seen = (self._joined(rows, c)[number] for c in "ab")
-        count = np.zeros(len(at), np.int64)
-        count[hope] = np.repeat(self._joined(rows, "c"), last - first)
-        use = total > 0
-        i = at[use]
-        self.p[i] = (count[use] + (SMOOTHING + total[use] - seen[use]) * self.p[i]) / (total[use] + SMOOTHING)
-        self.hopeful[at] = count > 0
-        self.context[at], self.total[at] = _extended(context, self.symbol[at]), count
-        self.active = at[(count >= self.model.floor) & (self.symbol[at] != self.model.frequent + 1)]
-
-    def send(self, buckets: int, part: int, parts: int) -> pa.Table:
-        mine = _bucket(self.context[self.active], buckets) * np.uint64(parts) // np.uint64(buckets) == part
-        at, context, number, hope, first, last = self._pairs(self.active[mine])
-        if not len(at):
-            return _record([], pa.Table)
-        heads = W.runs(number)[0]
-        keys, totals, one = context[heads], self.total[at[heads] - 1], at[hope[first]]
-        size = np.bincount(number[hope[first]], minlength=len(heads))
-        learns = np.repeat(self.learns, self.words + 2)
-        count = np.add.reduceat(learns[at[hope]], first) if len(first) else first
-        symbol, log_p = self.symbol[one], np.rint(-_STEPS * np.log(self.p[one]))
-        ends, edge = np.concatenate([[0], np.cumsum(size)]), _edges(keys, buckets)
-        return _record(
-            [(self.base, self.depth, b, keys[i:j].tobytes(), _squeezed(size[i:j]), *(_squeezed(x[ends[i] : ends[j]]) for x in (symbol, count, log_p)), _squeezed(totals[i:j])) for b, (i, j) in enumerate(zip(edge[:-1], edge[1:])) if i < j],
-            pa.Table,
-        )
-
-    def scores(self) -> pa.Table:
-        m, begin = self.model, self.ends - self.words - 2
-        rare = self.symbol == 0
-        base, p = np.log10((self.count + 1) / m.size), np.log10(self.p)
-        base[begin] = 0.0
-        p[rare] += base[rare] - np.log10(m.rare)
-        known = (self.count > 0).astype(np.int64)
-        known[begin] = 0
-        return pa.table({"id": pa.array(self.ids, mask=self.ids == NO_ID), "held_out": pa.array(self.learns == 0), "n_tokens": pa.array(self.words + 1), "n_known": pa.array(np.add.reduceat(known, begin)), "train_tokens": pa.array(np.full(len(self.ids), m.n, np.int64)), "base_score": pa.array(np.add.reduceat(base, begin)), "score": pa.array(np.add.reduceat(p, begin))})
+        given = next(r for r in rows if r["kind"] == DOCUMENTS)
+        told = sorted((r for r in rows if r["kind"] == WORDS), key=lambda r: r["bucket"])
+        none = [np.zeros(0, np.int64)]
+        count = np.concatenate([_loosened(r["a"]) for r in told] or none)
+        ranks = [_loosened(r["b"]) for r in told]
+        symbol = np.concatenate([np.where(x > 0, x + m.offsets[r["bucket"]], 0) for r, x in zip(told, ranks)] or none)
+        return _record([(given["base"], DOCUMENTS, None, given["a"], given["b"], given["c"], given["d"], _squeezed(np.concatenate([symbol, count])), given["f"])], pa.Table)
 
+    return number
 
-@dataclass
-class Level:
-    """States of one depth. keys: sorted (index at the depth before) * symbols + symbol; keep: retained as a state."""
 
-    keys: np.ndarray
-    total: np.ndarray
-    keep: np.ndarray
-    pairs: np.ndarray  # sorted state * symbols + next symbol
-    counts: np.ndarray
-    seen: np.ndarray  # per state, the sum of the counts that are kept
+class Batch:
+    """The tokens of a batch's documents: symbols of `depth` tokens before each, the token's own, its count and its document."""
+
+    def __init__(self, m: Model, row: dict):
+        self.words, self.learns, number = _loosened(row["a"]), _loosened(row["b"]), _loosened(row["f"])
+        symbol, count = _loosened(row["e"]).reshape(2, -1)
+        n = len(self.words)
+        begin = np.cumsum(self.words + 2) - self.words - 2
+        at = np.arange(len(number)) + 2 * np.repeat(np.arange(n), self.words) + 1
+        line = np.full(int((self.words + 2).sum()), m.end, np.int64)
+        line[begin], line[at] = m.start, symbol[number]
+        counts = np.full(len(line), m.ends, np.int64)
+        counts[at] = count[number]
+        self.doc = np.repeat(np.arange(n), self.words + 1)
+        place = np.arange(len(self.doc)) + self.doc + 1  # all but the starts
+        past = place - begin[self.doc]
+        self.next, self.count = line[place], counts[place]
+        self.before = [np.where(past >= d, line[place - np.minimum(d, past)], m.none) for d in range(1, m.depth + 1)]
+
+    def keys(self, m: Model) -> np.ndarray:
+        return _keys(m, self.before)
+
+
+def _keys(m: Model, before: list[np.ndarray]) -> np.ndarray:
+    """Place of each tuple in the order: some bits of a hash of each symbol, the nearest first."""
+    key = np.zeros(len(before[0]), np.uint64)
+    with np.errstate(over="ignore"):
+        for d, w in enumerate(before):
+            key = (key << np.uint64(m.bits)) | W.mix((w.astype(np.uint64) + np.uint64(1)) * _MULTIPLIER + np.uint64(d)) >> np.uint64(64 - m.bits)
+    return key
 
 
-@dataclass
-class Tree:
-    """The tree of a small corpus in memory, with the rules of Batch.
+def _batches_of(rows: pa.RecordBatch) -> Iterator[dict]:
+    for i in range(rows.num_rows):
+        yield rows.slice(i, 1).to_pylist()[0]
+
+
+def _sample(m: Model, share: float):
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in _batches_of(batch):
+                key = Batch(m, row).keys(m)
+                with np.errstate(over="ignore"):
+                    draw = W.mix(np.arange(len(key), dtype=np.uint64) * _MULTIPLIER + np.uint64(row["base"] & 0xFFFFFFFFFFFF)) >> np.uint64(11)
+                yield pa.RecordBatch.from_arrays([pa.array(key[draw < share * 2.0**53].astype(np.int64))], names=["key"])
+
+    return sample
+
 
-    words: sorted hashes of the frequent words; symbols: 0 rare, 1.. words, end, start.
+def _distinct(columns: list[np.ndarray], order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """[first, last) of the runs of equal rows in the order."""
+    return W.runs(*(c[order] for c in columns))
+
+
+def _send_tuples(m: Model, cuts: np.ndarray):
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in _batches_of(batch):
+                b = Batch(m, row)
+                key = b.keys(m)
+                order = np.lexsort((b.next, key))
+                first, last = _distinct([*b.before, b.next], order)
+                if not len(first):
+                    continue
+                one, doc = order[first], b.doc[order]
+                learned = np.add.reduceat(b.learns[doc], first)
+                out = []
+                for bucket, i, j in _runs_of(np.searchsorted(cuts, key[one], side="right")):
+                    rows, held = one[i:j], slice(int(first[i]), int(last[j - 1]))
+                    out.append((row["base"], TUPLES, bucket, _squeezed(np.concatenate([*(w[rows] for w in b.before), b.next[rows]])), _squeezed(b.count[rows]), _squeezed(learned[i:j]), _squeezed((last - first)[i:j]), _squeezed(doc[held])))
+                yield _record(out)
+
+    return send
+
+
+def _cut_blocks(m: Model, cuts: np.ndarray) -> list[np.ndarray]:
+    """By depth (from 1), the sorted leading bits of the cuts."""
+    return [np.unique(cuts >> np.uint64(m.bits * (m.depth - d))) for d in range(1, m.depth)]
+
+
+def _lies_in(blocks: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    return blocks[np.minimum(np.searchsorted(blocks, lead), len(blocks) - 1)] == lead if len(blocks) else np.zeros(len(lead), bool)
+
+
+def _send_cut(m: Model, cuts: np.ndarray, buckets: int):
+    """Next-symbol counts of the contexts that a cut goes through, by bucket of the pair's hash."""
+    blocks = _cut_blocks(m, cuts)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in _batches_of(batch):
+                b, out = Batch(m, row), []
+                key, learns = b.keys(m), b.learns[b.doc] > 0
+                for d in range(1, m.depth):
+                    lead = key >> np.uint64(m.bits * (m.depth - d))
+                    some = np.flatnonzero(_lies_in(blocks[d - 1], lead) & learns & (b.before[d - 1] != m.none))
+                    h = np.zeros(len(some), np.uint64)
+                    with np.errstate(over="ignore"):
+                        for c in (*b.before[:d], b.next):
+                            h = W.mix(h * _MULTIPLIER + c[some].astype(np.uint64) + np.uint64(d))
+                    order = some[np.argsort(h)]
+                    first, last = _distinct([*b.before[:d], b.next], order)
+                    one, bucket = order[first], _bucket(np.sort(h)[first], buckets)
+                    for k, i, j in _runs_of(bucket):
+                        rows = one[i:j]
+                        out.append((row["base"], CUT, k, _squeezed(np.concatenate([*(w[rows] for w in b.before[:d]), b.next[rows]])), _squeezed(b.count[rows]), _squeezed((last - first)[i:j]), _squeezed(np.array([d]))))
+                yield _record(out)
+
+    return send
+
+
+def _add_cut(m: Model, cuts: np.ndarray):
+    def add(table: pa.Table) -> pa.Table:
+        """Counts added up, for each range that the contexts reach."""
+        level = np.concatenate(_column(table, "d"))
+        tuples, counts, times, out = _column(table, "a"), _column(table, "b"), _column(table, "c"), []
+        for d in np.unique(level):
+            mine = np.flatnonzero(level == d)
+            cols = np.concatenate([tuples[i].reshape(d + 1, -1) for i in mine], axis=1)
+            count, n = (np.concatenate([x[i] for i in mine]) for x in (counts, times))
+            order = np.lexsort(cols[::-1])
+            first, _ = _distinct(list(cols), order)
+            n, one = np.add.reduceat(n[order], first), order[first]
+            before = [*cols[:d, one], *np.full((m.depth - d, len(one)), m.none)]
+            shift = np.uint64(m.bits * (m.depth - int(d)))
+            lead = _keys(m, before) >> shift
+            low = np.searchsorted(cuts, lead << shift, side="right")
+            high = np.searchsorted(cuts, ((lead + np.uint64(1)) << shift) - np.uint64(1), side="right")
+            for bucket in np.unique(np.concatenate([np.arange(a, z + 1) for a, z in set(zip(low.tolist(), high.tolist()))])):
+                r = np.flatnonzero((low <= bucket) & (bucket <= high))
+                out.append((None, CUT, int(bucket), _squeezed(np.concatenate([*(c[r] for c in before), cols[d][one][r]])), _squeezed(count[one][r]), _squeezed(n[r]), _squeezed(np.array([d]))))
+        return _record(out, pa.Table)
+
+    return add
+
+
+def probabilities(m: Model, cuts: np.ndarray, before: list[np.ndarray], following: np.ndarray, count: np.ndarray, n: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Probability of each tuple's next symbol by the longest state that is a suffix of the tuple's context.
+
+    n: training counts; level: 0 for tuples, which count for each of their
+    contexts that no cut goes through, or the one depth that a row of added-up
+    counts counts for.
     """
+    p, ids, live = m.unigram(following, count), np.zeros(len(n), np.int64), np.arange(len(n))
+    key, blocks = _keys(m, before), _cut_blocks(m, cuts)
+    for d in range(1, m.depth + 1):
+        w = before[d - 1]
+        live = live[(w[live] != m.none) & ((level[live] == 0) | (level[live] >= d))]
+        if not len(live):
+            break
+        whole = level[live] == 0
+        if d < m.depth:
+            whole &= ~_lies_in(blocks[d - 1], key[live] >> np.uint64(m.bits * (m.depth - d)))
+        weight = np.where(whole | (level[live] == d), n[live], 0)
+        kinds, of = np.unique(ids[live] * m.symbols + w[live], return_inverse=True)
+        total = np.bincount(of, weight, len(kinds))
+        enough = total[of] >= m.floor  # a longer context is not more frequent
+        live, of, weight = live[enough], of[enough], weight[enough]
+        if not len(live):
+            break
+        ids[live] = of
+        pairs, at, which = np.unique(of * m.symbols + following[live], return_index=True, return_inverse=True)
+        times, state = np.bincount(which, weight, len(pairs)), of[at]
+        keep = diverging(state, times, p[live][at], total)
+        used = keep[of]
+        i = live[used]
+        p[i] = (times[which[used]] + SMOOTHING * p[i]) / (total[of[used]] + SMOOTHING)
+    return p
+
+
+def diverging(state: np.ndarray, count: np.ndarray, p: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Which states differ from their suffixes by more than they cost; per pair its state, count and probability after the suffix."""
+    seen = np.flatnonzero(count)
+    s, c, n = state[seen], count[seen], len(total)
+    gain = np.bincount(s, c * np.log(c / total[s] / p[seen]), n)
+    return gain > 0.5 * np.log(np.maximum(total, 2)) * np.bincount(s, minlength=n)
 
-    words: np.ndarray
-    counts: np.ndarray
-    n: int
-    types: int
-    ends: int
-    levels: list[Level]
 
-    @property
-    def end(self) -> int:
-        return len(self.words) + 1
+def _score(m: Model, cuts: np.ndarray):
+    def score(table: pa.Table) -> pa.Table:
+        """By batch, sums of the scores of a range's tuples for each document."""
+        sent = table.filter(pa.compute.equal(table.column("kind"), TUPLES))
+        if not sent.num_rows:
+            return _record([], pa.Table)
+        added = table.filter(pa.compute.equal(table.column("kind"), CUT))
+        parts = [np.concatenate([x.reshape(m.depth + 1, -1) for x in (*_column(sent, "a"), *_column(added, "a"))], axis=1)]
+        count, n = (np.concatenate([*_column(sent, c), *_column(added, c)]) for c in "bc")
+        postings, docs = _column(sent, "d"), _column(sent, "e")
+        sizes = [len(x) for x in postings]
+        depths = np.repeat(np.concatenate([np.zeros(0, np.int64), *_column(added, "d")]), [len(x) for x in _column(added, "c")])
+        level = np.concatenate([np.zeros(sum(sizes), np.int64), depths])
+        *before, following = parts[0]
+        steps = np.rint(-STEPS * np.log10(probabilities(m, cuts, before, following, count, n, level))).astype(np.int64)
+        out, at = [], 0
+        for base, times, doc in zip(sent.column("base").to_pylist(), postings, docs):
+            told = np.repeat(steps[at : at + len(times)], times)
+            at += len(times)
+            kinds, which = np.unique(doc, return_inverse=True)
+            sums = np.zeros(len(kinds), np.int64)
+            np.add.at(sums, which, told)
+            out.append((base, SUMS, None, _squeezed(kinds), _squeezed(sums)))
+        return _record(out, pa.Table)
+
+    return score
+
+
+def _told(m: Model):
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each batch what scores need besides the sums: ids and, by document, tokens, known tokens, base scores and shares of rare words."""
+        for batch in batches:
+            for row in _batches_of(batch):
+                b = Batch(m, row)
+                n, base = len(b.words), np.log10((b.count + 1) / m.size)
+                rare = np.where(b.next == 0, base - np.log10(m.rare), 0.0)
+                known = np.bincount(b.doc, b.count > 0, n).astype(np.int64)
+                sums = np.concatenate([np.bincount(b.doc, x, n) for x in (base, rare)])
+                yield _record([(row["base"], DOCUMENTS, None, row["a"], row["b"], row["c"], row["d"], _squeezed(known), sums.tobytes())])
 
-    @property
-    def start(self) -> int:
-        return len(self.words) + 2
+    return tell
 
-    @property
-    def symbols(self) -> int:
-        return len(self.words) + 3
-
-    def root(self) -> np.ndarray:
-        """Unigram probabilities of the symbols."""
-        size = self.n + self.types + 1
-        p = np.concatenate([[0], (self.counts + 1) / size, [(self.ends + 1) / size, 0]])
-        if not self.ends:
-            p[self.end] = 1 / size
-        p[0] = max(1 / size, 1 - p.sum())
-        return p
-
-    def contexts(self, symbol: np.ndarray, depth: int) -> list[np.ndarray]:
-        """For each depth up to `depth`, the index of the candidate that ends at each position, or -1."""
-        found, before = [], np.zeros(len(symbol), np.int64)
-        for level in self.levels[:depth]:
-            key = before * self.symbols + symbol
-            at = _find(level.keys, key)
-            at[(before < 0) | (symbol == self.end)] = -1
-            found.append(at)
-            before = np.concatenate([[-1], at[:-1]])
-        return found
-
-    def log_probability(self, symbol: np.ndarray) -> np.ndarray:
-        """log10 of each symbol's probability after what precedes it; 0 for starts."""
-        p = self.root()[symbol]
-        for level, at in zip(self.levels, self.contexts(symbol, len(self.levels))):
-            state = np.concatenate([[-1], at[:-1]])
-            use = np.flatnonzero((state >= 0) & (symbol != self.start))
-            use = use[level.keep[state[use]]]
-            s = state[use]
-            hit = _find(level.pairs, s * self.symbols + symbol[use])
-            count = np.where(hit >= 0, level.counts[np.maximum(hit, 0)], 0) if len(level.counts) else np.zeros(len(use))
-            rest = SMOOTHING + level.total[s] - level.seen[s]
-            p[use] = (count + rest * p[use]) / (level.total[s] + SMOOTHING)
-        p[symbol == self.start] = 1.0
-        return np.log10(p)
-
-
-def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    if not len(keys):
-        return np.full(len(wanted), -1, np.int64)
-    at = np.searchsorted(keys, wanted)
-    at[at == len(keys)] = 0
-    return np.where(keys[at] == wanted, at, -1)
-
-
-def _floor(least: float, n: int) -> int:
-    """A count of two at least; below 1, `least` is a share of the n training tokens."""
-    return max(2, math.ceil(least * n if least < 1 else least))
+
+def _joined(m: Model):
+    def join(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        given = next(r for r in rows if r["kind"] == DOCUMENTS)
+        words, ids = _loosened(given["a"]), np.frombuffer(given["c"], "<i8")
+        base, rare = np.frombuffer(given["f"]).reshape(2, -1)
+        steps = np.zeros(len(ids), np.int64)
+        for r in rows:
+            if r["kind"] == SUMS:
+                steps[_loosened(r["a"])] += _loosened(r["b"])
+        return pa.table({
+            "id": pa.array(ids, mask=_loosened(given["d"]) > 0), "held_out": pa.array(_loosened(given["b"]) == 0), "n_tokens": pa.array(words + 1), "n_known": pa.array(_loosened(given["e"])),
+            "train_tokens": pa.array(np.full(len(ids), m.n, np.int64)), "base_score": pa.array(base), "score": pa.array(rare - steps / STEPS),
+        })
+
+    return join
 
 
 def _written(df: DataFrame, label: str) -> DataFrame:
-    """Materialize df; its shuffle files go with the query, as each depth shuffles the documents."""
+    """Materialize df; its shuffle files go with the query."""
     conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = conf.get(key, "false")
     conf.set(key, "true")
@@ -380,63 +444,50 @@ def _written(df: DataFrame, label: str) -> DataFrame:
         conf.set(key, before)
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2, depth: int | None = DEPTH, least: float = LEAST, least_pair: float = LEAST_PAIR) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2, depth: int = DEPTH, least: int = LEAST) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from rows whose crc32(id) mod `folds` is not `held` (a null id is
     learned from and not held out). Tokens are words between white space, A-Z
     folded, and one end for each text; a null or empty text has the end alone.
     Scores are log10 probabilities: base_score under add-one unigrams, score
-    under the suffix tree. Repeated rows count and score each. Other columns
-    are ignored; an empty table gives an empty result.
+    under the suffix tree, whose contexts have `depth` words at most (10 at
+    the utmost); each token's is rounded to 10 places. Texts of any length are
+    scored whole. Ids are whole numbers. Repeated rows count and score each.
+    Other columns are ignored, so their names cannot clash; an empty table
+    gives an empty result.
     """
+    if not 1 <= depth <= 10 or least < 1:
+        raise ValueError("depth is 1 to 10, and least 1 or more")
     spark = docs.sparkSession
     lean_batches(spark)
     fold = F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds))
-    rows = docs.select(F.monotonically_increasing_id().alias("nth"), (F.coalesce(fold, F.lit(-1)) != held).alias("learns"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.col(id_col).alias("doc"))
-    # Several buckets for each shuffle task, as a bucket is held whole.
+    learns = F.coalesce(fold, F.lit(-1)) != held
+    rows = docs.select(F.monotonically_increasing_id().alias("nth"), learns.alias("learns"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.col(id_col).cast("long").alias("doc"))
+    # Several ranges for each shuffle task, as a range is held whole.
     buckets = 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     coded = _written(rows.mapInArrow(_documents, _COLUMNS), "documents")
-    ends = docs.where(F.coalesce(fold, F.lit(-1)) != held).count()
-
-    def known(answers: DataFrame) -> list[tuple[int, np.ndarray]]:
-        return [(r.bucket, _loosened(r.a)) for r in answers.where("base is null").select("bucket", "a").collect()]
+    ends = docs.where(learns).count()
 
     words = coded.mapInArrow(_send_words(buckets), _COLUMNS)
-    if least < 1 or least_pair < 1:
-        n = ends + sum(int(s[0]) for _, s in known(words.groupBy("bucket").applyInArrow(_answer_words(1), _COLUMNS)))
-    else:
-        n = 0
-    floor, floor_pair = _floor(least, n), _floor(least_pair, n)
-    answers = [_written(words.groupBy("bucket").applyInArrow(_answer_words(floor), _COLUMNS), "word-counts")]
+    answers = _written(words.groupBy("bucket").applyInArrow(_answer_words(least), _COLUMNS), "word-counts")
     sums, offsets = np.zeros(4, np.int64), np.zeros(buckets, np.int64)
-    for bucket, s in sorted(known(answers[0])):  # a row for each bucket
+    for bucket, told in sorted((r.bucket, r.a) for r in answers.where("base is null").select("bucket", "a").collect()):  # a row for each bucket
         offsets[bucket] = sums[2]
-        sums += s
-    model = Model(int(sums[0]) + ends, int(sums[1]) + (ends > 0), ends, int(sums[2]), int(sums[3]), offsets, floor)
-    if model.frequent > (1 << 32) - 4:
-        raise ValueError("more frequent words than 32 bits number")
-
-    hashed, coded = coded, _written(coded.withColumn("e", F.lit(None).cast("binary")), "documents")  # hashes have served
-    for folder in {f.rsplit("/", 1)[0] for f in hashed.inputFiles()}:
+        sums += _loosened(told)
+    m = Model(int(sums[0]) + ends, int(sums[1]) + (ends > 0), ends, int(sums[2]), int(sums[3]), offsets, least, depth)
+    if m.symbols >= 1 << 31:
+        raise ValueError("more frequent words than 31 bits number")
+    batches = _written(coded.unionAll(answers.where("base is not null")).groupBy("base").applyInArrow(_numbered(m), _COLUMNS), "numbered")
+    for folder in {f.rsplit("/", 1)[0] for df in (coded, answers) for f in df.inputFiles()}:
         delete_path(spark, folder)
 
-    def batches():
-        both = coded
-        for a in answers:
-            both = both.unionAll(a.where("base is not null"))
-        return both.groupBy("base")
-
-    def sender(part: int):
-        return lambda t: Batch(model, t).send(buckets, part, ROUNDS)
-
-    while depth is None or len(answers) <= depth:
-        answer, found = _answer_pairs(len(answers), floor_pair), []
-        for part in range(ROUNDS):
-            sent = batches().applyInArrow(sender(part), _COLUMNS)
-            found.append(_written(sent.groupBy("bucket").applyInArrow(answer, _COLUMNS), "pair-counts"))
-        answers.append(functools.reduce(DataFrame.unionAll, found))
-        if not sum(int(s[0]) for _, s in known(answers[-1])):  # no candidate passed
-            break
+    share = min(1.0, SAMPLE * buckets / max(1, m.n))
+    keys = np.sort(batches.mapInArrow(_sample(m, share), "key long").toArrow().column(0).to_numpy()).astype(np.uint64)  # about SAMPLE for each range
+    cuts = np.unique(keys[(np.arange(1, buckets) * len(keys)) // buckets]) if len(keys) else keys
+    added = batches.mapInArrow(_send_cut(m, cuts, buckets), _COLUMNS).groupBy("bucket").applyInArrow(_add_cut(m, cuts), _COLUMNS)
+    added = _written(added, "cut-contexts")
+    tuples = batches.mapInArrow(_send_tuples(m, cuts), _COLUMNS)
+    scores = _written(tuples.unionAll(added).groupBy("bucket").applyInArrow(_score(m, cuts), _COLUMNS), "scores")
     kind = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return batches().applyInArrow(lambda t: Batch(model, t).scores(), kind)
+    return batches.mapInArrow(_told(m), _COLUMNS).unionAll(scores).groupBy("base").applyInArrow(_joined(m), kind)

@@ -19,9 +19,9 @@ import pyarrow as pa
 import pyarrow.fs
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .shared import fresh_path, lean_batches
+from .shared import fresh_path, lean_batches, qualified
 
 #: Fixed values of the WARC/1.1 and WARC-Zstandard formats.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -42,20 +42,28 @@ def classify(pages: DataFrame, id_col: str, payload_col: str, min_bytes: int) ->
 
 
 def train_dictionary(pages: DataFrame, payload_col: str, samples: int = 1000, sample_bytes: int = 1 << 16, size: int = 112_640) -> bytes:
-    """A dictionary from a bounded sample of the records: about `samples` payloads, `sample_bytes` of each at most.
+    """A dictionary from a bounded sample of the records: of distinct payloads about `samples`, chosen by hash.
 
-    Empty if there are no payloads; with too few to train on, their bytes serve as a raw dictionary.
+    A payload of up to `sample_bytes` is taken whole, of a longer one sixteen
+    segments spread evenly from its start to its end. The sample depends on
+    the payloads alone, not on their order or on how often each occurs. Empty
+    if there are no payloads; with too few to train on, their bytes serve as a
+    raw dictionary.
     """
-    full = pages.select(F.col(payload_col).alias("p")).where(F.length("p") > 0)
-    n = full.count()
-    some = full.where(F.pmod(F.xxhash64("p"), F.lit(max(1, n // samples))) == 0).limit(2 * samples)
-    found = [bytes(r[0]) for r in some.select(F.substring(F.col("p").cast("binary"), 1, sample_bytes)).collect()]
-    if not found:
+    full = pages.select(F.col(payload_col).cast("binary").alias("p")).where(F.length("p") > 0).withColumn("h", F.xxhash64("p"))
+    n = full.agg(F.approx_count_distinct("h")).first()[0]
+    some = full.where(F.pmod(F.xxhash64("h"), F.lit(max(1, n // samples))) == 0)
+    part = sample_bytes // 16
+    spread = f"transform(sequence(0, 15), i -> substring(p, 1 + cast(floor(i * (length(p) - {part}) / 15) as int), {part}))"
+    pieces = F.expr(f"case when length(p) <= {sample_bytes} then array(p) else {spread} end")
+    found = some.select("h", pieces.alias("pieces")).groupBy("h").agg(F.min("pieces").alias("pieces"))
+    told = sorted(bytes(x) for r in found.select("pieces").toLocalIterator() for x in r[0])
+    if not told:
         return b""
     try:
-        return zstandard.train_dictionary(size, sorted(found), k=512, d=8).as_bytes()
+        return zstandard.train_dictionary(size, told, k=512, d=8).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(sorted(found))[:size]
+        return b"".join(told)[:size]
 
 
 def dictionary_frame(dictionary: bytes) -> bytes:
@@ -83,21 +91,27 @@ def record(page_id, uri, payload: bytes, digest: str, refers_to, date: str) -> b
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", payload_col: str = "html", uri_col: str | None = "url", min_revisit_bytes: int = 100, archive_bytes: int = 1 << 30, level: int = 3, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
-    """Write every page as a record into archives under `path` (any URI that pyarrow and all executors reach); returns the manifest.
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", payload_col: str = "html", uri_col: str | None = "url", min_revisit_bytes: int = 100, archive_bytes: int = 1 << 30, level: int = 3, date: str | Column = "2000-01-01T00:00:00Z") -> DataFrame:
+    """Write every page as a record into archives under `path` (a URI that pyarrow and all executors reach; a path without a scheme is taken as Spark takes it); returns the manifest.
 
     A task writes archives under names of its own attempt, and just those of
     committed tasks enter the manifest, so that a lost or repeated task leaves
     no record twice. A null payload is empty; payloads under
     `min_revisit_bytes` are always responses, as are all rows with a null id
-    or with the smallest id itself. An empty table gives an empty manifest.
+    or with the smallest id itself. Repeated rows are records each. A payload
+    is held whole, by the task that writes it. `date`: the records' date, one
+    for all or a timestamp column's (UTC). Ids are whole numbers; columns that
+    are not named are left out, so their names cannot clash. An empty table
+    gives an empty manifest.
     """
     spark = pages.sparkSession
     lean_batches(spark)
+    path = qualified(spark, path)
     dictionary = train_dictionary(pages, payload_col)
     shipped = spark.sparkContext.broadcast(dictionary)  # 110 KB at most
+    when = F.lit(date) if isinstance(date, str) else F.date_format(date, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     uri = F.col(uri_col) if uri_col else F.lit(None).cast("string")
-    rows = classify(pages.select(F.col(id_col).cast("long").alias("page_id"), uri.alias("uri"), F.col(payload_col).alias("body")), "page_id", "body", min_revisit_bytes)
+    rows = classify(pages.select(F.col(id_col).cast("long").alias("page_id"), uri.alias("uri"), F.col(payload_col).alias("body"), when.alias("date")), "page_id", "body", min_revisit_bytes)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pa.fs.FileSystem.from_uri(path)
@@ -107,13 +121,13 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", payload
         context = TaskContext.get()
         out, done, n, size, number = None, [], 0, 0, 0
         for batch in batches:
-            for page_id, uri, payload, digest, refers_to in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            for page_id, uri, payload, digest, refers_to, told in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 if out is None:
                     name = f"part-{context.partitionId():06d}-{number:03d}-{uuid.uuid4().hex[:12]}.warc.zst"
                     out, n, size = fs.open_output_stream(f"{root}/{name}", compression=None), 0, 0
                     out.write(frame := dictionary_frame(shipped.value))
                     size, number = len(frame), number + 1
-                frame = packer.compress(record(page_id, uri, payload.encode(), digest, refers_to, date))
+                frame = packer.compress(record(page_id, uri, payload.encode(), digest, refers_to, told))
                 out.write(frame)
                 n, size = n + 1, size + len(frame)
                 if size >= archive_bytes:
@@ -125,7 +139,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", payload
             done.append((f"{path}/{name}", n, size))
         yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.int64())], names=["path", "records", "bytes"])
 
-    manifest = rows.select("page_id", "uri", "payload", "digest", "refers_to").mapInArrow(write, MANIFEST)
+    manifest = rows.select("page_id", "uri", "payload", "digest", "refers_to", "date").mapInArrow(write, MANIFEST)
     where = f"{path}/manifest"
     manifest.write.parquet(where)
     return spark.read.schema(MANIFEST).parquet(where)

@@ -1,11 +1,15 @@
 """Vectorised tokenising and hashing of Arrow text columns.
 
 All functions work on the concatenated UTF-8 bytes of many rows at once, so
-cost is a few array passes per byte and never a Python step per word.
+cost is a few array passes per byte and never a Python step per word, but for
+words of more than TABLED bytes. A word's hash is a sum of one random value for
+each (place, byte), so no pattern of bytes makes two words collide, as there
+are for polynomials modulo 2^64.
 """
 
 from __future__ import annotations
 
+import hashlib
 from typing import NamedTuple
 
 import numpy as np
@@ -24,27 +28,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _byte_values(seed: int) -> np.ndarray:
+#: Bytes of a word that the value tables cover; longer words are hashed by BLAKE2b.
+TABLED = 40
+
+
+def _values(seed: int) -> np.ndarray:
+    """A random value for each byte at each place of a word."""
     with np.errstate(over="ignore"):
-        return mix((np.arange(256, dtype=U64) + U64(1)) * U64(0x9E3779B97F4A7C15) + U64(seed)) | U64(1)
+        return mix(mix(np.arange(TABLED * 256, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(seed)))
+
+
+_FIRST, _SECOND = _values(11), _values(1_000_003)
 
 
 class Alphabet(NamedTuple):
-    """Which bytes belong to words, and each byte's value in the two hash families (0: separator)."""
+    """Which bytes belong to words, and the byte that each counts as."""
 
     inside: np.ndarray
-    value: np.ndarray
-    value2: np.ndarray
+    fold: np.ndarray
 
 
 def _alphabet(inside: np.ndarray, lower: bool) -> Alphabet:
-    fold = np.arange(256)
+    fold = np.arange(256, dtype=np.uint8)
     if lower:
         fold[65:91] += 32
-    first, second = _byte_values(11)[fold], _byte_values(1_000_003)[fold]
-    first[~inside] = 0
-    second[~inside] = 0
-    return Alphabet(inside, first, second)
+    return Alphabet(inside, fold)
 
 
 def _inside(*ranges: tuple[int, int]) -> np.ndarray:
@@ -60,22 +68,6 @@ SPACED_LOWER = _alphabet(~_inside((0x20, 0x20), (0x09, 0x0D)), True)
 #: Digits, letters and all bytes above ASCII, A-Z folded.
 ALNUM_LOWER = _alphabet(_inside((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF)), True)
 
-_BASE, _BASE2 = 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4B
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power_tables(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^i and base^-i modulo 2^64 for i < n."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        n = 1 << max(16, (n - 1).bit_length())
-        inverse = pow(base, -1, 1 << 64)
-        steps = [np.full(n, b, U64) for b in (base, inverse)]
-        for s in steps:
-            s[0] = 1
-        _powers[base] = have = tuple(np.multiply.accumulate(s) for s in steps)
-    return have
-
 
 class Words(NamedTuple):
     """Words of a slice: byte range, row, and 64-bit hash (hash2: a second, independent family)."""
@@ -125,15 +117,28 @@ def tokenize(column: pa.Array, alphabet: Alphabet, second: bool = False) -> Word
         start = end = np.zeros(0, np.int64)
     row = np.searchsorted(offsets[1:], start, side="right").astype(np.int32)
 
-    def hashed(values: np.ndarray, base: int) -> np.ndarray:
-        if not len(start):
-            return np.zeros(0, U64)
-        power, inverse = _power_tables(base, n)
-        sums = np.add.reduceat(values[data] * power[:n], start)
-        return mix(sums * inverse[start] + (end - start).astype(U64))
+    length = end - start
+    folded = alphabet.fold[data[inside]]  # words are what lies inside, one after another
+    first, other = hashes(folded, np.cumsum(length) - length, length, second)
+    return Words(data, n_rows, start, end, row, first, other)
 
-    with np.errstate(over="ignore"):
-        return Words(data, n_rows, start, end, row, hashed(alphabet.value, _BASE), hashed(alphabet.value2, _BASE2) if second else None)
+
+def hashes(data: np.ndarray, start: np.ndarray, length: np.ndarray, second: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """Hash, and second hash if wanted, of the stretches that data consists of, none of them empty."""
+    if not len(start):
+        return np.zeros(0, U64), np.zeros(0, U64) if second else None
+    place = np.minimum(np.arange(len(data)) - np.repeat(start, length), TABLED - 1)
+    cell = place * 256 + data
+    long = np.flatnonzero(length > TABLED)
+    digests = [hashlib.blake2b(data[start[i] : start[i] + length[i]].tobytes(), digest_size=16).digest() for i in long]
+
+    def hashed(values: np.ndarray, part: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            out = mix(np.add.reduceat(values[cell], start) + length.astype(U64))
+        out[long] = [int.from_bytes(d[8 * part : 8 * part + 8], "little") for d in digests]
+        return out
+
+    return hashed(_FIRST, 0), hashed(_SECOND, 1) if second else None
 
 
 def grams(h: np.ndarray, k: int, base: int = 0x9FB21C651E98DF25) -> np.ndarray:
