@@ -30,14 +30,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from . import words as W
-from .shared import delete_path, lean_batches, materialize, slices
+from .packed import bucket_of, column, loosened, record, runs_of, squeezed, written
+from .shared import delete_path, lean_batches, slices
 
 #: Least training count of a word with a symbol of its own, and of a context.
 LEAST = 2
@@ -49,6 +50,8 @@ SMOOTHING = 8.0
 STEPS = 1e10
 #: Keys of the sample for each range.
 SAMPLE = 200
+#: Parts of the ranges that are scored one after another, so that the tuples of one are on disk at a time.
+ROUNDS = 2
 
 #: One schema for all that is sent: batches of documents, word counts and their answers, tuples, counts of cut contexts, and sums.
 _COLUMNS = "base long, kind int, bucket int, a binary, b binary, c binary, d binary, e binary, f binary"
@@ -58,22 +61,7 @@ _MULTIPLIER = np.uint64(0x9FB21C651E98DF25)
 
 
 def _record(rows: list[tuple], of=pa.RecordBatch):
-    rows = [(*r, *[None] * (9 - len(r))) for r in rows]
-    return of.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 9, _SCHEMA.types)], schema=_SCHEMA)
-
-
-def _squeezed(x: np.ndarray) -> bytes:
-    """Whole numbers from 0 on, of as few bytes as the greatest needs, compressed."""
-    width = next(w for w in (1, 2, 4, 8) if w == 8 or not len(x) or x.max() < 1 << 8 * w)
-    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(x.astype(f"<u{width}").tobytes())
-
-
-def _loosened(raw: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), f"<u{raw[0]}").astype(np.int64)
-
-
-def _column(table: pa.Table, name: str) -> list[np.ndarray]:
-    return [_loosened(x) for x in table.column(name).to_pylist()]
+    return record(_SCHEMA, rows, of)
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,17 +74,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids = piece.column(3)
             null = np.asarray(ids.is_null().to_numpy(zero_copy_only=False), np.uint8)
             told = ids.cast(pa.int64()).fill_null(0).to_numpy().astype("<i8").tobytes()
-            yield _record([(piece.column(0)[0].as_py(), DOCUMENTS, None, _squeezed(words.counts()), _squeezed(learns), told, _squeezed(null), kinds.tobytes(), _squeezed(number))])
-
-
-def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Buckets are ranges of the hash."""
-    return (hashes // np.uint64(((1 << 64) + buckets - 1) // buckets)).astype(np.int64)
-
-
-def _runs_of(sorted_buckets: np.ndarray) -> list[tuple[int, int, int]]:
-    """(bucket, first, last) of the rows of each bucket that has some."""
-    return [(int(sorted_buckets[i]), int(i), int(j)) for i, j in zip(*W.runs(sorted_buckets))]
+            yield _record([(piece.column(0)[0].as_py(), DOCUMENTS, None, squeezed(words.counts()), squeezed(learns), told, squeezed(null), kinds.tobytes(), squeezed(number))])
 
 
 def _send_words(buckets: int):
@@ -104,27 +82,29 @@ def _send_words(buckets: int):
         for batch in batches:
             for base, rows, learns, kinds, number in zip(*(batch.column(c).to_pylist() for c in ("base", "a", "b", "e", "f"))):
                 kinds = np.frombuffer(kinds, "<u8")
-                told = np.repeat(_loosened(learns), _loosened(rows))
-                count = np.bincount(_loosened(number), told, len(kinds)).astype(np.int64)
-                yield _record([(base, WORDS, b, kinds[i:j].tobytes(), _squeezed(count[i:j])) for b, i, j in _runs_of(_bucket(kinds, buckets))])
+                told = np.repeat(loosened(learns), loosened(rows))
+                count = np.bincount(loosened(number), told, len(kinds)).astype(np.int64)
+                yield _record([(base, WORDS, b, kinds[i:j].tobytes(), squeezed(count[i:j])) for b, i, j in runs_of(bucket_of(kinds, buckets))])
 
     return send
 
 
 def _answer_words(floor: int):
     def answer(table: pa.Table) -> pa.Table:
-        """Training counts of a bucket's words, and the rank of each that reaches the floor among those, from 1, or 0."""
+        """Training counts of a bucket's words, and the rank of each that reaches the floor among those, the most frequent first, from 1, or 0."""
         hashes = [np.frombuffer(x, "<u8") for x in table.column("a").to_pylist()]
         kinds, which = np.unique(np.concatenate(hashes), return_inverse=True)
-        total = np.bincount(which, np.concatenate(_column(table, "b")), len(kinds)).astype(np.int64)
+        total = np.bincount(which, np.concatenate(column(table, "b")), len(kinds)).astype(np.int64)
         common = total >= floor
-        rank = np.where(common, np.cumsum(common), 0)
+        rank = np.zeros(len(total), np.int64)
+        rank[np.argsort(-total, kind="stable")] = np.arange(1, len(total) + 1)
+        rank[~common] = 0
         bucket, at, rows = table.column("bucket")[0].as_py(), 0, []
         for base, h in zip(table.column("base").to_pylist(), hashes):
             mine = which[at : at + len(h)]
             at += len(h)
-            rows.append((base, WORDS, bucket, _squeezed(total[mine]), _squeezed(rank[mine])))
-        rows.append((None, WORDS, bucket, _squeezed(np.array([total.sum(), (total > 0).sum(), common.sum(), total[common].sum()]))))
+            rows.append((base, WORDS, bucket, squeezed(total[mine]), squeezed(rank[mine])))
+        rows.append((None, WORDS, bucket, squeezed(np.array([total.sum(), (total > 0).sum(), common.sum(), total[common].sum()]))))
         return _record(rows, pa.Table)
 
     return answer
@@ -132,17 +112,21 @@ def _answer_words(floor: int):
 
 @dataclass
 class Model:
-    """Sums of the words; offsets: by bucket, the number of its first frequent word."""
+    """Sums of the words; top: the greatest number of a frequent word. Small numbers are of frequent words, as each bucket counts by rank."""
 
     n: int
     types: int
     ends: int
     frequent: int
     frequent_n: int
-    offsets: np.ndarray
+    buckets: int
+    top: int
     floor: int
     depth: int
 
+    def number(self, bucket: int, rank: np.ndarray) -> np.ndarray:
+        return np.where(rank > 0, 1 + (rank - 1) * self.buckets + bucket, 0)
+
     @property
     def size(self) -> int:
         return self.n + self.types + 1
@@ -155,20 +139,20 @@ class Model:
     # Symbols: 0 rare, 1.. words, then these.
     @property
     def end(self) -> int:
-        return self.frequent + 1
+        return self.top + 1
 
     @property
     def start(self) -> int:
-        return self.frequent + 2
+        return self.top + 2
 
     @property
     def none(self) -> int:
         """Stands before the start."""
-        return self.frequent + 3
+        return self.top + 3
 
     @property
     def symbols(self) -> int:
-        return self.frequent + 4
+        return self.top + 4
 
     @property
     def bits(self) -> int:
@@ -186,35 +170,36 @@ def _numbered(m: Model):
         given = next(r for r in rows if r["kind"] == DOCUMENTS)
         told = sorted((r for r in rows if r["kind"] == WORDS), key=lambda r: r["bucket"])
         none = [np.zeros(0, np.int64)]
-        count = np.concatenate([_loosened(r["a"]) for r in told] or none)
-        ranks = [_loosened(r["b"]) for r in told]
-        symbol = np.concatenate([np.where(x > 0, x + m.offsets[r["bucket"]], 0) for r, x in zip(told, ranks)] or none)
-        return _record([(given["base"], DOCUMENTS, None, given["a"], given["b"], given["c"], given["d"], _squeezed(np.concatenate([symbol, count])), given["f"])], pa.Table)
+        count = np.concatenate([loosened(r["a"]) for r in told] or none)
+        ranks = [loosened(r["b"]) for r in told]
+        symbol = np.concatenate([m.number(r["bucket"], x) for r, x in zip(told, ranks)] or none)
+        return _record([(given["base"], DOCUMENTS, None, given["a"], given["b"], given["c"], given["d"], squeezed(np.concatenate([symbol, count])), given["f"])], pa.Table)
 
     return number
 
 
 class Batch:
-    """The tokens of a batch's documents: symbols of `depth` tokens before each, the token's own, its count and its document."""
+    """The tokens of a batch's documents: each one's symbol, count and document, and the symbols before it."""
 
     def __init__(self, m: Model, row: dict):
-        self.words, self.learns, number = _loosened(row["a"]), _loosened(row["b"]), _loosened(row["f"])
-        symbol, count = _loosened(row["e"]).reshape(2, -1)
+        self.words, self.learns, number = loosened(row["a"]), loosened(row["b"]), loosened(row["f"])
+        symbol, count = loosened(row["e"]).reshape(2, -1)
         n = len(self.words)
         begin = np.cumsum(self.words + 2) - self.words - 2
         at = np.arange(len(number)) + 2 * np.repeat(np.arange(n), self.words) + 1
-        line = np.full(int((self.words + 2).sum()), m.end, np.int64)
-        line[begin], line[at] = m.start, symbol[number]
-        counts = np.full(len(line), m.ends, np.int64)
+        self.line = np.full(int((self.words + 2).sum()), m.end, np.int64)
+        self.line[begin], self.line[at] = m.start, symbol[number]
+        counts = np.full(len(self.line), m.ends, np.int64)
         counts[at] = count[number]
         self.doc = np.repeat(np.arange(n), self.words + 1)
-        place = np.arange(len(self.doc)) + self.doc + 1  # all but the starts
-        past = place - begin[self.doc]
-        self.next, self.count = line[place], counts[place]
-        self.before = [np.where(past >= d, line[place - np.minimum(d, past)], m.none) for d in range(1, m.depth + 1)]
+        self.place = np.arange(len(self.doc)) + self.doc + 1  # all but the starts
+        self.past = self.place - begin[self.doc]
+        self.next, self.count = self.line[self.place], counts[self.place]
 
-    def keys(self, m: Model) -> np.ndarray:
-        return _keys(m, self.before)
+    def before(self, m: Model, some: np.ndarray | slice = slice(None)) -> list[np.ndarray]:
+        """The symbols before some tokens, the nearest first."""
+        place, past = self.place[some], self.past[some]
+        return [np.where(past >= d, self.line[place - np.minimum(d, past)], m.none) for d in range(1, m.depth + 1)]
 
 
 def _keys(m: Model, before: list[np.ndarray]) -> np.ndarray:
@@ -235,35 +220,34 @@ def _sample(m: Model, share: float):
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _batches_of(batch):
-                key = Batch(m, row).keys(m)
+                b = Batch(m, row)
                 with np.errstate(over="ignore"):
-                    draw = W.mix(np.arange(len(key), dtype=np.uint64) * _MULTIPLIER + np.uint64(row["base"] & 0xFFFFFFFFFFFF)) >> np.uint64(11)
-                yield pa.RecordBatch.from_arrays([pa.array(key[draw < share * 2.0**53].astype(np.int64))], names=["key"])
+                    draw = W.mix(np.arange(len(b.next), dtype=np.uint64) * _MULTIPLIER + np.uint64(row["base"] & 0xFFFFFFFFFFFF)) >> np.uint64(11)
+                key = _keys(m, b.before(m, np.flatnonzero(draw < share * 2.0**53)))
+                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64))], names=["key"])
 
     return sample
 
 
-def _distinct(columns: list[np.ndarray], order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """[first, last) of the runs of equal rows in the order."""
-    return W.runs(*(c[order] for c in columns))
-
-
-def _send_tuples(m: Model, cuts: np.ndarray):
+def _send_tuples(m: Model, cuts: np.ndarray, low: int, high: int):
+    """Distinct tuples of the ranges from low to high."""
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _batches_of(batch):
                 b = Batch(m, row)
-                key = b.keys(m)
-                order = np.lexsort((b.next, key))
-                first, last = _distinct([*b.before, b.next], order)
-                if not len(first):
+                columns = [*b.before(m), b.next, b.count, b.doc]
+                key = _keys(m, columns[: m.depth])
+                held = np.searchsorted(cuts, key, side="right")
+                some = np.flatnonzero((held >= low) & (held <= high))
+                if not len(some):
                     continue
-                one, doc = order[first], b.doc[order]
-                learned = np.add.reduceat(b.learns[doc], first)
-                out = []
-                for bucket, i, j in _runs_of(np.searchsorted(cuts, key[one], side="right")):
-                    rows, held = one[i:j], slice(int(first[i]), int(last[j - 1]))
-                    out.append((row["base"], TUPLES, bucket, _squeezed(np.concatenate([*(w[rows] for w in b.before), b.next[rows]])), _squeezed(b.count[rows]), _squeezed(learned[i:j]), _squeezed((last - first)[i:j]), _squeezed(doc[held])))
+                some = some[np.lexsort((b.next[some], key[some]))]
+                *columns, count, doc = (c[some] for c in columns)
+                first, last = W.runs(*columns)
+                columns, count = np.stack(columns)[:, first], count[first]
+                learned, out = np.add.reduceat(b.learns[doc], first), []
+                for bucket, i, j in runs_of(held[some][first]):
+                    out.append((row["base"], TUPLES, bucket, squeezed(columns[:, i:j].ravel()), squeezed(count[i:j]), squeezed(learned[i:j]), squeezed((last - first)[i:j]), squeezed(doc[first[i] : last[j - 1]])))
                 yield _record(out)
 
     return send
@@ -286,20 +270,21 @@ def _send_cut(m: Model, cuts: np.ndarray, buckets: int):
         for batch in batches:
             for row in _batches_of(batch):
                 b, out = Batch(m, row), []
-                key, learns = b.keys(m), b.learns[b.doc] > 0
-                for d in range(1, m.depth):
-                    lead = key >> np.uint64(m.bits * (m.depth - d))
-                    some = np.flatnonzero(_lies_in(blocks[d - 1], lead) & learns & (b.before[d - 1] != m.none))
-                    h = np.zeros(len(some), np.uint64)
+                before = b.before(m)
+                key = _keys(m, before)
+                some = np.flatnonzero(b.learns[b.doc] > 0)
+                for d in range(1, m.depth):  # a longer context lies in a block only if the shorter does
+                    some = some[_lies_in(blocks[d - 1], key[some] >> np.uint64(m.bits * (m.depth - d))) & (before[d - 1][some] != m.none)]
+                    columns, h = [c[some] for c in (*before[:d], b.next)], np.zeros(len(some), np.uint64)
                     with np.errstate(over="ignore"):
-                        for c in (*b.before[:d], b.next):
-                            h = W.mix(h * _MULTIPLIER + c[some].astype(np.uint64) + np.uint64(d))
-                    order = some[np.argsort(h)]
-                    first, last = _distinct([*b.before[:d], b.next], order)
-                    one, bucket = order[first], _bucket(np.sort(h)[first], buckets)
-                    for k, i, j in _runs_of(bucket):
-                        rows = one[i:j]
-                        out.append((row["base"], CUT, k, _squeezed(np.concatenate([*(w[rows] for w in b.before[:d]), b.next[rows]])), _squeezed(b.count[rows]), _squeezed((last - first)[i:j]), _squeezed(np.array([d]))))
+                        for c in columns:
+                            h = W.mix(h * _MULTIPLIER + c.astype(np.uint64) + np.uint64(d))
+                    order = np.argsort(h)
+                    columns = [c[order] for c in columns]
+                    first, last = W.runs(*columns)
+                    columns, count = np.stack(columns)[:, first], b.count[some][order][first]
+                    for k, i, j in runs_of(bucket_of(h[order][first], buckets)):
+                        out.append((row["base"], CUT, k, squeezed(columns[:, i:j].ravel()), squeezed(count[i:j]), squeezed((last - first)[i:j]), squeezed(np.array([d]))))
                 yield _record(out)
 
     return send
@@ -308,14 +293,14 @@ def _send_cut(m: Model, cuts: np.ndarray, buckets: int):
 def _add_cut(m: Model, cuts: np.ndarray):
     def add(table: pa.Table) -> pa.Table:
         """Counts added up, for each range that the contexts reach."""
-        level = np.concatenate(_column(table, "d"))
-        tuples, counts, times, out = _column(table, "a"), _column(table, "b"), _column(table, "c"), []
+        level = np.concatenate(column(table, "d"))
+        tuples, counts, times, out = column(table, "a"), column(table, "b"), column(table, "c"), []
         for d in np.unique(level):
             mine = np.flatnonzero(level == d)
             cols = np.concatenate([tuples[i].reshape(d + 1, -1) for i in mine], axis=1)
             count, n = (np.concatenate([x[i] for i in mine]) for x in (counts, times))
             order = np.lexsort(cols[::-1])
-            first, _ = _distinct(list(cols), order)
+            first, _ = W.runs(*(c[order] for c in cols))
             n, one = np.add.reduceat(n[order], first), order[first]
             before = [*cols[:d, one], *np.full((m.depth - d, len(one)), m.none)]
             shift = np.uint64(m.bits * (m.depth - int(d)))
@@ -324,7 +309,7 @@ def _add_cut(m: Model, cuts: np.ndarray):
             high = np.searchsorted(cuts, ((lead + np.uint64(1)) << shift) - np.uint64(1), side="right")
             for bucket in np.unique(np.concatenate([np.arange(a, z + 1) for a, z in set(zip(low.tolist(), high.tolist()))])):
                 r = np.flatnonzero((low <= bucket) & (bucket <= high))
-                out.append((None, CUT, int(bucket), _squeezed(np.concatenate([*(c[r] for c in before), cols[d][one][r]])), _squeezed(count[one][r]), _squeezed(n[r]), _squeezed(np.array([d]))))
+                out.append((None, CUT, int(bucket), squeezed(np.concatenate([*(c[r] for c in before), cols[d][one][r]])), squeezed(count[one][r]), squeezed(n[r]), squeezed(np.array([d]))))
         return _record(out, pa.Table)
 
     return add
@@ -379,11 +364,11 @@ def _score(m: Model, cuts: np.ndarray):
         if not sent.num_rows:
             return _record([], pa.Table)
         added = table.filter(pa.compute.equal(table.column("kind"), CUT))
-        parts = [np.concatenate([x.reshape(m.depth + 1, -1) for x in (*_column(sent, "a"), *_column(added, "a"))], axis=1)]
-        count, n = (np.concatenate([*_column(sent, c), *_column(added, c)]) for c in "bc")
-        postings, docs = _column(sent, "d"), _column(sent, "e")
+        parts = [np.concatenate([x.reshape(m.depth + 1, -1) for x in (*column(sent, "a"), *column(added, "a"))], axis=1)]
+        count, n = (np.concatenate([*column(sent, c), *column(added, c)]) for c in "bc")
+        postings, docs = column(sent, "d"), column(sent, "e")
         sizes = [len(x) for x in postings]
-        depths = np.repeat(np.concatenate([np.zeros(0, np.int64), *_column(added, "d")]), [len(x) for x in _column(added, "c")])
+        depths = np.repeat(np.concatenate([np.zeros(0, np.int64), *column(added, "d")]), [len(x) for x in column(added, "c")])
         level = np.concatenate([np.zeros(sum(sizes), np.int64), depths])
         *before, following = parts[0]
         steps = np.rint(-STEPS * np.log10(probabilities(m, cuts, before, following, count, n, level))).astype(np.int64)
@@ -394,7 +379,7 @@ def _score(m: Model, cuts: np.ndarray):
             kinds, which = np.unique(doc, return_inverse=True)
             sums = np.zeros(len(kinds), np.int64)
             np.add.at(sums, which, told)
-            out.append((base, SUMS, None, _squeezed(kinds), _squeezed(sums)))
+            out.append((base, SUMS, None, squeezed(kinds), squeezed(sums)))
         return _record(out, pa.Table)
 
     return score
@@ -410,7 +395,7 @@ def _told(m: Model):
                 rare = np.where(b.next == 0, base - np.log10(m.rare), 0.0)
                 known = np.bincount(b.doc, b.count > 0, n).astype(np.int64)
                 sums = np.concatenate([np.bincount(b.doc, x, n) for x in (base, rare)])
-                yield _record([(row["base"], DOCUMENTS, None, row["a"], row["b"], row["c"], row["d"], _squeezed(known), sums.tobytes())])
+                yield _record([(row["base"], DOCUMENTS, None, row["a"], row["b"], row["c"], row["d"], squeezed(known), sums.tobytes())])
 
     return tell
 
@@ -419,31 +404,20 @@ def _joined(m: Model):
     def join(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         given = next(r for r in rows if r["kind"] == DOCUMENTS)
-        words, ids = _loosened(given["a"]), np.frombuffer(given["c"], "<i8")
+        words, ids = loosened(given["a"]), np.frombuffer(given["c"], "<i8")
         base, rare = np.frombuffer(given["f"]).reshape(2, -1)
         steps = np.zeros(len(ids), np.int64)
         for r in rows:
             if r["kind"] == SUMS:
-                steps[_loosened(r["a"])] += _loosened(r["b"])
+                steps[loosened(r["a"])] += loosened(r["b"])
         return pa.table({
-            "id": pa.array(ids, mask=_loosened(given["d"]) > 0), "held_out": pa.array(_loosened(given["b"]) == 0), "n_tokens": pa.array(words + 1), "n_known": pa.array(_loosened(given["e"])),
+            "id": pa.array(ids, mask=loosened(given["d"]) > 0), "held_out": pa.array(loosened(given["b"]) == 0), "n_tokens": pa.array(words + 1), "n_known": pa.array(loosened(given["e"])),
             "train_tokens": pa.array(np.full(len(ids), m.n, np.int64)), "base_score": pa.array(base), "score": pa.array(rare - steps / STEPS),
         })
 
     return join
 
 
-def _written(df: DataFrame, label: str) -> DataFrame:
-    """Materialize df; its shuffle files go with the query."""
-    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = conf.get(key, "false")
-    conf.set(key, "true")
-    try:
-        return materialize(df, label)
-    finally:
-        conf.set(key, before)
-
-
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2, depth: int = DEPTH, least: int = LEAST) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -466,19 +440,18 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.monotonically_increasing_id().alias("nth"), learns.alias("learns"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.col(id_col).cast("long").alias("doc"))
     # Several ranges for each shuffle task, as a range is held whole.
     buckets = 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    coded = _written(rows.mapInArrow(_documents, _COLUMNS), "documents")
+    coded = written(rows.mapInArrow(_documents, _COLUMNS), "documents")
     ends = docs.where(learns).count()
 
     words = coded.mapInArrow(_send_words(buckets), _COLUMNS)
-    answers = _written(words.groupBy("bucket").applyInArrow(_answer_words(least), _COLUMNS), "word-counts")
-    sums, offsets = np.zeros(4, np.int64), np.zeros(buckets, np.int64)
-    for bucket, told in sorted((r.bucket, r.a) for r in answers.where("base is null").select("bucket", "a").collect()):  # a row for each bucket
-        offsets[bucket] = sums[2]
-        sums += _loosened(told)
-    m = Model(int(sums[0]) + ends, int(sums[1]) + (ends > 0), ends, int(sums[2]), int(sums[3]), offsets, least, depth)
+    answers = written(words.groupBy("bucket").applyInArrow(_answer_words(least), _COLUMNS), "word-counts")
+    told = [loosened(r.a) for r in answers.where("base is null").select("a").collect()]  # a row for each bucket
+    n, types, frequent, frequent_n = (sum(int(x[i]) for x in told) for i in range(4))
+    top = buckets * max((int(x[2]) for x in told), default=0)
+    m = Model(n + ends, types + (ends > 0), ends, frequent, frequent_n, buckets, top, least, depth)
     if m.symbols >= 1 << 31:
         raise ValueError("more frequent words than 31 bits number")
-    batches = _written(coded.unionAll(answers.where("base is not null")).groupBy("base").applyInArrow(_numbered(m), _COLUMNS), "numbered")
+    batches = written(coded.unionAll(answers.where("base is not null")).groupBy("base").applyInArrow(_numbered(m), _COLUMNS), "numbered")
     for folder in {f.rsplit("/", 1)[0] for df in (coded, answers) for f in df.inputFiles()}:
         delete_path(spark, folder)
 
@@ -486,8 +459,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = np.sort(batches.mapInArrow(_sample(m, share), "key long").toArrow().column(0).to_numpy()).astype(np.uint64)  # about SAMPLE for each range
     cuts = np.unique(keys[(np.arange(1, buckets) * len(keys)) // buckets]) if len(keys) else keys
     added = batches.mapInArrow(_send_cut(m, cuts, buckets), _COLUMNS).groupBy("bucket").applyInArrow(_add_cut(m, cuts), _COLUMNS)
-    added = _written(added, "cut-contexts")
-    tuples = batches.mapInArrow(_send_tuples(m, cuts), _COLUMNS)
-    scores = _written(tuples.unionAll(added).groupBy("bucket").applyInArrow(_score(m, cuts), _COLUMNS), "scores")
+    added = written(added, "cut-contexts")
+    scores = []
+    for turn in range(ROUNDS):
+        low, high = turn * buckets // ROUNDS, (turn + 1) * buckets // ROUNDS - 1
+        tuples = batches.mapInArrow(_send_tuples(m, cuts, low, high), _COLUMNS).unionAll(added.where(F.col("bucket").between(low, high)))
+        scores.append(written(tuples.groupBy("bucket").applyInArrow(_score(m, cuts), _COLUMNS), "scores"))
     kind = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return batches.mapInArrow(_told(m), _COLUMNS).unionAll(scores).groupBy("base").applyInArrow(_joined(m), kind)
+    return reduce(DataFrame.unionAll, scores, batches.mapInArrow(_told(m), _COLUMNS)).groupBy("base").applyInArrow(_joined(m), kind)

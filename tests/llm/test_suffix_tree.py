@@ -116,7 +116,7 @@ def test_probabilities_sum_to_one():
     from tessera.llm import suffix_tree as T
 
     rng = np.random.default_rng(5)
-    m = T.Model(400, 6, 40, 4, 300, np.zeros(1, np.int64), 2, 3)
+    m = T.Model(400, 6, 40, 4, 300, 1, 4, 2, 3)
     counts = np.array([0, 90, 80, 70, 60, 40])
     some = rng.integers(1, 5, (4, 300))
     some[1, ::2] = some[0, ::2]
