@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from . import words as W
 from .shared import materialize
@@ -63,12 +65,19 @@ def record(schema: pa.Schema, rows: list[tuple], of=pa.RecordBatch):
     return of.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(schema), schema.types)], schema=schema)
 
 
+@contextlib.contextmanager
+def tidy(spark: SparkSession):
+    """Shuffle files of the queries that run inside go with each query."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Materialize df; its shuffle files go with the query."""
-    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = conf.get(key, "false")
-    conf.set(key, "true")
-    try:
+    with tidy(df.sparkSession):
         return materialize(df, label)
-    finally:
-        conf.set(key, before)

@@ -87,15 +87,61 @@ def test_substring_dedup(spark):
 
 def test_fingerprint_index_compacts(spark):
     rows = [r for r in hard_rows() if r[0] is not None]
-    docs = substring_dedup.keyed(table(spark, rows), "doc_id", "text")
-    index = substring_dedup.FingerprintIndex(spark, fan_in=2)
-    spans = []
-    for low, high in ((0, 31), (31, 62), (62, 93), (93, 1000)):
-        spans.append(index.ingest(docs.where(f"doc >= {low} and doc < {high}"), docs.where(f"doc < {low}")))
-    assert [level for level, _ in index.runs] == [2]  # four runs of level 0 became one of level 2
-    whole = spans[0].unionAll(spans[1]).unionAll(spans[2]).unionAll(spans[3])
-    got = substring_dedup.cut_spans(docs, whole).collect()
-    assert key((r.doc, r.n_words, r.n_removed, r.kept_sha256) for r in got) == key(brute.substring_dedup(rows))
+    docs = table(spark, rows, clash=False).selectExpr("doc_id as doc", "coalesce(text, '') as t")
+    for fan_in, levels in ((2, [2]), (3, [0, 1]), (9, [0, 0, 0, 0])):
+        index, got = substring_dedup.FingerprintIndex(spark, fan_in=fan_in), []
+        for low, high in ((0, 31), (31, 62), (62, 93), (93, 1000)):
+            got += index.ingest(docs.where(f"doc >= {low} and doc < {high}")).collect()
+        assert sorted(level for level, _ in index.runs) == levels  # four runs of level 0 became one of level 2
+        assert key((r.doc, r.n_words, r.n_removed, r.kept_sha256) for r in got) == key(brute.substring_dedup(rows))
+
+
+def test_runs_are_joined_in_place(spark):
+    """No run is exchanged or sorted when a batch comes or runs are compacted."""
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(80)))], "doc long, t string")
+    index = substring_dedup.FingerprintIndex(spark, fan_in=9)
+    index.ingest(docs)
+    run = index._of(index.runs[0][1], substring_dedup.RUN)
+    sent = docs.mapInArrow(substring_dedup._segments(1), substring_dedup._COLUMNS).mapInArrow(substring_dedup._send(50, index.buckets), substring_dedup._COLUMNS)
+    joined = sent.groupBy("bucket").cogroup(run.groupBy("bucket")).applyInArrow(substring_dedup._answer(True), substring_dedup._COLUMNS)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+    both = run.groupBy("bucket").cogroup(run.groupBy("bucket")).applyInArrow(substring_dedup._merge(1), substring_dedup._COLUMNS)
+    assert "Exchange" not in both._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_are_compared_before_they_go(spark, monkeypatch):
+    """Windows with one hash and other words stay whole."""
+    from tessera.llm import words as W
+
+    tm = [0]
+    for _ in range(10):
+        tm += [1 - x for x in tm]
+    long = ["".join("ab"[x ^ y] for x in tm[:1024]) for y in (0, 1)]  # alike for any polynomial modulo 2^64
+    rows = [(i, " ".join([f"w{j}" for j in range(49)] + [long[i]])) for i in range(2)]
+    assert [r.n_removed for r in deduplicate_substrings(table(spark, rows)).collect()] == [0, 0]
+    # With a hash that takes all words for equal, segments ask for what is not there; _cut compares.
+    s = substring_dedup.Segment(next(iter(_segment([rows[0]]))))
+    monkeypatch.setattr(W, "grams", lambda h, k: W.np.ones(max(0, len(h) - k + 1), W.U64))
+    s.windows(50)
+    assert len(s.hash) == 1
+    first, second = (next(iter(_segment([r], n))) for n, r in enumerate(rows))
+    asked = substring_dedup.record(substring_dedup._SCHEMA, [(0, substring_dedup.REQUEST, None, None, 1 << 48, substring_dedup.squeezed(W.np.array([0])), substring_dedup.squeezed(W.np.array([1])), substring_dedup.squeezed(W.np.array([0])))], pa.Table)
+    told = substring_dedup._reply(50)(pa.concat_tables([pa.Table.from_pylist([first], substring_dedup._SCHEMA), asked]))
+    assert substring_dedup._cut(50)(pa.concat_tables([pa.Table.from_pylist([second], substring_dedup._SCHEMA), told])).column("n_removed").to_pylist() == [0]
+    own = pa.Table.from_pylist([{**told.to_pylist()[0], "seg": 0}], substring_dedup._SCHEMA)
+    assert substring_dedup._cut(50)(pa.concat_tables([pa.Table.from_pylist([first], substring_dedup._SCHEMA), own])).column("n_removed").to_pylist() == [50]
+
+
+def _segment(rows, number=0):
+    import zstandard
+
+    from tessera.llm.packed import squeezed
+    import numpy as np
+
+    for i, t in rows:
+        raw = t.encode()
+        yield {"seg": number << 48, "kind": substring_dedup.SEGMENT, "bucket": None, "level": None, "other": None, "a": np.array([i], "<i8").tobytes(), "b": squeezed(np.array([len(raw)])), "c": zstandard.ZstdCompressor().compress(raw), "d": None}
 
 
 def test_decontamination(spark):
