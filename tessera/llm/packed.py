@@ -20,14 +20,14 @@ def squeezed(x: np.ndarray) -> bytes:
     return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
-def loosened(raw: bytes) -> np.ndarray:
+def loosened(raw: bytes, kind=np.int64) -> np.ndarray:
     width = raw[0]
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), np.uint8).reshape(width, -1)
-    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.int64)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(kind)
 
 
-def column(table: pa.Table, name: str) -> list[np.ndarray]:
-    return [loosened(x) for x in table.column(name).to_pylist()]
+def column(table: pa.Table, name: str, kind=np.int64) -> list[np.ndarray]:
+    return [loosened(x, kind) for x in table.column(name).to_pylist()]
 
 
 def ascending(x: np.ndarray) -> bytes:

@@ -36,6 +36,8 @@ from . import words as W
 from .packed import ascended, ascending, bucket_of, chosen, column, loosened, record, runs_of, squeezed, taken, tidy, written
 from .shared import delete_path, fresh_path, lean_batches, slices, small_table
 
+#: Text bytes of a segment, or one text.
+SEGMENT_BYTES = 4 << 20
 #: Requests of one segment that a task answers at most, about.
 REQUESTS = 2000
 
@@ -55,7 +57,7 @@ def _segments(number: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seg = (number << 48) + (TaskContext.get().partitionId() << 20)
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, SEGMENT_BYTES):
                 offsets, data = W.text_buffer(part.column(1))
                 ids = part.column(0).to_numpy().astype("<i8")
                 yield record(_SCHEMA, [(seg, SEGMENT, None, None, None, ids.tobytes(), squeezed(offsets[1:]), zstandard.ZstdCompressor(level=1).compress(data.tobytes()))])
@@ -78,18 +80,14 @@ class Segment:
         inside = W.within(self.words.row, window)
         self.at = np.flatnonzero(inside)
         h, doc = W.grams(self.words.hash, window)[self.at], self.ids[self.words.row[self.at]]
-        order = np.argsort(h, kind="stable")
-        first, last = W.runs(h[order])
+        order, first, self.which = W.grouped(h)
         self.hash = h[order][first]
-        self.which = np.empty(len(h), np.int64)
-        self.which[order] = np.repeat(np.arange(len(first)), last - first)
         if not len(first):
             self.id = self.place = np.zeros(0, np.int64)
             return
         self.id = np.minimum.reduceat(doc[order], first)
-        least = doc[order] == np.repeat(self.id, last - first)
-        # The first place in each run whose document has the least id.
-        self.place = self.at[order][np.minimum.reduceat(np.where(least, np.arange(len(order)), len(order)), first)]
+        least = doc == self.id[self.which]
+        self.place = np.minimum.reduceat(np.where(least, self.at, len(self.words.row))[order], first)
 
     def spaced(self) -> tuple[np.ndarray, np.ndarray]:
         """All words, one space behind each, and where each begins."""
@@ -146,7 +144,7 @@ def _run_of(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not rows:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     h, seg, place = (np.concatenate(x) for x in zip(*((ascended(r["a"]), taken(r["b"], r["c"]), loosened(r["d"])) for r in rows)))
-    order = np.argsort(h, kind="stable") if len(rows) > 1 else slice(None)
+    order = np.argsort(h) if len(rows) > 1 else slice(None)
     return h[order], seg[order], place[order]
 
 
@@ -173,13 +171,19 @@ def _answer(new_run: bool):
             ids = np.concatenate([loosened(r["b"]) + r["other"] for r in rows])
             where = np.concatenate([loosened(r["c"]) for r in rows])
             segs = np.array([r["seg"] for r in rows])
-            order = fresh[np.lexsort((segs[of[fresh]], ids[fresh], h[fresh]))]
-            first, last = W.runs(h[order])
-            one = order[first]
-            owner = np.empty(len(h), np.int64)
-            owner[order] = np.repeat(one, last - first)
-            later = order[ids[owner[order]] < ids[order]]
-            seg[later], place[later] = segs[of[owner[later]]], where[owner[later]]
+            order, first, which = W.grouped(h[fresh])
+            one = np.zeros(0, np.int64)
+            if len(first):
+                # The least id has a window, of equal ones the least segment; a segment sends a window once.
+                rank = np.argsort(np.argsort(segs))[of[fresh]]
+                least = ids[fresh] == np.minimum.reduceat(ids[fresh][order], first)[which]
+                rank[~least] = len(rows)
+                owns = rank == np.minimum.reduceat(rank[order], first)[which]
+                one = np.empty(len(first), np.int64)
+                one[which[owns]] = fresh[owns]
+                owner = one[which]
+                later = ids[owner] < ids[fresh]
+                seg[fresh[later]], place[fresh[later]] = segs[of[owner[later]]], where[owner[later]]
             out.append((None, RUN, bucket, 0, None, ascending(h[one]), *chosen(segs[of[one]]), squeezed(where[one])))
         for i, j, r in zip(np.cumsum(sizes) - sizes, np.cumsum(sizes), rows):
             hit = np.flatnonzero(seg[i:j] >= 0)

@@ -48,6 +48,10 @@ DEPTH = 5
 SMOOTHING = 8.0
 #: Steps of a decimal logarithm: sums of whole steps don't depend on their order.
 STEPS = 1e10
+#: Text bytes of a batch, or one text.
+BATCH_BYTES = 4 << 20
+#: Ranges for each shuffle task, as a range is held whole.
+RANGES = 8
 #: Keys of the sample for each range.
 SAMPLE = 200
 #: Parts of the ranges that are scored one after another, so that the tuples of one are on disk at a time.
@@ -57,6 +61,8 @@ ROUNDS = 2
 _COLUMNS = "base long, kind int, bucket int, a binary, b binary, c binary, d binary, e binary, f binary"
 _SCHEMA = pa.schema([("base", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), *((n, pa.binary()) for n in "abcdef")])
 DOCUMENTS, WORDS, TUPLES, CUT, SUMS = range(5)
+#: Low bits of the order, which no cut has: equal tuples are brought together by a hash there.
+_TIE = np.uint64((1 << 12) - 1)
 _MULTIPLIER = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -67,7 +73,7 @@ def _record(rows: list[tuple], of=pa.RecordBatch):
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches of documents: words and learning by row, ids, which ids are null, the batch's sorted distinct hashes, and words by number in these."""
     for batch in batches:
-        for piece in slices(batch, 2):
+        for piece in slices(batch, 2, BATCH_BYTES):
             words = W.tokenize(piece.column(2), W.SPACED_LOWER)
             kinds, number = np.unique(words.hash, return_inverse=True)
             learns = np.asarray(piece.column(1).to_numpy(zero_copy_only=False), np.uint8)
@@ -241,7 +247,9 @@ def _send_tuples(m: Model, cuts: np.ndarray, low: int, high: int):
                 some = np.flatnonzero((held >= low) & (held <= high))
                 if not len(some):
                     continue
-                some = some[np.lexsort((b.next[some], key[some]))]
+                with np.errstate(over="ignore"):
+                    tie = W.mix(key[some] * _MULTIPLIER + b.next[some].astype(np.uint64)) & _TIE
+                some = some[np.argsort((key[some] & ~_TIE) | tie)]
                 *columns, count, doc = (c[some] for c in columns)
                 first, last = W.runs(*columns)
                 columns, count = np.stack(columns)[:, first], count[first]
@@ -333,15 +341,16 @@ def probabilities(m: Model, cuts: np.ndarray, before: list[np.ndarray], followin
         if d < m.depth:
             whole &= ~_lies_in(blocks[d - 1], key[live] >> np.uint64(m.bits * (m.depth - d)))
         weight = np.where(whole | (level[live] == d), n[live], 0)
-        kinds, of = np.unique(ids[live] * m.symbols + w[live], return_inverse=True)
-        total = np.bincount(of, weight, len(kinds))
+        _, first, of = W.grouped(ids[live] * m.symbols + w[live])
+        total = np.bincount(of, weight, len(first))
         enough = total[of] >= m.floor  # a longer context is not more frequent
         live, of, weight = live[enough], of[enough], weight[enough]
         if not len(live):
             break
         ids[live] = of
-        pairs, at, which = np.unique(of * m.symbols + following[live], return_index=True, return_inverse=True)
-        times, state = np.bincount(which, weight, len(pairs)), of[at]
+        order, first, which = W.grouped(of * m.symbols + following[live])
+        at = order[first]  # all tuples of a pair have the same probability so far
+        times, state = np.bincount(which, weight, len(first)), of[at]
         keep = diverging(state, times, p[live][at], total)
         used = keep[of]
         i = live[used]
@@ -364,13 +373,12 @@ def _score(m: Model, cuts: np.ndarray):
         if not sent.num_rows:
             return _record([], pa.Table)
         added = table.filter(pa.compute.equal(table.column("kind"), CUT))
-        parts = [np.concatenate([x.reshape(m.depth + 1, -1) for x in (*column(sent, "a"), *column(added, "a"))], axis=1)]
+        *before, following = np.concatenate([x.reshape(m.depth + 1, -1) for x in (*column(sent, "a", np.int32), *column(added, "a", np.int32))], axis=1)
         count, n = (np.concatenate([*column(sent, c), *column(added, c)]) for c in "bc")
         postings, docs = column(sent, "d"), column(sent, "e")
         sizes = [len(x) for x in postings]
         depths = np.repeat(np.concatenate([np.zeros(0, np.int64), *column(added, "d")]), [len(x) for x in column(added, "c")])
         level = np.concatenate([np.zeros(sum(sizes), np.int64), depths])
-        *before, following = parts[0]
         steps = np.rint(-STEPS * np.log10(probabilities(m, cuts, before, following, count, n, level))).astype(np.int64)
         out, at = [], 0
         for base, times, doc in zip(sent.column("base").to_pylist(), postings, docs):
@@ -438,8 +446,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fold = F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds))
     learns = F.coalesce(fold, F.lit(-1)) != held
     rows = docs.select(F.monotonically_increasing_id().alias("nth"), learns.alias("learns"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.col(id_col).cast("long").alias("doc"))
-    # Several ranges for each shuffle task, as a range is held whole.
-    buckets = 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
     coded = written(rows.mapInArrow(_documents, _COLUMNS), "documents")
     ends = docs.where(learns).count()
 
@@ -457,7 +464,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     share = min(1.0, SAMPLE * buckets / max(1, m.n))
     keys = np.sort(batches.mapInArrow(_sample(m, share), "key long").toArrow().column(0).to_numpy()).astype(np.uint64)  # about SAMPLE for each range
-    cuts = np.unique(keys[(np.arange(1, buckets) * len(keys)) // buckets]) if len(keys) else keys
+    cuts = np.unique(keys[(np.arange(1, buckets) * len(keys)) // buckets] & ~_TIE) if len(keys) else keys
     added = batches.mapInArrow(_send_cut(m, cuts, buckets), _COLUMNS).groupBy("bucket").applyInArrow(_add_cut(m, cuts), _COLUMNS)
     added = written(added, "cut-contexts")
     scores = []
