@@ -230,7 +230,7 @@ def _sample(m: Model, share: float):
                 with np.errstate(over="ignore"):
                     draw = W.mix(np.arange(len(b.next), dtype=np.uint64) * _MULTIPLIER + np.uint64(row["base"] & 0xFFFFFFFFFFFF)) >> np.uint64(11)
                 key = _keys(m, b.before(m, np.flatnonzero(draw < share * 2.0**53)))
-                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64))], names=["key"])
+                yield pa.RecordBatch.from_arrays([pa.array([key.tobytes()])], names=["keys"])
 
     return sample
 
@@ -463,7 +463,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         delete_path(spark, folder)
 
     share = min(1.0, SAMPLE * buckets / max(1, m.n))
-    keys = np.sort(batches.mapInArrow(_sample(m, share), "key long").toArrow().column(0).to_numpy()).astype(np.uint64)  # about SAMPLE for each range
+    sampled = batches.mapInArrow(_sample(m, share), "keys binary").toArrow().column(0).to_pylist()  # about SAMPLE keys for each range
+    keys = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in sampled)]))
     cuts = np.unique(keys[(np.arange(1, buckets) * len(keys)) // buckets] & ~_TIE) if len(keys) else keys
     added = batches.mapInArrow(_send_cut(m, cuts, buckets), _COLUMNS).groupBy("bucket").applyInArrow(_add_cut(m, cuts), _COLUMNS)
     added = written(added, "cut-contexts")
