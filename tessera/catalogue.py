@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import oracles
 from .functions import bounds, exact
 from .functions.staged import matching, nested_sql
-from .functions.vectors import AXES, add, affine, cross, determinant, dot, named, scale, sub, vec
+from .functions.vectors import AXES, Vec, add, affine, cross, determinant, dot, named, scale, sub, vec
 from .operators import bake, composite, index, nearest, pairs, rays, regions, scene
 from .operators.regions import BOX
 from .plans import strategy as plan
@@ -183,7 +184,7 @@ def obb_contains_points(spark, d):
     return regions.points_in_boxes(fx.query_points(spark, d).withColumnRenamed("query_id", "point_id"), b)
 
 
-@query("obb_triangle")
+@query("obb_triangle", oracles.box_triangles(fx.BOXES, oracles.moved(fx.TRIANGLES, [float(x) for x in _TURN])))
 def obb_triangle(spark, d):
     b = fx.boxes(spark, d).withColumn("inverse", F.array(*(F.lit(float(x)) for x in _TURN)))
     return regions.oriented_box_hits(b, fx.triangles(spark, d))
@@ -267,32 +268,45 @@ def sphere_pair_join(spark, d):
     return pairs.sphere_pairs(fx.spheres(spark, d))
 
 
-@query("tri_tri_pairs")
+def _lengths(found: DataFrame) -> DataFrame:
+    gap = " + ".join(f"(e{c} - s{c}) * (e{c} - s{c})" for c in AXES)
+    return found.select("a_id", "b_id", F.round(F.expr(f"sqrt({gap})"), 6).alias("length"))
+
+
+@query("tri_tri_pairs", oracles.meeting(oracles.box_near(fx.TRIANGLES, fx.TRIANGLES, extra="a_id < b_id")))
 def tri_tri_pairs(spark, d):
-    return pairs.triangle_pairs(fx.triangles(spark, d))
+    return _lengths(pairs.triangle_pairs(fx.triangles(spark, d)))
+
+
+_PLACED = [0.8, 0.6, 0.0, 0.0, -0.6, 0.8, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.05, 0.02, -0.03, 1.0]
+_SECOND = oracles.moved(fx.TRIANGLES, _PLACED)
 
 
 def _second(spark, d):
-    return pairs.transformed(fx.triangles(spark, d), [0.8, 0.6, 0.0, 0.0, -0.6, 0.8, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.05, 0.02, -0.03, 1.0])
+    return pairs.transformed(fx.triangles(spark, d), _PLACED)
 
 
-@query("intersection_segments")
+@query("intersection_segments", oracles.meeting(oracles.box_near(fx.TRIANGLES, _SECOND)))
 def intersection_segments(spark, d):
-    return pairs.triangle_pairs(fx.triangles(spark, d), _second(spark, d))
+    return _lengths(pairs.triangle_pairs(fx.triangles(spark, d), _second(spark, d)))
 
 
-@query("tri_tri_distance")
+@query("tri_tri_distance", f"select a_id, b_id, round(distance, 6) as distance from ({oracles.distances(oracles.box_near(fx.TRIANGLES, _SECOND, '1e-2'))}) as x where distance <= 1e-2")
 def tri_tri_distance(spark, d):
-    return pairs.triangle_distances(fx.triangles(spark, d), _second(spark, d), 0.01)
+    found = pairs.triangle_distances(fx.triangles(spark, d), _second(spark, d), 0.01)
+    return found.select("a_id", "b_id", F.round("distance", 6).alias("distance"))
 
 
-@query("closest_geometry")
+_ASIDE = [1.0, 0, 0, 0, 0, 1.0, 0, 0, 0, 0, 1.0, 0, 5.0, 0, 0, 1.0]
+
+
+@query("closest_geometry", oracles.closest(fx.TRIANGLES, oracles.moved(fx.TRIANGLES, _ASIDE)))
 def closest_geometry(spark, d):
-    far = fx.triangles(spark, d).withColumns({f"{p}x": F.col(f"{p}x") + 5.0 for p in ("a", "vb", "c")})
-    return pairs.closest_geometry(fx.triangles(spark, d), far)
+    t = fx.triangles(spark, d)
+    return pairs.closest_geometry(t, pairs.transformed(t, _ASIDE)).select("a_id", "b_id", F.round("distance", 6).alias("distance"))
 
 
-@query("intersects_geometry")
+@query("intersects_geometry", f"select count(*) > 0 as intersects from ({oracles.crossings(oracles.box_near(fx.TRIANGLES, _SECOND))}) as x")
 def intersects_geometry(spark, d):
     hit = pairs.intersects_geometry(fx.triangles(spark, d), _second(spark, d))
     return spark.range(1).select(F.lit(hit).alias("intersects"))
@@ -367,24 +381,38 @@ def mirror_winding(spark, d):
     return bake.invert_winding(fx.triangles(spark, d))
 
 
-@query("scene_raycast_all")
+_WORLD = "select object_id, instance_id, tri_id, " + ", ".join(f"w{p}{c} as {p}{c}" for p in ("a", "vb", "c") for c in AXES) + f" from ({_BAKE_INNER}) as x where visible"
+_SCENE_HITS = oracles.ray_hits(fx.RAYS, _WORLD, ", object_id, instance_id")
+_PLACE = "ray_id, object_id, instance_id, tri_id"
+
+
+def _scene_hits(spark, d, first: str | None) -> DataFrame:
+    hits = scene.raycast_scene(fx.rays(spark, d), _instances(spark), _geometry_tris(spark, d), first=first)
+    return hits.select(*_PLACE.split(", "), F.round("distance", 6).alias("distance"))
+
+
+@query("scene_raycast_all", f"select {_PLACE}, round(distance, 6) as distance from ({_SCENE_HITS}) as x")
 def scene_raycast_all(spark, d):
-    return scene.raycast_scene(fx.rays(spark, d), _instances(spark), _geometry_tris(spark, d))
+    return _scene_hits(spark, d, None)
 
 
-@query("scene_raycast_first")
+@query("scene_raycast_first", oracles.first(_SCENE_HITS, "ray_id", _PLACE))
 def scene_raycast_first(spark, d):
-    return scene.raycast_scene(fx.rays(spark, d), _instances(spark), _geometry_tris(spark, d), first="scene")
+    return _scene_hits(spark, d, "scene")
 
 
-@query("batched_raycast_first")
+@query("batched_raycast_first", oracles.first(_SCENE_HITS, "ray_id, object_id, instance_id", _PLACE))
 def batched_raycast_first(spark, d):
-    return scene.raycast_scene(fx.rays(spark, d), _instances(spark), _geometry_tris(spark, d), first="instance")
+    return _scene_hits(spark, d, "instance")
 
 
-@query("object_raycast")
+_OBJECT = [0.8, 0.6, 0, 0, -0.6, 0.8, 0, 0, 0, 0, 1, 0, 0.1, 0, 0, 1]
+
+
+@query("object_raycast", oracles.first(oracles.ray_hits(fx.RAYS, oracles.moved(fx.TRIANGLES, _OBJECT)), "ray_id", "ray_id, tri_id"))
 def object_raycast(spark, d):
-    return scene.raycast_object(fx.rays(spark, d), fx.triangles(spark, d), [0.8, 0.6, 0, 0, -0.6, 0.8, 0, 0, 0, 0, 1, 0, 0.1, 0, 0, 1], first=True)
+    hits = scene.raycast_object(fx.rays(spark, d), fx.triangles(spark, d), _OBJECT, first=True)
+    return hits.select("ray_id", "tri_id", F.round("distance", 6).alias("distance"))
 
 
 @query("scene_collect", "with recursive tree as (select cast(n_nationkey as bigint) as id, cast(n_nationkey / 3 as bigint) - 1 as parent_id, case n_regionkey when 0 then 'mesh' when 1 then 'line' else 'group' end as kind from nation), down as (select cast(0 as bigint) as id union select t.id from tree t join down d on t.parent_id = d.id) select distinct t.id from tree t join down d on t.id = d.id where kind in ('mesh', 'line')".replace("n_nationkey / 3", "n_nationkey // 3"))
@@ -498,9 +526,43 @@ def index_coverage(spark, d):
     return nodes.where("parent_id < 0").select("root_id", F.col("count").alias("primitives"), *BOX)
 
 
-@query("tree_extremes")
+_ROOTED = f"select cast(box_id % 4 as int) as root_id, * from ({fx.AABBS}) as b"
+_AREA = bounds.surface_area()
+
+
+@query("build_leaves", oracles.tree(_ROOTED, "select n.root_id, n.node_id, n.depth, m.box_id from node as n join member as m on n.root_id = m.root_id and n.path = m.path where n.is_leaf"))
+def build_leaves(spark, d):
+    """The leaf of every box."""
+    nodes, order, _ = _index(spark, d)
+    leaf = nodes.where("is_leaf").select("root_id", "node_id", "depth", F.explode(F.sequence("offset", F.col("offset") + F.col("count") - 1)).alias("slot"))
+    return leaf.join(order, ["root_id", "slot"]).select("root_id", "node_id", "depth", "box_id")
+
+
+@query("build_nodes", oracles.tree(_ROOTED, f"select root_id, node_id, depth, is_leaf, count, {', '.join(BOX)} from node"))
+def build_nodes(spark, d):
+    return _index(spark, d)[0].select("root_id", "node_id", "depth", "is_leaf", "count", *BOX)
+
+
+_EXTREMES = (
+    "select root_id, count(*) as node_count, count(case when is_leaf then 1 end) as leaf_count, min(case when is_leaf then depth end) as min_depth, max(case when is_leaf then depth end) as max_depth, "
+    "min(case when is_leaf then count end) as min_primitives, max(case when is_leaf then count end) as max_primitives, "
+    f"round(sum({_AREA} * case when is_leaf then 125e-2 * count else 1e0 end), 6) as area_score from node group by root_id"
+)
+
+
+@query("tree_extremes", oracles.tree(_ROOTED, _EXTREMES))
 def tree_extremes(spark, d):
-    return index.tree_extremes(_index(spark, d, "sah")[0])
+    found = index.tree_extremes(_index(spark, d)[0]).withColumn("area_score", F.round("area_score", 6))
+    return found.drop(*(f"splits_{c}" for c in AXES))
+
+
+@query("tree_extremes_sah", f"select cast(box_id % 4 as int) as root_id, count(*) as primitives, true as cheaper, true as small_leaves from ({fx.AABBS}) as b group by 1")
+def tree_extremes_sah(spark, d):
+    """Hierarchies by the surface-area heuristic: all boxes lie in leaves, and the area score is below that of centre splits."""
+    sah, center = (index.tree_extremes(_index(spark, d, s)[0]).select("root_id", F.col("area_score").alias(f"{s}_score"), F.col("max_primitives").alias(f"{s}_most")) for s in ("sah", "center"))
+    leaves = _index(spark, d, "sah")[0].where("is_leaf").groupBy("root_id").agg(F.sum("count").alias("primitives"))
+    both = leaves.join(sah, "root_id").join(center, "root_id")
+    return both.select("root_id", "primitives", (F.col("sah_score") < F.col("center_score")).alias("cheaper"), (F.col("sah_most") <= 10).alias("small_leaves"))
 
 
 @query("validate_bounds", f"select cast(box_id % 4 as int) as root_id, count(*) as primitives, cast(0 as bigint) as bad_nodes, cast(0 as bigint) as bad_primitives from ({fx.AABBS}) as b group by 1")
@@ -508,14 +570,18 @@ def validate_bounds(spark, d):
     return index.validate_bounds(*_index(spark, d, "average"))
 
 
-_MOVED = ", ".join(f"{f}({f}{c} + case when box_id % 2 = 0 then 5e-1 else 0e0 end) as {f}{c}" for f in ("min", "max") for c in AXES)
+def _refitted(when: str, by: str) -> str:
+    """Bounds of all nodes after some boxes moved, by the members of each."""
+    moved = ", ".join(f"{f}({f}{c} + case when {when} then {by} else 0e0 end) as {f}{c}" for f in ("min", "max") for c in AXES)
+    held = f"select root_id, path, {moved} from placed group by root_id, path"
+    return oracles.tree(_ROOTED, f"select n.root_id, n.node_id, {', '.join(f'h.{x}' for x in BOX)} from node as n join ({held}) as h on n.root_id = h.root_id and n.path = h.path")
 
 
-@query("refit_bounds", f"select cast(box_id % 4 as int) as root_id, {_MOVED} from ({fx.AABBS}) as b group by 1")
+@query("refit_bounds", _refitted("box_id % 2 = 0", "5e-1"))
 def refit_bounds(spark, d):
     nodes, order, b = _index(spark, d)
     moved = b.withColumns({x: F.expr(f"{x} + case when box_id % 2 = 0 then 5e-1 else 0e0 end") for x in BOX})
-    return index.refit(nodes, order, moved).where("parent_id < 0").select("root_id", *BOX)
+    return index.refit(nodes, order, moved).select("root_id", "node_id", *BOX)
 
 
 @query("shift_offsets", f"select cast(box_id % 4 as int) as root_id, box_id + 1000 as box_id from ({fx.AABBS}) as b")
@@ -523,14 +589,18 @@ def shift_offsets(spark, d):
     return index.shift_offsets(_index(spark, d)[1], 1000).select("root_id", "box_id")
 
 
-@query("cluster_cut", f"select cast(box_id % 4 as int) as root_id, count(*) as primitives from ({fx.AABBS}) as b group by 1")
+_CUT = f"select root_id, node_id, count, {', '.join(BOX)} from node as n where (count < 64 or is_leaf) and not exists (select 1 from node as p where p.root_id = n.root_id and p.path <> n.path and starts_with(n.path, p.path) and p.count < 64)"
+
+
+@query("cluster_cut", oracles.tree(_ROOTED, _CUT))
 def cluster_cut(spark, d):
-    """Clusters partition the primitives of their root."""
-    cut = index.cluster_cut(_index(spark, d)[0], 64)
-    return cut.groupBy("root_id").agg(F.sum("count").alias("primitives"))
+    return index.cluster_cut(_index(spark, d)[0], 64).select("root_id", "node_id", "count", *BOX)
+
+
+_SHOWN = ", ".join(f"case when (corner >> {i}) & 1 = 1 then max{c} else min{c} end as {c}" for i, c in enumerate(AXES))
 
 
-@query("tree_wireframe")
+@query("tree_wireframe", oracles.tree(_ROOTED, f"select root_id, node_id, cast(corner as int) as corner, {_SHOWN} from node, (select unnest(range(8)) as corner) as k where depth = 3 or is_leaf and depth < 3"))
 def tree_wireframe(spark, d):
     return index.wireframe(_index(spark, d)[0], 3)
 
@@ -598,24 +668,57 @@ def convex_hull(spark, d):
     return composite.convex_hulls(e, "event_type")
 
 
-@query("plane_section_edges")
+_HEIGHT = {p: f"(p{p}x * 1e0 + p{p}y * 5e-1 + p{p}z * -25e-2 + 1e-2)" for p in "pq"}
+_SIDES_OF = ", ".join("{'k': " + str(i) + ", " + ", ".join(f"'pp{c}': {('a', 'vb', 'c')[i]}{c}, 'pq{c}': {('a', 'vb', 'c')[(i + 1) % 3]}{c}" for c in AXES) + "}" for i in range(3))
+_CUTS = f"select tri_id, k, " + ", ".join(f"pp{c} + (pq{c} - pp{c}) * (hp / (hp - hq)) as {c}" for c in AXES) + f" from (select *, {_HEIGHT['p']} as hp, {_HEIGHT['q']} as hq from (select tri_id, unnest([{_SIDES_OF}], recursive := true) from ({fx.TRIANGLES}) as t) as e) as h where (hp <= 0e0) <> (hq <= 0e0)"
+_ENDS = ", ".join(f"round(arg_{f}({c}, k), 6) as {c}{i}" for i, f in enumerate(("min", "max")) for c in AXES)
+
+
+@query("plane_section_edges", f"select tri_id, {_ENDS} from ({_CUTS}) as c group by tri_id having count(*) = 2")
 def plane_section_edges(spark, d):
-    return composite.plane_section(fx.triangles(spark, d), (1.0, 0.5, -0.25), 0.01)
+    cut = composite.plane_section(fx.triangles(spark, d), (1.0, 0.5, -0.25), 0.01)
+    return cut.select("tri_id", *(F.round(f"{c}{i}", 6).alias(f"{c}{i}") for i in (0, 1) for c in AXES))
+
+
+_KEYS = {p: "concat_ws('_', " + ", ".join(f"cast(cast(round({p}{c} * 1e4) as bigint) as varchar)" for c in AXES) + ")" for p in ("a", "vb", "c")}
+_FACED = f"select tri_id, nx / nn as nx, ny / nn as ny, nz / nn as nz, unnest([{{'p': ka, 'q': kb}}, {{'p': kb, 'q': kc}}, {{'p': kc, 'q': ka}}], recursive := true) from (select *, sqrt{dot(vec('n'), vec('n'))} as nn from (select tri_id, {_KEYS['a']} as ka, {_KEYS['vb']} as kb, {_KEYS['c']} as kc, {', '.join(f'{e} as n{c}' for c, e in zip(AXES, cross(sub(vec('vb'), vec('a')), sub(vec('c'), vec('a')))))} from ({fx.TRIANGLES}) as t) as m) as l where nn > 0e0"
+_SHARED = " + ".join(f"arg_min(n{c}, tri_id) * arg_max(n{c}, tri_id)" for c in AXES)
 
 
-@query("feature_edges")
+@query("feature_edges", f"select least(p, q) as lo, greatest(p, q) as hi, count(*) as faces from ({_FACED}) as f where p <> q group by 1, 2 having count(*) <> 2 or {_SHARED} <= 9998e-4")
 def feature_edges(spark, d):
     return composite.feature_edges(fx.triangles(spark, d))
 
 
-@query("voxel_grid")
+def _cells(n: int) -> str:
+    edges = ", ".join(f"wmin{c} + (wmax{c} - wmin{c}) * ((i{c} + {int(k == 'max')}) / {n}e0) as {k}{c}" for k in ("min", "max") for c in AXES)
+    whole = ", ".join(f"{f}({g}(a{c}, vb{c}, c{c})) as w{f}{c}" for f, g in (("min", "least"), ("max", "greatest")) for c in AXES)
+    return f"select cell as box_id, cell, ix, iy, iz, {edges} from (select i as cell, i // {n * n} as ix, i // {n} % {n} as iy, i % {n} as iz from (select unnest(range({n**3})) as i) as r) as k, (select {whole} from ({fx.TRIANGLES}) as t) as w"
+
+
+def _inside_cells(n: int) -> str:
+    """Cells whose centre's +x ray first meets a back face."""
+    rays_ = "select cell as ray_id, " + ", ".join(f"(min{c} + max{c}) / 2e0 as o{c}" for c in AXES) + f", 1e0 as dx, 0e0 as dy, 0e0 as dz from ({_cells(n)}) as g"
+    facing = cross(sub(vec("vb"), vec("a")), sub(vec("c"), vec("a")))[0]
+    hits = f"select h.*, t.nx from ({oracles.ray_hits(rays_, fx.TRIANGLES)}) as h join (select tri_id, {facing} as nx from ({fx.TRIANGLES}) as t) as t using (tri_id)"
+    return f"select ray_id as cell from (select *, row_number() over (partition by ray_id order by distance, tri_id) as nr from ({hits}) as x) as y where nr = 1 and nx > 0e0"
+
+
+_VOXELS = f"select cell, ix, iy, iz, case when touched then 'surface' else 'inside' end as kind from (select *, cell in (select box_id from ({oracles.box_triangles(_cells(12), fx.TRIANGLES)}) as h) as touched, cell in ({_inside_cells(12)}) as inner from ({_cells(12)}) as c) as v where touched or inner".replace("inner", "inside")
+
+
+@query("voxel_grid", _VOXELS)
 def voxel_grid(spark, d):
     return composite.voxelize(fx.triangles(spark, d), 12)
 
 
-@query("signed_distance_grid")
+_CENTRES = "select cell as query_id, " + ", ".join(f"(min{c} + max{c}) / 2e0 as p{c}" for c in AXES) + f" from ({_cells(10)}) as g"
+_FIELD = f"select query_id as cell, round(case when query_id in ({_inside_cells(10)}) then -sqrt(d2) else sqrt(d2) end, 6) as distance from (select query_id, min(d2) as d2 from ({nested_sql(f'select * from ({_CENTRES}) as q, ({fx.TRIANGLES}) as t', exact.closest_on_triangle())}) as a group by query_id) as b"
+
+
+@query("signed_distance_grid", _FIELD)
 def signed_distance_grid(spark, d):
-    return composite.distance_field(fx.triangles(spark, d), 10)
+    return composite.distance_field(fx.triangles(spark, d), 10).withColumn("distance", F.round("distance", 6))
 
 
 @query("within_distance", f"select query_id from ({_NEAR}) as n where distance < 5e-2")
@@ -623,9 +726,14 @@ def within_distance(spark, d):
     return composite.within_distance(fx.query_points(spark, d), fx.triangles(spark, d), 0.05)
 
 
-@query("sculpt_brush")
+_UNIT = cross(sub(vec("vb"), vec("a")), sub(vec("c"), vec("a")))
+_RAISED = ", ".join(f"round(case when tri_id in (select tri_id from ({_SPHERE_HITS}) as h) then {p}{c} + n{c} / sqrt(nx * nx + ny * ny + nz * nz) * 1e-2 else {p}{c} end, 9) as {p}{c}" for p in ("a", "vb", "c") for c in AXES)
+
+
+@query("sculpt_brush", f"select tri_id, {_RAISED} from (select *, {', '.join(f'{e} as n{c}' for c, e in zip(AXES, _UNIT))} from ({fx.TRIANGLES}) as t) as n")
 def sculpt_brush(spark, d):
-    return composite.sculpt(fx.triangles(spark, d), fx.spheres(spark, d), 0.01)
+    made = composite.sculpt(fx.triangles(spark, d), fx.spheres(spark, d), 0.01)
+    return made.select("tri_id", *(F.round(x, 9).alias(x) for x in rays.TRIANGLE))
 
 
 @query("capsule_push_out")
@@ -649,12 +757,18 @@ def lasso_centroids(spark, d):
     return composite.lasso_select(fx.triangles(spark, d), _LASSO)
 
 
-@query("lasso_intersects")
+_LASSO_EDGES = " or ".join(f"({composite.SEGMENTS_CROSS.replace('b_x0', _f(x0)).replace('b_y0', _f(y0)).replace('b_x1', _f(x1)).replace('b_y1', _f(y1))})" for (x0, y0), (x1, y1) in zip(_LASSO, _LASSO[1:] + _LASSO[:1]))
+_LASSO_SIDES = ", ".join(f"{{'x': {p}x, 'y': {p}y, 'a_x0': {p}x, 'a_y0': {p}y, 'a_x1': {q}x, 'a_y1': {q}y}}" for p, q in (("a", "vb"), ("vb", "c"), ("c", "a")))
+_LASSO_CENTRES = f"select tri_id, x, y, z from (select tri_id, (ax + vbx + cx) / 3e0 as x, (ay + vby + cy) / 3e0 as y, (az + vbz + cz) / 3e0 as z from ({fx.TRIANGLES}) as t) as m where ({_LASSO_CROSS}) % 2 = 1"
+_LASSO_RAYS = f"select tri_id as ray_id, 0e0 as ox, 0e0 as oy, 10e0 as oz, x as dx, y as dy, z - 10e0 as dz from ({_LASSO_CENTRES}) as l"
+
+
+@query("lasso_intersects", f"select distinct tri_id from (select tri_id, unnest([{_LASSO_SIDES}], recursive := true) from ({fx.TRIANGLES}) as t) as s where ({_LASSO_CROSS}) % 2 = 1 or {_LASSO_EDGES}")
 def lasso_intersects(spark, d):
     return composite.lasso_select(fx.triangles(spark, d), _LASSO, "intersects")
 
 
-@query("lasso_visible")
+@query("lasso_visible", f"select tri_id from ({_LASSO_CENTRES}) as l where tri_id not in (select ray_id from ({oracles.ray_hits(_LASSO_RAYS, fx.TRIANGLES)}) as h where tri_id <> ray_id and t < 1e0 - 1e-9)")
 def lasso_visible(spark, d):
     return composite.lasso_select(fx.triangles(spark, d), _LASSO, "visible", (0.0, 0.0, 10.0))
 
@@ -676,29 +790,54 @@ def _skinned(spark, d) -> DataFrame:
     return bake.skin(v, w, bones)
 
 
-@query("skinning", None)
+def _posed(vid: str, p: str) -> Vec:
+    """A corner moved by the bones of its vertex."""
+    own, other = _matrix_text(f"(({vid}) % 3)"), _matrix_text(f"(({vid} + 1) % 3)")
+    return affine([f"(75e-2 * {a} + 25e-2 * {b})" for a, b in zip(own, other)], vec(p))
+
+
+_CORNERS_POSED = {p: _posed(f"(tri_id * 3 + {i})", p) for i, p in enumerate(("a", "vb", "c"))}
+_SKINNED = " union all ".join(f"select cast(0 as bigint) as geom_id, tri_id * 3 + {i} as vid, " + ", ".join(f"round({e}, 9) as {c}" for c, e in zip(AXES, _CORNERS_POSED[p])) + f" from ({fx.TRIANGLES}) as t" for i, p in enumerate(("a", "vb", "c")))
+_POSED = "select tri_id, " + ", ".join(f"{e} as {p}{c}" for p, v in _CORNERS_POSED.items() for c, e in zip(AXES, v)) + f" from ({fx.TRIANGLES}) as t"
+
+
+@query("skinning", _SKINNED)
 def skinning(spark, d):
-    return _skinned(spark, d)
+    return _skinned(spark, d).select("geom_id", "vid", *(F.round(c, 9).alias(c) for c in AXES))
 
 
-@query("skinned_raycast")
+@query("skinned_raycast", oracles.first(oracles.ray_hits(fx.RAYS, _POSED), "ray_id", "ray_id, tri_id"))
 def skinned_raycast(spark, d):
     posed = _skinned(spark, d)
     t = geometry.triangles_from_index(posed, geometry.ensure_index(posed))
-    return rays.raycast(fx.rays(spark, d), t, first=True)
+    return rays.raycast(fx.rays(spark, d), t, first=True).select("ray_id", "tri_id", F.round("distance", 6).alias("distance"))
 
 
-@query("segment_triangle_distance")
+_SHORT = "select query_id as seg_id, px as x0, py as y0, pz as z0, px + 1e-1 as x1, py as y1, pz - 1e-1 as z1 from (" + fx.QUERY_POINTS + ") as q"
+
+
+@query("segment_triangle_distance", oracles.segment_distances(_SHORT, fx.TRIANGLES, "5e-2"))
 def segment_triangle_distance(spark, d):
     s = fx.query_points(spark, d).selectExpr("query_id as seg_id", "px as x0", "py as y0", "pz as z0", "px + 1e-1 as x1", "py as y1", "pz - 1e-1 as z1")
-    return pairs.segment_distances(s, fx.triangles(spark, d), 0.05)
+    return pairs.segment_distances(s, fx.triangles(spark, d), 0.05).withColumn("distance", F.round("distance", 6))
+
+
+def _untold(m: list[float]) -> list[str]:
+    """Inverse of a turn and move, as SQL numbers."""
+    turned = [m[4 * j + i] for i in range(3) for j in range(3)]
+    moved_ = [-sum(turned[3 * c + r] * m[12 + c] for c in range(3)) for r in range(3)]
+    rows = [[*turned[3 * c : 3 * c + 3], 0.0] for c in range(3)]
+    return [f"cast({x!r} as double)" for x in (*rows[0], *rows[1], *rows[2], *moved_, 1.0)]
+
+
+_OTHERS = "select i as other_id, i * 1e5 as minx, 0e0 as miny, 0e0 as minz, i * 1e5 + 5e4 as maxx, 1e3 as maxy, 3e0 as maxz from (select unnest(range(2)) as i) as r"
 
 
-@query("obb_aabb_distance")
+@query("obb_aabb_distance", oracles.obb_aabb(f"select object_id as box_id, {', '.join(BOX)} from ({fx.OBJECTS}) as o", _OTHERS, _untold([float(x) for x in _TURN]), _TURN))
 def obb_aabb_distance(spark, d):
     b = fx.objects(spark, d).selectExpr("object_id as box_id", *BOX).withColumn("inverse", F.array(*(F.lit(float(x)) for x in _TURN)))
     other = spark.range(2).selectExpr("id as other_id", "id * 1e5 as minx", "0e0 as miny", "0e0 as minz", "id * 1e5 + 5e4 as maxx", "1e3 as maxy", "3e0 as maxz")
-    return pairs.oriented_box_distances(b, other)
+    return pairs.oriented_box_distances(b, other).withColumn("distance", F.round("distance", 6))
 
 
 @query("camera_rays", "select vec_id as ray_id, cast(embedding[1] as double) * 2e0 + 0e0 as ox, cast(embedding[2] as double) * 2e0 + 0e0 as oy, -1e0 as oz, 0e0 as dx, 0e0 as dy, 2e0 as dz from embeddings")
@@ -709,21 +848,21 @@ def camera_rays(spark, d):
     return rays.camera_rays(p, one, two)
 
 
-@query("refit_hinted", f"select cast(box_id % 4 as int) as root_id, {', '.join(f'{f}({f}{c} + case when box_id = 0 then 25e1 else 0e0 end) as {f}{c}' for f in ('min', 'max') for c in AXES)} from ({fx.AABBS}) as b group by 1")
+@query("refit_hinted", _refitted("box_id = 0", "25e1"))
 def refit_hinted(spark, d):
-    """Just the leaf of one moved box and its ancestors are computed; the roots show it."""
+    """Just the leaf of one moved box and its ancestors are computed; no other node changes."""
     nodes, order, b = _index(spark, d)
     moved = b.withColumns({x: F.expr(f"{x} + case when box_id = 0 then 25e1 else 0e0 end") for x in BOX})
     slot = order.where("box_id = 0").select(F.col("root_id").alias("r"), "slot")
     dirty = nodes.where("is_leaf").join(slot, (F.col("root_id") == F.col("r")) & (F.col("slot") >= F.col("offset")) & (F.col("slot") < F.col("offset") + F.col("count")), "left_semi")
-    return index.refit(nodes, order, moved, dirty.select("root_id", "node_id")).where("parent_id < 0").select("root_id", *BOX)
+    return index.refit(nodes, order, moved, dirty.select("root_id", "node_id")).select("root_id", "node_id", *BOX)
 
 
-@query("tree_traverse")
+@query("tree_traverse", oracles.tree(_ROOTED, "select root_id, node_id, depth, count from node where depth <= 3"))
 def tree_traverse(spark, d):
     return index.traverse(_index(spark, d)[0], 3).select("root_id", "node_id", "depth", "count")
 
 
-@query("memory_estimate")
+@query("memory_estimate", oracles.tree(_ROOTED, "select root_id, count(*) * 32 as bytes from node group by root_id"))
 def memory_estimate(spark, d):
     return index.memory_estimate(_index(spark, d)[0])
