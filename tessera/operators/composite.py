@@ -12,6 +12,7 @@ from ..functions import bounds, kernels
 from ..functions.staged import apply
 from ..functions.vectors import AXES, cross, dot, named, sub, vec
 from ..plans import strategy as plan
+from ..plans.durable import cut
 from .nearest import closest_point
 from .rays import RAY, TRIANGLE, columns, corners, raycast
 from .regions import box_hits, select_region
@@ -129,12 +130,17 @@ def convex_hulls(points: DataFrame, key: str) -> DataFrame:
 
 
 def feature_edges(tris: DataFrame, cosine: float = 0.9998, digits: int = 4) -> DataFrame:
-    """(lo, hi, faces): edges with one face, or two whose normals' cosine is below the threshold; vertices meet when equal at `digits` places."""
+    """(lo, hi, faces): edges with one face, or two whose normals' cosine is below the threshold, or more than two.
+
+    Vertices meet when equal at `digits` places; a triangle of which two
+    corners so meet has no area and no edges. An edge of three or more faces
+    is no smooth surface and is always a feature.
+    """
     key = lambda p: "concat_ws('_', " + ", ".join(f"cast(cast(round({p}{c} * 1e{digits}) as bigint) as string)" for c in AXES) + ")"
     n = named("n", cross(sub(vec("vb"), vec("a")), sub(vec("c"), vec("a"))))
-    at = apply(tris.select("tri_id", *TRIANGLE), [n | {"ka": key("a"), "kb": key("vb"), "kc": key("c")}, {"nn": f"sqrt{dot(vec('n'), vec('n'))}"}]).where("nn > 0e0")
+    at = apply(tris.select("tri_id", *TRIANGLE), [n | {"ka": key("a"), "kb": key("vb"), "kc": key("c")}, {"nn": f"sqrt{dot(vec('n'), vec('n'))}"}]).where("nn > 0e0 and ka <> kb and kb <> kc and kc <> ka")
     edge = at.select("tri_id", *(F.expr(f"n{c} / nn").alias(f"n{c}") for c in AXES), F.explode(F.expr("array(struct(ka as p, kb as q), struct(kb as p, kc as q), struct(kc as p, ka as q))")).alias("e"))
-    edge = edge.select("tri_id", *vec("n"), F.least("e.p", "e.q").alias("lo"), F.greatest("e.p", "e.q").alias("hi")).where("lo <> hi")
+    edge = edge.select("tri_id", *vec("n"), F.least("e.p", "e.q").alias("lo"), F.greatest("e.p", "e.q").alias("hi"))
     # A pair's normals as extremes: with two faces first and last by id are the two.
     pick = [F.expr(f"{f}_by(n{c}, tri_id)").alias(f"{f}{c}") for f in ("min", "max") for c in AXES]
     both = edge.groupBy("lo", "hi").agg(F.count("*").alias("faces"), *pick)
@@ -172,21 +178,24 @@ def sculpt(tris: DataFrame, brush: DataFrame, amount: float) -> DataFrame:
 def push_out(probes: DataFrame, tris: DataFrame) -> DataFrame:
     """(probe_id, px..pz, qx..qz, n_hits): capsules (probe_id, segment p..q, r) pushed out of the triangles they touch.
 
-    Each push moves the probe before the next triangle (by id) is tried, so a
-    probe's triangles are taken in order within its group; probes are
-    independent. A sphere is a capsule whose ends coincide.
+    Each push moves the probe before the next triangle (by id) is tried;
+    probes are independent. A sphere is a capsule whose ends coincide. The
+    triangles tried are those within r of the probe and r more; a probe that
+    pushes have moved by more than r waits for the next round, which looks
+    for the triangles around where it now is.
     """
-    box = {f"a_min{c}": f"least(p{c}, q{c}) - 2e0 * r" for c in AXES} | {f"a_max{c}": f"greatest(p{c}, q{c}) + 2e0 * r" for c in AXES}
     ends = [*vec("p"), *vec("q")]
-    left = apply(probes.select("probe_id", *ends, "r"), [box])
+    kept = ["probe_id", *ends, "r", "n_hits", "last", "done"]
+    ddl = "probe_id long, " + ", ".join(f"{c} double" for c in (*ends, "r")) + ", n_hits long, last long, done boolean"
+    box = {f"a_min{c}": f"least(p{c}, q{c}) - 2e0 * r" for c in AXES} | {f"a_max{c}": f"greatest(p{c}, q{c}) + 2e0 * r" for c in AXES}
     right = apply(tris.select("tri_id", *TRIANGLE), [bounds.of_points([vec("a"), vec("vb"), vec("c")], "b_")])
-    pairs = plan.box_join(left, right).select("probe_id", "tri_id", *ends, "r", *TRIANGLE)
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("tri_id")
         seg = columns(table.slice(0, 1), ends)[0]
-        p, q, r, n = seg[:3].copy(), seg[3:].copy(), float(table.column("r")[0].as_py()), 0
-        tri, at = columns(table, TRIANGLE), 0
+        p, q, r, n = seg[:3].copy(), seg[3:].copy(), float(table.column("r")[0].as_py()), int(table.column("n_hits")[0].as_py())
+        begun, last, done = p.copy(), None, True
+        tri, ids, at = columns(table, TRIANGLE), table.column("tri_id").to_pylist(), 0
         while at < len(tri):
             # The first triangle from `at` on that the probe, where it now is, goes into.
             s = corners(tri[at:])
@@ -202,12 +211,21 @@ def push_out(probes: DataFrame, tris: DataFrame) -> DataFrame:
             i = int(inside[0])
             away = near[kind[i]][1][i] - near[kind[i]][0][i]
             move = away / d[i] * (r - d[i])
-            p, q, n, at = p + move, q + move, n + 1, at + i + 1
-        return pa.table([table.column("probe_id").slice(0, 1), *([x] for x in (*p, *q)), pa.array([n], pa.int64())], names=["probe_id", *ends, "n_hits"])
-
-    pushed = pairs.groupBy("probe_id").applyInArrow(run, "probe_id long, " + ", ".join(f"{c} double" for c in ends) + ", n_hits long")
-    free = probes.select("probe_id", *ends).join(pairs.select("probe_id").distinct(), "probe_id", "left_anti").withColumn("n_hits", F.lit(0).cast("long"))
-    return pushed.unionByName(free)
+            p, q, n, last, at = p + move, q + move, n + 1, ids[at + i], at + i + 1
+            if np.sqrt(((p - begun) ** 2).sum()) > r:
+                done = False
+                break
+        return pa.Table.from_arrays([table.column("probe_id").slice(0, 1), *(pa.array([x]) for x in (*p, *q, r)), pa.array([n], pa.int64()), pa.array([last], pa.int64()), pa.array([done])], names=kept)
+
+    state = probes.select("probe_id", *ends, "r", F.lit(0).cast("long").alias("n_hits"), F.lit(None).cast("long").alias("last"), F.lit(False).alias("done"))
+    while True:
+        todo = state.where("not done")
+        pairs = plan.box_join(apply(todo, [box]), right).where("last is null or tri_id > last").select(*kept, "tri_id", *TRIANGLE)
+        pushed = pairs.groupBy("probe_id").applyInArrow(run, ddl)
+        free = todo.join(pairs.select("probe_id").distinct(), "probe_id", "left_anti").withColumn("done", F.lit(True))
+        state = cut(state.where("done").unionAll(pushed).unionByName(free))
+        if state.where("not done").isEmpty():
+            return state.select("probe_id", *ends, "n_hits")
 
 
 def lasso_select(tris: DataFrame, polygon: list[tuple[float, float]], mode: str = "centroid", eye: tuple[float, float, float] | None = None) -> DataFrame:

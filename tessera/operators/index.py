@@ -12,10 +12,11 @@ import json
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import bounds
 from ..functions.vectors import AXES
+from ..plans.durable import cut
 from ..plans.tree import BINS, PRIMITIVE_COST, STRATEGIES, TRAVERSAL_COST, build
 from .regions import BOX
 
@@ -97,23 +98,22 @@ def build_nodes(boxes: DataFrame, root: str = "root_id", strategy: str = "center
         raise ValueError(f"strategy is one of {STRATEGIES}")
     rows = boxes.select(F.col(root).cast("int").alias("root_id"), "box_id", *BOX)
 
-    def grow(table: pa.Table):
+    def grow(table: pa.Table) -> pa.Table:
+        """A row per node, then one per slot (its number as node_id, its box as parent_id); kind tells them apart."""
         table = table.sort_by("box_id")
         box = np.stack([table.column(x).to_numpy() for x in BOX], 1)
-        tree = build(box[:, :3], box[:, 3:], strategy, leaf_size, max_depth)
-        return table.column("root_id")[0].as_py(), table.column("box_id").to_numpy(), tree
-
-    def nodes(table: pa.Table) -> pa.Table:
-        r, _, t = grow(table)
-        n = len(t.right)
+        t = build(box[:, :3], box[:, 3:], strategy, leaf_size, max_depth)
+        r, ids, n = table.column("root_id")[0].as_py(), table.column("box_id").to_numpy(), len(t.right)
         cols = [np.full(n, r, np.int32), np.arange(n), t.parent, t.right, t.depth.astype(np.int32), t.leaf, t.axis.astype(np.int32), t.start, t.count, *t.low.T, *t.high.T]
-        return pa.table([pa.array(c) for c in cols], names=[x.split()[0] for x in NODES.split(", ")])
-
-    def order(table: pa.Table) -> pa.Table:
-        r, ids, t = grow(table)
-        return pa.table({"root_id": pa.array(np.full(len(ids), r, np.int32)), "slot": pa.array(np.arange(len(ids))), "box_id": pa.array(ids[t.order])})
+        nodes = pa.Table.from_arrays([*(pa.array(c) for c in cols), pa.array(np.zeros(n, np.int32))], names=[*names, "kind"])
+        slots = {"root_id": np.full(len(ids), r, np.int32), "node_id": np.arange(len(ids)), "parent_id": ids[t.order], "kind": np.ones(len(ids), np.int32)}
+        return pa.concat_tables([nodes, pa.table([pa.array(slots[c]) if c in slots else pa.nulls(len(ids), nodes.schema.field(c).type) for c in nodes.column_names], names=nodes.column_names)])
 
-    return rows.groupBy("root_id").applyInArrow(nodes, NODES), rows.groupBy("root_id").applyInArrow(order, ORDER)
+    names = [x.split()[0] for x in NODES.split(", ")]
+    # Stored, so that the hierarchy is grown once for both tables.
+    grown = cut(rows.groupBy("root_id").applyInArrow(grow, NODES + ", kind int"))
+    slots = grown.where("kind = 1").select("root_id", F.col("node_id").alias("slot"), F.col("parent_id").alias("box_id"))
+    return grown.where("kind = 0").select(*names), slots
 
 
 def tree_extremes(nodes: DataFrame) -> DataFrame:
@@ -142,19 +142,37 @@ def validate_bounds(nodes: DataFrame, order: DataFrame, boxes: DataFrame) -> Dat
 def refit(nodes: DataFrame, order: DataFrame, boxes: DataFrame, dirty: DataFrame | None = None) -> DataFrame:
     """nodes with bounds anew from changed boxes, topology kept.
 
-    A node covers the slots [offset, offset + count), so all levels come from
-    one join and one aggregation. With `dirty` (root_id, node_id) just those
-    nodes and their ancestors are computed; the others keep their bounds.
+    Leaves take the bounds of their slots, one row for each primitive; the
+    other nodes are then computed from their children, by root, of nodes
+    alone. With `dirty` (root_id, node_id) just the leaves at or below those
+    nodes read their primitives, and their ancestors follow; the others keep
+    their bounds.
     """
-    todo = nodes
+    leaves = nodes.where("is_leaf").select("root_id", "node_id", "offset", "count")
     if dirty is not None:
-        hit = nodes.join(dirty.select("root_id", "node_id"), ["root_id", "node_id"], "left_semi").select("root_id", F.col("offset").alias("d_low"), (F.col("offset") + F.col("count")).alias("d_high"))
-        todo = nodes.join(hit, (nodes["root_id"] == hit["root_id"]) & (nodes["offset"] <= hit["d_low"]) & (nodes["offset"] + nodes["count"] >= hit["d_high"]), "left_semi")
-    placed = order.join(boxes.select("box_id", *BOX), "box_id")
-    slots = todo.select("root_id", "node_id", F.explode(F.sequence("offset", F.col("offset") + F.col("count") - 1)).alias("slot"))
-    fresh = slots.join(placed, ["root_id", "slot"]).groupBy("root_id", "node_id").agg(*(F.expr(x).alias(f"new_{n}") for n, x in bounds.union_of().items()))
-    out = nodes.join(fresh, ["root_id", "node_id"], "left")
-    return out.withColumns({x: F.coalesce(f"new_{x}", x) for x in BOX}).select(*nodes.columns)
+        hit = nodes.join(dirty.select("root_id", "node_id").distinct(), ["root_id", "node_id"], "left_semi").select(F.col("root_id").alias("d_root"), F.col("offset").alias("d_low"), (F.col("offset") + F.col("count")).alias("d_high"))
+        leaves = leaves.join(hit, (F.col("root_id") == F.col("d_root")) & (F.col("offset") >= F.col("d_low")) & (F.col("offset") + F.col("count") <= F.col("d_high")), "left_semi")
+    slots = leaves.select("root_id", "node_id", F.explode(F.sequence("offset", F.col("offset") + F.col("count") - 1)).alias("slot"))
+    placed = slots.join(order, ["root_id", "slot"]).join(boxes.select("box_id", *BOX), "box_id")
+    fresh = placed.groupBy("root_id", "node_id").agg(*(F.expr(x).alias(f"new_{n}") for n, x in bounds.union_of().items()))
+    known = nodes.join(fresh, ["root_id", "node_id"], "left").withColumns({x: F.coalesce(f"new_{x}", x) for x in BOX}).select(*nodes.columns)
+
+    def lift(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node_id")
+        ids, parent, depth = (table.column(c).to_numpy() for c in ("node_id", "parent_id", "depth"))
+        box = np.stack([table.column(x).to_numpy() for x in BOX], 1)
+        inner = ~table.column("is_leaf").to_numpy(zero_copy_only=False)
+        box[inner, :3], box[inner, 3:] = np.inf, -np.inf
+        for d in range(int(depth.max()), 0, -1):
+            some = np.flatnonzero(depth == d)
+            up = np.searchsorted(ids, parent[some])
+            np.minimum.at(box[:, :3], up, box[some, :3])
+            np.maximum.at(box[:, 3:], up, box[some, 3:])
+        for i, x in enumerate(BOX):
+            table = table.set_column(table.column_names.index(x), x, pa.array(box[:, i]))
+        return table
+
+    return known.groupBy("root_id").applyInArrow(lift, known.schema)
 
 
 def shift_offsets(order: DataFrame, n: int) -> DataFrame:
@@ -170,10 +188,19 @@ def cluster_cut(nodes: DataFrame, most: int = 64) -> DataFrame:
     return cut.join(above, ["root_id", "parent_id"], "left_anti")
 
 
-def traverse(nodes: DataFrame, depth: int | None = None) -> DataFrame:
-    """Nodes in pre-order (by id), to a depth if given."""
+def traverse(nodes: DataFrame, depth: int | None = None, enter: Column | None = None) -> DataFrame:
+    """Nodes to a depth if given; with `enter` (a condition over a node's columns) just those of which all ancestors meet it: a node that does not is reported, its subtree is not.
+
+    node_id numbers a root's nodes in pre-order; sort by (root_id, node_id) to
+    visit them so.
+    """
     some = nodes if depth is None else nodes.where(F.col("depth") <= depth)
-    return some.orderBy("root_id", "node_id")
+    if enter is None:
+        return some
+    # A subtree's slots lie within those of the node where it was left, and below it.
+    left = nodes.where(~F.coalesce(enter, F.lit(False))).select(F.col("root_id").alias("l_root"), F.col("depth").alias("l_depth"), F.col("offset").alias("l_low"), (F.col("offset") + F.col("count")).alias("l_high"))
+    below = (F.col("root_id") == F.col("l_root")) & (F.col("depth") > F.col("l_depth")) & (F.col("offset") >= F.col("l_low")) & (F.col("offset") + F.col("count") <= F.col("l_high"))
+    return some.join(left, below, "left_anti")
 
 
 def tree_json(nodes: DataFrame, root_id: int = 0) -> str:

@@ -10,6 +10,7 @@ from ..functions import bounds
 from ..functions.staged import apply, matching
 from ..functions.vectors import AXES, affine, vec
 from ..plans import strategy as plan
+from ..plans.durable import cut
 from ..plans.tree import build
 from .rays import RAY, TRIANGLE, cast, columns, corners, first_hits
 from .regions import BOX, NOT_INTERSECTED, _inverted, frustum_state
@@ -17,19 +18,21 @@ from .regions import BOX, NOT_INTERSECTED, _inverted, frustum_state
 MATRIX = [f"matrix[{i}]" for i in range(16)]
 
 
-def collect_objects(scene: DataFrame, roots: DataFrame, kinds: tuple[str, ...] = ("mesh", "line", "points"), depth: int = 64) -> DataFrame:
-    """Distinct ids below the roots (id) with one of the kinds, over scene (parent_id, id, kind).
+def collect_objects(scene: DataFrame, roots: DataFrame, kinds: tuple[str, ...] = ("mesh", "line", "points")) -> DataFrame:
+    """Distinct ids below the roots (id) with one of the kinds, over scene (parent_id, id, kind), however deep.
 
-    One join per level; the loop ends with the first level that is empty.
+    One join per level, whose result is stored; the loop ends with the first
+    level that has nothing new, so an object below itself does no harm.
     """
-    level = roots.select("id").distinct()
-    found = level
-    for _ in range(depth):
-        level = scene.join(level.withColumnRenamed("id", "parent_id"), "parent_id").select("id").distinct().join(found, "id", "left_anti")
-        level = level.checkpoint() if scene.sparkSession.sparkContext.getCheckpointDir() else level.persist()
+    level = cut(roots.select("id").distinct())
+    found, turn = level, 0
+    while True:
+        level = cut(scene.join(level.withColumnRenamed("id", "parent_id"), "parent_id").select("id").distinct().join(found, "id", "left_anti"))
         if level.isEmpty():
             break
-        found = found.unionAll(level)
+        found, turn = found.unionAll(level), turn + 1
+        if turn % 16 == 0:  # else the plan grows with the depth
+            found = cut(found)
     return scene.where(F.col("kind").isin(*kinds)).join(found, "id", "left_semi").select("id").distinct()
 
 

@@ -101,16 +101,48 @@ def test_ranges_and_gaps(spark):
 def test_index_round_trip_and_versions(spark, tmp_path, data):
     b = fx.aabbs(spark, data).withColumn("root_id", F.lit(0))
     nodes, order = index.build_nodes(b)
-    geometry.write_index(nodes, order, str(tmp_path / "one"))
-    back, again = geometry.read_index(spark, str(tmp_path / "one"))
-    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, order.collect()))
-    assert back.count() == nodes.count()
-    nodes.write.parquet(str(tmp_path / "old" / "nodes"))
-    order.write.parquet(str(tmp_path / "old" / "order"))
-    old, _ = geometry.read_index(spark, str(tmp_path / "old"))
-    assert old.where("right_id >= 0 and right_id <= 0").count() == 0
-    told = index.tree_json(nodes.where("depth < 100"))
+    same = lambda x, y: sorted(map(tuple, x.select(y.columns).collect())) == sorted(map(tuple, y.collect()))
+    told = index.tree_json(nodes)
     assert told.startswith('{"bounds"') and '"left"' in told
+    geometry.write_index(nodes, order, str(tmp_path / "new"))
+    nodes.write.parquet(str(tmp_path / "old" / "nodes"))  # version 0 knows no version
+    order.write.parquet(str(tmp_path / "old" / "order"))
+    for name in ("new", "old"):
+        back, again = geometry.read_index(spark, str(tmp_path / name))
+        assert same(back, nodes) and same(again, order)
+        assert index.tree_json(back) == told
+    stored = spark.read.parquet(str(tmp_path / "new" / "nodes"))
+    assert stored.where("version <> 1").isEmpty() and stored.where("right_id > 0 and right_id = 2").count() > 0
+
+
+def test_objects_are_collected_however_deep(spark):
+    chain = [(i - 1 if i else None, i, "mesh") for i in range(90)] + [(89, 5, "mesh"), (300, 301, "mesh")]  # one below itself, one elsewhere
+    scene_ = spark.createDataFrame(chain, "parent_id long, id long, kind string")
+    assert sorted(r.id for r in scene.collect_objects(scene_, spark.createDataFrame([(0,)], "id long")).collect()) == list(range(90))
+
+
+def test_traverse_leaves_out_what_is_not_entered(spark, data):
+    nodes, _ = index.build_nodes(fx.aabbs(spark, data).withColumn("root_id", F.lit(0)))
+    rows = {r.node_id: r for r in nodes.collect()}
+    want, stack = [], [0]
+    while stack:
+        r = rows[stack.pop()]
+        want.append(r.node_id)
+        if not r.is_leaf and r.maxx > 0.5:
+            stack += [r.node_id + 1, r.right_id]
+    assert sorted(r.node_id for r in index.traverse(nodes, enter=F.col("maxx") > 0.5).collect()) == sorted(want)
+    assert 0 < len(want) < len(rows)
+
+
+def test_refit_below_an_inner_node(spark, data):
+    b = fx.aabbs(spark, data).withColumn("root_id", F.lit(0))
+    nodes, order = index.build_nodes(b)
+    inner = nodes.where("depth = 2 and not is_leaf").orderBy("node_id").first()
+    held = order.where((F.col("slot") >= inner.offset) & (F.col("slot") < inner.offset + inner["count"])).select("box_id")
+    moved = b.join(held, "box_id", "left_semi").withColumn("maxx", F.col("maxx") + 9).unionByName(b.join(held, "box_id", "left_anti"))
+    dirty = spark.createDataFrame([(0, inner.node_id)], "root_id int, node_id long")
+    key = lambda df: sorted(map(tuple, df.select("node_id", *regions.BOX).collect()))
+    assert key(index.refit(nodes, order, moved, dirty)) == key(index.refit(nodes, order, moved)) != key(nodes)
 
 
 def test_scene_first_hit_is_nearest_of_all(spark, data):
@@ -146,6 +178,31 @@ def test_push_out_and_voxels(spark):
     assert -2 < field[0] < -1 and field[1] > 1
 
 
+def test_a_probe_is_pushed_through_many_walls(spark):
+    """Every push takes it into the next wall, beyond the triangles that were near it at first."""
+    from tessera.functions import kernels as K
+
+    wall = lambda i, x: (i, x, -9.0, -9.0, x, 9.0, -9.0, x, 0.0, 9.0)
+    rows = [wall(i, 0.6 * i) for i in range(9)] + [wall(20, 60.0)]
+    probe = [(0, 0.5, 0.0, 0.0, 0.5, 0.0, 0.5, 1.0), (1, 30.0, 0.0, 0.0, 30.0, 0.0, 0.0, 1.0), (2, 59.5, 0.0, 0.0, 59.5, 0.0, 0.0, 0.7)]
+    want = {}
+    for i, *ends, r in probe:
+        p, q, n = np.array(ends[:3]), np.array(ends[3:]), 0
+        for _, *t in sorted(rows):
+            s = [np.array([t[3 * k : 3 * k + 3]]) for k in range(3)]
+            near = [K.segment_segment(s[e], s[(e + 1) % 3], p[None], q[None]) for e in range(3)] + [(K.closest_on_triangle(x[None], *s), x[None]) for x in (p, q)]
+            x, y = min(near, key=lambda v: np.linalg.norm(v[0] - v[1]))
+            d = np.linalg.norm(x - y)
+            if 0 < d < r:
+                move = (y - x)[0] / d * (r - d)
+                p, q, n = p + move, q + move, n + 1
+        want[i] = (*np.round([*p, *q], 9), n)
+    tris = spark.createDataFrame(rows, "tri_id long, " + ", ".join(f"{c} double" for c in rays.TRIANGLE))
+    probes = spark.createDataFrame(probe, "probe_id long, px double, py double, pz double, qx double, qy double, qz double, r double")
+    got = {r[0]: (*np.round(r[1:7], 9), r[7]) for r in composite.push_out(probes, tris).collect()}
+    assert got == want and want[0][6] >= 7 and want[1][6] == 0
+
+
 def test_shared_edges_are_no_features(spark):
     assert composite.feature_edges(torus(spark, around=200, across=200), cosine=0.9).count() == 0
     assert composite.feature_edges(torus(spark), cosine=0.99).count() > 0
