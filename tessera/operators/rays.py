@@ -28,8 +28,11 @@ TRIANGLE = [f"{p}{c}" for p in ("a", "vb", "c") for c in AXES]
 RAY = [f"{p}{c}" for p in ("o", "d") for c in AXES]
 HIT = "ray_id long, tri_id long, t double, distance double, u double, v double"
 _HIT = pa.schema([("ray_id", pa.int64()), ("tri_id", pa.int64()), *((n, pa.float64()) for n in ("t", "distance", "u", "v"))])
-#: Triangles of a tile.
+#: Triangles of a tile, and tiles of a table at most: beyond that many rows tiles are larger.
 TILE_ROWS = 200_000
+MOST_TILES = 200_000
+#: Rays or points that one task takes to a tile: a tile that more of them reach goes to several tasks.
+TILE_QUERIES = 200_000
 
 
 def first_hits(hits: DataFrame, key: str = "ray_id", order: str = "distance", prim: str = "tri_id") -> DataFrame:
@@ -42,7 +45,8 @@ def raycast(rays: DataFrame, tris: DataFrame, side: str = "double", near: float
     """Hits (ray_id, tri_id, t, distance, u, v) with near <= distance <= far; `first`: the nearest of each ray.
 
     A ray without a hit has no row. Distances are Euclidean, t is in lengths
-    of the direction. side: front, back or double.
+    of the direction. side: front, back or double. The default is both sides,
+    as tables have no materials; pass 'front' for surfaces seen from outside.
     """
     rays, tris = rays.select("ray_id", *RAY), tris.select("tri_id", *TRIANGLE)
     if strategy == "auto":
@@ -135,38 +139,83 @@ def tiled(tris: DataFrame, tile_rows: int | None = None) -> tuple[DataFrame, Dat
 def tiled_boxes(boxed: DataFrame, tile_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows with a tile, tiles with bounds): runs of a Morton order, of about `tile_rows` rows each.
 
-    The order is cut at quantiles, so crowded regions get smaller tiles. The
+    The order interleaves ranks of the centres along the axes, by quantiles,
+    so that crowded regions get smaller tiles and outliers take no room. The
     cuts are fixed values from then on: every later evaluation of the plan puts
-    a row into the same tile.
+    a row into the same tile. There are MOST_TILES tiles at most.
     """
-    whole = boxed.agg(*(F.expr(x).alias(n) for n, x in bounds.union_of().items()), F.count("*").alias("n")).first()
-    if not whole["n"]:
+    n = boxed.count()
+    if not n:
         return boxed.withColumn("tile", F.lit(0)), boxed.limit(0).selectExpr("0 as tile", "minx", "miny", "minz", "maxx", "maxy", "maxz")
-    code = F.lit(0).cast("long")
-    for i, c in enumerate(AXES):
-        span = (whole[f"max{c}"] - whole[f"min{c}"]) or 1.0
-        cell = F.floor(((F.col(f"min{c}") + F.col(f"max{c}")) / 2 - whole[f"min{c}"]) / span * 1023).cast("long")
-        for bit in range(10):
-            code = code.bitwiseOR(F.shiftleft(F.shiftright(cell, bit).bitwiseAND(F.lit(1)), 3 * bit + i))
-    parts = max(1, -(-whole["n"] // (tile_rows or TILE_ROWS)))
-    coded = boxed.withColumn("code", code)
+    parts = min(MOST_TILES, max(1, -(-n // (tile_rows or TILE_ROWS))))
+    mids = boxed.withColumns({f"mid{c}": F.expr(f"(min{c} + max{c}) / 2e0") for c in AXES})
+    ranks = [np.unique(x) for x in mids.approxQuantile([f"mid{c}" for c in AXES], [i / 1024 for i in range(1, 1024)], 5e-4)] if parts > 1 else [np.zeros(0)] * 3
+
+    def codes(*mid: pa.Array) -> np.ndarray:
+        code = np.zeros(len(mid[0]), np.int64)
+        for i, (x, at) in enumerate(zip(mid, ranks)):
+            rank = np.searchsorted(at, x.to_numpy(zero_copy_only=False), side="right")
+            for bit in range(10):
+                code |= (rank >> bit & 1) << (3 * bit + i)
+        return code
+
+    @arrow_udf("long")
+    def coded(x: pa.Array, y: pa.Array, z: pa.Array) -> pa.Array:
+        return pa.array(codes(x, y, z))
+
     shares = [i / parts for i in range(1, parts)]
-    cuts = np.unique(coded.approxQuantile("code", shares, min(0.01, 0.25 / parts))) if shares else np.zeros(0)
+    placed = mids.select(coded(*(f"mid{c}" for c in AXES)).alias("code"))
+    cuts = np.unique(placed.approxQuantile("code", shares, min(0.01, 0.25 / parts))) if shares else np.zeros(0)
 
     @arrow_udf("int")
-    def tile(codes: pa.Array) -> pa.Array:
-        return pa.array(np.searchsorted(cuts, codes.to_numpy(), side="right").astype(np.int32))
+    def tile(x: pa.Array, y: pa.Array, z: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(cuts, codes(x, y, z), side="right").astype(np.int32))
 
-    cut = coded.withColumn("tile", tile("code")).drop("code")
+    cut = mids.withColumn("tile", tile(*(f"mid{c}" for c in AXES))).drop(*(f"mid{c}" for c in AXES))
     return cut, cut.groupBy("tile").agg(*(F.expr(x).alias(n) for n, x in bounds.union_of().items()))
 
 
+class TileTree:
+    """A hierarchy over the bounds of tiles (MOST_TILES rows at most), held by the driver and sent to all tasks."""
+
+    def __init__(self, tiles: DataFrame):
+        table = tiles.toArrow()
+        self.ids = table.column("tile").to_numpy()
+        low, high = (np.stack([table.column(f"{f}{c}").to_numpy() for c in AXES], 1).reshape(-1, 3) for f in ("min", "max"))
+        self.low, self.high, self.tree = low, high, build(low, high)
+
+    def met(self, rays: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ray, tile) of the rays (rows of RAY) that meet a tile's bounds."""
+        o, d, found = rays[:, :3], rays[:, 3:], []
+
+        def test(q, low, high):
+            t_in, t_out = kernels.ray_box(low, high, o[q], d[q])
+            slack = 1e-12 * (1.0 + np.abs(t_in))
+            with np.errstate(invalid="ignore"):
+                return (t_in <= t_out + slack) & (t_out >= -slack)
+
+        def visit(q, p):
+            on = test(q, self.low[p], self.high[p])
+            found.append((q[on], self.ids[p[on]]))
+
+        search(self.tree, len(o), lambda q, node: test(q, self.tree.low[node], self.tree.high[node]), visit)
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int32))
+
+
+def sent_to_tiles(rays: DataFrame, tiles: DataFrame) -> DataFrame:
+    """(tile, ray_id, ox..dz): each ray with the tiles whose bounds it meets."""
+    shipped = rays.sparkSession.sparkContext.broadcast(TileTree(tiles))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            q, tile = shipped.value.met(columns(batch, RAY))
+            yield pa.RecordBatch.from_arrays([pa.array(tile, pa.int32()), *(batch.column(c).take(pa.array(q)) for c in ("ray_id", *RAY))], names=["tile", "ray_id", *RAY])
+
+    return plan.spread(rays.select("ray_id", *RAY)).mapInArrow(run, "tile int, ray_id long, " + ", ".join(f"{c} double" for c in RAY))
+
+
 def _by_tiles(rays: DataFrame, tris: DataFrame, side: str, first: bool, far: float | None) -> DataFrame:
-    spark = rays.sparkSession
-    cut, boxes = tiled(tris)
-    boxes = spark.createDataFrame(boxes.collect(), boxes.schema)  # a row per tile, n / TILE_ROWS of them
-    steps = bounds.ray_interval("", vec("o"), vec("d"))
-    sent = matching(rays.crossJoin(F.broadcast(boxes)), steps, bounds.ray_hits()).select("tile", "ray_id", *RAY)
+    cut, tiles = tiled(tris)
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -177,7 +226,38 @@ def _by_tiles(rays: DataFrame, tris: DataFrame, side: str, first: bool, far: flo
         out = cast(tree, ids, tri, left.column("ray_id").to_numpy(), columns(left, RAY), side, first, far)
         return pa.Table.from_arrays([pa.array(x) for x in out], schema=_HIT)
 
-    return sent.groupBy("tile").cogroup(cut.select("tile", "tri_id", *TRIANGLE).groupBy("tile")).applyInArrow(run, HIT)
+    sent, held = plan.dealt(sent_to_tiles(rays, tiles), cut.select("tile", "tri_id", *TRIANGLE), ["tile"], TILE_QUERIES)
+    return sent.groupBy("tile", "part").cogroup(held.groupBy("tile", "part")).applyInArrow(run, HIT)
+
+
+def ray_box_pairs(rays: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFrame:
+    """(ray_id, ox..dz, keys): rays with the boxes (keys, minx..maxz) they meet."""
+    rays, boxes = rays.select("ray_id", *RAY), boxes.select(*keys, *(f"{f}{c}" for f in ("min", "max") for c in AXES))
+    crossed = plan.cross_small(rays, boxes) if plan._rows(rays) * plan._rows(boxes) <= plan.NESTED_PAIRS else None
+    if crossed is not None:
+        return matching(crossed, bounds.ray_interval("", vec("o"), vec("d")), bounds.ray_hits()).select("ray_id", *RAY, *keys)
+    cut, tiles = tiled_boxes(boxes)
+    kinds = dict(boxes.dtypes)
+    ddl = "ray_id long, " + ", ".join(f"{c} double" for c in RAY) + "".join(f", {k} {kinds[k]}" for k in keys)
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        left, right = left.combine_chunks(), right.combine_chunks()
+        told = right.select(["minx", "miny", "minz", "maxx", "maxy", "maxz"]).append_column("tile", pa.array(np.arange(right.num_rows)))
+        q, p = TileTree(_Held(told)).met(columns(left, RAY)) if left.num_rows and right.num_rows else (np.zeros(0, np.int64),) * 2
+        return pa.Table.from_arrays([*(left.column(c).take(pa.array(q)) for c in ("ray_id", *RAY)), *(right.column(k).take(pa.array(p)) for k in keys)], names=["ray_id", *RAY, *keys])
+
+    sent, held = plan.dealt(sent_to_tiles(rays, tiles), cut, ["tile"], TILE_QUERIES)
+    return sent.groupBy("tile", "part").cogroup(held.groupBy("tile", "part")).applyInArrow(run, ddl)
+
+
+class _Held:
+    """A table that a task has, where a DataFrame would be collected."""
+
+    def __init__(self, table: pa.Table):
+        self.table = table
+
+    def toArrow(self) -> pa.Table:
+        return self.table
 
 
 def decorate(hits: DataFrame, rays: DataFrame, tris: DataFrame, groups: DataFrame | None = None) -> DataFrame:
@@ -272,15 +352,14 @@ def _threshold_hits(rays: DataFrame, prims: DataFrame, prim: str, ends: list[str
 
     box = {f"{n}{c}": f"{f}({', '.join(x for x in ends if x[-1] == c or x[0] == c)}) {s} cast({threshold!r} as double)" for n, f, s in (("min", "least" if len(ends) > 3 else "", "-"), ("max", "greatest" if len(ends) > 3 else "", "+")) for c in AXES}
     cut, tiles = tiled_boxes(apply(prims, [box]))
-    tiles = rays.sparkSession.createDataFrame(tiles.collect(), tiles.schema)  # a row per tile
-    sent = matching(rays.crossJoin(F.broadcast(tiles)), bounds.ray_interval("", vec("o"), vec("d")), bounds.ray_hits()).select("tile", "ray_id", *RAY)
 
     def run_tile(key, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
         return pa.Table.from_arrays(hits(against(right), left), schema=schema)
 
-    return sent.groupBy("tile").cogroup(cut.select("tile", prim, *ends).groupBy("tile")).applyInArrow(run_tile, ddl)
+    sent, held = plan.dealt(sent_to_tiles(rays, tiles), cut.select("tile", prim, *ends), ["tile"], TILE_QUERIES)
+    return sent.groupBy("tile", "part").cogroup(held.groupBy("tile", "part")).applyInArrow(run_tile, ddl)
 
 
 def raycast_points(rays: DataFrame, points: DataFrame, threshold: float, first: bool = False) -> DataFrame:

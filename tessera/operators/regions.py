@@ -148,9 +148,14 @@ def shapecast(nodes: DataFrame, primitives: DataFrame, intersects_bounds: Column
 def points_in_boxes(points: DataFrame, boxes: DataFrame) -> DataFrame:
     """(box_id, point_id) of points (point_id, px..pz) inside oriented boxes (box_id, minx..maxz, m0..m15: world to local)."""
     m = [f"m{i}" for i in range(16)]
-    pairs = plan.cross_small(points.select("point_id", *vec("p")), boxes.select("box_id", *BOX, *m))
-    if pairs is None:
-        raise ValueError("one of points and boxes has to be small enough to broadcast")
+    points, boxes = points.select("point_id", *vec("p")), boxes.select("box_id", *BOX, *m)
+    pairs = plan.cross_small(points, boxes)
+    if pairs is None:  # both are large: points as boxes without extent meet the bounds of the boxes in the world
+        world = boxes.withColumn("world", _inverted(F.array(*m)))
+        w = [f"world[{i}]" for i in range(16)]
+        corner = [affine(w, tuple(f"{'max' if (k >> i) & 1 else 'min'}{c}" for i, c in enumerate(AXES))) for k in range(8)]
+        wide = {n: f"{e} {'-' if n.startswith('b_min') else '+'} 1e-9 * (1e0 + abs({e}))" for n, e in bounds.of_points(corner, "b_").items()}
+        pairs = plan.box_join(apply(points, [{f"a_{f}{c}": f"p{c}" for f in ("min", "max") for c in AXES}]), apply(world, [wide]), strategy="cells")
     return matching(pairs, [exact.box_point_local(m, vec("p"))], bounds.contains_point("", vec("l"))).select("box_id", "point_id")
 
 

@@ -7,15 +7,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import bounds
-from ..functions.staged import apply, matching
+from ..functions.staged import apply
 from ..functions.vectors import AXES, affine, vec
 from ..plans import strategy as plan
 from ..plans.durable import cut
 from ..plans.tree import build
-from .rays import RAY, TRIANGLE, cast, columns, corners, first_hits
+from .rays import RAY, TRIANGLE, cast, columns, corners, first_hits, ray_box_pairs
 from .regions import BOX, NOT_INTERSECTED, _inverted, frustum_state
 
 MATRIX = [f"matrix[{i}]" for i in range(16)]
+#: Rays that one task takes to a geometry.
+GEOMETRY_RAYS = 2_000
 
 
 def collect_objects(scene: DataFrame, roots: DataFrame, kinds: tuple[str, ...] = ("mesh", "line", "points")) -> DataFrame:
@@ -69,10 +71,7 @@ def raycast_scene(rays: DataFrame, instances: DataFrame, tris: DataFrame, side:
     seen = instances.where("visible")
     geometry = apply(tris.select("geom_id", *TRIANGLE), [bounds.of_points([vec("a"), vec("vb"), vec("c")])]).groupBy("geom_id").agg(*(F.expr(x).alias(n) for n, x in bounds.union_of().items()))
     boxes = instance_bounds(seen, geometry)
-    met = plan.cross_small(rays.select("ray_id", *RAY), boxes)
-    if met is None:
-        raise ValueError("one of rays and instances has to be small enough to broadcast")
-    met = matching(met, bounds.ray_interval("", vec("o"), vec("d")), bounds.ray_hits()).select("ray_id", "object_id", "instance_id", *RAY)
+    met = ray_box_pairs(rays, boxes, ["object_id", "instance_id"])
     local = met.join(seen.select("object_id", "instance_id", "geom_id", "matrix", _inverted(F.col("matrix")).alias("inverse")), ["object_id", "instance_id"])
     m = [f"inverse[{i}]" for i in range(16)]
     moved = dict(zip([f"l{x}" for x in RAY], affine(m, vec("o")) + affine(m, vec("d"), "0e0")))
@@ -93,15 +92,13 @@ def raycast_scene(rays: DataFrame, instances: DataFrame, tris: DataFrame, side:
 
 
 def _local_hits(local: DataFrame, tris: DataFrame, side: str, first: bool) -> DataFrame:
-    """Rays in the frames of instances against their geometries: one hierarchy per geometry and salt.
+    """Rays in the frames of instances against their geometries: one hierarchy per geometry and part.
 
-    Rays of a geometry are salted over all cores, so that a geometry that most
-    instances share does not go to one task; its triangles go to each salt.
+    A geometry that many rays reach goes to several tasks, each with a part of
+    the rays; one that fits no task has to be cut into several geometries.
     """
-    salts = local.sparkSession.sparkContext.defaultParallelism
     keep = ["ray_id", "object_id", "instance_id", *(f"w{x}" for x in RAY)]
-    left = local.select(F.col("geom_id").alias("l_geom"), F.pmod(F.xxhash64("ray_id", "object_id"), F.lit(salts)).cast("int").alias("l_salt"), *keep, *RAY)
-    right = tris.select(F.col("geom_id").alias("r_geom"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("r_salt"), "tri_id", *TRIANGLE)
+    left, right = plan.dealt(local.select("geom_id", *keep, *RAY), tris.select("geom_id", "tri_id", *TRIANGLE), ["geom_id"], GEOMETRY_RAYS)
     kinds = dict(left.dtypes)
     ddl = ", ".join(f"{c} {kinds[c]}" for c in keep) + ", tri_id long, t double"
 
@@ -113,7 +110,7 @@ def _local_hits(local: DataFrame, tris: DataFrame, side: str, first: bool) -> Da
         at, hit, t, *_ = cast(tree, ids, tri, np.arange(rays.num_rows), columns(rays, RAY), side, first, None)
         return rays.select(keep).take(pa.array(at, pa.int64())).append_column("tri_id", pa.array(hit, pa.int64())).append_column("t", pa.array(t, pa.float64()))
 
-    return left.groupBy("l_geom", "l_salt").cogroup(right.groupBy("r_geom", "r_salt")).applyInArrow(run, ddl)
+    return left.groupBy("geom_id", "part").cogroup(right.groupBy("geom_id", "part")).applyInArrow(run, ddl)
 
 
 def raycast_object(rays: DataFrame, tris: DataFrame, matrix: list[float], side: str = "double", first: bool = False) -> DataFrame:

@@ -10,6 +10,8 @@ cells   both sides are large: boxes go to the cells of a grid whose level fits
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import bounds
@@ -17,12 +19,14 @@ from ..functions.vectors import AXES
 
 #: A side is broadcast up to this estimate; beyond it the pair meets by cells.
 BROADCAST_BYTES = 64 << 20
+#: Pairs of rows that a nested loop over boxes may try, by estimate.
+NESTED_PAIRS = 4_000_000_000
 #: Estimates from here on are products of defaults, as for tables made from local rows.
 UNKNOWN_BYTES = 1 << 60
-#: Kernels hold a broadcast index of at most this many primitive rows; beyond it they work by tiles.
-TREE_ROWS = 4_000_000
+#: Kernels hold a broadcast index of at most this many primitive rows, which the driver builds in about a second; beyond it they work by tiles.
+TREE_ROWS = 250_000
 #: Finest and coarsest cell sizes are powers of two with these exponents.
-LEVELS = (-30, 40)
+LEVELS = (-30, 1000)
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -64,9 +68,11 @@ def _levelled(df: DataFrame, p: str) -> DataFrame:
     return df.withColumn(f"{p}level", level)
 
 
-def _in_cells(df: DataFrame, p: str, levels: list[int]) -> DataFrame:
-    """A row for each cell the box touches, at each of the given levels that is its own or coarser."""
-    at = df.withColumn("level", F.explode(F.array_sort(F.array([F.lit(x) for x in levels])))).where(F.col("level") >= F.col(f"{p}level"))
+def _in_cells(df: DataFrame, p: str, theirs: set[int]) -> DataFrame:
+    """A row for each cell the box touches, at its own level, where finer boxes of the other side look for it, and at the coarser levels of the other side."""
+    coarser = F.filter(F.array([F.lit(x) for x in sorted(theirs)]), lambda x: x > F.col(f"{p}level"))
+    own = F.when(F.col(f"{p}level") >= min(theirs), F.array(f"{p}level")).otherwise(F.array().cast("array<int>"))
+    at = df.withColumn("level", F.explode(F.concat(own, coarser)))
     size = F.pow(F.lit(2.0), F.col("level"))
     for c in AXES:
         at = at.withColumn(f"cell_{c}", F.explode(F.sequence(F.floor(F.col(f"{p}min{c}") / size), F.floor(F.col(f"{p}max{c}") / size))))
@@ -78,11 +84,10 @@ def cell_join(left: DataFrame, right: DataFrame, a: str = "a_", b: str = "b_") -
     left, right = _levelled(spread(left), a), _levelled(spread(right), b)
     mine = {r[0] for r in left.select(f"{a}level").distinct().collect()}  # one of each level at most
     theirs = {r[0] for r in right.select(f"{b}level").distinct().collect()}
-    both = sorted(mine | theirs)
     if not mine or not theirs:
         return left.crossJoin(right).limit(0).drop(f"{a}level", f"{b}level")
     keys = ["level", *(f"cell_{c}" for c in AXES)]
-    met = _in_cells(left, a, both).join(_in_cells(right, b, both), keys)
+    met = _in_cells(left, a, theirs).join(_in_cells(right, b, mine), keys)
     met = met.where(F.col("level") == F.greatest(f"{a}level", f"{b}level")).where(F.expr(bounds.overlap(a, b)))
     size = F.pow(F.lit(2.0), F.col("level"))
     for c in AXES:  # the cell with the least corner of the overlap owns the pair
@@ -90,9 +95,24 @@ def cell_join(left: DataFrame, right: DataFrame, a: str = "a_", b: str = "b_") -
     return met.drop(*keys, f"{a}level", f"{b}level")
 
 
+def _rows(df: DataFrame) -> int:
+    return estimated_bytes(df) // (8 * len(df.columns)) + 1
+
+
+def dealt(left: DataFrame, right: DataFrame, key: list[str], limit: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a column `part`: rows of `left` with one key go to as many parts as it takes for about `limit` each, rows of `right` to each of them.
+
+    Keys that `left` does not have are left out of `right`.
+    """
+    parts = left.groupBy(*key).count().select(*(F.col(k).alias(f"of_{k}") for k in key), F.ceil(F.col("count") / limit).cast("int").alias("parts"))
+    on = lambda df: reduce(lambda x, y: x & y, [df[k] == F.col(f"of_{k}") for k in key])
+    spread_ = F.pmod(F.xxhash64(*left.columns), F.col("parts")).cast("int").alias("part")
+    return left.join(parts, on(left)).select(*left.columns, spread_), right.join(parts, on(right)).select(*right.columns, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+
+
 def box_join(left: DataFrame, right: DataFrame, a: str = "a_", b: str = "b_", strategy: str = "auto") -> DataFrame:
     """All pairs of overlapping boxes; the strategy changes the plan, never the rows."""
-    if strategy in ("auto", "nested"):
+    if strategy == "nested" or strategy == "auto" and _rows(left) * _rows(right) <= NESTED_PAIRS:
         crossed = cross_small(left, right)
         if crossed is not None:
             return crossed.where(F.expr(bounds.overlap(a, b)))

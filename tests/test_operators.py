@@ -63,16 +63,63 @@ def test_threshold_edges(spark):
     assert [x.seg_id for x in rays.raycast_segments(r, s, 1.0).collect()] == [0]
 
 
+def rounded(df, *keys):
+    return sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select(*keys).collect())
+
+
 def test_large_sides_meet_by_tiles_and_cells(spark, data, monkeypatch):
-    r, p = fx.event_rays(spark, data), fx.points(spark, data)
-    want = sorted(map(tuple, rays.raycast_points(r, p, 5.0).collect()))
-    near = sorted(map(tuple, nearest.closest_point(fx.query_points(spark, data), fx.triangles(spark, data)).collect()))
-    boxes = sorted(map(tuple, pairs.box_pairs(fx.aabbs(spark, data)).collect()))
-    monkeypatch.setattr(strategy, "TREE_ROWS", 10)
+    r, p, t = fx.event_rays(spark, data), fx.points(spark, data), fx.triangles(spark, data)
+    q = fx.event_rays(spark, data).selectExpr("ray_id as query_id", "ox as qx", "oy as qy", "oz as qz")
+    turn = [0.8, -0.6, 0.0, 0.0, 0.6, 0.8, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.1, -0.2, 0.05, 1.0]
+    turned = fx.boxes(spark, data).withColumns({f"m{i}": F.lit(x) for i, x in enumerate(turn)})
+    inst = spark.range(9).selectExpr("id as object_id", "cast(0 as int) as instance_id", "id % 3 as geom_id", "array(1D, 0D, 0D, 0D, 0D, 1D, 0D, 0D, 0D, 0D, 1D, 0D, cast(id as double), 0D, 0D, 1D) as matrix", "true as visible")
+    far = pairs.transformed(t, [1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0, 5, 0, 0, 1])
+    asked = {
+        "points": lambda: rays.raycast_points(r, p, 5.0),
+        "near": lambda: nearest.closest_point(fx.query_points(spark, data), t),
+        "few": lambda: nearest.nearest_points(q, p, 3),
+        "many": lambda: nearest.nearest_points(q, p, 40),
+        "boxes": lambda: pairs.box_pairs(fx.aabbs(spark, data)),
+        "held": lambda: regions.points_in_boxes(fx.query_points(spark, data).withColumnRenamed("query_id", "point_id"), turned),
+        "scene": lambda: scene.raycast_scene(fx.rays(spark, data), inst, t.withColumn("geom_id", F.col("tri_id") % 3)).select("ray_id", "object_id", "tri_id", "distance"),
+        "closest": lambda: pairs.closest_geometry(t, far).select("a_id", "b_id", "distance"),
+        "first": lambda: rays.raycast(fx.rays(spark, data), t, first=True).select("ray_id", "tri_id", "distance"),
+    }
+    want = {k: rounded(f(), "*") for k, f in asked.items()}
+    for name, value in (("TREE_ROWS", 10), ("NESTED_PAIRS", 0), ("BROADCAST_BYTES", 0)):
+        monkeypatch.setattr(strategy, name, value)
     monkeypatch.setattr(rays, "TILE_ROWS", 300)
-    assert sorted(map(tuple, rays.raycast_points(r, p, 5.0).collect())) == want
-    assert sorted(map(tuple, nearest.closest_point(fx.query_points(spark, data), fx.triangles(spark, data)).collect())) == near
-    assert sorted(map(tuple, pairs.box_pairs(fx.aabbs(spark, data), strategy="cells").collect())) == boxes
+    monkeypatch.setattr(rays, "TILE_QUERIES", 50)
+    for k, f in asked.items():
+        assert rounded(f(), "*") == want[k], k
+
+
+def test_tiles_with_an_outlier_and_all_rays_on_one(spark, monkeypatch):
+    t = torus(spark)
+    out = t.unionByName(t.where("tri_id = 0").select((F.col("tri_id") + 10_000).alias("tri_id"), *((F.col(c) + 1e12).alias(c) for c in rays.TRIANGLE)))
+    monkeypatch.setattr(rays, "TILE_ROWS", 50)
+    monkeypatch.setattr(rays, "TILE_QUERIES", 10)
+    cut, tiles = rays.tiled(out)
+    sizes = [x["count"] for x in cut.groupBy("tile").count().collect()]
+    assert len(sizes) > 8 and max(sizes) < 150
+    same = spark.range(200).selectExpr("id as ray_id", "5.01D as ox", "0.02D as oy", "10D as oz", "0D as dx", "0D as dy", "-1D as dz")
+    sent, held = strategy.dealt(rays.sent_to_tiles(same, tiles), cut, ["tile"], 10)
+    assert sent.groupBy("tile", "part").count().agg(F.max("count")).first()[0] < 40
+    assert rays.raycast(same, out, strategy="tiles").groupBy("ray_id").count().where("count <> 2").isEmpty()
+    assert rays.raycast(same, out, strategy="tiles").count() == 400
+
+
+def test_nearest_thresholds(spark, monkeypatch):
+    t = torus(spark)
+    q = spark.createDataFrame([(0, 5.0, 0.0, 2.1), (1, 50.0, 0.0, 0.0)], "query_id long, px double, py double, pz double")
+    every = {r.query_id: r.distance for r in nearest.closest_point(q, t).collect()}
+    monkeypatch.setattr(rays, "TILE_ROWS", 50)
+    some = {r.query_id: r.distance for r in nearest.closest_point(q, t, strategy="tiles", enough=1.0).collect()}
+    assert every[0] <= some[0] < 1.0 and some[1] == every[1]
+    far = pairs.transformed(t, [1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0, 20, 0, 0, 1])
+    assert pairs.closest_geometry(t, far, farthest=5.0).count() == 0
+    assert abs(pairs.closest_geometry(t, far, farthest=7.0).first().distance - 6) < 1e-9
+    assert abs(pairs.closest_geometry(t, far, enough=100.0).first().distance - 6) < 1
 
 
 def test_surface_only(spark):
