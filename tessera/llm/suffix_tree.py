@@ -193,11 +193,11 @@ class Batch:
         n = len(self.words)
         begin = np.cumsum(self.words + 2) - self.words - 2
         at = np.arange(len(number)) + 2 * np.repeat(np.arange(n), self.words) + 1
-        self.line = np.full(int((self.words + 2).sum()), m.end, np.int64)
+        self.line = np.full(int((self.words + 2).sum()), m.end, np.int32)
         self.line[begin], self.line[at] = m.start, symbol[number]
         counts = np.full(len(self.line), m.ends, np.int64)
         counts[at] = count[number]
-        self.doc = np.repeat(np.arange(n), self.words + 1)
+        self.doc = np.repeat(np.arange(n, dtype=np.int32), self.words + 1)
         self.place = np.arange(len(self.doc)) + self.doc + 1  # all but the starts
         self.past = self.place - begin[self.doc]
         self.next, self.count = self.line[self.place], counts[self.place]
@@ -205,7 +205,7 @@ class Batch:
     def before(self, m: Model, some: np.ndarray | slice = slice(None)) -> list[np.ndarray]:
         """The symbols before some tokens, the nearest first."""
         place, past = self.place[some], self.past[some]
-        return [np.where(past >= d, self.line[place - np.minimum(d, past)], m.none) for d in range(1, m.depth + 1)]
+        return [np.where(past >= d, self.line[place - np.minimum(d, past)], np.int32(m.none)) for d in range(1, m.depth + 1)]
 
 
 def _keys(m: Model, before: list[np.ndarray]) -> np.ndarray:
@@ -241,20 +241,27 @@ def _send_tuples(m: Model, cuts: np.ndarray, low: int, high: int):
         for batch in batches:
             for row in _batches_of(batch):
                 b = Batch(m, row)
-                columns = [*b.before(m), b.next, b.count, b.doc]
-                key = _keys(m, columns[: m.depth])
-                held = np.searchsorted(cuts, key, side="right")
-                some = np.flatnonzero((held >= low) & (held <= high))
+                before = b.before(m)
+                key = _keys(m, before)
+                inside = np.ones(len(key), bool)
+                if low > 0 and low <= len(cuts):
+                    inside &= key >= cuts[low - 1]
+                if high < len(cuts):
+                    inside &= key < cuts[high]
+                some = np.flatnonzero(inside) if low <= len(cuts) else []
                 if not len(some):
                     continue
                 with np.errstate(over="ignore"):
                     tie = W.mix(key[some] * _MULTIPLIER + b.next[some].astype(np.uint64)) & _TIE
-                some = some[np.argsort((key[some] & ~_TIE) | tie)]
-                *columns, count, doc = (c[some] for c in columns)
+                order = (key[some] & ~_TIE) | tie
+                some = some[np.argsort(order)]
+                columns, doc = [c[some] for c in (*before, b.next)], b.doc[some]
                 first, last = W.runs(*columns)
-                columns, count = np.stack(columns)[:, first], count[first]
+                one = some[first]
+                columns, count = np.stack([c[first] for c in columns]), b.count[one]
                 learned, out = np.add.reduceat(b.learns[doc], first), []
-                for bucket, i, j in runs_of(held[some][first]):
+                ends = np.concatenate([[0], np.searchsorted(key[one] & ~_TIE, cuts, side="left"), [len(one)]])
+                for bucket, i, j in [(k, int(i), int(j)) for k, (i, j) in enumerate(zip(ends[:-1], ends[1:])) if i < j]:
                     out.append((row["base"], TUPLES, bucket, squeezed(columns[:, i:j].ravel()), squeezed(count[i:j]), squeezed(learned[i:j]), squeezed((last - first)[i:j]), squeezed(doc[first[i] : last[j - 1]])))
                 yield _record(out)
 
@@ -300,24 +307,32 @@ def _send_cut(m: Model, cuts: np.ndarray, buckets: int):
 
 def _add_cut(m: Model, cuts: np.ndarray):
     def add(table: pa.Table) -> pa.Table:
-        """Counts added up, for each range that the contexts reach."""
+        """Counts added up, for each range that the contexts reach: one row for each range."""
         level = np.concatenate(column(table, "d"))
-        tuples, counts, times, out = column(table, "a"), column(table, "b"), column(table, "c"), []
+        tuples, counts, times, parts = column(table, "a"), column(table, "b"), column(table, "c"), []
         for d in np.unique(level):
             mine = np.flatnonzero(level == d)
             cols = np.concatenate([tuples[i].reshape(d + 1, -1) for i in mine], axis=1)
             count, n = (np.concatenate([x[i] for i in mine]) for x in (counts, times))
-            order = np.lexsort(cols[::-1])
+            with np.errstate(over="ignore"):
+                h = np.zeros(len(n), np.uint64)
+                for c in cols:
+                    h = W.mix(h * _MULTIPLIER + c.astype(np.uint64))
+            order = np.argsort(h)  # equal rows are next to each other; others that are, too, by a hash in common stay apart
             first, _ = W.runs(*(c[order] for c in cols))
             n, one = np.add.reduceat(n[order], first), order[first]
             before = [*cols[:d, one], *np.full((m.depth - d, len(one)), m.none)]
             shift = np.uint64(m.bits * (m.depth - int(d)))
             lead = _keys(m, before) >> shift
             low = np.searchsorted(cuts, lead << shift, side="right")
-            high = np.searchsorted(cuts, ((lead + np.uint64(1)) << shift) - np.uint64(1), side="right")
-            for bucket in np.unique(np.concatenate([np.arange(a, z + 1) for a, z in set(zip(low.tolist(), high.tolist()))])):
-                r = np.flatnonzero((low <= bucket) & (bucket <= high))
-                out.append((None, CUT, int(bucket), squeezed(np.concatenate([*(c[r] for c in before), cols[d][one][r]])), squeezed(count[one][r]), squeezed(n[r]), squeezed(np.array([d]))))
+            size = np.searchsorted(cuts, ((lead + np.uint64(1)) << shift) - np.uint64(1), side="right") - low + 1
+            at = np.repeat(np.arange(len(one)), size)
+            bucket = low[at] + np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
+            parts.append(np.stack([bucket, *(c[at] for c in (*before, cols[d][one], count[one], n)), np.full(len(at), d)]))
+        rows = np.concatenate(parts, axis=1)
+        rows, out = rows[:, np.argsort(rows[0])], []
+        for bucket, i, j in runs_of(rows[0]):
+            out.append((None, CUT, bucket, squeezed(rows[1 : m.depth + 2, i:j].ravel()), *(squeezed(x[i:j]) for x in rows[m.depth + 2 :])))
         return _record(out, pa.Table)
 
     return add
@@ -377,8 +392,7 @@ def _score(m: Model, cuts: np.ndarray):
         count, n = (np.concatenate([*column(sent, c), *column(added, c)]) for c in "bc")
         postings, docs = column(sent, "d"), column(sent, "e")
         sizes = [len(x) for x in postings]
-        depths = np.repeat(np.concatenate([np.zeros(0, np.int64), *column(added, "d")]), [len(x) for x in column(added, "c")])
-        level = np.concatenate([np.zeros(sum(sizes), np.int64), depths])
+        level = np.concatenate([np.zeros(sum(sizes), np.int64), *column(added, "d")])
         steps = np.rint(-STEPS * np.log10(probabilities(m, cuts, before, following, count, n, level))).astype(np.int64)
         out, at = [], 0
         for base, times, doc in zip(sent.column("base").to_pylist(), postings, docs):
@@ -466,7 +480,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sampled = batches.mapInArrow(_sample(m, share), "keys binary").toArrow().column(0).to_pylist()  # about SAMPLE keys for each range
     keys = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in sampled)]))
     cuts = np.unique(keys[(np.arange(1, buckets) * len(keys)) // buckets] & ~_TIE) if len(keys) else keys
-    added = batches.mapInArrow(_send_cut(m, cuts, buckets), _COLUMNS).groupBy("bucket").applyInArrow(_add_cut(m, cuts), _COLUMNS)
+    added = batches.mapInArrow(_send_cut(m, cuts, max(8, buckets // (8 * RANGES))), _COLUMNS).groupBy("bucket").applyInArrow(_add_cut(m, cuts), _COLUMNS)
     added = written(added, "cut-contexts")
     scores = []
     for turn in range(ROUNDS):
