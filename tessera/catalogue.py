@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import oracles
 from .functions import bounds, exact
@@ -12,6 +12,7 @@ from .functions.staged import matching, nested_sql
 from .functions.vectors import AXES, Vec, add, affine, cross, determinant, dot, named, scale, sub, vec
 from .operators import bake, composite, index, nearest, pairs, rays, regions, scene
 from .operators.regions import BOX
+from .plans import durable
 from .plans import strategy as plan
 from .sources import fixtures as fx
 from .sources import geometry
@@ -103,6 +104,34 @@ def ray_hit_barycoord(spark, d):
     return rays.decorate(rays.raycast(r, t), r, t, groups)
 
 
+_CORNER_VALUES = {f"uv_u_{k}": f"{p}x + {p}y" for k, p in zip("abc", ("a", "vb", "c"))} | {f"uv_v_{k}": f"{p}z * 2e0" for k, p in zip("abc", ("a", "vb", "c"))}
+
+
+@query("hit_interpolation", "select ray_id, tri_id, " + ", ".join(f"round(w * ({_CORNER_VALUES[f'{n}_a']}) + u * ({_CORNER_VALUES[f'{n}_b']}) + v * ({_CORNER_VALUES[f'{n}_c']}), 9) as {n}" for n in ("uv_u", "uv_v")) + f" from ({_hits_sql()}) as x")
+def hit_interpolation(spark, d):
+    """Texture coordinates of all hits from those of the corners."""
+    r, t = fx.rays(spark, d), fx.triangles(spark, d)
+    hits = rays.decorate(rays.raycast(r, t), r, t)
+    values = t.selectExpr("tri_id", *(f"{e} as {n}" for n, e in _CORNER_VALUES.items()))
+    return rays.interpolate(hits, values, ["uv_u", "uv_v"]).select("ray_id", "tri_id", F.round("uv_u", 9).alias("uv_u"), F.round("uv_v", 9).alias("uv_v"))
+
+
+@query("ray_by_shapecast", f"select tri_id, t, u, v from ({_hits_sql(where='ray_id = 3')}) as x")
+def ray_by_shapecast(spark, d):
+    """One ray as a region query: its line prunes the tiles, its test the triangles."""
+    one = fx.rays(spark, d).where("ray_id = 3")
+    cut, tiles = rays.tiled(fx.triangles(spark, d), 500)
+    met = regions.shapecast(tiles.crossJoin(F.broadcast(one)), cut, *_ray_states())
+    return rays.raycast(one, met, strategy="nested").select("tri_id", "t", "u", "v")
+
+
+def _ray_states():
+    """Bounds that the ray's line meets, and any of their triangles."""
+    steps = bounds.ray_interval("", vec("o"), vec("d"))
+    text = " and ".join(f"({a}) <= ({b})" for a in (steps[0][f"in_{c}"] for c in AXES) for b in (steps[0][f"out_{c}"] for c in AXES))
+    return F.expr(f"case when {text} then 1 else 0 end"), F.lit(True)
+
+
 @query("ray_aabb_prune", f"select ray_id, count(*) as n_boxes from ({nested_sql(f'select * from ({fx.RAYS}) as r, ({fx.AABBS}) as b', bounds.ray_interval('', vec('o'), vec('d')))}) as x where {bounds.ray_hits()} group by ray_id")
 def ray_aabb_prune(spark, d):
     crossed = plan.cross_small(fx.rays(spark, d), fx.aabbs(spark, d))
@@ -193,6 +222,30 @@ def obb_triangle(spark, d):
 _FAR2 = " + ".join(f"greatest(abs(p{c} - min{c}), abs(p{c} - max{c})) * greatest(abs(p{c} - min{c}), abs(p{c} - max{c}))" for c in AXES)
 
 
+_TURNED = f"select box_id, {', '.join(BOX)} from ({fx.BOXES}) as b"
+_AABB_OTHERS = f"select box_id as other_id, {', '.join(BOX)} from ({fx.AABBS}) as b where box_id % 7 = 0"
+
+
+def _oriented(spark, d) -> DataFrame:
+    return fx.boxes(spark, d).withColumn("inverse", F.array(*(F.lit(float(x)) for x in _TURN)))
+
+
+@query("obb_aabb_overlap", f"select box_id, other_id from ({oracles.obb_aabb(_TURNED, _AABB_OTHERS, oracles.untold(_TURN), _TURN)}) as x where distance = 0e0")
+def obb_aabb_overlap(spark, d):
+    others = fx.aabbs(spark, d).where("box_id % 7 = 0").withColumnRenamed("box_id", "other_id")
+    return regions.oriented_box_overlaps(_oriented(spark, d), others)
+
+
+_IN_BOX = nested_sql(f"select box_id, query_id as point_id, {', '.join(BOX)}, px, py, pz from ({fx.BOXES}) as b, ({fx.QUERY_POINTS}) as p", [named("l", affine(_TURN, vec("p")))])
+_TO_BOX = " + ".join(f"greatest(min{c} - l{c}, 0e0, l{c} - max{c}) * greatest(min{c} - l{c}, 0e0, l{c} - max{c})" for c in AXES)
+
+
+@query("obb_point_distance", f"select * from (select box_id, point_id, round(sqrt({_TO_BOX}), 6) as distance from ({_IN_BOX}) as x) as y where distance <= 2e-1")
+def obb_point_distance(spark, d):
+    p = fx.query_points(spark, d).withColumnRenamed("query_id", "point_id")
+    return regions.oriented_box_point_distances(p, _oriented(spark, d), 0.2).withColumn("distance", F.round("distance", 6))
+
+
 @query("contained_vs_intersected", f"select sphere_id, box_id, case when {_FAR2} <= r * r then 2 else 1 end as state from ({fx.SPHERES}) as s, ({fx.AABBS}) as b where {bounds.sphere_overlaps('', vec('p'), 'r')}")
 def contained_vs_intersected(spark, d):
     return regions.classify_boxes(fx.aabbs(spark, d), fx.spheres(spark, d))
@@ -415,6 +468,97 @@ def object_raycast(spark, d):
     return hits.select("ray_id", "tri_id", F.round("distance", 6).alias("distance"))
 
 
+def _scaled_hits(prims: str, steps, keys: str, gap: str) -> str:
+    """Hits on an object that is turned, three times as large and moved, found in the world."""
+    return f"select {keys}, round(t * sqrt(dd), 6) as distance from ({nested_sql(f'select * from ({fx.EVENT_RAYS}) as r, ({prims}) as p', steps)}) as x where {gap}"
+
+
+_SCALED = [2.4, 1.8, 0, 0, -1.8, 2.4, 0, 0, 0, 0, 3.0, 0, 10.0, -5.0, 2.0, 1]
+_SCALED_TEXT = [f"cast({float(x)!r} as double)" for x in _SCALED]
+_SCALED_POINTS = "select point_id, " + ", ".join(f"{e} as p{c}" for c, e in zip(AXES, affine(_SCALED_TEXT, vec("p")))) + f" from ({fx.POINTS}) as p"
+_SCALED_SEGMENTS = "select seg_id, " + ", ".join(f"{e} as {n}{c}" for n, k in (("p", 0), ("q", 1)) for c, e in zip(AXES, affine(_SCALED_TEXT, tuple(f"{c}{k}" for c in AXES)))) + f" from ({fx.SEGMENTS}) as s"
+
+
+@query("object_points_raycast", _scaled_hits(_SCALED_POINTS, exact.ray_point(), "ray_id, point_id", "gap2 < 36e0"))
+def object_points_raycast(spark, d):
+    hits = scene.raycast_object_points(fx.event_rays(spark, d), fx.points(spark, d), _SCALED, 6.0)
+    return hits.select("ray_id", "point_id", F.round("distance", 6).alias("distance"))
+
+
+@query("object_segments_raycast", _scaled_hits(_SCALED_SEGMENTS, exact.ray_segment(), "ray_id, seg_id", "gap2 <= 9e0"))
+def object_segments_raycast(spark, d):
+    segs = geometry.polyline_segments(fx.polyline_points(spark, d), "user_id", ["ts", "point_id"])
+    hits = scene.raycast_object_segments(fx.event_rays(spark, d), segs, _SCALED, 3.0)
+    return hits.select("ray_id", "seg_id", F.round("distance", 6).alias("distance"))
+
+
+_GEOM_VERTICES = " union all ".join(f"select tri_id % 3 as geom_id, tri_id * 3 + {i} as vid, " + ", ".join(f"{p}{c} as {c}" for c in AXES) + f" from ({fx.TRIANGLES}) as t" for i, p in enumerate(("a", "vb", "c")))
+
+
+def _geometry_vertices(spark, d) -> DataFrame:
+    corner = ", ".join(f"named_struct('k', {i}, 'x', {p}x, 'y', {p}y, 'z', {p}z)" for i, p in enumerate(("a", "vb", "c")))
+    v = fx.triangles(spark, d).selectExpr("tri_id % 3 as geom_id", "tri_id", f"explode(array({corner})) as v")
+    return v.selectExpr("geom_id", "tri_id * 3 + v.k as vid", "v.x", "v.y", "v.z")
+
+
+_MOVED_VERTEX = affine(_M, vec(""))
+
+
+@query("scene_precise_bounds", "select object_id, instance_id, " + ", ".join(f"{f}({e}) as {f}{c}" for f in ("min", "max") for c, e in zip(AXES, _MOVED_VERTEX)) + f" from ({_INST}) as i join ({_GEOM_VERTICES}) as v using (geom_id) group by 1, 2")
+def scene_precise_bounds(spark, d):
+    return scene.precise_bounds(_instances(spark), _geometry_vertices(spark, d))
+
+
+_SHRUNK = ", ".join(f"{g}({f}{c}, {e} {s} radius * {largest}) as {f}{c}" for largest in ["greatest(" + ", ".join("sqrt(" + " + ".join(f"m{4 * j + r} * m{4 * j + r}" for r in range(3)) + ")" for j in range(3)) + ")"] for f, g, s in (("min", "greatest", "-"), ("max", "least", "+")) for c, e in zip(AXES, _MOVED_VERTEX))
+
+
+@query("scene_sphere_bounds", f"select object_id, instance_id, {_SHRUNK} from ({_WORLD_BOX}) as w join ({_INST}) as i using (object_id, instance_id) join (select *, (minx + maxx) / 2e0 as x, (miny + maxy) / 2e0 as y, (minz + maxz) / 2e0 as z, 1e0 + geom_id / 4e0 as radius from ({_GEOM_BOX}) as b) as g (geom_id, gminx, gminy, gminz, gmaxx, gmaxy, gmaxz, x, y, z, radius) using (geom_id)")
+def scene_sphere_bounds(spark, d):
+    """Bounds shrunk by bounding spheres (here of made-up radii)."""
+    t = _geometry_tris(spark, d)
+    box = t.groupBy("geom_id").agg(*(F.expr(f"{f}({g}(a{c}, vb{c}, c{c}))").alias(f"{f}{c}") for f, g in (("min", "least"), ("max", "greatest")) for c in AXES))
+    sphere = box.withColumns({f"s{c}": F.expr(f"(min{c} + max{c}) / 2e0") for c in AXES} | {"radius": F.expr("1e0 + geom_id / 4e0")})
+    return scene.instance_bounds(_instances(spark), sphere)
+
+
+_COFACTORS = [cross(tuple(_M[4 * ((j + 1) % 3) + r] for r in range(3)), tuple(_M[4 * ((j + 2) % 3) + r] for r in range(3))) for j in range(3)]
+_NORMALS = {f"un{c}": "(" + " + ".join(f"{_COFACTORS[j][r]} * n{k}" for j, k in enumerate(AXES)) + ") / det" for r, c in enumerate(AXES)}
+_TANGENTS = {f"ut{c}": "(" + " + ".join(f"{_M[4 * j + r]} * t{k}" for j, k in enumerate(AXES)) + ")" for r, c in enumerate(AXES)}
+_FRAMED = "select *, " + ", ".join(f"{e} as n{c}, {g} as t{c}" for c, e, g in zip(AXES, ("x", "z", "-y"), ("y", "-x", "5e-1"))) + ", x + y as u, z as v, 1e0 as tw from ({}) as f"
+_BAKED_VERTICES = nested_sql(f"select * from ({_FRAMED.format(_GEOM_VERTICES)}) as v join ({_INST}) as i using (geom_id)", [{"det": determinant(_M)} | {f"w{c}": e for c, e in zip(AXES, _MOVED_VERTEX)}, _NORMALS | _TANGENTS])
+_FRAME_OUT = ", ".join([f"round(w{c}, 9) as {c}" for c in AXES] + [f"round(u{k}{c} / sqrt(u{k}x * u{k}x + u{k}y * u{k}y + u{k}z * u{k}z), 9) as {k}{c}" for k in "nt" for c in AXES])
+
+
+@query("bake_attributes", f"select object_id, instance_id, vid, u, v, tw, {_FRAME_OUT} from ({_BAKED_VERTICES}) as b")
+def bake_attributes(spark, d):
+    v = _geometry_vertices(spark, d).selectExpr("*", *(f"{e} as n{c}" for c, e in zip(AXES, ("x", "z", "-y"))), *(f"{e} as t{c}" for c, e in zip(AXES, ("y", "-x", "5e-1"))), "x + y as u", "z as v", "1e0 as tw")
+    made = bake.bake_vertices(v, _instances(spark))
+    return made.select("object_id", "instance_id", "vid", "u", "v", "tw", *(F.round(f"{k}{c}", 9).alias(f"{k}{c}") for k in ("", "n", "t") for c in AXES))
+
+
+_ORDER_COUNTS = "select o_custkey as geom_id, count(*) as n, cast(sum(count(*)) over (order by o_custkey rows unbounded preceding) - count(*) as bigint) as before, cast(row_number() over (order by o_custkey) - 1 as bigint) as nth from orders group by o_custkey"
+
+
+@query("merge_groups", f"select before as start, n as count, nth as material_index from ({_ORDER_COUNTS}) as o")
+def merge_groups(spark, d):
+    n = spark.read.parquet(f"{d}/orders.parquet").groupBy(F.col("o_custkey").alias("geom_id")).agg(F.count("*").alias("n_vertices"))
+    return bake.merge_groups(n)
+
+
+_SLOTS = "select o_custkey as geom_id, row_number() over (partition by o_custkey order by o_orderkey) - 1 as slot from orders"
+
+
+@query("merge_index", f"select s.geom_id, cast(s.slot + c.before as bigint) as slot, cast((s.slot * 7) % c.n + c.before as bigint) as vid from ({_SLOTS}) as s join ({_ORDER_COUNTS}) as c using (geom_id) where s.geom_id <> 7")
+def merge_index(spark, d):
+    """Indices of geometries, each row a slot, into one; a geometry that has not changed is skipped."""
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    counts = o.groupBy(F.col("o_custkey").alias("geom_id")).agg(F.count("*").alias("n_vertices"))
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    slots = o.select(F.col("o_custkey").alias("geom_id"), (F.row_number().over(w) - 1).cast("long").alias("slot"))
+    index_ = slots.join(counts, "geom_id").select("geom_id", "slot", ((F.col("slot") * 7) % F.col("n_vertices")).alias("vid"))
+    return bake.merge_index(index_, counts, counts, skip=[7])
+
+
 @query("scene_collect", "with recursive tree as (select cast(n_nationkey as bigint) as id, cast(n_nationkey / 3 as bigint) - 1 as parent_id, case n_regionkey when 0 then 'mesh' when 1 then 'line' else 'group' end as kind from nation), down as (select cast(0 as bigint) as id union select t.id from tree t join down d on t.parent_id = d.id) select distinct t.id from tree t join down d on t.id = d.id where kind in ('mesh', 'line')".replace("n_nationkey / 3", "n_nationkey // 3"))
 def scene_collect(spark, d):
     tree = spark.read.parquet(f"{d}/nation.parquet").selectExpr("cast(n_nationkey as bigint) as id", "cast(n_nationkey div 3 as bigint) - 1 as parent_id", "case n_regionkey when 0 then 'mesh' when 1 then 'line' else 'group' end as kind")
@@ -662,7 +806,7 @@ def segment_crossing(spark, d):
     return composite.segment_crossings(fx.triangles(spark, d).selectExpr("tri_id as seg_id", "ax as x0", "ay as y0", "vbx as x1", "vby as y1"))
 
 
-@query("convex_hull")
+@query("convex_hull", oracles.hulls("select distinct event_type as k, cast(user_id as double) as x, value as y from events", "event_type"))
 def convex_hull(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet").selectExpr("event_type", "cast(user_id as double) as x", "value as y")
     return composite.convex_hulls(e, "event_type")
@@ -685,6 +829,24 @@ _FACED = f"select tri_id, nx / nn as nx, ny / nn as ny, nz / nn as nz, unnest([{
 _SHARED = " + ".join(f"arg_min(n{c}, tri_id) * arg_max(n{c}, tri_id)" for c in AXES)
 
 
+_TOWARDS = (0.2, -0.4, 1.0)
+_SEEN = ["sign(" + " + ".join(f"{f}(n{c}, tri_id) * {x!r}::double" for c, x in zip(AXES, _TOWARDS)) + ")" for f in ("arg_min", "arg_max")]
+_GRID_SQL = "select i * 2 + h as tri_id, " + ", ".join(f"{e} as {p}{c}" for p, (x, y) in (("a", ("i % 12", "i // 12")), ("vb", ("i % 12 + 1", "i // 12 + h")), ("c", ("i % 12 + 1 - h", "i // 12 + 1"))) for c, e in (("x", f"cast({x} as double)"), ("y", f"cast({y} as double)"), ("z", f"cast((({x}) * ({x}) * 5 + ({y}) * ({y}) * 3) % 7 as double) / 4e0"))) + " from (select unnest(range(144)) as i) as r, (select unnest([0, 1]) as h) as k"
+
+
+def _faced(tris: str) -> str:
+    return _FACED.replace(fx.TRIANGLES, tris)
+
+
+@query("silhouette_edges", f"select least(p, q) as lo, greatest(p, q) as hi, count(*) as faces from ({_faced(_GRID_SQL)}) as f group by 1, 2 having count(*) <> 2 or {_SHARED} <= 5e-1 or {_SEEN[0]} <> {_SEEN[1]}")
+def silhouette_edges(spark, d):
+    """Edges of a bumpy grid: its rim, its sharp folds, and where it turns away from the view."""
+    grid = spark.range(144).selectExpr("id as i", "explode(array(0, 1)) as h")
+    at = {"a": ("i % 12", "i div 12"), "vb": ("i % 12 + 1", "i div 12 + h"), "c": ("i % 12 + 1 - h", "i div 12 + 1")}
+    cols = [f"{e} as {p}{c}" for p, (x, y) in at.items() for c, e in (("x", f"cast({x} as double)"), ("y", f"cast({y} as double)"), ("z", f"cast((({x}) * ({x}) * 5 + ({y}) * ({y}) * 3) % 7 as double) / 4e0"))]
+    return composite.feature_edges(grid.selectExpr("i * 2 + h as tri_id", *cols), 0.5, direction=_TOWARDS)
+
+
 @query("feature_edges", f"select least(p, q) as lo, greatest(p, q) as hi, count(*) as faces from ({_FACED}) as f where p <> q group by 1, 2 having count(*) <> 2 or {_SHARED} <= 9998e-4")
 def feature_edges(spark, d):
     return composite.feature_edges(fx.triangles(spark, d))
@@ -822,18 +984,10 @@ def segment_triangle_distance(spark, d):
     return pairs.segment_distances(s, fx.triangles(spark, d), 0.05).withColumn("distance", F.round("distance", 6))
 
 
-def _untold(m: list[float]) -> list[str]:
-    """Inverse of a turn and move, as SQL numbers."""
-    turned = [m[4 * j + i] for i in range(3) for j in range(3)]
-    moved_ = [-sum(turned[3 * c + r] * m[12 + c] for c in range(3)) for r in range(3)]
-    rows = [[*turned[3 * c : 3 * c + 3], 0.0] for c in range(3)]
-    return [f"cast({x!r} as double)" for x in (*rows[0], *rows[1], *rows[2], *moved_, 1.0)]
-
-
 _OTHERS = "select i as other_id, i * 1e5 as minx, 0e0 as miny, 0e0 as minz, i * 1e5 + 5e4 as maxx, 1e3 as maxy, 3e0 as maxz from (select unnest(range(2)) as i) as r"
 
 
-@query("obb_aabb_distance", oracles.obb_aabb(f"select object_id as box_id, {', '.join(BOX)} from ({fx.OBJECTS}) as o", _OTHERS, _untold([float(x) for x in _TURN]), _TURN))
+@query("obb_aabb_distance", oracles.obb_aabb(f"select object_id as box_id, {', '.join(BOX)} from ({fx.OBJECTS}) as o", _OTHERS, oracles.untold(_TURN), _TURN))
 def obb_aabb_distance(spark, d):
     b = fx.objects(spark, d).selectExpr("object_id as box_id", *BOX).withColumn("inverse", F.array(*(F.lit(float(x)) for x in _TURN)))
     other = spark.range(2).selectExpr("id as other_id", "id * 1e5 as minx", "0e0 as miny", "0e0 as minz", "id * 1e5 + 5e4 as maxx", "1e3 as maxy", "3e0 as maxz")
@@ -858,6 +1012,26 @@ def refit_hinted(spark, d):
     return index.refit(nodes, order, moved, dirty.select("root_id", "node_id")).select("root_id", "node_id", *BOX)
 
 
+@query("index_round_trip", oracles.tree(_ROOTED, "select v as version, n.root_id, n.node_id, coalesce((select r.node_id from node as r where r.root_id = n.root_id and r.path = n.path || 'R'), -1) as right_id, n.count from node as n, (select unnest([0, 1]) as v) as k"))
+def index_round_trip(spark, d):
+    """Nodes as read from files of the old and of the present version."""
+    nodes, order, _ = _index(spark, d)
+    path = durable.fresh(spark, "index")
+    geometry.write_index(nodes, order, f"{path}/1")
+    nodes.write.parquet(f"{path}/0/nodes")
+    order.write.parquet(f"{path}/0/order")
+    both = [geometry.read_index(spark, f"{path}/{v}")[0].withColumn("version", F.lit(v)) for v in (0, 1)]
+    return both[0].unionByName(both[1]).select("version", "root_id", "node_id", "right_id", "count")
+
+
+_ENTERED = "select root_id, node_id, depth, count from node as n where not exists (select 1 from node as p where p.root_id = n.root_id and p.path <> n.path and starts_with(n.path, p.path) and not p.maxx > 5e-1)"
+
+
+@query("tree_traverse_pruned", oracles.tree(_ROOTED, _ENTERED))
+def tree_traverse_pruned(spark, d):
+    return index.traverse(_index(spark, d)[0], enter=F.col("maxx") > 0.5).select("root_id", "node_id", "depth", "count")
+
+
 @query("tree_traverse", oracles.tree(_ROOTED, "select root_id, node_id, depth, count from node where depth <= 3"))
 def tree_traverse(spark, d):
     return index.traverse(_index(spark, d)[0], 3).select("root_id", "node_id", "depth", "count")

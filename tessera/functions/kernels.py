@@ -231,6 +231,23 @@ def box_triangle(inverse: np.ndarray, low: np.ndarray, high: np.ndarray, s) -> n
     return ~apart
 
 
+def box_box(world: np.ndarray, low, high, other_low, other_high) -> np.ndarray:
+    """Whether boxes oriented by matrices (world: n x 16, column-major, local to world) meet axis-aligned ones; touching counts."""
+    m = world.reshape(-1, 4, 4)
+    center, half = (low + high) / 2, (high - low) / 2
+    sides = [m[:, i, :3] * half[:, i : i + 1] for i in range(3)]  # half sides, in the world
+    gap = sum(m[:, i, :3] * center[:, i : i + 1] for i in range(3)) + m[:, 3, :3] - (other_low + other_high) / 2
+    reach = (other_high - other_low) / 2
+    units = [np.broadcast_to(np.eye(3)[i], center.shape) for i in range(3)]
+    # Faces of a sheared box are across its other two sides.
+    axes = units + [cross(sides[1], sides[2]), cross(sides[2], sides[0]), cross(sides[0], sides[1])] + [cross(u, s) for u in units for s in sides]
+    apart = np.zeros(len(center), bool)
+    for axis in axes:
+        span = sum(np.abs(dot(axis, s)) for s in sides) + (reach * np.abs(axis)).sum(1)
+        apart |= np.abs(dot(axis, gap)) > span
+    return ~apart
+
+
 def box_box_distance(inverse: np.ndarray, low, high, other_low, other_high) -> np.ndarray:
     """Distance of oriented boxes (world to local by `inverse`) to axis-aligned ones, by faces of triangles."""
     m = np.linalg.inv(inverse.reshape(-1, 4, 4).transpose(0, 2, 1))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.staged import apply
-from ..functions.vectors import AXES, affine, determinant, named, vec
+from ..functions.vectors import AXES, affine, cross, determinant, named, vec
 from .rays import TRIANGLE
 from .scene import MATRIX
 
@@ -22,6 +22,46 @@ def bake_triangles(tris: DataFrame, instances: DataFrame) -> DataFrame:
     return out.withColumns(swap | {f"vb{c}": F.col(f"wvb{c}") for c in AXES}).select("object_id", "instance_id", "tri_id", *TRIANGLE)
 
 
+def bake_vertices(vertices: DataFrame, instances: DataFrame) -> DataFrame:
+    """World-space vertices (object_id, instance_id, vid, x, y, z, ...) of instances.
+
+    Normals (nx, ny, nz) go by the inverse transpose, tangents (tx, ty, tz) by
+    the matrix, both scaled to length one (a zero stays zero); any other
+    columns, such as uv or tw, stay as they are.
+    """
+    moved = dict(zip([f"w{c}" for c in AXES], affine(MATRIX, ("x", "y", "z"))))
+    columns = [tuple(MATRIX[4 * j + r] for r in range(3)) for j in range(3)]
+    cofactors = [cross(columns[(j + 1) % 3], columns[(j + 2) % 3]) for j in range(3)]
+    steps = [moved | {"det": determinant(MATRIX)}]
+    out = {c: f"w{c}" for c in AXES}
+    for name, turned in (("n", [" + ".join(f"{cofactors[j][r]} * n{c}" for j, c in enumerate(AXES)) for r in range(3)]), ("t", [" + ".join(f"{columns[j][r]} * t{c}" for j, c in enumerate(AXES)) for r in range(3)])):
+        if f"{name}x" in vertices.columns:
+            sign = " * case when det < 0e0 then -1e0 else 1e0 end" if name == "n" else ""
+            steps += [{f"u{name}{c}": f"({e}){sign}" for c, e in zip(AXES, turned)}, {f"l{name}": f"sqrt(un{name}x * un{name}x + un{name}y * un{name}y + un{name}z * un{name}z)".replace(f"un{name}", f"u{name}")}]
+            out |= {f"{name}{c}": f"case when l{name} > 0e0 then u{name}{c} / l{name} else 0e0 end" for c in AXES}
+    rest = [c for c in vertices.columns if c not in out and c != "geom_id"]
+    full = apply(vertices.join(instances.select("object_id", "instance_id", "geom_id", "matrix"), "geom_id"), steps)
+    return full.select("object_id", "instance_id", *rest, *(F.expr(e).alias(c) for c, e in out.items()))
+
+
+def merge_index(index: DataFrame, vertex_counts: DataFrame, index_counts: DataFrame, skip: list[int] | None = None) -> DataFrame:
+    """(geom_id, slot, vid) of the merged geometry: slots and vertices shifted by what the geometries before have.
+
+    index: geom_id, slot, vid; counts: geom_id, n_vertices. Geometries in
+    `skip` keep their room but are not written, as they have not changed.
+    """
+    v = merge_offsets(vertex_counts).select("geom_id", F.col("first_vertex").alias("v0"))
+    s = merge_offsets(index_counts).select("geom_id", F.col("first_vertex").alias("s0"))
+    some = index.where(~F.col("geom_id").isin(skip)) if skip else index
+    return some.join(v, "geom_id").join(s, "geom_id").select("geom_id", (F.col("slot") + F.col("s0")).alias("slot"), (F.col("vid") + F.col("v0")).alias("vid"))
+
+
+def merge_groups(index_counts: DataFrame) -> DataFrame:
+    """(start, count, material_index): a group for each geometry of a merged one, in order of id."""
+    ranks = merge_offsets(index_counts.select("geom_id", F.lit(1).cast("long").alias("n_vertices"))).select("geom_id", F.col("first_vertex").alias("material_index"))
+    return merge_offsets(index_counts).join(ranks, "geom_id").select(F.col("first_vertex").alias("start"), F.col("n_vertices").alias("count"), "material_index")
+
+
 def invert_winding(tris: DataFrame) -> DataFrame:
     """Triangles with their first and last corner swapped."""
     old = {c: F.col(c) for c in TRIANGLE}

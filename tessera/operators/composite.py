@@ -129,9 +129,12 @@ def convex_hulls(points: DataFrame, key: str) -> DataFrame:
     return reduced.groupBy(key).applyInArrow(merge, f"{key} {dict(points.dtypes)[key]}, corner int, x double, y double")
 
 
-def feature_edges(tris: DataFrame, cosine: float = 0.9998, digits: int = 4) -> DataFrame:
+def feature_edges(tris: DataFrame, cosine: float = 0.9998, digits: int = 4, direction: tuple[float, float, float] | None = None) -> DataFrame:
     """(lo, hi, faces): edges with one face, or two whose normals' cosine is below the threshold, or more than two.
 
+    With a direction of view also the silhouette: edges of which one face is
+    turned towards it and the other is not.
+
     Vertices meet when equal at `digits` places; a triangle of which two
     corners so meet has no area and no edges. An edge of three or more faces
     is no smooth surface and is always a feature.
@@ -145,7 +148,11 @@ def feature_edges(tris: DataFrame, cosine: float = 0.9998, digits: int = 4) -> D
     pick = [F.expr(f"{f}_by(n{c}, tri_id)").alias(f"{f}{c}") for f in ("min", "max") for c in AXES]
     both = edge.groupBy("lo", "hi").agg(F.count("*").alias("faces"), *pick)
     cosines = " + ".join(f"min{c} * max{c}" for c in AXES)
-    return both.where(f"faces <> 2 or {cosines} <= cast({cosine!r} as double)").select("lo", "hi", "faces")
+    outline = "false"
+    if direction is not None:
+        seen = [" + ".join(f"{f}{c} * cast({float(x)!r} as double)" for c, x in zip(AXES, direction)) for f in ("min", "max")]
+        outline = f"sign({seen[0]}) <> sign({seen[1]})"
+    return both.where(f"faces <> 2 or {cosines} <= cast({cosine!r} as double) or {outline}").select("lo", "hi", "faces")
 
 
 def compress_intervals(intervals: DataFrame, key: str) -> DataFrame:

@@ -159,6 +159,40 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame) -> DataFrame:
     return matching(pairs, [exact.box_point_local(m, vec("p"))], bounds.contains_point("", vec("l"))).select("box_id", "point_id")
 
 
+def oriented_box_overlaps(boxes: DataFrame, others: DataFrame) -> DataFrame:
+    """(box_id, other_id) of oriented boxes (box_id, minx..maxz, inverse: world to local) that overlap aligned ones (other_id, minx..maxz), by the fifteen separating axes."""
+    m = [f"world[{i}]" for i in range(16)]
+    corner = [affine(m, tuple(f"{'max' if (k >> i) & 1 else 'min'}{c}" for i, c in enumerate(AXES))) for k in range(8)]
+    left = apply(boxes.select("box_id", *BOX, "inverse", _inverted(F.col("inverse")).alias("world")), [bounds.of_points(corner, "a_")])
+    right = others.select("other_id", *(F.col(x).alias(f"b_{x}") for x in BOX))
+    pairs = plan.box_join(left, right).select("box_id", "other_id", *BOX, "world", *(f"b_{x}" for x in BOX))
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                box, other = columns(batch, BOX), columns(batch, [f"b_{x}" for x in BOX])
+                hit = kernels.box_box(np.stack(batch.column("world").to_numpy(zero_copy_only=False)), box[:, :3], box[:, 3:], other[:, :3], other[:, 3:])
+                yield pa.RecordBatch.from_arrays([batch.column("box_id"), batch.column("other_id")], names=["box_id", "other_id"]).filter(pa.array(hit))
+
+    return pairs.mapInArrow(run, "box_id long, other_id long")
+
+
+def oriented_box_point_distances(points: DataFrame, boxes: DataFrame, within: float) -> DataFrame:
+    """(box_id, point_id, distance) of points (point_id, px..pz) no farther than `within` from oriented boxes (box_id, minx..maxz, inverse); 0 inside."""
+    m, w = [f"inverse[{i}]" for i in range(16)], [f"world[{i}]" for i in range(16)]
+    corner = [affine(w, tuple(f"{'max' if (k >> i) & 1 else 'min'}{c}" for i, c in enumerate(AXES))) for k in range(8)]
+    reach = f"cast({within * (1 + 1e-9) + 1e-9!r} as double)"
+    around = {n: f"{e} {'-' if n.startswith('b_min') else '+'} {reach}" for n, e in bounds.of_points(corner, "b_").items()}
+    right = apply(boxes.select("box_id", *BOX, "inverse", _inverted(F.col("inverse")).alias("world")), [around])
+    pairs = plan.box_join(apply(points.select("point_id", *vec("p")), [{f"a_{f}{c}": f"p{c}" for f in ("min", "max") for c in AXES}]), right)
+    clamped = {f"k{c}": f"least(greatest(l{c}, min{c}), max{c})" for c in AXES}
+    placed = dict(zip(vec("g"), affine(w, vec("k"))))
+    gap = {"distance": "sqrt(" + " + ".join(f"(p{c} - g{c}) * (p{c} - g{c})" for c in AXES) + ")"}
+    inside = " and ".join(f"l{c} = k{c}" for c in AXES)
+    found = apply(pairs, [exact.box_point_local(m, vec("p")), clamped, placed, gap]).withColumn("distance", F.expr(f"case when {inside} then 0e0 else distance end"))
+    return found.where(F.col("distance") <= within).select("box_id", "point_id", "distance")
+
+
 def frustum_state(objects: DataFrame, planes: list[tuple[float, float, float, float]]) -> DataFrame:
     """objects with state against planes (nx, ny, nz, constant; inside is n.p + constant >= 0)."""
     sides = [bounds.plane_side("", tuple(f"cast({x!r} as double)" for x in p[:3]), f"cast({p[3]!r} as double)") for p in planes]

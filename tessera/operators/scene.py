@@ -12,7 +12,7 @@ from ..functions.vectors import AXES, affine, vec
 from ..plans import strategy as plan
 from ..plans.durable import cut
 from ..plans.tree import build
-from .rays import RAY, TRIANGLE, cast, columns, corners, first_hits, ray_box_pairs
+from .rays import RAY, TRIANGLE, cast, columns, corners, first_hits, ray_box_pairs, raycast_points, raycast_segments
 from .regions import BOX, NOT_INTERSECTED, _inverted, frustum_state
 
 MATRIX = [f"matrix[{i}]" for i in range(16)]
@@ -42,8 +42,18 @@ def instance_bounds(instances: DataFrame, geometry: DataFrame) -> DataFrame:
     """(object_id, instance_id, minx..maxz): bounds of the eight transformed corners of each instance's geometry box.
 
     instances: object_id, instance_id, geom_id, matrix (16, column-major); geometry: geom_id, minx..maxz.
+    A geometry that also has a bounding sphere (sx, sy, sz, radius) shrinks the
+    bounds to those of the moved sphere, whose radius grows with the largest scale.
     """
-    joined = instances.join(geometry.select("geom_id", *BOX), "geom_id")
+    sphere = ["sx", "sy", "sz", "radius"]
+    joined = instances.join(geometry.select("geom_id", *BOX, *(c for c in sphere if c in geometry.columns)), "geom_id")
+    if set(sphere) <= set(geometry.columns):
+        largest = "greatest(" + ", ".join(f"sqrt({' + '.join(f'{MATRIX[4 * j + r]} * {MATRIX[4 * j + r]}' for r in range(3))})" for j in range(3)) + ")"
+        moved = dict(zip(("ux", "uy", "uz"), affine(MATRIX, ("sx", "sy", "sz")))) | {"reach": f"radius * {largest}"}
+        corner = [affine(MATRIX, tuple(f"{'max' if (k >> i) & 1 else 'min'}{c}" for i, c in enumerate(AXES))) for k in range(8)]
+        shrunk = {f"v{f}{c}": f"{g}(w{f}{c}, u{c} {s} reach)" for f, g, s in (("min", "greatest", "-"), ("max", "least", "+")) for c in AXES}
+        out = apply(joined, [bounds.of_points(corner, "w") | moved, shrunk])
+        return out.select("object_id", "instance_id", *(F.col(f"v{x}").alias(x) for x in BOX))
     corner = [affine(MATRIX, tuple(f"{'max' if (k >> i) & 1 else 'min'}{c}" for i, c in enumerate(AXES))) for k in range(8)]
     out = apply(joined, [bounds.of_points(corner, "w")])
     return out.select("object_id", "instance_id", *(F.col(f"w{x}").alias(x) for x in BOX))
@@ -121,4 +131,36 @@ def raycast_object(rays: DataFrame, tris: DataFrame, matrix: list[float], side:
     return found.drop("object_id", "instance_id")
 
 
-__all__ = ["collect_objects", "first_hits", "frustum_cull", "instance_bounds", "precise_bounds", "raycast_object", "raycast_scene"]
+def _placed(rays: DataFrame, matrix: list[float]) -> tuple[DataFrame, float]:
+    """Rays in the frame of an object placed by a matrix, and the mean of its three scales."""
+    m = np.array(matrix, float).reshape(4, 4).T
+    inverse = [f"cast({float(x)!r} as double)" for x in np.linalg.inv(m).T.ravel()]
+    moved = dict(zip([f"l{x}" for x in RAY], affine(inverse, vec("o")) + affine(inverse, vec("d"), "0e0")))
+    return apply(rays, [moved]).select("ray_id", *(F.col(f"l{x}").alias(x) for x in RAY)), float(np.sqrt((m[:3, :3] ** 2).sum(0)).mean())
+
+
+def _world(hits: DataFrame, rays: DataFrame, near: float | None, far: float | None, first: bool, prim: str) -> DataFrame:
+    """Distances along the world's rays: a ray's t is the same in any frame."""
+    length = rays.select("ray_id", F.expr("sqrt(dx * dx + dy * dy + dz * dz)").alias("length"))
+    out = hits.join(length, "ray_id").withColumn("distance", F.col("t") * F.col("length")).drop("length")
+    out = out if near is None else out.where(F.col("distance") >= near)
+    out = out if far is None else out.where(F.col("distance") <= far)
+    return first_hits(out, prim=prim) if first else out
+
+
+def raycast_object_points(rays: DataFrame, points: DataFrame, matrix: list[float], threshold: float, first: bool = False, near: float | None = None, far: float | None = None) -> DataFrame:
+    """World-space hits (ray_id, point_id, t, distance) on the points of an object placed by a matrix.
+
+    The threshold is of the world: in the object's frame it is divided by the mean of the object's scales.
+    """
+    local, scale = _placed(rays, matrix)
+    return _world(raycast_points(local, points, threshold / scale), rays, near, far, first, "point_id")
+
+
+def raycast_object_segments(rays: DataFrame, segments: DataFrame, matrix: list[float], threshold: float, first: bool = False, near: float | None = None, far: float | None = None) -> DataFrame:
+    """World-space hits (ray_id, seg_id, t, s, distance) on the segments of an object placed by a matrix; the threshold as for points."""
+    local, scale = _placed(rays, matrix)
+    return _world(raycast_segments(local, segments, threshold / scale), rays, near, far, first, "seg_id")
+
+
+__all__ = ["raycast_object_points", "raycast_object_segments", "collect_objects", "first_hits", "frustum_cull", "instance_bounds", "precise_bounds", "raycast_object", "raycast_scene"]

@@ -196,6 +196,28 @@ def tree(boxes: str, select: str, leaf_size: int = 10) -> str:
     return f"with recursive {nodes(boxes, leaf_size)} {select}"
 
 
+def hulls(points: str, key: str) -> str:
+    """(key, corner, x, y) by wrapping: from each corner to the point of the least turn, the farthest of equal ones. points: k, x, y."""
+    turn = "case when t > 2 * pi() - 1e-9 then 0e0 else t end"
+    step = "select w.k, w.corner, q.x, q.y, w.x0, w.y0, atan2(q.y - w.y, q.x - w.x) as heading, (atan2(q.y - w.y, q.x - w.x) - w.heading + 4 * pi()) % (2 * pi()) as t, (q.x - w.x) * (q.x - w.x) + (q.y - w.y) * (q.y - w.y) as far from walk as w join p as q on w.k = q.k and (w.x <> q.x or w.y <> q.y)"
+    ranked = f"select *, row_number() over (partition by k order by round({turn}, 9), far desc) as nr from ({step}) as s"
+    return (
+        f"with recursive p as materialized ({points}), "
+        "begun as (select k, x, y from (select *, row_number() over (partition by k order by x, y) as nr from p) as f where nr = 1), "
+        "walk as (select k, 0 as corner, x, y, x as x0, y as y0, -pi() / 2 as heading from begun "
+        f"union all select k, corner + 1, x, y, x0, y0, heading from ({ranked}) as r where nr = 1 and (x <> x0 or y <> y0)) "
+        f"select k as {key}, cast(corner as int) as corner, x, y from walk"
+    )
+
+
+def untold(matrix: list[str]) -> list[str]:
+    """Inverse of a turn and move, as SQL numbers."""
+    m = [float(x) for x in matrix]
+    turned = [[m[4 * i + c] for i in range(3)] for c in range(3)]  # columns of the transpose
+    back = [-sum(turned[c][r] * m[12 + c] for c in range(3)) for r in range(3)]
+    return [f"cast({x!r} as double)" for x in (*turned[0], 0.0, *turned[1], 0.0, *turned[2], 0.0, *back, 1.0)]
+
+
 def obb_aabb(boxes: str, others: str, world: list[str], local: list[str]) -> str:
     """(box_id, other_id, distance): corners against the other box, edges against edges, 0 if an edge of one enters the other.
 
