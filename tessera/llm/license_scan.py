@@ -137,8 +137,8 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] | DataFrame | No
 
     Words are runs of digits, letters and non-ASCII characters, A-Z folded;
     shingles are five words. Whole texts are scanned, of any length. Matches
-    of one template that overlap are one, with the best containment, of equal
-    ones the first. A text that is null, empty or has fewer than five words
+    of one template that overlap, or are nearer to each other than a quarter of
+    its length, are one, with the best containment, of equal ones the first. A text that is null, empty or has fewer than five words
     has no match. Repeated rows match alike, and rows with a null id are
     scanned as others; other columns are ignored, so their names cannot clash.
     An empty table gives an empty result. `templates`: texts by name, or a
