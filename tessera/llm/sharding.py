@@ -6,6 +6,11 @@ smallest shard capacity that lets `shards` contiguous pieces hold everything is
 found by binary search, each capacity checked greedily: a shard takes groups
 while they fit.
 
+Many cuts keep every shard within that capacity, and the largest shard of each
+of them has just that size, as no smaller one is feasible. Of these cuts those
+are taken that are nearest to equal parts, rather than the greedy walk's own,
+which would fill the first shards and leave the last ones empty.
+
 The ends stay in a table. The driver sees at most `resolution` buckets of them,
 each with its smallest and largest end. Greedy walks over the buckets' lower
 and upper bounds prove a capacity feasible or infeasible; where they can't
@@ -121,10 +126,12 @@ def _numbered(df: DataFrame, order: list[str], label: str) -> DataFrame:
 def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", resolution: int = 1 << 16) -> DataFrame:
     """One row per document: id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null).
 
+    The largest shard is as small as contiguous shards of whole groups can be.
     A null text is empty. Rows with equal texts share a shard. Slots count a
     shard's rows from 0 by id; null ids come first and repeated ids in any
-    order. With fewer groups than shards some shards stay empty. Other columns
-    are ignored. An empty table gives an empty result.
+    order. With fewer groups than shards some shards stay empty. A text of any
+    length is one group's. Other columns are ignored, so their names cannot
+    clash. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))

@@ -1,6 +1,7 @@
 """Operators over documents: brute force on hard tables, and on the driver's."""
 
 import collections
+import hashlib
 import math
 import random
 import zlib
@@ -221,7 +222,22 @@ def test_sharding(spark):
     groups = collections.Counter()
     for _, t in rows:
         groups[t or ""] += len((t or "").encode()) + 16
-    assert max(size.values()) <= max(max(groups.values()), -(-sum(groups.values()) // 7) + max(groups.values()))
+    first = {}
+    for i, t in rows:
+        first[t or ""] = min(first.get(t or "", (True, 0)), (i is not None, i or 0))
+    laid = [groups[t] for t in sorted(groups, key=lambda t: (first[t], hashlib.sha256(t.encode()).digest()))]
+
+    def fits(capacity):
+        n, at = 1, 0
+        for s in laid:
+            n, at = (n + 1, s) if at + s > capacity else (n, at + s)
+        return n <= 7
+
+    low, high = max(laid) - 1, sum(laid)
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (low, mid) if fits(mid) else (mid, high)
+    assert max(size.values()) == high
     assert shard_documents(table(spark, [])).collect() == []
 
 
@@ -254,6 +270,7 @@ def test_smallest_capacity_is_exact(seed):
         assert fits(capacity) and (capacity == max(sizes) or not fits(capacity - 1))
         cuts = balanced_cuts(known, shards, capacity)
         assert cuts[-1] == ends[-1] and all(b - a <= capacity and b >= a for a, b in zip([0, *cuts], cuts))
+        assert max(b - a for a, b in zip([0, *cuts], cuts)) == capacity  # the least that any cuts reach
 
 
 def test_scoring(spark):
