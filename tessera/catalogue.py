@@ -263,6 +263,33 @@ def shapecast_tiles(spark, d):
     return met.select("tri_id", "contained")
 
 
+@query("shapecast_points", f"select point_id from ({fx.POINTS}) as p where px + py > 8e1 and pz < 3e2")
+def shapecast_points(spark, d):
+    """Points beyond a slanted plane and below a height; tiles that lie wholly there skip the test."""
+    p = fx.points(spark, d)
+    cut, tiles = rays.tiled_boxes(p.withColumns({f"{f}{c}": F.col(f"p{c}") for f in ("min", "max") for c in AXES}), 500)
+    state = F.expr("case when maxx + maxy <= 8e1 or minz >= 3e2 then 0 when minx + miny > 8e1 and maxz < 3e2 then 2 else 1 end")
+    return regions.shapecast(tiles, cut, state, F.expr("px + py > 8e1 and pz < 3e2")).select("point_id")
+
+
+@query("shapecast_segments", f"select seg_id, round(sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0) + (z1 - z0) * (z1 - z0)), 6) as length from ({fx.SEGMENTS}) as s where least(y0, y1) > 4e1")
+def shapecast_segments(spark, d):
+    """Lengths of the segments above a height, by a function of whole tiles."""
+    s = geometry.polyline_segments(fx.polyline_points(spark, d), "user_id", ["ts", "point_id"])
+    cut, tiles = rays.tiled_boxes(s.withColumns({f"min{c}": F.least(f"{c}0", f"{c}1") for c in AXES} | {f"max{c}": F.greatest(f"{c}0", f"{c}1") for c in AXES}), 500)
+
+    def lengths(table, contained):
+        import numpy as np
+        import pyarrow as pa
+
+        c = {n: table.column(n).to_numpy() for n in ("x0", "y0", "z0", "x1", "y1", "z1")}
+        out = pa.table({"seg_id": table.column("seg_id"), "length": np.sqrt((c["x1"] - c["x0"]) ** 2 + (c["y1"] - c["y0"]) ** 2 + (c["z1"] - c["z0"]) ** 2)})
+        return out if contained else out.filter(pa.array(np.minimum(c["y0"], c["y1"]) > 40))
+
+    state = F.expr("case when maxy <= 4e1 then 0 when miny > 4e1 then 2 else 1 end")
+    return regions.shapecast_ranges(tiles, cut, state, lengths, "seg_id long, length double").withColumn("length", F.round("length", 6))
+
+
 # ---- nearest --------------------------------------------------------------
 
 _NEAR = f"select query_id, tri_id, sqrt(d2) as distance, kx, ky, kz from (select *, row_number() over (partition by query_id order by d2, tri_id) as nr from ({nested_sql(f'select * from ({fx.QUERY_POINTS}) as q, ({fx.TRIANGLES}) as t', exact.closest_on_triangle())}) as a) as b where nr = 1"
@@ -321,6 +348,10 @@ def sphere_pair_join(spark, d):
     return pairs.sphere_pairs(fx.spheres(spark, d))
 
 
+def _corner_of(side: str, p: str) -> Vec:
+    return tuple(f"{side}_{p}{c}" for c in AXES)
+
+
 def _lengths(found: DataFrame) -> DataFrame:
     gap = " + ".join(f"(e{c} - s{c}) * (e{c} - s{c})" for c in AXES)
     return found.select("a_id", "b_id", F.round(F.expr(f"sqrt({gap})"), 6).alias("length"))
@@ -353,6 +384,26 @@ def tri_tri_distance(spark, d):
 _ASIDE = [1.0, 0, 0, 0, 0, 1.0, 0, 0, 0, 0, 1.0, 0, 5.0, 0, 0, 1.0]
 
 
+_NORMAL_DOT = dot(cross(sub(_corner_of("a", "vb"), _corner_of("a", "a")), sub(_corner_of("a", "c"), _corner_of("a", "a"))), cross(sub(_corner_of("b", "vb"), _corner_of("b", "a")), sub(_corner_of("b", "c"), _corner_of("b", "a"))))
+
+
+@query("tri_pairs_batches", f"select a_id, b_id, {_NORMAL_DOT} > 0e0 as alike from ({oracles.box_near(fx.TRIANGLES, _SECOND)}) as x")
+def tri_pairs_batches(spark, d):
+    """A function of candidate pairs: whether two triangles near each other face alike."""
+
+    def facing(batch):
+        import numpy as np
+        import pyarrow as pa
+
+        def normal(side):
+            p, q, r = (np.stack([batch.column(f"{side}_{k}{c}").to_numpy() for c in AXES], 1) for k in ("a", "vb", "c"))
+            return np.cross(q - p, r - p)
+
+        return pa.RecordBatch.from_arrays([batch.column("a_id"), batch.column("b_id"), pa.array((normal("a") * normal("b")).sum(1) > 0)], names=["a_id", "b_id", "alike"])
+
+    return pairs.triangle_pairs_with(fx.triangles(spark, d), _second(spark, d), facing, "a_id long, b_id long, alike boolean")
+
+
 @query("closest_geometry", oracles.closest(fx.TRIANGLES, oracles.moved(fx.TRIANGLES, _ASIDE)))
 def closest_geometry(spark, d):
     t = fx.triangles(spark, d)
@@ -565,6 +616,21 @@ def scene_collect(spark, d):
     return scene.collect_objects(tree, spark.range(1), ("mesh", "line", "points"))
 
 
+@query("scene_visibility", "with recursive tree as (select cast(n_nationkey as bigint) as id, nullif(cast(n_nationkey // 3 as bigint) - 1, -1) as parent_id, n_nationkey % 7 <> 3 as visible from nation), down as (select id, visible as seen from tree where parent_id is null union all select t.id, t.visible and d.seen from tree as t join down as d on t.parent_id = d.id) select id, seen from down")
+def scene_visibility(spark, d):
+    tree = spark.read.parquet(f"{d}/nation.parquet").selectExpr("cast(n_nationkey as bigint) as id", "nullif(cast(n_nationkey div 3 as bigint) - 1, -1) as parent_id", "n_nationkey % 7 <> 3 as visible")
+    return scene.visible_objects(tree)
+
+
+@query("update_transforms", f"select object_id, instance_id, {', '.join(f'case when object_id = 2 then 2e0 * m{i} else m{i} end as m{i}' for i in range(16))}, visible and object_id <> 5 as visible from ({_INST}) as i")
+def update_transforms(spark, d):
+    inst = _instances(spark)
+    new = inst.where("object_id = 2").withColumn("matrix", F.transform("matrix", lambda x: x * 2))
+    seen = spark.range(9).selectExpr("id", "id <> 5 as seen")
+    out = scene.update_transforms(inst, seen, new)
+    return out.select("object_id", "instance_id", *(F.col("matrix")[i].alias(f"m{i}") for i in range(16)), "visible")
+
+
 @query("merge_offsets", "select o_custkey as geom_id, count(*) as n_vertices, cast(sum(count(*)) over (order by o_custkey rows unbounded preceding) - count(*) as bigint) as first_vertex from orders group by o_custkey")
 def merge_offsets(spark, d):
     n = spark.read.parquet(f"{d}/orders.parquet").groupBy(F.col("o_custkey").alias("geom_id")).agg(F.count("*").alias("n_vertices"))
@@ -898,6 +964,18 @@ def sculpt_brush(spark, d):
     return made.select("tri_id", *(F.round(x, 9).alias(x) for x in rays.TRIANGLE))
 
 
+@query("sculpt_refit", oracles.tree(_ROOTED, "select n.root_id, n.node_id, " + ", ".join(f"round(h.{x}, 9) as {x}" for x in BOX) + " from node as n join (select root_id, path, " + ", ".join(f"{f}(m.{f}{c}) as {f}{c}" for f in ("min", "max") for c in AXES) + " from member join (select tri_id as box_id, " + ", ".join(f"{g}({', '.join(f'{p}{c}' for p in ('a', 'vb', 'c'))}) as {f}{c}" for f, g in (("min", "least"), ("max", "greatest")) for c in AXES) + f" from ({ORACLES['sculpt_brush']}) as s) as m using (box_id) group by root_id, path) as h on n.root_id = h.root_id and n.path = h.path"))
+def sculpt_refit(spark, d):
+    """A brush moves triangles; the leaves that hold them and the nodes above are refitted."""
+    nodes, order, _ = _index(spark, d)
+    t, brush = fx.triangles(spark, d), fx.spheres(spark, d)
+    after = regions.boxed(composite.sculpt(t, brush, 0.01)).select(F.col("tri_id").alias("box_id"), *BOX)
+    touched = order.join(regions.select_region(brush, t).select(F.col("tri_id").alias("box_id")).distinct(), "box_id", "left_semi").select(F.col("root_id").alias("r"), "slot")
+    dirty = nodes.where("is_leaf").join(touched, (F.col("root_id") == F.col("r")) & (F.col("slot") >= F.col("offset")) & (F.col("slot") < F.col("offset") + F.col("count")), "left_semi")
+    fresh = index.refit(nodes, order, after, dirty.select("root_id", "node_id"))
+    return fresh.select("root_id", "node_id", *(F.round(x, 9).alias(x) for x in BOX))
+
+
 @query("capsule_push_out")
 def capsule_push_out(spark, d):
     p = fx.spheres(spark, d).selectExpr("sphere_id as probe_id", "px", "py", "pz", "px as qx", "py as qy", "pz + 1e-1 as qz", "r")
@@ -1012,6 +1090,23 @@ def refit_hinted(spark, d):
     return index.refit(nodes, order, moved, dirty.select("root_id", "node_id")).select("root_id", "node_id", *BOX)
 
 
+@query("batched_build", oracles.tree(f"select cast(b.box_id % 3 as int) as root_id, * from ({fx.AABBS}) as b", "select root_id, node_id, depth, is_leaf, count from node", 4))
+def batched_build(spark, d):
+    """One hierarchy for each geometry of a batch, with leaves of four."""
+    b = fx.aabbs(spark, d).withColumn("geom_id", F.col("box_id") % 3)
+    return index.build_nodes(b, "geom_id", leaf_size=4)[0].select("root_id", "node_id", "depth", "is_leaf", "count")
+
+
+@query("packed_nodes", oracles.tree(_ROOTED, "select n.root_id, n.node_id, coalesce((select r.node_id from node as r where r.root_id = n.root_id and r.path = n.path || 'R'), -1) as right_id, n.is_leaf, case when n.is_leaf then n.count end as count, true as covers, (select count(*) * 32 from node as k where k.root_id = n.root_id) as bytes from node as n"))
+def packed_nodes(spark, d):
+    """Nodes packed to 32 bytes each and read back; single-precision bounds must hold the exact ones."""
+    nodes = _index(spark, d)[0]
+    packed = index.pack(nodes)
+    exactly = nodes.select("root_id", "node_id", *(F.col(x).alias(f"e_{x}") for x in BOX))
+    back = index.unpack(packed).join(exactly, ["root_id", "node_id"]).join(packed.select("root_id", F.octet_length("packed").cast("long").alias("bytes")), "root_id")
+    return back.select("root_id", "node_id", "right_id", "is_leaf", "count", F.expr(bounds.contains_box("", "e_")).alias("covers"), "bytes")
+
+
 @query("index_round_trip", oracles.tree(_ROOTED, "select v as version, n.root_id, n.node_id, coalesce((select r.node_id from node as r where r.root_id = n.root_id and r.path = n.path || 'R'), -1) as right_id, n.count from node as n, (select unnest([0, 1]) as v) as k"))
 def index_round_trip(spark, d):
     """Nodes as read from files of the old and of the present version."""

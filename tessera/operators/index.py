@@ -223,6 +223,52 @@ def wireframe(nodes: DataFrame, depth: int) -> DataFrame:
     return at.select("root_id", "node_id", "corner", *(v.alias(k) for k, v in pick.items()))
 
 
+def pack(nodes: DataFrame) -> DataFrame:
+    """(root_id, packed): a root's nodes in pre-order, 32 bytes each.
+
+    A record has the bounds as six floats, outwards, then for a leaf its offset and count, for
+    another node the distance to its right child and its split axis with the
+    highest bit set (little-endian).
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node_id")
+        n = table.num_rows
+        box = np.stack([table.column(x).to_numpy() for x in BOX], 1)
+        record = np.zeros(n, _PACKED)
+        near = box.astype(np.float32)
+        out = np.concatenate([near[:, :3].astype(float) > box[:, :3], near[:, 3:].astype(float) < box[:, 3:]], 1)
+        to = np.where(np.arange(6) < 3, np.float32(-np.inf), np.float32(np.inf))
+        record["box"] = np.where(out, np.nextafter(near, to), near)  # rounding must not cut anything off
+        leaf = table.column("is_leaf").to_numpy(zero_copy_only=False)
+        right, ids = table.column("right_id").to_numpy(), table.column("node_id").to_numpy()
+        record["first"] = np.where(leaf, table.column("offset").to_numpy(), right - ids)
+        record["second"] = np.where(leaf, table.column("count").to_numpy(), table.column("split_axis").to_numpy().astype(np.int64) | 1 << 31)
+        return pa.table({"root_id": table.column("root_id").slice(0, 1), "packed": pa.array([record.tobytes()])})
+
+    return nodes.groupBy("root_id").applyInArrow(run, "root_id int, packed binary")
+
+
+_PACKED = np.dtype([("box", "<f4", 6), ("first", "<u4"), ("second", "<u4")])
+
+
+def unpack(packed: DataFrame) -> DataFrame:
+    """(root_id, node_id, right_id, is_leaf, split_axis, offset, count, minx..maxz) of packed roots; offset and count are of leaves alone."""
+    kinds = {"root_id": "int", "node_id": "long", "right_id": "long", "is_leaf": "boolean", "split_axis": "int", "offset": "long", "count": "long"} | {x: "double" for x in BOX}
+
+    def run(batches):
+        for batch in batches:
+            for root, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                r = np.frombuffer(raw, _PACKED)
+                n, leaf = len(r), r["second"] < 1 << 31
+                first, second, ids = r["first"].astype(np.int64), r["second"].astype(np.int64), np.arange(n)
+                cols = [np.full(n, root, np.int32), ids, np.where(leaf, -1, ids + first), leaf, np.where(leaf, -1, second & 3).astype(np.int32)]
+                spans = [pa.array(x, mask=~leaf) for x in (first, second)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), *spans, *(pa.array(r["box"][:, i].astype(float)) for i in range(6))], names=list(kinds))
+
+    return packed.select("root_id", "packed").mapInArrow(run, ", ".join(f"{k} {t}" for k, t in kinds.items()))
+
+
 def memory_estimate(nodes: DataFrame) -> DataFrame:
     """Bytes of the packed nodes of each root, 32 a node."""
     return nodes.groupBy("root_id").agg((F.count("*") * 32).alias("bytes"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -145,6 +147,17 @@ def shapecast(nodes: DataFrame, primitives: DataFrame, intersects_bounds: Column
     return out.limit(1) if first_only else out
 
 
+def shapecast_ranges(nodes: DataFrame, primitives: DataFrame, intersects_bounds: Column, intersects_range: Callable[[pa.Table, bool], pa.Table], schema: str) -> DataFrame:
+    """The same with a function of whole tiles: (primitives of a tile, whether it is contained) -> rows of `schema`."""
+    state = nodes.select("tile", intersects_bounds.alias("state")).where(F.col("state") != NOT_INTERSECTED)
+    met = primitives.join(state, "tile")
+
+    def run(table: pa.Table) -> pa.Table:
+        return intersects_range(table.drop(["state"]), table.column("state")[0].as_py() == CONTAINED)
+
+    return met.groupBy("tile").applyInArrow(run, schema)
+
+
 def points_in_boxes(points: DataFrame, boxes: DataFrame) -> DataFrame:
     """(box_id, point_id) of points (point_id, px..pz) inside oriented boxes (box_id, minx..maxz, m0..m15: world to local)."""
     m = [f"m{i}" for i in range(16)]

@@ -38,6 +38,27 @@ def collect_objects(scene: DataFrame, roots: DataFrame, kinds: tuple[str, ...] =
     return scene.where(F.col("kind").isin(*kinds)).join(found, "id", "left_semi").select("id").distinct()
 
 
+def visible_objects(scene: DataFrame) -> DataFrame:
+    """(id, seen) of scene (parent_id, id, visible): whether an object and all above it are visible, level by level from those without a parent."""
+    level = cut(scene.where("parent_id is null").select("id", F.col("visible").alias("seen")))
+    found, turn = level, 0
+    while not level.isEmpty():
+        above = level.select(F.col("id").alias("parent_id"), "seen")
+        level = cut(scene.join(above, "parent_id").select("id", (F.col("visible") & F.col("seen")).alias("seen")).join(found.select("id"), "id", "left_anti"))
+        found, turn = found.unionAll(level), turn + 1
+        if turn % 16 == 0:
+            found = cut(found)
+    return found
+
+
+def update_transforms(instances: DataFrame, seen: DataFrame, matrices: DataFrame) -> DataFrame:
+    """instances with the matrices (object_id, instance_id, matrix) that have changed, visible where they and their object (id, seen) are; their bounds follow by instance_bounds, those of an index by refit."""
+    new = matrices.select("object_id", "instance_id", F.col("matrix").alias("new_matrix"))
+    joined = instances.join(new, ["object_id", "instance_id"], "left").join(seen.withColumnRenamed("id", "object_id"), "object_id", "left")
+    out = joined.withColumns({"matrix": F.coalesce("new_matrix", "matrix"), "visible": F.col("visible") & F.coalesce("seen", F.lit(True))})
+    return out.select(*instances.columns)
+
+
 def instance_bounds(instances: DataFrame, geometry: DataFrame) -> DataFrame:
     """(object_id, instance_id, minx..maxz): bounds of the eight transformed corners of each instance's geometry box.
 
