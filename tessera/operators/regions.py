@@ -7,6 +7,8 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions import bounds, exact, kernels
 from ..functions.staged import apply, matching
@@ -64,12 +66,21 @@ def box_hits(boxes: DataFrame, tris: DataFrame, strategy: str = "auto") -> DataF
     return pairs.select("box_id", "tri_id", *BOX, *TRIANGLE).mapInArrow(run, "box_id long, tri_id long")
 
 
+def placed_box(matrix: str, prefix: str, wider: str | None = None) -> list[dict[str, str]]:
+    """Steps: bounds (prefix_minx..) of the box minx..maxz moved by a matrix column; widened by an expression of {}, the bound."""
+    m = [f"{prefix}w{i}" for i in range(16)]
+    corners_ = [tuple(f"{prefix}k{k}{c}" for c in AXES) for k in range(8)]
+    moved = {n: e for k, names in enumerate(corners_) for n, e in zip(names, affine(m, tuple(f"{'max' if (k >> i) & 1 else 'min'}{c}" for i, c in enumerate(AXES))))}
+    box = bounds.of_points(corners_, prefix)
+    if wider:
+        box = {n: f"{e} {'-' if n.startswith(f'{prefix}min') else '+'} {wider.format(e)}" for n, e in box.items()}
+    return [{x: f"{matrix}[{i}]" for i, x in enumerate(m)}, moved, box]
+
+
 def oriented_box_hits(boxes: DataFrame, tris: DataFrame) -> DataFrame:
     """(box_id, tri_id) of boxes (box_id, minx..maxz, inverse: array of 16, world to local) and triangles, by a kernel on box candidates."""
-    m = [f"world[{i}]" for i in range(16)]
-    at = boxes.select("box_id", *BOX, "inverse", _inverted(F.col("inverse")).alias("world"))
-    corner = [affine(m, tuple(f"{'max' if (k >> i) & 1 else 'min'}{c}" for i, c in enumerate(AXES))) for k in range(8)]
-    pairs = candidates(at, tris.select("tri_id", *TRIANGLE), bounds.of_points(corner, "a_"))
+    at = apply(boxes.select("box_id", *BOX, "inverse", _inverted(F.col("inverse")).alias("world")), placed_box("world", "a_"))
+    pairs = plan.box_join(at.select("box_id", *BOX, "inverse", *(f"a_{x}" for x in BOX)), boxed(tris.select("tri_id", *TRIANGLE), "b_"))
 
     def run(batches):
         for batch in batches:
@@ -82,20 +93,18 @@ def oriented_box_hits(boxes: DataFrame, tris: DataFrame) -> DataFrame:
     return pairs.select("box_id", "tri_id", "inverse", *BOX, *TRIANGLE).mapInArrow(run, "box_id long, tri_id long")
 
 
-def _inverted(matrix: Column) -> Column:
-    """Inverse of an affine column-major matrix, as an array expression."""
-    from ..functions.vectors import cross, determinant
-
-    m = [matrix[i] for i in range(16)]
-    e = lambda r, c: m[4 * c + r]
-    cof = [[e((r + 1) % 3, (c + 1) % 3) * e((r + 2) % 3, (c + 2) % 3) - e((r + 1) % 3, (c + 2) % 3) * e((r + 2) % 3, (c + 1) % 3) for c in range(3)] for r in range(3)]
-    det = e(0, 0) * cof[0][0] + e(0, 1) * cof[0][1] + e(0, 2) * cof[0][2]
-    det = F.when(det != 0, det)
-    out: list[Column] = []
-    for c in range(3):
-        out += [cof[c][r] / det for r in range(3)] + [F.lit(0.0)]
-    shift = [-(out[r] * e(0, 3) + out[4 + r] * e(1, 3) + out[8 + r] * e(2, 3)) for r in range(3)]
-    return F.array(*out, *shift, F.lit(1.0))
+@arrow_udf(ArrayType(DoubleType()))
+def _inverted(matrices: pa.Array) -> pa.Array:
+    """Inverses of affine column-major matrices; null for a singular one. As an expression this is too long to be compiled where each element is used."""
+    flat = matrices.flatten().to_numpy(zero_copy_only=False).reshape(-1, 4, 4)
+    known = np.flatnonzero(matrices.is_valid().to_numpy(zero_copy_only=False))
+    regular = np.linalg.det(flat[:, :3, :3]) != 0
+    out = np.full((len(matrices), 16), np.nan)
+    out[known[regular]] = np.linalg.inv(flat[regular]).reshape(-1, 16)  # rows and columns are swapped before and after
+    null = np.ones(len(matrices), bool)
+    null[known[regular]] = False
+    ends = np.arange(len(matrices) + 1, dtype=np.int32) * 16
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel()), mask=pa.array(null))
 
 
 def exists(shapes: DataFrame, hits: DataFrame, key: str, name: str) -> DataFrame:
@@ -164,19 +173,15 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame) -> DataFrame:
     points, boxes = points.select("point_id", *vec("p")), boxes.select("box_id", *BOX, *m)
     pairs = plan.cross_small(points, boxes)
     if pairs is None:  # both are large: points as boxes without extent meet the bounds of the boxes in the world
-        world = boxes.withColumn("world", _inverted(F.array(*m)))
-        w = [f"world[{i}]" for i in range(16)]
-        corner = [affine(w, tuple(f"{'max' if (k >> i) & 1 else 'min'}{c}" for i, c in enumerate(AXES))) for k in range(8)]
-        wide = {n: f"{e} {'-' if n.startswith('b_min') else '+'} 1e-9 * (1e0 + abs({e}))" for n, e in bounds.of_points(corner, "b_").items()}
-        pairs = plan.box_join(apply(points, [{f"a_{f}{c}": f"p{c}" for f in ("min", "max") for c in AXES}]), apply(world, [wide]), strategy="cells")
+        world = apply(boxes.withColumn("world", _inverted(F.array(*m))), placed_box("world", "b_", "1e-9 * (1e0 + abs({}))"))
+        pairs = plan.box_join(apply(points, [{f"a_{f}{c}": f"p{c}" for f in ("min", "max") for c in AXES}]), world.select("box_id", *BOX, *m, *(f"b_{x}" for x in BOX)), strategy="cells")
     return matching(pairs, [exact.box_point_local(m, vec("p"))], bounds.contains_point("", vec("l"))).select("box_id", "point_id")
 
 
 def oriented_box_overlaps(boxes: DataFrame, others: DataFrame) -> DataFrame:
     """(box_id, other_id) of oriented boxes (box_id, minx..maxz, inverse: world to local) that overlap aligned ones (other_id, minx..maxz), by the fifteen separating axes."""
-    m = [f"world[{i}]" for i in range(16)]
-    corner = [affine(m, tuple(f"{'max' if (k >> i) & 1 else 'min'}{c}" for i, c in enumerate(AXES))) for k in range(8)]
-    left = apply(boxes.select("box_id", *BOX, "inverse", _inverted(F.col("inverse")).alias("world")), [bounds.of_points(corner, "a_")])
+    left = apply(boxes.select("box_id", *BOX, "inverse", _inverted(F.col("inverse")).alias("world")), placed_box("world", "a_"))
+    left = left.select("box_id", *BOX, "world", *(f"a_{x}" for x in BOX))
     right = others.select("other_id", *(F.col(x).alias(f"b_{x}") for x in BOX))
     pairs = plan.box_join(left, right).select("box_id", "other_id", *BOX, "world", *(f"b_{x}" for x in BOX))
 
@@ -193,10 +198,9 @@ def oriented_box_overlaps(boxes: DataFrame, others: DataFrame) -> DataFrame:
 def oriented_box_point_distances(points: DataFrame, boxes: DataFrame, within: float) -> DataFrame:
     """(box_id, point_id, distance) of points (point_id, px..pz) no farther than `within` from oriented boxes (box_id, minx..maxz, inverse); 0 inside."""
     m, w = [f"inverse[{i}]" for i in range(16)], [f"world[{i}]" for i in range(16)]
-    corner = [affine(w, tuple(f"{'max' if (k >> i) & 1 else 'min'}{c}" for i, c in enumerate(AXES))) for k in range(8)]
     reach = f"cast({within * (1 + 1e-9) + 1e-9!r} as double)"
-    around = {n: f"{e} {'-' if n.startswith('b_min') else '+'} {reach}" for n, e in bounds.of_points(corner, "b_").items()}
-    right = apply(boxes.select("box_id", *BOX, "inverse", _inverted(F.col("inverse")).alias("world")), [around])
+    right = apply(boxes.select("box_id", *BOX, "inverse", _inverted(F.col("inverse")).alias("world")), placed_box("world", "b_", reach))
+    right = right.select("box_id", *BOX, "inverse", "world", *(f"b_{x}" for x in BOX))
     pairs = plan.box_join(apply(points.select("point_id", *vec("p")), [{f"a_{f}{c}": f"p{c}" for f in ("min", "max") for c in AXES}]), right)
     clamped = {f"k{c}": f"least(greatest(l{c}, min{c}), max{c})" for c in AXES}
     placed = dict(zip(vec("g"), affine(w, vec("k"))))

@@ -95,6 +95,11 @@ def cell_join(left: DataFrame, right: DataFrame, a: str = "a_", b: str = "b_") -
     return met.drop(*keys, f"{a}level", f"{b}level")
 
 
+def _known(df: DataFrame, p: str) -> DataFrame:
+    """df with bounds that are never null (NaN overlaps nothing): else the optimizer would test for nulls below all that computes them, and so compute it twice."""
+    return df.withColumns({f"{p}{f}{c}": F.coalesce(F.col(f"{p}{f}{c}").cast("double"), F.lit(float("nan"))) for f in ("min", "max") for c in AXES})
+
+
 def _rows(df: DataFrame) -> int:
     return estimated_bytes(df) // (8 * len(df.columns)) + 1
 
@@ -112,6 +117,7 @@ def dealt(left: DataFrame, right: DataFrame, key: list[str], limit: int) -> tupl
 
 def box_join(left: DataFrame, right: DataFrame, a: str = "a_", b: str = "b_", strategy: str = "auto") -> DataFrame:
     """All pairs of overlapping boxes; the strategy changes the plan, never the rows."""
+    left, right = _known(left, a), _known(right, b)
     if strategy == "nested" or strategy == "auto" and _rows(left) * _rows(right) <= NESTED_PAIRS:
         crossed = cross_small(left, right)
         if crossed is not None:
