@@ -208,8 +208,12 @@ def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def near_duplicate_links(spark: SparkSession, rows: DataFrame, nodes: DataFrame, threshold: float, rounds: int = 1) -> DataFrame:
-    """Verified links (a, b) between nodes (node, doc, tag, bands) that join all components of the full graph."""
+def near_duplicate_links(spark: SparkSession, rows: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """Verified links (a, b) between nodes (node, doc, tag, bands) that join all components of the full graph.
+
+    Members meet new leaders for as long as that leaves a quarter fewer of
+    them outside their bucket's largest component than before.
+    """
     banded = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     bucket = ["band", "key"]
     full = banded.groupBy(*bucket).agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select(*bucket, "n")
@@ -220,9 +224,9 @@ def near_duplicate_links(spark: SparkSession, rows: DataFrame, nodes: DataFrame,
     members = materialize(members.drop("n").join(near, "node"), "near-members")
     possible = lambda u, v: (1 - F.col(u)) * (1 - F.col(v)) >= (threshold - 1e-9) * (1 - F.col(u) * F.col(v))
 
-    seen = links = None
-    component = None
-    for turn in range(rounds + 1):
+    seen = links = component = None
+    turn, left = 0, None
+    while True:
         placed = members if component is None else members.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
         # Each member against its bucket's leaders.
         rank = F.struct(F.col("own"), F.col("node")) if turn == 0 else F.struct(F.xxhash64("node", "band", F.lit(turn)), F.col("node"))
@@ -241,21 +245,30 @@ def near_duplicate_links(spark: SparkSession, rows: DataFrame, nodes: DataFrame,
         links = fresh if links is None else links.unionAll(fresh)
         seen = pairs if seen is None else seen.unionAll(pairs)
         component = materialize(connected_components(links), "components")
-    return links.unionAll(_across(members, component, bucket, packed, possible, threshold))
+        mixed = _mixed(members, component, bucket)
+        outside = mixed.where("component <> main").count()
+        turn += 1
+        if not outside or left is not None and outside > 0.75 * left:
+            return links.unionAll(_across(mixed, bucket, packed, possible, threshold))
+        left = outside
+
+
+def _mixed(members: DataFrame, component: DataFrame, bucket: list[str]) -> DataFrame:
+    """Members of the buckets that hold more than one component, with their own and the bucket's largest (main)."""
+    placed = members.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = placed.groupBy(*bucket, "component").count()
+    largest = sizes.groupBy(*bucket).agg(F.max(F.struct("count", "component")).alias("top"), F.min("component").alias("low"), F.max("component").alias("high"))
+    largest = materialize(largest.where("low < high").select(*bucket, F.col("top.component").alias("main")), "mixed-buckets")
+    return materialize(placed.select("node", "own", *bucket, "component").join(largest, bucket), "mixed")
 
 
-def _across(members: DataFrame, component: DataFrame, bucket: list[str], packed: DataFrame, possible, threshold: float) -> DataFrame:
+def _across(mixed: DataFrame, bucket: list[str], packed: DataFrame, possible, threshold: float) -> DataFrame:
     """Links between the members outside their bucket's largest component and the rest of the bucket.
 
-    Members without a possible partner go first, by semi-joins. The others
+    Members without a possible partner go first, by semi-joins of ids alone. The others
     meet in blocks of BLOCK by BLOCK members: a task compares two blocks and
     emits links, never pairs.
     """
-    placed = members.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sizes = placed.groupBy(*bucket, "component").count()
-    largest = sizes.groupBy(*bucket).agg(F.max(F.struct("count", "component")).alias("top"), F.min("component").alias("low"), F.max("component").alias("high"))
-    largest = materialize(largest.where("low < high").select(*bucket, F.col("top.component").alias("main")), "mixed-buckets")
-    mixed = materialize(placed.select("node", "own", *bucket, "component").join(largest, bucket), "mixed")
     named = lambda df, t: df.select(*bucket, *(F.col(c).alias(f"{t}_{c}") for c in ("node", "own", "component")))
     outside, inside = named(mixed.where("component <> main"), "o"), named(mixed, "i")
     partner = [*(outside[c] == inside[c] for c in bucket), outside["o_component"] != inside["i_component"], possible("o_own", "i_own")]
