@@ -54,6 +54,16 @@ def ray_all_hits(spark, d):
     return rays.raycast(fx.rays(spark, d), fx.triangles(spark, d))
 
 
+_ASIDE_RAYS = f"select ray_id, ox + 1e-3 as ox, oy - 2e-3 as oy, oz, dx, dy, dz from ({fx.RAYS}) as r"
+
+
+@query("ray_hits_by_planes", f"select ray_id, tri_id, round(distance, 6) as distance from ({oracles.ray_hits(_ASIDE_RAYS, fx.TRIANGLES)}) as x")
+def ray_hits_by_planes(spark, d):
+    """Against planes and areas; the rays are moved a little, as each goes exactly through a corner, where rounding decides."""
+    r = fx.rays(spark, d).withColumns({"ox": F.col("ox") + 1e-3, "oy": F.col("oy") - 2e-3})
+    return rays.raycast(r, fx.triangles(spark, d)).select("ray_id", "tri_id", F.round("distance", 6).alias("distance"))
+
+
 @query("ray_all_hits_nested", f"select {_HIT} from ({_hits_sql()}) as x")
 def ray_all_hits_nested(spark, d):
     return rays.raycast(fx.rays(spark, d), fx.triangles(spark, d), strategy="nested")
@@ -199,6 +209,12 @@ def box_hits(spark, d):
     return regions.box_hits(fx.boxes(spark, d), fx.triangles(spark, d))
 
 
+@query("box_hits_edges", oracles.box_crossings(fx.BOXES, fx.TRIANGLES))
+def box_hits_edges(spark, d):
+    """The same by separating axes, against edges that go through faces."""
+    return regions.box_hits(fx.boxes(spark, d), fx.triangles(spark, d))
+
+
 @query("box_intersects_tris", f"select box_id, box_id in (select box_id from ({_BOX_HITS}) as y) as intersects from ({fx.BOXES}) as z")
 def box_intersects_tris(spark, d):
     return regions.intersects_box(fx.boxes(spark, d), fx.triangles(spark, d))
@@ -300,6 +316,12 @@ def closest_point_to_triangles(spark, d):
     return nearest.closest_point(fx.query_points(spark, d), fx.triangles(spark, d))
 
 
+@query("closest_distance", oracles.nearest(fx.QUERY_POINTS, fx.TRIANGLES))
+def closest_distance(spark, d):
+    """The distances alone, against feet over faces and points of edges."""
+    return nearest.closest_point(fx.query_points(spark, d), fx.triangles(spark, d)).select("query_id", F.round("distance", 6).alias("distance"))
+
+
 @query("closest_point_nested", _NEAR)
 def closest_point_nested(spark, d):
     return nearest.closest_point(fx.query_points(spark, d), fx.triangles(spark, d), strategy="nested")
@@ -1056,6 +1078,25 @@ def skinned_raycast(spark, d):
 _SHORT = "select query_id as seg_id, px as x0, py as y0, pz as z0, px + 1e-1 as x1, py as y1, pz - 1e-1 as z1 from (" + fx.QUERY_POINTS + ") as q"
 
 
+_LINE_GAP = f"abs({dot(sub(vec('q'), vec('p')), cross(vec('d'), vec('e')))}) / sqrt({dot(cross(vec('d'), vec('e')), cross(vec('d'), vec('e')))})"
+_LINES = {t: f"select query_id as {t}_id, " + ", ".join(f"p{c} as {p}{c}" for c in AXES) + ", " + ", ".join(f"{e} as {v}{c}" for c, e in zip(AXES, x)) + f" from ({fx.QUERY_POINTS}) as q where query_id < {n}" for t, p, v, x, n in (("a", "p", "d", ("1e0 + px", "2e0", "pz"), 60), ("b", "q", "e", ("py", "-1e0", "5e-1"), 80))}
+
+
+@query("line_distances", f"select a_id, b_id, round({_LINE_GAP}, 6) as distance from ({_LINES['a']}) as l, ({_LINES['b']}) as r")
+def line_distances(spark, d):
+    q = fx.query_points(spark, d)
+    line = lambda n, x, y, z: q.where(F.col("query_id") < n).selectExpr("query_id as seg_id", "px as x0", "py as y0", "pz as z0", f"px + ({x}) as x1", f"py + ({y}) as y1", f"pz + ({z}) as z1")
+    found = pairs.line_distances(line(60, "1e0 + px", "2e0", "pz"), line(80, "py", "-1e0", "5e-1"))
+    return found.select("a_id", "b_id", F.round("distance", 6).alias("distance"))
+
+
+@query("degenerate_triangles", f"select tri_id, case when tri_id % 10 = 0 then 'point' when tri_id % 5 = 0 then 'segment' else 'triangle' end as shape from ({fx.TRIANGLES}) as t")
+def degenerate_triangles(spark, d):
+    """Of triangles some of which were folded onto a corner or an edge."""
+    folded = {f"vb{c}": F.expr(f"case when tri_id % 5 = 0 then a{c} else vb{c} end") for c in AXES} | {f"c{c}": F.expr(f"case when tri_id % 10 = 0 then a{c} else c{c} end") for c in AXES}
+    return pairs.degenerate_triangles(fx.triangles(spark, d).withColumns(folded))
+
+
 @query("segment_triangle_distance", oracles.segment_distances(_SHORT, fx.TRIANGLES, "5e-2"))
 def segment_triangle_distance(spark, d):
     s = fx.query_points(spark, d).selectExpr("query_id as seg_id", "px as x0", "py as y0", "pz as z0", "px + 1e-1 as x1", "py as y1", "pz - 1e-1 as z1")

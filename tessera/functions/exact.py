@@ -75,6 +75,29 @@ def ray_segment(p=vec("p"), q=vec("q")) -> Steps:
     ]
 
 
+def line_line(p=vec("p"), d=vec("d"), q=vec("q"), e=vec("e")) -> Steps:
+    """t, s: where the lines p + t d and q + s e are nearest to each other (0 and the foot of p for parallel ones); gap2: their squared distance."""
+    return [
+        named("r", sub(p, q)),
+        {"dd": dot(d, d), "ee": dot(e, e), "de": dot(d, e), "dr": dot(d, vec("r")), "er": dot(e, vec("r"))},
+        {"det": "dd * ee - de * de"},
+        {"t": "case when det > 1e-15 * dd * ee then (de * er - ee * dr) / det else 0e0 end"},
+        {"s": "coalesce((er + t * de) / nullif(ee, 0e0), 0e0)"},
+        {"gap2": length2(sub(add(p, scale(d, "t")), add(q, scale(e, "s"))))},
+    ]
+
+
+#: Edges shorter than this are of no length (fixed value).
+NO_LENGTH = "1e-15"
+
+
+def degeneracy() -> Steps:
+    """shape: 'point' where the corners of a triangle are one, 'segment' where two of them are, else 'triangle'."""
+    edges = {f"l{i}": length(sub(y, x)) for i, (x, y) in enumerate(((A, B), (B, C), (C, A)))}
+    short = [f"cast(l{i} < {NO_LENGTH} as int)" for i in range(3)]
+    return [edges, {"shape": f"case {' + '.join(short)} when 0 then 'triangle' when 1 then 'segment' else 'point' end"}]
+
+
 def box_point_local(m: list[str], p) -> dict[str, str]:
     """A point in the frame of an oriented box, given the inverse matrix."""
     return named("l", affine(m, p))

@@ -152,6 +152,43 @@ def box_triangles(boxes: str, tris: str) -> str:
     return f"select box_id, tri_id from ({nested_sql(f'select * from ({boxes}) as b, ({tris}) as t where {near}', steps)}) as x where {test}"
 
 
+def box_crossings(boxes: str, tris: str) -> str:
+    """(box_id, tri_id) of boxes and triangles that meet: an edge of the triangle enters the box, or one of the box goes through the triangle."""
+    near = " and ".join(f"least(a{c}, vb{c}, c{c}) <= max{c} and greatest(a{c}, vb{c}, c{c}) >= min{c}" for c in AXES)
+    pairs = f"select * from ({boxes}) as b, ({tris}) as t where {near}"
+
+    def corner(k: int) -> Vec:
+        return tuple(f"{'max' if (k >> i) & 1 else 'min'}{c}" for i, c in enumerate(AXES))
+
+    a, b, c = (vec(p) for p in CORNERS)
+    box = ", ".join(f"min{x}, max{x}" for x in AXES)
+    sides = _exploded(pairs, f"box_id, tri_id, {box}", [_struct(p=x, q=y) for x, y in ((a, b), (b, c), (c, a))])
+    lows, highs = [], []
+    for x in AXES:
+        g = f"nullif(q{x} - p{x}, 0e0)"
+        inside = f"case when p{x} >= min{x} and p{x} <= max{x} then {{}} else {{}} end"
+        lows.append(f"coalesce(least((min{x} - p{x}) / {g}, (max{x} - p{x}) / {g}), {inside.format('0e0', '2e0')})")
+        highs.append(f"coalesce(greatest((min{x} - p{x}) / {g}, (max{x} - p{x}) / {g}), {inside.format('1e0', '-1e0')})")
+    entered = f"select box_id, tri_id from ({sides}) as s where greatest(0e0, {', '.join(lows)}) <= least(1e0, {', '.join(highs)})"
+    edges = [(k, k | 1 << i) for k in range(8) for i in range(3) if not (k >> i) & 1]
+    through = _exploded(pairs, "box_id, tri_id", [_struct(p=corner(i), q=corner(j), u=a, v=b, w=c) for i, j in edges])
+    steps = [
+        {f"n{x}": e for x, e in zip(AXES, cross(sub(vec("v"), vec("u")), sub(vec("w"), vec("u"))))},
+        {"hp": dot(sub(vec("p"), vec("u")), vec("n")), "hq": dot(sub(vec("q"), vec("u")), vec("n"))},
+        {f"x{x}": e for x, e in zip(AXES, add(vec("p"), scale(sub(vec("q"), vec("p")), "(hp / nullif(hp - hq, 0e0))")))},
+    ]
+    inside = " and ".join(dot(cross(sub(vec(j), vec(i)), sub(vec("x"), vec(i))), vec("n")) + " >= 0e0" for i, j in (("u", "v"), ("v", "w"), ("w", "u")))
+    pierced = f"select box_id, tri_id from ({nested_sql(through, steps)}) as e where hp <> hq and hp * hq <= 0e0 and {inside}"
+    return f"select distinct box_id, tri_id from ({entered} union all {pierced}) as m"
+
+
+def nearest(points: str, tris: str) -> str:
+    """(query_id, distance) of points and the nearest triangle."""
+    steps, d2 = _point_to_triangle()
+    renamed = "select tri_id, " + ", ".join(f"{p}{c} as {n}{c}" for p, n in zip(CORNERS, ("u", "v", "w")) for c in AXES) + f" from ({tris}) as t"
+    return f"select query_id, round(sqrt(min({d2})), 6) as distance from ({nested_sql(f'select * from ({points}) as q, ({renamed}) as r', steps)}) as x group by query_id"
+
+
 def ray_hits(rays: str, tris: str, keys: str = "") -> str:
     """All hits (ray_id, tri_id, t, distance) by plane and barycentric areas; the triangles' columns `keys` stay."""
     steps = [
