@@ -309,30 +309,32 @@ def _add_cut(m: Model, cuts: np.ndarray):
     def add(table: pa.Table) -> pa.Table:
         """Counts added up, for each range that the contexts reach: one row for each range."""
         level = np.concatenate(column(table, "d"))
-        tuples, counts, times, parts = column(table, "a"), column(table, "b"), column(table, "c"), []
+        parts: dict[int, list[list[np.ndarray]]] = {}
         for d in np.unique(level):
-            mine = np.flatnonzero(level == d)
-            cols = np.concatenate([tuples[i].reshape(d + 1, -1) for i in mine], axis=1)
-            count, n = (np.concatenate([x[i] for i in mine]) for x in (counts, times))
+            mine = table.filter(pa.array(level == d))
+            cols = np.concatenate([x.reshape(d + 1, -1) for x in column(mine, "a", np.int32)], axis=1)
+            count, n = (np.concatenate(column(mine, c)) for c in "bc")
             with np.errstate(over="ignore"):
                 h = np.zeros(len(n), np.uint64)
                 for c in cols:
                     h = W.mix(h * _MULTIPLIER + c.astype(np.uint64))
             order = np.argsort(h)  # equal rows are next to each other; others that are, too, by a hash in common stay apart
-            first, _ = W.runs(*(c[order] for c in cols))
-            n, one = np.add.reduceat(n[order], first), order[first]
-            before = [*cols[:d, one], *np.full((m.depth - d, len(one)), m.none)]
+            cols = cols[:, order]
+            first, _ = W.runs(*cols)
+            cols, count, n = cols[:, first], count[order[first]], np.add.reduceat(n[order], first)
+            before = [*cols[:d], *np.full((m.depth - d, len(first)), m.none, np.int32)]
             shift = np.uint64(m.bits * (m.depth - int(d)))
             lead = _keys(m, before) >> shift
             low = np.searchsorted(cuts, lead << shift, side="right")
             size = np.searchsorted(cuts, ((lead + np.uint64(1)) << shift) - np.uint64(1), side="right") - low + 1
-            at = np.repeat(np.arange(len(one)), size)
+            at = np.repeat(np.arange(len(first)), size)
             bucket = low[at] + np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
-            parts.append(np.stack([bucket, *(c[at] for c in (*before, cols[d][one], count[one], n)), np.full(len(at), d)]))
-        rows = np.concatenate(parts, axis=1)
-        rows, out = rows[:, np.argsort(rows[0])], []
-        for bucket, i, j in runs_of(rows[0]):
-            out.append((None, CUT, bucket, squeezed(rows[1 : m.depth + 2, i:j].ravel()), *(squeezed(x[i:j]) for x in rows[m.depth + 2 :])))
+            order = np.argsort(bucket)
+            at, rows = at[order], [*before, cols[d]]
+            for b, i, j in runs_of(bucket[order]):
+                held = at[i:j]
+                parts.setdefault(b, []).append([np.stack([c[held] for c in rows]), count[held], n[held], np.full(j - i, d)])
+        out = [(None, CUT, b, squeezed(np.concatenate([x[0] for x in p], axis=1).ravel()), *(squeezed(np.concatenate([x[k] for x in p])) for k in (1, 2, 3))) for b, p in parts.items()]
         return _record(out, pa.Table)
 
     return add
@@ -480,7 +482,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sampled = batches.mapInArrow(_sample(m, share), "keys binary").toArrow().column(0).to_pylist()  # about SAMPLE keys for each range
     keys = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in sampled)]))
     cuts = np.unique(keys[(np.arange(1, buckets) * len(keys)) // buckets] & ~_TIE) if len(keys) else keys
-    added = batches.mapInArrow(_send_cut(m, cuts, max(8, buckets // (8 * RANGES))), _COLUMNS).groupBy("bucket").applyInArrow(_add_cut(m, cuts), _COLUMNS)
+    added = batches.mapInArrow(_send_cut(m, cuts, max(8, buckets // 16)), _COLUMNS).groupBy("bucket").applyInArrow(_add_cut(m, cuts), _COLUMNS)
     added = written(added, "cut-contexts")
     scores = []
     for turn in range(ROUNDS):
