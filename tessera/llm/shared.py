@@ -76,8 +76,8 @@ def scratch(spark: SparkSession):
 def discard(spark: SparkSession) -> None:
     """Delete every folder that this process has written and not yet deleted: results that were not written elsewhere are lost."""
     for made in _made:
-        while made:
-            delete_path(spark, made.pop())
+        for path in list(made):
+            delete_path(spark, path)
 
 
 def materialize(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
@@ -92,6 +92,9 @@ def delete_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    for made in _made:
+        if path in made:
+            made.remove(path)
 
 
 def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES, rows: int = SLICE_ROWS):
