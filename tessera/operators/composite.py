@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions import bounds, kernels
 from ..functions.staged import apply
 from ..functions.vectors import AXES, cross, dot, named, sub, vec
+from ..plans import ordered
 from ..plans import strategy as plan
 from ..plans.durable import cut
 from .nearest import closest_point
@@ -157,6 +158,8 @@ def feature_edges(tris: DataFrame, cosine: float = 0.9998, digits: int = 4, dire
 
 def compress_intervals(intervals: DataFrame, key: str) -> DataFrame:
     """(key, lo, hi): overlapping or touching intervals (key, lo, hi) merged."""
+    if ordered.large(intervals, key):
+        return _compress_in_parts(intervals, key)
     w = Window.partitionBy(key).orderBy("lo", "hi")
     before = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
     opened = intervals.withColumn("opens", F.when(before.isNull() | (F.col("lo") > before), 1).otherwise(0))
@@ -164,6 +167,21 @@ def compress_intervals(intervals: DataFrame, key: str) -> DataFrame:
     return island.groupBy(key, "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("island")
 
 
+def _compress_in_parts(intervals: DataFrame, key: str) -> DataFrame:
+    p = ordered.in_parts(intervals.select(key, "lo", "hi"), key, ["lo", "hi"])
+    before = Window.partitionBy("of_key").orderBy("of_part").rowsBetween(Window.unboundedPreceding, -1)
+    of = [F.col(key).alias("of_key"), F.col("part").alias("of_part")]
+    same = (F.col(key) == F.col("of_key")) & (F.col("part") == F.col("of_part"))
+    inside = Window.partitionBy("part", key).orderBy("lo", "hi")
+    reach = p.groupBy(*of).agg(F.max("hi").alias("reach")).select("of_key", "of_part", F.max("reach").over(before).alias("reach"))
+    so_far = F.greatest(F.max("hi").over(inside.rowsBetween(Window.unboundedPreceding, -1)), "reach")
+    opened = p.join(reach, same).withColumn("so_far", so_far).withColumn("opens", F.when(F.col("so_far").isNull() | (F.col("lo") > F.col("so_far")), 1).otherwise(0)).select(key, "lo", "hi", "part", "opens")
+    # The islands of the parts before; an island that goes on keeps its number.
+    base = opened.groupBy(*of).agg(F.sum("opens").alias("n")).select("of_key", "of_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    island = F.sum("opens").over(inside.rowsBetween(Window.unboundedPreceding, 0)) + F.col("base")
+    return opened.join(base, same).withColumn("island", island).groupBy(key, "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("island")
+
+
 def gaps_between(intervals: DataFrame, key: str, low: float, high: float) -> DataFrame:
     """(key, lo, hi): what merged intervals leave free of [low, high]."""
     merged = compress_intervals(intervals, key)

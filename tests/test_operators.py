@@ -255,6 +255,27 @@ def test_shared_edges_are_no_features(spark):
     assert composite.feature_edges(torus(spark), cosine=0.99).count() > 0
 
 
+def test_keys_too_large_for_a_task(spark, data, monkeypatch):
+    """Vertex numbers, polylines and merged intervals by ranges are those by windows."""
+    from tessera.plans import ordered
+
+    o = spark.read.parquet(f"{data}/orders.parquet").selectExpr("o_custkey % 3 as k", "o_orderkey * 7 % 5000 as lo", "o_orderkey * 7 % 5000 + o_orderkey % 4 as hi")
+    v = spark.range(500).selectExpr("id % 2 as geom_id", "id * 37 % 997 as vid")
+    p = fx.polyline_points(spark, data).withColumn("user_id", F.col("user_id") % 2)
+    one = p.limit(1).withColumn("user_id", F.lit(99).cast("long"))
+    asked = {
+        "numbers": lambda: geometry.ensure_index(v).select("geom_id", "slot", "vid"),
+        "open": lambda: geometry.polyline_segments(p.unionByName(one), "user_id", ["ts", "point_id"]).select("seg_id", "x0", "x1", "y1", "z1"),
+        "closed": lambda: geometry.polyline_segments(p.unionByName(one), "user_id", ["ts", "point_id"], closed=True).select("seg_id", "x0", "x1", "y1", "z1"),
+        "merged": lambda: composite.compress_intervals(o, "k").select("k", "lo", "hi"),
+        "gaps": lambda: composite.gaps_between(o, "k", 0, 6000).select("k", "lo", "hi"),
+    }
+    want = {n: rounded(f(), "*") for n, f in asked.items()}
+    monkeypatch.setattr(ordered, "KEY_ROWS", 0)
+    for n, f in asked.items():
+        assert rounded(f(), "*") == want[n], n
+
+
 def test_bounded_tables_are_checked(spark):
     with pytest.raises(ValueError):
         strategy.bounded(spark.range(20), 10)
