@@ -54,8 +54,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts are equal when identical after each run of white space is one space.
     The row with the smallest id stays; among repeated rows with the same id
     just one is kept, and a null id sorts last. A null text counts as empty,
-    and empty texts are equal to each other. Other columns are ignored, so
-    their names cannot clash. An empty table gives an empty result.
+    and empty texts are equal to each other. Texts of any length are compared
+    whole. Other columns are ignored, so their names cannot clash. An empty
+    table gives an empty result.
     """
     rows = materialize(digest_rows(docs, id_col, text_col), "digests")
     last = rows.agg(F.max(F.shiftright("nth", 33))).first()[0]

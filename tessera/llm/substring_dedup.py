@@ -317,6 +317,11 @@ class FingerprintIndex:
                 name = merged
             self.runs = [r for r in self.runs if r not in full] + [(level + 1, name)]
 
+    def drop(self) -> None:
+        """Delete all runs: no batch can follow, but results of earlier ones can still be read."""
+        while self.runs:
+            self._drop(self.runs.pop()[1])
+
     def ingest(self, batch: DataFrame) -> DataFrame:
         """Add a batch (doc, t), of ids greater than all before; returns a row per document of the batch: doc, n_words, n_removed, kept, kept_sha256."""
         segments = written(batch.select("doc", "t").mapInArrow(_segments(len(self.segments)), _COLUMNS), "segments")
@@ -372,4 +377,5 @@ def deduplicate_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: st
     if not rows.where("doc is null").isEmpty():
         null = index.ingest(rows.where("doc is null").withColumn("doc", F.lit(0).cast("long")))
         out.append(null.withColumn("doc", F.lit(None).cast("long")))
+    index.drop()
     return reduce(DataFrame.unionAll, out).withColumnRenamed("doc", "id")
