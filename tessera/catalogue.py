@@ -15,7 +15,7 @@ from .operators.regions import BOX
 from .plans import durable
 from .plans import strategy as plan
 from .sources import fixtures as fx
-from .sources import geometry
+from .sources import geometry, textures
 from .streaming import maintenance
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1035,6 +1035,25 @@ def lasso_visible(spark, d):
     return composite.lasso_select(fx.triangles(spark, d), _LASSO, "visible", (0.0, 0.0, 10.0))
 
 
+_LIGHT = (3.0, -2.0, 4.0)
+_FIRST_HIT = f"select h.* from (select *, row_number() over (partition by ray_id order by distance, tri_id) as nr from ({oracles.ray_hits(_ASIDE_RAYS, fx.TRIANGLES)}) as a) as h where nr = 1"
+_MET = nested_sql(f"select h.ray_id, h.tri_id, h.t, r.ox, r.oy, r.oz, r.dx, r.dy, r.dz, t.ax, t.ay, t.az, t.vbx, t.vby, t.vbz, t.cx, t.cy, t.cz from ({_FIRST_HIT}) as h join ({_ASIDE_RAYS}) as r using (ray_id) join ({fx.TRIANGLES}) as t using (tri_id)", [
+    {f"m{c}": e for c, e in zip(AXES, cross(sub(vec("vb"), vec("a")), sub(vec("c"), vec("a"))))} | {f"h{c}": f"o{c} + d{c} * t" for c in AXES},
+    {"turn": f"case when {dot(vec('d'), vec('m'))} > 0e0 then -1e0 else 1e0 end / sqrt{dot(vec('m'), vec('m'))}"},
+    {f"l{c}": f"cast({x!r} as double) - h{c}" for c, x in zip(AXES, _LIGHT)},
+    {"cosine": f"{dot(vec('l'), vec('m'))} * turn", "far2": dot(vec("l"), vec("l"))},
+])
+_SHADOW_RAYS = f"select ray_id, tri_id as own, hx as ox, hy as oy, hz as oz, lx as dx, ly as dy, lz as dz from ({_MET}) as m"
+_SHADOWED = f"select s.ray_id from ({oracles.ray_hits(_SHADOW_RAYS, fx.TRIANGLES, ', own')}) as s where tri_id <> own and t < 1e0"
+
+
+@query("direct_light", f"select ray_id, 0 as bounce, tri_id, cosine > 0e0 and ray_id not in ({_SHADOWED}) as lit, round(case when cosine > 0e0 and ray_id not in ({_SHADOWED}) then cosine / sqrt(far2) / far2 * 5e-1 else 0e0 end, 6) as shade from ({_MET}) as x")
+def direct_light(spark, d):
+    """What a point light shows at the first hits of rays: the first step of path tracing."""
+    r = fx.rays(spark, d).withColumns({"ox": F.col("ox") + 1e-3, "oy": F.col("oy") - 2e-3})
+    return composite.trace_paths(r, fx.triangles(spark, d), _LIGHT).withColumn("shade", F.round("shade", 6))
+
+
 @query("running_bounds", f"select date_trunc('hour', ts) as window_start, user_id, count(*) as n, min(value) as minx, min(pz) as miny, min(cast(event_id as double)) as minz, max(value) as maxx, max(pz) as maxy, max(cast(event_id as double)) as maxz from (select *, {fx.HOURS_SQL.format(t='ts')} as pz from events) as e group by 1, 2")
 def running_bounds(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet").selectExpr("ts", "user_id", "value as x", f"{fx.HOURS_SPARK.format(t='ts')} as y", "cast(event_id as double) as z")
@@ -1148,6 +1167,46 @@ def packed_nodes(spark, d):
     return back.select("root_id", "node_id", "right_id", "is_leaf", "count", F.expr(bounds.contains_box("", "e_")).alias("covers"), "bytes")
 
 
+@query("attribute_texture", f"select i as texel, i % s as x, i // s as y, r, g, b, 1e0 as a from (select query_id as i, px as r, py as g, pz as b, cast(ceil(sqrt(count(*) over ())) as bigint) as s from ({fx.QUERY_POINTS}) as q) as t")
+def attribute_texture(spark, d):
+    """Points as texels, filled up to four channels."""
+    return textures.attribute_texels(fx.query_points(spark, d), "query_id", ["px", "py", "pz"])
+
+
+_ONE_ROOT = f"select cast(0 as int) as root_id, * from ({fx.AABBS}) as b"
+
+
+def _one_index(spark, d):
+    return index.build_nodes(fx.aabbs(spark, d).withColumn("root_id", F.lit(0)))
+
+
+_RIGHT = "coalesce((select r.node_id from node as r where r.path = n.path || 'R') - n.node_id, 0)"
+_OFFSET = "(select count(*) from member as m join node as k on m.path = k.path where k.is_leaf and k.node_id < n.node_id)"
+
+
+@query("hierarchy_texture", oracles.tree(_ONE_ROOT, f"select node_id as texel, node_id % s as x, node_id // s as y, case when is_leaf then 4294901760 | count else null end as r, case when is_leaf then {_OFFSET} else {_RIGHT} end as g from node as n, (select cast(ceil(sqrt(count(*))) as bigint) as s from node) as k"))
+def hierarchy_texture(spark, d):
+    """Contents of a hierarchy's nodes as texels; split axes are those of build_nodes and left out here."""
+    contents = textures.hierarchy_texels(_one_index(spark, d)[0])[1]
+    return contents.withColumn("r", F.when(F.col("r") > 2, F.col("r")))
+
+
+@query("hierarchy_bounds_texture", oracles.tree(_ONE_ROOT, "select node_id * 2 + k as texel, (node_id * 2 + k) % s as x, (node_id * 2 + k) // s as y, " + ", ".join(f"case k when 0 then min{c} else max{c} end as {t}" for c, t in zip(AXES, "rgb")) + " from node, (select unnest([0, 1]) as k) as e, (select cast(2 * ceil(sqrt(count(*) / 2)) as bigint) as s from node) as w"))
+def hierarchy_bounds_texture(spark, d):
+    return textures.hierarchy_texels(_one_index(spark, d)[0])[0]
+
+
+@query("dereferenced_index", oracles.tree(_ONE_ROOT, "select cast(0 as int) as root_id, (nr - 1) * 3 + k as place, box_id * 3 + k as vid from (select m.box_id, row_number() over (order by m.path, m.box_id) as nr from member as m join node as n on m.path = n.path where n.is_leaf) as o, (select unnest([0, 1, 2]) as k) as c"))
+def dereferenced_index(spark, d):
+    corners_ = fx.triangles(spark, d).select(F.explode(F.array(*(F.col("tri_id") * 3 + k for k in range(3)))).alias("slot"))
+    return textures.dereferenced(corners_.withColumn("vid", F.col("slot")), _one_index(spark, d)[1])
+
+
+@query("subtree_spans", oracles.tree(_ROOTED, "select n.root_id, n.node_id, count(*) as n_nodes, cast(max(k.depth) - n.depth as int) as levels from node as n join node as k on k.root_id = n.root_id and starts_with(k.path, n.path) group by n.root_id, n.node_id, n.depth"))
+def subtree_spans(spark, d):
+    return textures.subtree_spans(_index(spark, d)[0])
+
+
 @query("index_round_trip", oracles.tree(_ROOTED, "select v as version, n.root_id, n.node_id, coalesce((select r.node_id from node as r where r.root_id = n.root_id and r.path = n.path || 'R'), -1) as right_id, n.count from node as n, (select unnest([0, 1]) as v) as k"))
 def index_round_trip(spark, d):
     """Nodes as read from files of the old and of the present version."""

@@ -253,6 +253,43 @@ def push_out(probes: DataFrame, tris: DataFrame) -> DataFrame:
             return state.select("probe_id", *ends, "n_hits")
 
 
+def trace_paths(rays: DataFrame, tris: DataFrame, light: tuple[float, float, float], bounces: int = 0, albedo: float = 0.5, seed: int = 0) -> DataFrame:
+    """(ray_id, bounce, tri_id, lit, shade): the paths of rays over diffuse surfaces, a row for each hit.
+
+    At a hit the light at a point is visible or not (a ray towards it), and
+    shades by the cosine over the squared distance, times albedo for each
+    bounce. The next ray leaves in a direction weighted by the cosine, drawn
+    by a hash of (ray, bounce, seed): two joins for each bounce, stored
+    between them. Faces are turned to the ray that meets them.
+    """
+    f = lambda v: f"cast({float(v)!r} as double)"
+    out, left = None, rays.select("ray_id", *RAY)
+    for bounce in range(bounces + 1):
+        hits = raycast(left, tris, first=True).select("ray_id", "tri_id", "t")
+        n = named("m", cross(sub(vec("vb"), vec("a")), sub(vec("c"), vec("a"))))
+        steps = [
+            n | {f"h{c}": f"o{c} + d{c} * t" for c in AXES},
+            {"turn": f"case when {dot(vec('d'), vec('m'))} > 0e0 then -1e0 else 1e0 end / sqrt{dot(vec('m'), vec('m'))}"},
+            {f"n{c}": f"m{c} * turn" for c in AXES} | {f"l{c}": f"{f(x)} - h{c}" for c, x in zip(AXES, light)},
+            {"cosine": dot(vec("l"), vec("n")), "far2": dot(vec("l"), vec("l"))},
+            # A little off the surface, so that a ray doesn't meet the face it leaves.
+            {f"s{c}": f"h{c} + n{c} * 1e-9 * (1e0 + abs(h{c}))" for c in AXES},
+        ]
+        at = cut(apply(hits.join(left, "ray_id").join(tris.select("tri_id", *TRIANGLE), "tri_id"), steps).select("ray_id", "tri_id", *(f"{p}{c}" for p in "nsl" for c in AXES), "cosine", "far2"))
+        facing = at.where("cosine > 0e0").select("ray_id", *(F.col(f"s{c}").alias(f"o{c}") for c in AXES), *(F.col(f"l{c}").alias(f"d{c}") for c in AXES))
+        dark = raycast(facing, tris, first=True).where("t < 1e0").select("ray_id", F.lit(True).alias("dark"))
+        lit = F.expr("cosine > 0e0 and dark is null")
+        shade = F.expr(f"cosine / sqrt(far2) / far2 * {f(albedo ** (bounce + 1))}")
+        seen = at.join(dark, "ray_id", "left").select("ray_id", F.lit(bounce).alias("bounce"), "tri_id", lit.alias("lit"), F.when(lit, shade).otherwise(0.0).alias("shade"))
+        out = seen if out is None else out.unionAll(seen)
+        if bounce < bounces:
+            draw = lambda k: f"pmod(xxhash64(ray_id, {bounce}, {seed}, {k}), 4503599627370496) / 4503599627370496e0"
+            turned = [{"z": f"2e0 * {draw(0)} - 1e0", "phi": f"{2 * np.pi!r}D * {draw(1)}"}, {"flat": "sqrt(1e0 - z * z)"}]
+            ball = {"dx": "nx + flat * cos(phi)", "dy": "ny + flat * sin(phi)", "dz": "nz + z"}  # a point of the sphere on the face is a cosine-weighted direction
+            left = apply(at, [*turned, ball]).select("ray_id", *(F.col(f"s{c}").alias(f"o{c}") for c in AXES), "dx", "dy", "dz")
+    return out
+
+
 def lasso_select(tris: DataFrame, polygon: list[tuple[float, float]], mode: str = "centroid", eye: tuple[float, float, float] | None = None) -> DataFrame:
     """tri_id of triangles selected by a polygon in the xy plane.
 

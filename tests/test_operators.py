@@ -276,6 +276,36 @@ def test_keys_too_large_for_a_task(spark, data, monkeypatch):
         assert rounded(f(), "*") == want[n], n
 
 
+def test_paths_bounce_inside_a_box(spark):
+    """Inside a closed box every path goes on; over a floor none meets anything again."""
+    corners = [(x, y, z) for x in (-1.0, 1.0) for y in (-1.0, 1.0) for z in (-1.0, 1.0)]
+    quads = [(0, 1, 3, 2), (4, 6, 7, 5), (0, 4, 5, 1), (2, 3, 7, 6), (0, 2, 6, 4), (1, 5, 7, 3)]
+    rows = [(2 * i + h, *(v for k in (q[0], q[1 + h], q[2 + h]) for v in corners[k])) for i, q in enumerate(quads) for h in (0, 1)]
+    box = spark.createDataFrame(rows, "tri_id long, " + ", ".join(f"{c} double" for c in rays.TRIANGLE))
+    r = spark.range(60).selectExpr("id as ray_id", "0.1D as ox", "0.05D as oy", "0.02D as oz", "cos(id) as dx", "sin(id) as dy", "cos(id * 3) as dz")
+    paths = composite.trace_paths(r, box, (0.3, 0.2, 0.1), bounces=2)
+    got = paths.collect()
+    assert [sum(x.bounce == b for x in got) for b in range(3)] == [60, 60, 60]
+    assert all(x.lit and x.shade > 0 for x in got)  # nothing stands between the light and a wall
+    at = {(x.ray_id, x.bounce): x.tri_id // 2 for x in got}
+    assert all(at[i, b] != at[i, b + 1] for i in range(60) for b in range(2))  # a ray leaves its wall
+    assert sorted(map(tuple, composite.trace_paths(r, box, (0.3, 0.2, 0.1), bounces=2).collect())) == sorted(map(tuple, got))
+    floor = box.where("tri_id in (8, 9)")
+    assert {x.bounce for x in composite.trace_paths(r, floor, (0.0, 0.0, 5.0), bounces=2).collect()} == {0}
+
+
+def test_texels_are_dealt_anew(spark):
+    from tessera.sources import textures
+
+    v = spark.range(12).selectExpr("id as i", "id * 2 as v")
+    got = sorted(map(tuple, textures.attribute_texels(v, "i", ["v"], channels=3).collect()))
+    assert got == [(k, k % 2, k // 2, 6 * k, 6 * k + 2, 6 * k + 4, 1) for k in range(4)]
+    with pytest.raises(ValueError):
+        textures.attribute_texels(v, "i", ["v"], channels=5)
+    with pytest.raises(ValueError):
+        textures.hierarchy_texels(spark.createDataFrame([(0, 0), (1, 0)], "root_id int, node_id long"))
+
+
 def test_bounded_tables_are_checked(spark):
     with pytest.raises(ValueError):
         strategy.bounded(spark.range(20), 10)
