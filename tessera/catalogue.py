@@ -1207,6 +1207,15 @@ def subtree_spans(spark, d):
     return textures.subtree_spans(_index(spark, d)[0])
 
 
+_TWO_LEVELS = f"select cast(-1 as int) as root_id, row_number() over (order by object_id, instance_id) - 1 as box_id, {', '.join(BOX)} from ({_WORLD_BOX}) as w join (select object_id, instance_id, visible from ({_INST}) as i) as v using (object_id, instance_id) where visible union all select cast(geom_id as int) as root_id, tri_id as box_id, " + ", ".join(f"{g}(a{c}, vb{c}, c{c}) as {f}{c}" for f, g in (("min", "least"), ("max", "greatest")) for c in AXES) + f" from ({_GEOM_TRIS}) as t"
+
+
+@query("scene_index", oracles.tree(_TWO_LEVELS, f"select root_id, node_id, depth, is_leaf, count, {', '.join(BOX)} from node", 4))
+def scene_index(spark, d):
+    """A hierarchy over instances and one for each geometry."""
+    return scene.scene_index(_instances(spark), _geometry_tris(spark, d), leaf_size=4)[0].select("root_id", "node_id", "depth", "is_leaf", "count", *BOX)
+
+
 @query("index_round_trip", oracles.tree(_ROOTED, "select v as version, n.root_id, n.node_id, coalesce((select r.node_id from node as r where r.root_id = n.root_id and r.path = n.path || 'R'), -1) as right_id, n.count from node as n, (select unnest([0, 1]) as v) as k"))
 def index_round_trip(spark, d):
     """Nodes as read from files of the old and of the present version."""

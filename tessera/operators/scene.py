@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import bounds
 from ..functions.staged import apply
 from ..functions.vectors import AXES, affine, vec
+from ..plans import ordered
 from ..plans import strategy as plan
 from ..plans.durable import cut
 from ..plans.tree import build
 from .rays import RAY, TRIANGLE, cast, columns, corners, first_hits, ray_box_pairs, raycast_points, raycast_segments
-from .regions import BOX, NOT_INTERSECTED, _inverted, frustum_state
+from .index import build_nodes
+from .regions import BOX, NOT_INTERSECTED, _inverted, boxed, frustum_state
 
 MATRIX = [f"matrix[{i}]" for i in range(16)]
 #: Rays that one task takes to a geometry.
@@ -152,6 +154,25 @@ def raycast_object(rays: DataFrame, tris: DataFrame, matrix: list[float], side:
     return found.drop("object_id", "instance_id")
 
 
+#: Root of the hierarchy over a scene's instances, beside those of its geometries.
+TOP = -1
+
+
+def scene_index(instances: DataFrame, tris: DataFrame, strategy: str = "center", leaf_size: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, order, placed): a two-level index, a hierarchy over the bounds of visible instances (root TOP) and one for each geometry they use (root geom_id).
+
+    placed: box_id, object_id, instance_id, geom_id of the boxes of TOP. A
+    geometry that many instances share has one hierarchy.
+    """
+    seen = instances.where("visible")
+    used = boxed(tris.join(seen.select("geom_id").distinct(), "geom_id", "left_semi"))
+    geometry = used.groupBy("geom_id").agg(*(F.expr(x).alias(n) for n, x in bounds.union_of().items()))
+    top = ordered.numbered(instance_bounds(seen, geometry).withColumn("scene", F.lit(0)), "scene", ["object_id", "instance_id"], "box_id").withColumn("box_id", F.col("box_id").cast("long"))
+    boxes = top.select(F.lit(TOP).alias("root_id"), "box_id", *BOX).unionAll(used.select(F.col("geom_id").cast("int").alias("root_id"), F.col("tri_id").alias("box_id"), *BOX))
+    placed = top.select("box_id", "object_id", "instance_id").join(seen.select("object_id", "instance_id", "geom_id"), ["object_id", "instance_id"])
+    return *build_nodes(boxes, strategy=strategy, leaf_size=leaf_size), placed
+
+
 def _placed(rays: DataFrame, matrix: list[float]) -> tuple[DataFrame, float]:
     """Rays in the frame of an object placed by a matrix, and the mean of its three scales."""
     m = np.array(matrix, float).reshape(4, 4).T
