@@ -37,7 +37,7 @@ from .packed import ascended, ascending, bucket_of, chosen, column, loosened, re
 from .shared import delete_path, fresh_path, lean_batches, slices, small_table
 
 #: Text bytes of a segment, or one text.
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 1 << 20
 #: Requests of one segment that a task answers at most, about.
 REQUESTS = 2000
 

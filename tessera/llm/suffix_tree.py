@@ -49,9 +49,9 @@ SMOOTHING = 8.0
 #: Steps of a decimal logarithm: sums of whole steps don't depend on their order.
 STEPS = 1e10
 #: Text bytes of a batch, or one text.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 #: Ranges for each shuffle task, as a range is held whole.
-RANGES = 8
+RANGES = 6
 #: Keys of the sample for each range.
 SAMPLE = 200
 #: Parts of the ranges that are scored one after another, so that the tuples of one are on disk at a time.
