@@ -7,7 +7,8 @@ range of the hash. Runs are tables bucketed alike, so that a new batch is dealt
 out once, by bucket, and merge-joined with each run where the run lies; no run
 is exchanged or sorted again. A window that no run has makes the new run.
 Whenever `fan_in` runs of one level have gathered they are compacted into one
-run of the next level, bucket by bucket, likewise in place.
+run of the next level, bucket by bucket, likewise in place. A batch's answers
+are written beside its run, in the same pass, and go when that is compacted.
 
 A window that a run or a smaller id of the batch has is verified before it is
 removed: stretches of such windows are read from the texts at their places and
@@ -292,10 +293,10 @@ class FingerprintIndex:
         self.segments: list[DataFrame] = []
 
     def _table(self, df: DataFrame) -> str:
-        """df as a table bucketed as all runs are, of one partition for each kind of rows."""
+        """df as a table bucketed as all runs are, one file for each task."""
         name = f"tessera_run_{uuid.uuid4().hex}"
         with tidy(self.spark):
-            df.write.format("parquet").option("path", f"{self.path}/{name}").partitionBy("kind").bucketBy(self.files, "bucket").saveAsTable(name)
+            df.write.format("parquet").option("path", f"{self.path}/{name}").bucketBy(self.files, "bucket").saveAsTable(name)
         return name
 
     def _drop(self, name: str) -> None:
@@ -303,7 +304,7 @@ class FingerprintIndex:
         delete_path(self.spark, f"{self.path}/{name}")
 
     def _of(self, name: str, kind: int) -> DataFrame:
-        return self.spark.table(name).where(F.col("kind") == kind).select(*(c.split()[0] for c in _COLUMNS.split(", ")))
+        return self.spark.table(name).where(F.col("kind") == kind)
 
     def compact(self) -> None:
         """Merge each level that has `fan_in` runs into one run of the next level; the merged runs are deleted."""
@@ -334,7 +335,6 @@ class FingerprintIndex:
         self.runs.append((0, name))
         told = reduce(DataFrame.unionAll, answers, self._of(name, ANSWER))
         requests = written(segments.unionAll(told).groupBy("seg").applyInArrow(_ask(self.window, self.buckets), _COLUMNS), "requests")
-        delete_path(self.spark, f"{self.path}/{name}/kind={ANSWER}")
         replies = written(self._replies(requests), "replies")
         self.compact()
         return segments.unionAll(replies).groupBy("seg").applyInArrow(_cut(self.window), RESULT)
