@@ -565,6 +565,27 @@ def object_segments_raycast(spark, d):
     return hits.select("ray_id", "seg_id", F.round("distance", 6).alias("distance"))
 
 
+_ANY = " union all ".join([
+    f"select 'triangles' as kind, ray_id, tri_id as prim_id, round(distance, 6) as distance from ({oracles.first(oracles.ray_hits(_ASIDE_RAYS, fx.TRIANGLES), 'ray_id', 'ray_id, tri_id')}) as t",
+    f"select 'points' as kind, ray_id, point_id as prim_id, round(distance, 6) as distance from ({_points_sql('5e0')}) as p",
+    f"select 'segments' as kind, ray_id, seg_id as prim_id, round(distance, 6) as distance from ({_segments_sql(fx.SEGMENTS, '2e0')}) as s",
+])
+
+
+@query("raycast_any", _ANY)
+def raycast_any(spark, d):
+    """One call for primitives of any kind: first hits of triangles, all of points and segments."""
+    aside = fx.rays(spark, d).withColumns({"ox": F.col("ox") + 1e-3, "oy": F.col("oy") - 2e-3})
+    segs = geometry.polyline_segments(fx.polyline_points(spark, d), "user_id", ["ts", "point_id"])
+    found = {
+        "triangles": scene.raycast_any(aside, fx.triangles(spark, d), first=True),
+        "points": scene.raycast_any(fx.event_rays(spark, d), fx.points(spark, d), threshold=5.0),
+        "segments": scene.raycast_any(fx.event_rays(spark, d), segs, threshold=2.0),
+    }
+    told = [f.select(F.lit(k).alias("kind"), "ray_id", "prim_id", F.round("distance", 6).alias("distance")) for k, f in found.items()]
+    return told[0].unionAll(told[1]).unionAll(told[2])
+
+
 _GEOM_VERTICES = " union all ".join(f"select tri_id % 3 as geom_id, tri_id * 3 + {i} as vid, " + ", ".join(f"{p}{c} as {c}" for c in AXES) + f" from ({fx.TRIANGLES}) as t" for i, p in enumerate(("a", "vb", "c")))
 
 

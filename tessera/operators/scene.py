@@ -146,14 +146,31 @@ def _local_hits(local: DataFrame, tris: DataFrame, side: str, first: bool) -> Da
     return left.groupBy("geom_id", "part").cogroup(right.groupBy("geom_id", "part")).applyInArrow(run, ddl)
 
 
-def raycast_object(rays: DataFrame, tris: DataFrame, matrix: list[float], side: str = "double", first: bool = False) -> DataFrame:
-    """World-space hits (ray_id, tri_id, distance, px..pz) on one object placed by a matrix."""
+def raycast_object(rays: DataFrame, tris: DataFrame, matrix: list[float], side: str = "double", first: bool = False, near: float | None = None, far: float | None = None) -> DataFrame:
+    """World-space hits (ray_id, tri_id, distance, px..pz) on one object placed by a matrix, with near <= distance <= far in the world."""
     spark = rays.sparkSession
     one = spark.createDataFrame([(0, 0, 0, [float(x) for x in matrix], True)], "object_id long, instance_id int, geom_id long, matrix array<double>, visible boolean")
-    found = raycast_scene(rays, one, tris.withColumn("geom_id", F.lit(0).cast("long")), side, "scene" if first else None)
+    found = raycast_scene(rays, one, tris.withColumn("geom_id", F.lit(0).cast("long")), side, "scene" if first else None, near, far)
     return found.drop("object_id", "instance_id")
 
 
+IDENTITY = [1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0]
+
+
+def raycast_any(rays: DataFrame, primitives: DataFrame, matrix: list[float] | None = None, threshold: float = 1.0, side: str = "double", first: bool = False, near: float | None = None, far: float | None = None) -> DataFrame:
+    """(ray_id, prim_id, distance) on triangles, points or segments, told by their columns, of an object placed by a matrix if given. Triangles have no threshold, the others no side."""
+    placed = matrix or IDENTITY
+    if set(TRIANGLE) <= set(primitives.columns):
+        found, prim = raycast_object(rays, primitives, placed, side, first, near, far), "tri_id"
+    elif {"x0", "x1"} <= set(primitives.columns):
+        found, prim = raycast_object_segments(rays, primitives, placed, threshold, first, near, far), "seg_id"
+    elif set(vec("p")) <= set(primitives.columns):
+        found, prim = raycast_object_points(rays, primitives, placed, threshold, first, near, far), "point_id"
+    else:
+        raise ValueError("neither triangles nor segments nor points")
+    return found.select("ray_id", F.col(prim).alias("prim_id"), "distance")
+
+
 #: Root of the hierarchy over a scene's instances, beside those of its geometries.
 TOP = -1
 
