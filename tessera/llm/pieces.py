@@ -13,9 +13,11 @@ the two adjacent pieces apart (the `stable` test), which holds for exactly
 one path into each position: the ids are then those of merging by rank.
 
 Texts are cut before each space that follows something else, and around
-control characters: no piece reaches over these, so all paths converge there.
-Distinct stretches are searched together, one trellis column at a time, with
-numpy; a long stretch goes through the stream encoder.
+control characters: no piece reaches over these, so all paths converge there
+and the ids so far leave. A stretch between two such boundaries that is no
+longer than the longest piece fits the window whole: distinct ones are searched
+together, one trellis column at a time, with numpy. In a longer stretch the
+window moves: it goes through the stream encoder, which commits on the way.
 """
 
 from __future__ import annotations
@@ -29,8 +31,6 @@ import pyarrow.compute as pc
 
 from . import words as W
 
-#: Longer stretches are streamed rather than searched in a matrix.
-MATRIX_BYTES = 96
 #: Stretches searched together.
 MATRIX_ROWS = 1 << 16
 #: Added to the least score for a character without a piece (fixed value of the format).
@@ -393,7 +393,7 @@ def _distinct_ids(v: Vocabulary, data: np.ndarray, start: np.ndarray, end: np.nd
     parts, sizes, i = [], np.zeros(len(start), np.int64), 0
     while i < len(order):
         width = int(length[order[i]])
-        if width > MATRIX_BYTES:
+        if width > v.longest:
             for j in order[i:]:
                 one, out = StreamEncoder(v), []
                 for at in range(int(start[j]), int(end[j]), 1 << 16):
@@ -403,7 +403,7 @@ def _distinct_ids(v: Vocabulary, data: np.ndarray, start: np.ndarray, end: np.nd
                 sizes[j] = len(out)
             break
         # Stretches of nearly one length, padded to the longest.
-        to = min(i + MATRIX_ROWS, int(np.searchsorted(length[order], min(MATRIX_BYTES, width + max(3, width // 4)), side="right")))
+        to = min(i + MATRIX_ROWS, int(np.searchsorted(length[order], min(v.longest, width + max(3, width // 4)), side="right")))
         rows = order[i:to]
         wide = int(length[rows[-1]])
         at = start[rows][:, None] + np.arange(wide)

@@ -250,6 +250,26 @@ def test_paths_are_qualified(spark, tmp_path):
     assert shared.qualified(spark, f"file:{tmp_path}/") == f"file://{tmp_path}"
 
 
+def test_texts_without_spaces_pass_through_a_bounded_window():
+    """Megabytes without a space: the encoder holds a few times the longest piece, and its ids are those of the whole."""
+    from tessera.llm import pieces
+
+    v = pieces.load(stages.MODEL_PATH)
+    rng = random.Random(4)
+    text = "".join(rng.choices("ABCDEFGHabcdefgh0123456789+/汉字", k=1_500_000))
+    e, ids, held = pieces.StreamEncoder(v), [], 0
+    raw = (" " + text).encode()
+    for i in range(0, len(raw), 4096):
+        ids += e.feed(raw[i : i + 4096])
+        held = max(held, len(e.nodes))
+    assert held < 8 * v.longest and len(e.text) < 4096 + 8 * v.longest
+    ids += e.finish()
+    assert pieces.encode_texts(v, pa.array([text])).values.to_pylist() == ids
+    assert pieces.decode_ids(v, ids) == text
+    with pytest.raises(ValueError):  # a piece that reaches over a cut
+        pieces.Vocabulary([None, b"a", b"a b"], np.zeros(3), False, 0, None)
+
+
 def test_verified_links_are_told(spark):
     base = [f"w{i}" for i in range(60)]
     rows = [(1, " ".join(base)), (2, " ".join([*base[:-1], "other"])), (3, " ".join(base)), (4, "far from all of these words")]
