@@ -462,16 +462,17 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fold = F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds))
     learns = F.coalesce(fold, F.lit(-1)) != held
     rows = docs.select(F.monotonically_increasing_id().alias("nth"), learns.alias("learns"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.col(id_col).cast("long").alias("doc"))
-    buckets = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    word_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = RANGES * word_buckets
     coded = written(rows.mapInArrow(_documents, _COLUMNS), "documents")
     ends = docs.where(learns).count()
 
-    words = coded.mapInArrow(_send_words(buckets), _COLUMNS)
+    words = coded.mapInArrow(_send_words(word_buckets), _COLUMNS)
     answers = written(words.groupBy("bucket").applyInArrow(_answer_words(least), _COLUMNS), "word-counts")
     told = [loosened(r.a) for r in answers.where("base is null").select("a").collect()]  # a row for each bucket
     n, types, frequent, frequent_n = (sum(int(x[i]) for x in told) for i in range(4))
-    top = buckets * max((int(x[2]) for x in told), default=0)
-    m = Model(n + ends, types + (ends > 0), ends, frequent, frequent_n, buckets, top, least, depth)
+    top = word_buckets * max((int(x[2]) for x in told), default=0)
+    m = Model(n + ends, types + (ends > 0), ends, frequent, frequent_n, word_buckets, top, least, depth)
     if m.symbols >= 1 << 31:
         raise ValueError("more frequent words than 31 bits number")
     batches = written(coded.unionAll(answers.where("base is not null")).groupBy("base").applyInArrow(_numbered(m), _COLUMNS), "numbered")
