@@ -51,6 +51,8 @@ def taken(kinds: bytes, which: bytes) -> np.ndarray:
 
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     """Buckets are ranges of the hash."""
+    if buckets == 1:
+        return np.zeros(len(hashes), np.int64)
     return (hashes // np.uint64(((1 << 64) + buckets - 1) // buckets)).astype(np.int64)
 
 
