@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .decontaminate import find_overlap
 from .exact_dedup import exact_dedup
+from .hard_negatives import mine_hard_negatives
 from .language_id import identify
 from .license_scan import scan_licenses
 from .near_dedup import near_duplicates
+from .ranked_search import ranked_search
 from .sharding import shard_documents
 from .stages import MODEL_PATH, encoder
 from .substring_dedup import deduplicate_substrings
 from .suffix_tree import score_documents
+from .url_rules import ALLOW, BLOCK, filter_urls
 from .warc import archive_round_trip
 
 
@@ -66,7 +69,26 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_lm_scoring, op3_license_scan, op4_substring_dedup, op5_sharding, op6_decontamination, op7_sentencepiece, op8_language_id, op9_exact_dedup, op10_near_dedup)}
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+#: The listed rules (verdict, host, path) of op12.
+URL_RULES = [(BLOCK, "net", "/"), (ALLOW, "example.net", "/en/"), (BLOCK, "example.com", "/de/"), (ALLOW, "org", "/fr/")]
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules are mined from the pages on which a listed rule decides."""
+    return filter_urls(_table(spark, sf_dir, "pages"), URL_RULES).withColumnRenamed("id", "page_id")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    moved = F.expr("case when vec_id % 7 = 0 then (label + 1) % 10 else label end")
+    return mine_hard_negatives(rows.select("vec_id", "embedding", moved.alias("label")))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_lm_scoring, op3_license_scan, op4_substring_dedup, op5_sharding, op6_decontamination, op7_sentencepiece, op8_language_id, op9_exact_dedup, op10_near_dedup, op11_ranked_search, op12_url_filter, op13_hard_negatives)}
 
 ORACLES = {
     "op1_warc": r"""
@@ -105,4 +127,54 @@ from folded f left join pos on f.doc_id = pos.doc_id left join its on f.doc_id =
 with t as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as h from documents),
 g as (select h, min(doc_id) as keep_id, count(*) as group_size from t group by h)
 select t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id as kept, t.h as text_sha256 from t join g on t.h = g.h""",
+    "op11_ranked_search": r"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ws from documents),
+s as (select count(*) filter (len(ws) > 0) as docs, cast(sum(len(ws)) as bigint) as words from d),
+p as (select r, w, count(*) as tf from (select r, unnest(ws) as w from d) group by r, w),
+f as (select w, count(*) as df from p group by w),
+q as (select i, item_id, unnest(list_distinct(ws)) as w from (select row_number() over () as i, item_id,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ws from benchmark)),
+qw as (select i, item_id, w, cast(floor(1000 * ln(cast(2 * docs + 2 as double) / cast(2 * df + 1 as double))) as bigint) as weight from q join f using (w), s),
+dm as (select r, doc_id, 100 - 50 + (50 * len(ws) * docs) // words as m from d, s),
+sc as (select i, item_id, doc_id, r, cast(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m))) as bigint) as score from qw join p using (w) join dm using (r) group by i, item_id, doc_id, r)
+select item_id, cast(rank as int) as rank, doc_id, score from
+  (select *, row_number() over (partition by i order by score desc, doc_id asc nulls last) as rank from sc where score > 0) where rank <= 50""",
+    "op12_url_filter": r"""
+with u as (select row_number() over () as r, page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)(?:\?([^#]*))?', ['host', 'path', 'query']) as x from pages),
+v as (select r, page_id, translate(x.host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, x.path as path,
+  translate(x.path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low_path, translate(x.query, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low_query from u),
+k as (select *, list_distinct(list_concat(
+    list_transform(list_filter(string_split(host, '.'), lambda t: t <> ''), lambda t: 'h:' || t),
+    list_transform(regexp_extract_all(low_path, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda t: 'p:' || t),
+    list_transform(regexp_extract_all(low_query, '(?:^|&)([^&=]+)', 1), lambda t: 'q:' || t))) as tokens,
+  case when (host = 'example.net' or ends_with(host, '.example.net')) and starts_with(path, '/en/') then 'example.net/en/'
+    when (host = 'example.com' or ends_with(host, '.example.com')) and starts_with(path, '/de/') then 'example.com/de/'
+    when (host = 'org' or ends_with(host, '.org')) and starts_with(path, '/fr/') then 'org/fr/'
+    when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/') then 'net/' end as rule from v),
+j as (select *, case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow' end as listed from k),
+t as (select r, listed, unnest(tokens) as a from j where rule is not null),
+least_n as (select ceil(0.01 * count(*)) as c from j where rule is not null),
+often as (select a from t group by a having count(*) >= (select c from least_n)),
+ft as (select t.* from t join often using (a)),
+sets as (select r, listed, [a] as s from ft
+  union all select x.r, x.listed, [x.a, y.a] from ft x join ft y on x.r = y.r and x.a < y.a
+  union all select x.r, x.listed, [x.a, y.a, z.a] from ft x join ft y on x.r = y.r and x.a < y.a join ft z on x.r = z.r and y.a < z.a),
+all_n as (select s, count(*) as n_all from sets group by s),
+part_n as (select s, listed, count(*) as n from sets group by s, listed),
+rules as (select s, listed, n, cast(n as double) / cast(n_all as double) as confidence from part_n join all_n using (s) where n >= (select c from least_n) and cast(n as double) / cast(n_all as double) >= 0.8),
+kept as (select * from rules a where not exists (select 1 from rules b where b.listed = a.listed and len(b.s) < len(a.s) and len(list_intersect(b.s, a.s)) = len(b.s) and b.confidence >= a.confidence)),
+mined as (select r, min(struct_pack(c := -confidence, m := -n, k := len(s), mined_rule := array_to_string(s, ' '), w := case kept.listed when 'block' then 0 else 1 end, verdict := kept.listed, confidence := confidence)) as b
+  from j join kept on j.rule is null and len(list_intersect(kept.s, j.tokens)) = len(kept.s) group by r)
+select page_id, host, path, rule, coalesce(listed, b.verdict, 'allow') as verdict, b.mined_rule as mined_rule, b.confidence as confidence from j left join mined using (r)""",
+    "op13_hard_negatives": r"""
+with v as (select row_number() over () as r, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+  list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as x from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+a as (select * from v where vec_id % 100 = 0),
+s as (select a.r as a, a.vec_id as anchor_id, v.r, v.vec_id, v.label = a.label as same, cast(list_sum(list_transform(list_zip(a.x, v.x), lambda z: z[1] * z[2])) as bigint) as score from a, v where len(a.x) = len(v.x)),
+p as (select * from (select *, row_number() over (partition by a order by score desc, vec_id asc nulls last) as k from s where same and vec_id is distinct from anchor_id) where k <= 5),
+n as (select p.anchor_id, p.vec_id as positive_id, s.vec_id as negative_id, p.score as positive_score, s.score as negative_score,
+  row_number() over (partition by p.a, p.r order by s.score desc, s.vec_id asc nulls last) as rank
+  from p join s on p.a = s.a and not s.same and 80 * p.score <= 100 * s.score and s.score <= p.score)
+select anchor_id, positive_id, cast(rank as int) as rank, negative_id, positive_score, negative_score from n where rank <= 5""",
 }
