@@ -209,12 +209,15 @@ def _ordered(a: str, b: str) -> list:
 
 
 def near_duplicate_links(spark: SparkSession, rows: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """Verified links (a, b) between nodes (node, doc, tag, bands) that join all components of the full graph.
+    """Verified links (a, b) between nodes (node, d1, d2, doc, tag, bands) that join all components of the full graph.
 
     Members meet new leaders for as long as that leaves a quarter fewer of
-    them outside their bucket's largest component than before.
+    them outside their bucket's largest component than before. Leaders, and a
+    bucket's largest of several components, are chosen by d1 and d2, the hashes
+    of a node's shingles: a node's number tells nodes apart and decides nothing,
+    so that the links don't depend on how the rows were dealt out.
     """
-    banded = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    banded = nodes.select("node", "d1", "d2", F.posexplode("bands").alias("band", "key"))
     bucket = ["band", "key"]
     full = banded.groupBy(*bucket).agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select(*bucket, "n")
     members = materialize(banded.join(materialize(full, "buckets"), bucket), "members")
@@ -229,9 +232,9 @@ def near_duplicate_links(spark: SparkSession, rows: DataFrame, nodes: DataFrame,
     while True:
         placed = members if component is None else members.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
         # Each member against its bucket's leaders.
-        rank = F.struct(F.col("own"), F.col("node")) if turn == 0 else F.struct(F.xxhash64("node", "band", F.lit(turn)), F.col("node"))
+        rank = F.struct("own", "d1", "d2") if turn == 0 else F.struct(F.xxhash64("d1", "band", F.lit(turn)), "d1", "d2")
         kept = "component" if component is not None else "node"
-        part = F.pmod(F.xxhash64("node", F.lit(turn + 1)), F.lit(LEADERS)).alias("part")
+        part = F.pmod(F.xxhash64("d1", F.lit(turn + 1)), F.lit(LEADERS)).alias("part")
         top = F.min(F.struct(rank.alias("rank"), F.col("node").alias("leader"), F.col(kept).alias("home"), F.col("own").alias("leader_own"))).alias("top")
         leaders = placed.groupBy(*bucket, part).agg(top, F.min(kept).alias("low"), F.max(kept).alias("high"))
         mixed = leaders.groupBy(*bucket).agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select(*bucket)
@@ -256,8 +259,8 @@ def near_duplicate_links(spark: SparkSession, rows: DataFrame, nodes: DataFrame,
 def _mixed(members: DataFrame, component: DataFrame, bucket: list[str]) -> DataFrame:
     """Members of the buckets that hold more than one component, with their own and the bucket's largest (main)."""
     placed = members.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sizes = placed.groupBy(*bucket, "component").count()
-    largest = sizes.groupBy(*bucket).agg(F.max(F.struct("count", "component")).alias("top"), F.min("component").alias("low"), F.max("component").alias("high"))
+    sizes = placed.groupBy(*bucket, "component").agg(F.count("*").alias("count"), F.max(F.struct("d1", "d2")).alias("of"))
+    largest = sizes.groupBy(*bucket).agg(F.max(F.struct("count", "of", "component")).alias("top"), F.min("component").alias("low"), F.max("component").alias("high"))
     largest = materialize(largest.where("low < high").select(*bucket, F.col("top.component").alias("main")), "mixed-buckets")
     return materialize(placed.select("node", "own", *bucket, "component").join(largest, bucket), "mixed")
 
@@ -330,7 +333,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id (a null id is last; among repeated rows one). n_links and similarity:
     how many links of the document's class to other classes were verified, and
     the greatest of their similarities (null without a link); they join every
-    group, but are not all pairs of it.
+    group, but are not all pairs of it. Both depend on the texts alone, not on
+    partitions or order.
 
     A null or empty text, or one without words, has no shingles: all these are
     one class and link to nothing else. A text of fewer than five words is one
@@ -346,7 +350,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same, order = ["d1", "d2", "size"], [F.col("doc").isNull().alias("no_id"), F.col("doc")]
     classes = signed.groupBy(*same).agg(F.min(F.struct(*order, "nth", "tag")).alias("lead"), F.first("bands").alias("bands"))
     classes = materialize(classes.select(*same, F.col("lead.nth").alias("node"), F.col("lead.doc").alias("doc"), F.col("lead.tag").alias("tag"), "bands"), "classes")
-    links = materialize(near_duplicate_links(spark, rows.drop("nth"), classes.where("size > 0").select("node", "doc", "tag", "bands"), threshold), "all-links")
+    links = materialize(near_duplicate_links(spark, rows.drop("nth"), classes.where("size > 0").select("node", "d1", "d2", "doc", "tag", "bands"), threshold), "all-links")
     component = materialize(connected_components(links), "components")
     ends = links.select(F.explode(F.array("a", "b")).alias("node"), "similarity")
     linked = ends.groupBy("node").agg(F.count("*").alias("n_links"), F.max("similarity").alias("similarity"))
