@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 
 STRATEGIES = ("center", "average", "sah")
-#: Cost constants of the surface-area heuristic.
+#: Cost constants of the surface-area heuristic, its bins, and the count below which every split is tried.
 TRAVERSAL_COST, PRIMITIVE_COST, BINS, EXHAUSTIVE_BELOW = 1.0, 1.25, 32, 8
 
 
@@ -33,6 +33,15 @@ class Tree:
     def leaf(self) -> np.ndarray:
         return self.right < 0
 
+    def paths(self) -> np.ndarray:
+        """Each node's way from the root: 1 for the root, then a bit for each step, 0 to the left and 1 to the right."""
+        path = np.ones(len(self.right), np.int64)
+        for d in range(1, int(self.depth.max(initial=0)) + 1):
+            some = np.flatnonzero(self.depth == d)
+            up = self.parent[some]
+            path[some] = 2 * path[up] + (self.right[up] == some)
+        return path
+
 
 def _area(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     d = np.maximum(high - low, 0)
@@ -50,34 +59,38 @@ def choose_split(low: np.ndarray, high: np.ndarray, strategy: str) -> tuple[int,
         axis = int(np.argmax(high.max(0) - low.min(0)))
         return axis, float(mid[:, axis].mean())
     n, whole = len(low), _area(low.min(0), high.max(0))
-    best, found = PRIMITIVE_COST * n, (-1, 0.0)
     if whole <= 0:
         return choose_split(low, high, "center")
+    best: tuple[float, int, float] = (PRIMITIVE_COST * n, -1, 0.0)
     for axis in range(3):
         c = mid[:, axis]
         a, b = c.min(), c.max()
         if a == b:
             continue
-        if n < EXHAUSTIVE_BELOW:
-            edges = np.unique(c)[1:]
-            slot = np.searchsorted(edges, c, side="right")
-        else:
-            edges = a + (b - a) * np.arange(1, BINS) / BINS
-            slot = np.searchsorted(edges, c, side="right")
+        edges = np.unique(c)[1:] if n < EXHAUSTIVE_BELOW else bin_edges(a, b)
+        slot = np.searchsorted(edges, c, side="right")
         m = len(edges) + 1
         lows, highs = np.full((m, 3), np.inf), np.full((m, 3), -np.inf)
         np.minimum.at(lows, slot, low)
         np.maximum.at(highs, slot, high)
-        count = np.bincount(slot, minlength=m)
-        left_n = np.cumsum(count)[:-1]
-        la, lb = np.minimum.accumulate(lows)[:-1], np.maximum.accumulate(highs)[:-1]
-        ra, rb = np.minimum.accumulate(lows[::-1])[::-1][1:], np.maximum.accumulate(highs[::-1])[::-1][1:]
-        cost = TRAVERSAL_COST + PRIMITIVE_COST * (_area(la, lb) * left_n + _area(ra, rb) * (n - left_n)) / whole
-        cost[(left_n == 0) | (left_n == n)] = np.inf
-        i = int(np.argmin(cost))
-        if cost[i] < best:
-            best, found = float(cost[i]), (axis, float(edges[i]))
-    return found
+        best = min(best, cheapest(axis, edges, lows, highs, np.bincount(slot, minlength=m), whole), key=lambda x: x[0])
+    return best[1], best[2]
+
+
+def bin_edges(a: float, b: float) -> np.ndarray:
+    return a + (b - a) * np.arange(1, BINS) / BINS
+
+
+def cheapest(axis: int, edges: np.ndarray, lows: np.ndarray, highs: np.ndarray, count: np.ndarray, whole: float) -> tuple[float, int, float]:
+    """(cost, axis, position) of the cheapest split between bins of bounds and counts; the first of equal ones."""
+    n = count.sum()
+    left_n = np.cumsum(count)[:-1]
+    la, lb = np.minimum.accumulate(lows)[:-1], np.maximum.accumulate(highs)[:-1]
+    ra, rb = np.minimum.accumulate(lows[::-1])[::-1][1:], np.maximum.accumulate(highs[::-1])[::-1][1:]
+    cost = TRAVERSAL_COST + PRIMITIVE_COST * (_area(la, lb) * left_n + _area(ra, rb) * (n - left_n)) / whole
+    cost[(left_n == 0) | (left_n == n)] = np.inf
+    i = int(np.argmin(cost))
+    return float(cost[i]), axis, float(edges[i])
 
 
 def build(low: np.ndarray, high: np.ndarray, strategy: str = "center", leaf_size: int = 10, max_depth: int = 40) -> Tree:
