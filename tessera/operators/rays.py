@@ -6,12 +6,13 @@ nested  the broadcast side is checked for size; tests run in generated code
 tree    triangles up to TREE_ROWS go into one packed hierarchy, sent to all
         tasks; rays stream past it in Arrow batches
 tiles   triangles are cut into tiles by a space-filling order, each with its
-        own hierarchy; rays go to the tiles whose bounds they meet
+        own hierarchy; rays go to the tiles whose bounds they meet: to all of
+        them for all hits, from front to back for the first one
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ from ..functions import bounds, exact, kernels
 from ..functions.staged import apply, matching
 from ..functions.vectors import AXES, vec
 from ..plans import strategy as plan
+from ..plans.durable import cut
 from ..plans.tree import Tree, build, search
 
 TRIANGLE = [f"{p}{c}" for p in ("a", "vb", "c") for c in AXES]
@@ -171,8 +173,8 @@ def tiled_boxes(boxed: DataFrame, tile_rows: int | None = None) -> tuple[DataFra
     def tile(x: pa.Array, y: pa.Array, z: pa.Array) -> pa.Array:
         return pa.array(np.searchsorted(cuts, codes(x, y, z), side="right").astype(np.int32))
 
-    cut = mids.withColumn("tile", tile(*(f"mid{c}" for c in AXES))).drop(*(f"mid{c}" for c in AXES))
-    return cut, cut.groupBy("tile").agg(*(F.expr(x).alias(n) for n, x in bounds.union_of().items()))
+    held = mids.withColumn("tile", tile(*(f"mid{c}" for c in AXES))).drop(*(f"mid{c}" for c in AXES))
+    return held, held.groupBy("tile").agg(*(F.expr(x).alias(n) for n, x in bounds.union_of().items()))
 
 
 class TileTree:
@@ -184,22 +186,22 @@ class TileTree:
         low, high = (np.stack([table.column(f"{f}{c}").to_numpy() for c in AXES], 1).reshape(-1, 3) for f in ("min", "max"))
         self.low, self.high, self.tree = low, high, build(low, high)
 
-    def met(self, rays: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ray, tile) of the rays (rows of RAY) that meet a tile's bounds."""
+    def met(self, rays: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ray, tile, t) of the rays (rows of RAY) that meet a tile's bounds, and where they enter."""
         o, d, found = rays[:, :3], rays[:, 3:], []
 
         def test(q, low, high):
             t_in, t_out = kernels.ray_box(low, high, o[q], d[q])
             slack = 1e-12 * (1.0 + np.abs(t_in))
             with np.errstate(invalid="ignore"):
-                return (t_in <= t_out + slack) & (t_out >= -slack)
+                return (t_in <= t_out + slack) & (t_out >= -slack), np.maximum(t_in - slack, 0)
 
         def visit(q, p):
-            on = test(q, self.low[p], self.high[p])
-            found.append((q[on], self.ids[p[on]]))
+            on, enters = test(q, self.low[p], self.high[p])
+            found.append((q[on], self.ids[p[on]], enters[on]))
 
-        search(self.tree, len(o), lambda q, node: test(q, self.tree.low[node], self.tree.high[node]), visit)
-        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int32))
+        search(self.tree, len(o), lambda q, node: test(q, self.tree.low[node], self.tree.high[node])[0], visit)
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0))
 
 
 def sent_to_tiles(rays: DataFrame, tiles: DataFrame) -> DataFrame:
@@ -208,26 +210,77 @@ def sent_to_tiles(rays: DataFrame, tiles: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            q, tile = shipped.value.met(columns(batch, RAY))
+            q, tile, _ = shipped.value.met(columns(batch, RAY))
             yield pa.RecordBatch.from_arrays([pa.array(tile, pa.int32()), *(batch.column(c).take(pa.array(q)) for c in ("ray_id", *RAY))], names=["tile", "ray_id", *RAY])
 
     return plan.spread(rays.select("ray_id", *RAY)).mapInArrow(run, "tile int, ray_id long, " + ", ".join(f"{c} double" for c in RAY))
 
 
+Read = Callable[[pa.Table], tuple[Tree, np.ndarray, np.ndarray]]
+
+
+def grown(table: pa.Table) -> tuple[Tree, np.ndarray, np.ndarray]:
+    """(hierarchy, ids, corners) of a tile's triangles, built by its task."""
+    tri = columns(table, TRIANGLE)
+    a, b, c = corners(tri)
+    return build(np.minimum(np.minimum(a, b), c), np.maximum(np.maximum(a, b), c)), table.column("tri_id").to_numpy(), tri
+
+
 def _by_tiles(rays: DataFrame, tris: DataFrame, side: str, first: bool, far: float | None) -> DataFrame:
-    cut, tiles = tiled(tris)
+    held, tiles = tiled(tris)
+    return in_tiles(rays, held.select("tile", "tri_id", *TRIANGLE), tiles, grown, side, first, far)
+
+
+def in_tiles(rays: DataFrame, held: DataFrame, tiles: DataFrame, read: Read, side: str, first: bool, far: float | None) -> DataFrame:
+    """Hits of rays in tiles (tile, minx..maxz) whose rows (tile, ...) `read` makes a hierarchy of; `first`: the nearest of each ray."""
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _HIT.empty_table()
-        tri, ids = columns(right, TRIANGLE), right.column("tri_id").to_numpy()
-        a, b, c = corners(tri)
-        tree = build(np.minimum(np.minimum(a, b), c), np.maximum(np.maximum(a, b), c))
-        out = cast(tree, ids, tri, left.column("ray_id").to_numpy(), columns(left, RAY), side, first, far)
+        tree, ids, tri = read(right)
+        best = left.column("best").to_numpy() if first else far
+        out = cast(tree, ids, tri, left.column("ray_id").to_numpy(), columns(left, RAY), side, first, best)
         return pa.Table.from_arrays([pa.array(x) for x in out], schema=_HIT)
 
-    sent, held = plan.dealt(sent_to_tiles(rays, tiles), cut.select("tile", "tri_id", *TRIANGLE), ["tile"], TILE_QUERIES)
-    return sent.groupBy("tile", "part").cogroup(held.groupBy("tile", "part")).applyInArrow(run, HIT)
+    def meet(sent: DataFrame) -> DataFrame:
+        left, right = plan.dealt(sent, held, ["tile"], TILE_QUERIES)
+        return left.groupBy("tile", "part").cogroup(right.groupBy("tile", "part")).applyInArrow(run, HIT)
+
+    if not first:
+        return meet(sent_to_tiles(rays, tiles))
+    shipped = rays.sparkSession.sparkContext.broadcast(TileTree(tiles))
+    far = float("inf") if far is None else far
+    todo, best, low, width = rays.select("ray_id", *RAY).withColumn("best", F.lit(far)), None, 0, 1
+    while True:
+        sent = cut(_next_tiles(todo, shipped, low, low + width))
+        if sent.isEmpty():
+            return best if best is not None else meet(sent)
+        hits = meet(sent)
+        best = cut(first_hits(hits if best is None else best.unionByName(hits)))
+        asked = sent.select("ray_id", *RAY).distinct()
+        bound = best.select(F.col("ray_id").alias("of_ray"), F.col("distance").alias("so_far"))
+        todo = asked.join(bound, asked["ray_id"] == bound["of_ray"], "left").select("ray_id", *RAY, F.least(F.coalesce("so_far", F.lit(far)), F.lit(far)).alias("best"))
+        low, width = low + width, width * 2
+
+
+def _next_tiles(rays: DataFrame, shipped, low: int, high: int) -> DataFrame:
+    """(tile, ray_id, ox..dz, best): the tiles that a ray enters as number low to high - 1, those alone that it enters no farther than its best hit.
+
+    A ray that gets none has its first hit: it would enter all others farther away.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ray, best = columns(batch, RAY), batch.column("best").to_numpy()
+            q, tile, enters = shipped.value.met(ray)
+            order = np.lexsort((tile, enters, q))
+            q, tile, enters = q[order], tile[order], enters[order]
+            rank = np.arange(len(q)) - np.searchsorted(q, q)
+            on = (rank >= low) & (rank < high) & (enters * np.sqrt(kernels.dot(ray[q, 3:], ray[q, 3:])) * (1 - 1e-12) <= best[q])
+            q, tile = pa.array(q[on]), pa.array(tile[on], pa.int32())
+            yield pa.RecordBatch.from_arrays([tile, *(batch.column(c).take(q) for c in ("ray_id", *RAY, "best"))], names=["tile", "ray_id", *RAY, "best"])
+
+    return plan.spread(rays).mapInArrow(run, "tile int, ray_id long, " + ", ".join(f"{c} double" for c in (*RAY, "best")))
 
 
 def ray_box_pairs(rays: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFrame:
@@ -236,17 +289,17 @@ def ray_box_pairs(rays: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFra
     crossed = plan.cross_small(rays, boxes) if plan._rows(rays) * plan._rows(boxes) <= plan.NESTED_PAIRS else None
     if crossed is not None:
         return matching(crossed, bounds.ray_interval("", vec("o"), vec("d")), bounds.ray_hits()).select("ray_id", *RAY, *keys)
-    cut, tiles = tiled_boxes(boxes)
+    held, tiles = tiled_boxes(boxes)
     kinds = dict(boxes.dtypes)
     ddl = "ray_id long, " + ", ".join(f"{c} double" for c in RAY) + "".join(f", {k} {kinds[k]}" for k in keys)
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         left, right = left.combine_chunks(), right.combine_chunks()
         told = right.select(["minx", "miny", "minz", "maxx", "maxy", "maxz"]).append_column("tile", pa.array(np.arange(right.num_rows)))
-        q, p = TileTree(_Held(told)).met(columns(left, RAY)) if left.num_rows and right.num_rows else (np.zeros(0, np.int64),) * 2
+        q, p, _ = TileTree(_Held(told)).met(columns(left, RAY)) if left.num_rows and right.num_rows else (np.zeros(0, np.int64),) * 3
         return pa.Table.from_arrays([*(left.column(c).take(pa.array(q)) for c in ("ray_id", *RAY)), *(right.column(k).take(pa.array(p)) for k in keys)], names=["ray_id", *RAY, *keys])
 
-    sent, held = plan.dealt(sent_to_tiles(rays, tiles), cut, ["tile"], TILE_QUERIES)
+    sent, held = plan.dealt(sent_to_tiles(rays, tiles), held, ["tile"], TILE_QUERIES)
     return sent.groupBy("tile", "part").cogroup(held.groupBy("tile", "part")).applyInArrow(run, ddl)
 
 
@@ -351,14 +404,14 @@ def _threshold_hits(rays: DataFrame, prims: DataFrame, prim: str, ends: list[str
         return plan.spread(rays).mapInArrow(run, ddl)
 
     box = {f"{n}{c}": f"{f}({', '.join(x for x in ends if x[-1] == c or x[0] == c)}) {s} cast({threshold!r} as double)" for n, f, s in (("min", "least" if len(ends) > 3 else "", "-"), ("max", "greatest" if len(ends) > 3 else "", "+")) for c in AXES}
-    cut, tiles = tiled_boxes(apply(prims, [box]))
+    boxed, tiles = tiled_boxes(apply(prims, [box]))
 
     def run_tile(key, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
         return pa.Table.from_arrays(hits(against(right), left), schema=schema)
 
-    sent, held = plan.dealt(sent_to_tiles(rays, tiles), cut.select("tile", prim, *ends), ["tile"], TILE_QUERIES)
+    sent, held = plan.dealt(sent_to_tiles(rays, tiles), boxed.select("tile", prim, *ends), ["tile"], TILE_QUERIES)
     return sent.groupBy("tile", "part").cogroup(held.groupBy("tile", "part")).applyInArrow(run_tile, ddl)
 
 
