@@ -997,28 +997,6 @@ def within_distance(spark, d):
     return composite.within_distance(fx.query_points(spark, d), fx.triangles(spark, d), 0.05)
 
 
-_UNIT = cross(sub(vec("vb"), vec("a")), sub(vec("c"), vec("a")))
-_RAISED = ", ".join(f"round(case when tri_id in (select tri_id from ({_SPHERE_HITS}) as h) then {p}{c} + n{c} / sqrt(nx * nx + ny * ny + nz * nz) * 1e-2 else {p}{c} end, 9) as {p}{c}" for p in ("a", "vb", "c") for c in AXES)
-
-
-@query("sculpt_brush", f"select tri_id, {_RAISED} from (select *, {', '.join(f'{e} as n{c}' for c, e in zip(AXES, _UNIT))} from ({fx.TRIANGLES}) as t) as n")
-def sculpt_brush(spark, d):
-    made = composite.sculpt(fx.triangles(spark, d), fx.spheres(spark, d), 0.01)
-    return made.select("tri_id", *(F.round(x, 9).alias(x) for x in rays.TRIANGLE))
-
-
-@query("sculpt_refit", oracles.tree(_ROOTED, "select n.root_id, n.node_id, " + ", ".join(f"round(h.{x}, 9) as {x}" for x in BOX) + " from node as n join (select root_id, path, " + ", ".join(f"{f}(m.{f}{c}) as {f}{c}" for f in ("min", "max") for c in AXES) + " from member join (select tri_id as box_id, " + ", ".join(f"{g}({', '.join(f'{p}{c}' for p in ('a', 'vb', 'c'))}) as {f}{c}" for f, g in (("min", "least"), ("max", "greatest")) for c in AXES) + f" from ({ORACLES['sculpt_brush']}) as s) as m using (box_id) group by root_id, path) as h on n.root_id = h.root_id and n.path = h.path"))
-def sculpt_refit(spark, d):
-    """A brush moves triangles; the leaves that hold them and the nodes above are refitted."""
-    nodes, order, _ = _index(spark, d)
-    t, brush = fx.triangles(spark, d), fx.spheres(spark, d)
-    after = regions.boxed(composite.sculpt(t, brush, 0.01)).select(F.col("tri_id").alias("box_id"), *BOX)
-    touched = order.join(regions.select_region(brush, t).select(F.col("tri_id").alias("box_id")).distinct(), "box_id", "left_semi").select(F.col("root_id").alias("r"), "slot")
-    dirty = nodes.where("is_leaf").join(touched, (F.col("root_id") == F.col("r")) & (F.col("slot") >= F.col("offset")) & (F.col("slot") < F.col("offset") + F.col("count")), "left_semi")
-    fresh = index.refit(nodes, order, after, dirty.select("root_id", "node_id"))
-    return fresh.select("root_id", "node_id", *(F.round(x, 9).alias(x) for x in BOX))
-
-
 @query("capsule_push_out")
 def capsule_push_out(spark, d):
     p = fx.spheres(spark, d).selectExpr("sphere_id as probe_id", "px", "py", "pz", "px as qx", "py as qy", "pz + 1e-1 as qz", "r")

@@ -16,7 +16,7 @@ from ..plans import strategy as plan
 from ..plans.durable import cut
 from .nearest import closest_point
 from .rays import RAY, TRIANGLE, columns, corners, raycast
-from .regions import box_hits, select_region
+from .regions import box_hits
 
 
 def grid(tris: DataFrame, n: int) -> DataFrame:
@@ -191,15 +191,6 @@ def gaps_between(intervals: DataFrame, key: str, low: float, high: float) -> Dat
     return inner.unionByName(last).where("gap_lo < gap_hi").select(key, F.col("gap_lo").alias("lo"), F.col("gap_hi").alias("hi"))
 
 
-def sculpt(tris: DataFrame, brush: DataFrame, amount: float) -> DataFrame:
-    """Triangles with those under a brush (sphere_id, px..pz, r) moved along their normals."""
-    hit = select_region(brush, tris).select("tri_id").distinct().withColumn("under", F.lit(True))
-    steps = [named("n", cross(sub(vec("vb"), vec("a")), sub(vec("c"), vec("a")))), {"nn": f"nullif(sqrt{dot(vec('n'), vec('n'))}, 0e0)"}]
-    out = apply(tris.select("tri_id", *TRIANGLE).join(hit, "tri_id", "left"), steps)
-    moved = {f"{p}{c}": F.expr(f"case when under then {p}{c} + coalesce(n{c} / nn, 0e0) * cast({amount!r} as double) else {p}{c} end") for p in ("a", "vb", "c") for c in AXES}
-    return out.select("tri_id", *(v.alias(k) for k, v in moved.items()))
-
-
 def push_out(probes: DataFrame, tris: DataFrame) -> DataFrame:
     """(probe_id, px..pz, qx..qz, n_hits): capsules (probe_id, segment p..q, r) pushed out of the triangles they touch.
 

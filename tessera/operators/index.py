@@ -187,27 +187,28 @@ def _splits(open_: DataFrame, stats: DataFrame, strategy: str) -> DataFrame:
 
 
 def _by_levels(rows: DataFrame, strategy: str, leaf_size: int, max_depth: int, task_rows: int) -> tuple[DataFrame, DataFrame]:
-    keys = ["root_id", "path"]
-    open_, above, below, giant, depth = cut(rows), [], [], [], 0
-    while True:
-        stats = cut(node_bounds(open_, keys))
-        large = stats.where(F.col("n") > max(task_rows, leaf_size))
-        below.append(open_.join(stats.where(F.col("n") <= max(task_rows, leaf_size)).select(*keys), keys, "left_semi"))
-        if large.isEmpty():
-            break
+    keys, most = ["root_id", "path"], max(task_rows, leaf_size)
+    stats = cut(node_bounds(rows, keys))
+    below, above, giant, depth = [rows.join(stats.where(F.col("n") <= most).select(*keys), keys, "left_semi")], [], [], 0
+    large = stats.where(F.col("n") > most)
+    open_ = rows.join(large.select(*keys), keys, "left_semi")
+    while not large.isEmpty():
         if depth >= max_depth:
-            giant.append((open_.join(large.select(*keys), keys, "left_semi"), large, depth))
+            giant.append((open_, large, depth))
             break
-        wide = open_.join(large.select(*keys), keys, "left_semi")
         centre = "case axis " + " ".join(f"when {i} then (min{c} + max{c}) / 2e0" for i, c in enumerate(AXES)) + " end"
-        sided = cut(wide.join(_splits(wide, large, strategy), keys, "left").withColumn("side", F.expr(f"case when axis is null then null when {centre} < position then 0 else 1 end")))
+        sided = open_.join(_splits(open_, large, strategy), keys, "left")
+        sided = cut(sided.withColumn("to", F.expr(f"case when axis is not null then path * 2 + case when {centre} < position then 0 else 1 end end")))
+        sides = cut(node_bounds(sided, [*keys, "axis", "to"]))
         # A node that has nothing on one side, or no good split, is a leaf, however large.
-        split = sided.groupBy(*keys, "axis").agg(F.min("side").alias("least"), F.max("side").alias("most")).where("least < most").select(*keys, "axis")
-        split = cut(large.join(split, keys))
-        above.append(split.withColumn("depth", F.lit(depth)))
+        split = sides.groupBy(*keys, "axis").agg(F.count("to").alias("sides")).where("sides = 2").select(*keys, "axis")
+        above.append(large.join(split, keys).withColumn("depth", F.lit(depth)))
         giant.append((sided.join(split, keys, "left_anti"), large.join(split, keys, "left_anti"), depth))
-        open_ = sided.join(split.select(*keys), keys, "left_semi").select("root_id", "box_id", *BOX, (F.col("path") * 2 + F.col("side")).alias("path"), F.lit(depth + 1).alias("depth"))
-        open_, depth = cut(open_), depth + 1
+        sides = sides.join(split.select(*keys), keys, "left_semi").drop("path", "axis").withColumnRenamed("to", "path")
+        down = sided.join(split.select(*keys), keys, "left_semi").select("root_id", "box_id", *BOX, F.col("to").alias("path"), F.lit(depth + 1).alias("depth"))
+        below.append(down.join(sides.where(F.col("n") <= most).select(*keys), keys, "left_semi"))
+        large, depth = sides.where(F.col("n") > most), depth + 1
+        open_ = down.join(large.select(*keys), keys, "left_semi")
 
     grown = _grown(reduce(DataFrame.unionByName, below), strategy, leaf_size, max_depth)
     sizes = grown.groupBy("root_id", F.col("top").alias("path")).agg(F.count(F.when(F.col("kind") == 0, 1)).alias("size"), F.count(F.when(F.col("kind") == 1, 1)).alias("slots"))

@@ -67,11 +67,16 @@ def raycast(rays: DataFrame, tris: DataFrame, side: str = "double", near: float
 
 
 def _nested(rays: DataFrame, tris: DataFrame, side: str) -> DataFrame:
-    steps, hit, after = exact.ray_triangle(side)
     crossed = plan.cross_small(rays, tris)
     if crossed is None:
         raise ValueError("neither side is small enough to broadcast")
-    return apply(matching(crossed, steps, hit), after).select(*(x.split()[0] for x in HIT.split(", ")))
+    return raycast_pairs(crossed, side)
+
+
+def raycast_pairs(pairs: DataFrame, side: str = "double") -> DataFrame:
+    """HIT for pairs (ray_id, ox..dz, tri_id, ax..cz) that some search has left, tested in generated code."""
+    steps, hit, after = exact.ray_triangle(side)
+    return apply(matching(pairs, steps, hit), after).select(*(x.split()[0] for x in HIT.split(", ")))
 
 
 def columns(batch, names: list[str]) -> np.ndarray:

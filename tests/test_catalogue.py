@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tessera import catalogue
+from tessera import catalogue, catalogue_hierarchies  # noqa: F401
 from tessera.functions import kernels as K
 from tessera.sources import fixtures as fx
 
