@@ -268,8 +268,8 @@ def camera_lasso(spark, d):
     return views.camera_lasso(fx.triangles(spark, d), _LOOP, _VIEW, index=_index(spark, d)[:2])
 
 
-_SCREENED = f"select tri_id, {_screen(vec('a'), 'a')}, {_screen(vec('vb'), 'b')}, {_screen(vec('c'), 'c')} from ({fx.TRIANGLES}) as t"
-_SIDES = ", ".join(f"{{'x0': {p}x, 'y0': {p}y, 'x1': {q}x, 'y1': {q}y}}" for p, q in ("ab", "bc", "ca"))
+_SCREENED = f"select tri_id, {_screen(vec('a'), 'a')}, {_screen(vec('vb'), 'k')}, {_screen(vec('c'), 'c')} from ({fx.TRIANGLES}) as t"
+_SIDES = ", ".join(f"{{'x0': {p}x, 'y0': {p}y, 'x1': {q}x, 'y1': {q}y}}" for p, q in ("ak", "kc", "ca"))
 
 
 def _crossing() -> str:
@@ -284,13 +284,13 @@ def _crossing() -> str:
     return " or ".join(tests)
 
 
-@query("camera_lasso_touch", f"select distinct tri_id from (select tri_id, unnest([{_SIDES}], recursive := true) from ({_SCREENED}) as p where aw > 0 and bw > 0 and cw > 0) as s where {_winding('x0', 'y0')} <> 0 or {_crossing()}")
+@query("camera_lasso_touch", f"select distinct tri_id from (select tri_id, unnest([{_SIDES}], recursive := true) from ({_SCREENED}) as p where aw > 0 and kw > 0 and cw > 0) as s where {_winding('x0', 'y0')} <> 0 or {_crossing()}")
 def camera_lasso_touch(spark, d):
     """Triangles of which the screen shows some part in the lasso."""
     return views.camera_lasso(fx.triangles(spark, d), _LOOP, _VIEW, "touch")
 
 
-@query("camera_lasso_indexed_touch", f"select distinct tri_id from (select tri_id, unnest([{_SIDES}], recursive := true) from ({_SCREENED}) as p where aw > 0 and bw > 0 and cw > 0) as s where {_winding('x0', 'y0')} <> 0 or {_crossing()}")
+@query("camera_lasso_indexed_touch", f"select distinct tri_id from (select tri_id, unnest([{_SIDES}], recursive := true) from ({_SCREENED}) as p where aw > 0 and kw > 0 and cw > 0) as s where {_winding('x0', 'y0')} <> 0 or {_crossing()}")
 def camera_lasso_indexed_touch(spark, d):
     return views.camera_lasso(fx.triangles(spark, d), _LOOP, _VIEW, "touch", _index(spark, d)[:2])
 
