@@ -16,8 +16,8 @@ from .plans import durable
 from .sources import fixtures as fx
 from .sources import geometry
 
-#: Primitives of a tile in these queries, so that the given tables make many.
-FEW = 300
+#: Primitives of a tile, and boxes of a leaf, in these queries, so that the given tables make several levels and tiles.
+FEW, LEAF = 400, 64
 
 
 # ---- building and reading --------------------------------------------------
@@ -36,10 +36,16 @@ _ONE = f"select cast(0 as int) as root_id, * from ({fx.AABBS}) as b"
 @query("build_levels_order", oracles.tree(_ONE, "select n.node_id, m.box_id from node as n join member as m on n.path = m.path where n.is_leaf"))
 def build_levels_order(spark, d):
     """The leaf of every box of one root that no task holds whole."""
-    nodes, order = index.build_nodes(fx.aabbs(spark, d).withColumn("root_id", F.lit(0)), task_rows=FEW)
+    nodes, order = index.build_nodes(fx.aabbs(spark, d).withColumn("root_id", F.lit(0)), task_rows=1000)
     return index.slots_of(nodes.where("is_leaf"), ["root_id", "node_id"]).join(order, ["root_id", "slot"]).select("node_id", "box_id")
 
 
+def _flat_index(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Four hierarchies of LEAF boxes a leaf."""
+    b = fx.aabbs(spark, d).withColumn("root_id", (F.col("box_id") % 4).cast("int"))
+    return index.build_nodes(b, leaf_size=LEAF)
+
+
 def _read_back(spark, d) -> tuple[DataFrame, DataFrame]:
     """An index, stored and read."""
     nodes, order, _ = _index(spark, d)
@@ -93,10 +99,10 @@ _CORNER_IN = " or ".join("(" + " + ".join(f"({p}{c} - p{c}) * ({p}{c} - p{c})" f
 _SPHERE_GAP = bounds.sphere_overlaps("", vec("p"), "r")
 
 
-@query("shapecast_hierarchy", oracles.tree(_ROOTED, f"select sphere_id, box_id as tri_id, contained from (select s.sphere_id, p.box_id, bool_or(({_FAR2}) <= r * r) as contained, any_value({_CORNER_IN}) as met from ({_WIDE}) as s, (select root_id, path, box_id from placed) as p join (select root_id, path, {', '.join(BOX)} from node) as n using (root_id, path) join ({fx.TRIANGLES}) as t on t.tri_id = p.box_id group by all) as x where met"))
+@query("shapecast_hierarchy", oracles.tree(_ROOTED, f"select sphere_id, box_id as tri_id, contained from (select s.sphere_id, p.box_id, bool_or(({_FAR2}) <= r * r) as contained, any_value({_CORNER_IN}) as met from ({_WIDE}) as s, (select root_id, path, box_id from placed) as p join (select root_id, path, {', '.join(BOX)} from node) as n using (root_id, path) join ({fx.TRIANGLES}) as t on t.tri_id = p.box_id group by all) as x where met", LEAF))
 def shapecast_hierarchy(spark, d):
     """Triangles with a corner in a sphere; whole subtrees inside one leave untested."""
-    nodes, order, _ = _index(spark, d)
+    nodes, order = _flat_index(spark, d)
     spheres = fx.spheres(spark, d).withColumn("r", F.col("r") * 6)
     state = F.expr(f"case when {_FAR2} <= r * r then 2 when {_SPHERE_GAP} then 1 else 0 end")
     return stored.shapecast(spheres, nodes, order, fx.triangles(spark, d), "tri_id", state, F.expr(_CORNER_IN)).select("sphere_id", "tri_id", "contained")
@@ -105,7 +111,7 @@ def shapecast_hierarchy(spark, d):
 @query("ray_by_hierarchy", f"select {_HIT} from ({_hits_sql()}) as x")
 def ray_by_hierarchy(spark, d):
     """All rays by a walk whose condition is that of a ray and a box."""
-    nodes, order, _ = _index(spark, d)
+    nodes, order = _flat_index(spark, d)
     steps = bounds.ray_interval("", vec("o"), vec("d"))
     meets = " and ".join(f"({a}) <= ({b}) + 1e-9" for a in ("0e0", *(steps[0][f"in_{c}"] for c in AXES)) for b in (steps[0][f"out_{c}"] for c in AXES))
     r, t = fx.rays(spark, d), fx.triangles(spark, d)
@@ -118,22 +124,22 @@ def descent_triangle_pairs(spark, d):
     """Meeting triangles of two meshes by their two hierarchies."""
     sides = [fx.triangles(spark, d), _second(spark, d)]
     boxes = [t.selectExpr("0 as root_id", "tri_id as box_id", *(f"{f}(a{c}, vb{c}, c{c}) as {n}{c}" for n, f in (("min", "least"), ("max", "greatest")) for c in AXES)) for t in sides]
-    return _lengths(descent.triangle_pairs(*sides, *(index.build_nodes(b) for b in boxes)))
+    return _lengths(descent.triangle_pairs(*sides, *(index.build_nodes(b, leaf_size=LEAF) for b in boxes)))
 
 
 _MARGIN = 0.01
 _LEAVES = "select root_id, depth, count, " + ", ".join(BOX) + " from node where is_leaf"
 
 
-@query("descent_ranges", oracles.tree(_ROOTED, f"select a.root_id as a_root_id, a.depth as a_depth, b.root_id as b_root_id, b.depth as b_depth, count(*) as n, cast(sum(a.count * b.count) as bigint) as pairs from ({_LEAVES}) as a, ({_LEAVES}) as b where " + " and ".join(f"a.min{c} - {_MARGIN!r}::double <= b.max{c} and b.min{c} <= a.max{c} + {_MARGIN!r}::double" for c in AXES) + " group by all"))
+@query("descent_ranges", oracles.tree(_ROOTED, f"select a.root_id as a_root_id, a.depth as a_depth, b.root_id as b_root_id, b.depth as b_depth, count(*) as n, cast(sum(a.count * b.count) as bigint) as pairs from ({_LEAVES}) as a, ({_LEAVES}) as b where " + " and ".join(f"a.min{c} - {_MARGIN!r}::double <= b.max{c} and b.min{c} <= a.max{c} + {_MARGIN!r}::double" for c in AXES) + " group by all", LEAF))
 def descent_ranges(spark, d):
     """Pairs of leaves of four hierarchies with themselves: how many at each depth, and how many pairs they stand for."""
-    nodes, _, _ = _index(spark, d)
+    nodes, _ = _flat_index(spark, d)
     found = descent.range_pairs(nodes, nodes, margin=_MARGIN).groupBy("a_root_id", "a_depth", "b_root_id", "b_depth")
     return found.agg(F.count("*").alias("n"), F.sum(F.col("a_count") * F.col("b_count")).alias("pairs"))
 
 
-@query("descent_callback", oracles.tree(_ROOTED, "select a.root_id as a_root_id, b.root_id as b_root_id, a.depth + b.depth as depths, cast(sum(a.count * b.count) as bigint) as pairs from (" + _LEAVES + ") as a, (" + _LEAVES + ") as b where " + bounds.overlap("a.", "b.") + " group by all"))
+@query("descent_callback", oracles.tree(_ROOTED, "select a.root_id as a_root_id, b.root_id as b_root_id, a.depth + b.depth as depths, cast(sum(a.count * b.count) as bigint) as pairs from (" + _LEAVES + ") as a, (" + _LEAVES + ") as b where " + bounds.overlap("a.", "b.") + " group by all", LEAF))
 def descent_callback(spark, d):
     """A function of batches of range pairs."""
 
@@ -144,7 +150,7 @@ def descent_callback(spark, d):
         out = [batch.column("a_root_id"), batch.column("b_root_id"), pa.array(c["a_depth"] + c["b_depth"]), pa.array(c["a_count"] * c["b_count"])]
         return pa.RecordBatch.from_arrays(out, names=["a_root_id", "b_root_id", "depths", "pairs"])
 
-    nodes, _, _ = _index(spark, d)
+    nodes, _ = _flat_index(spark, d)
     found = descent.cast_pairs(nodes, nodes, work, "a_root_id int, b_root_id int, depths int, pairs long")
     return found.groupBy("a_root_id", "b_root_id", "depths").agg(F.sum("pairs").alias("pairs"))
 
@@ -265,7 +271,7 @@ _MIDDLE = tuple(f"(a{c} + vb{c} + c{c}) / 3e0" for c in AXES)
 @query("camera_lasso", f"select tri_id from (select tri_id, {_screen(_MIDDLE, 's')} from ({fx.TRIANGLES}) as t) as p where sw > 0 and {_winding('sx', 'sy')} <> 0")
 def camera_lasso(spark, d):
     """Triangles whose centroids lie in a lasso on the screen, by an index whose subtrees in the lasso leave untested."""
-    return views.camera_lasso(fx.triangles(spark, d), _LOOP, _VIEW, index=_index(spark, d)[:2])
+    return views.camera_lasso(fx.triangles(spark, d), _LOOP, _VIEW, index=_flat_index(spark, d))
 
 
 _SCREENED = f"select tri_id, {_screen(vec('a'), 'a')}, {_screen(vec('vb'), 'k')}, {_screen(vec('c'), 'c')} from ({fx.TRIANGLES}) as t"
@@ -292,7 +298,7 @@ def camera_lasso_touch(spark, d):
 
 @query("camera_lasso_indexed_touch", f"select distinct tri_id from (select tri_id, unnest([{_SIDES}], recursive := true) from ({_SCREENED}) as p where aw > 0 and kw > 0 and cw > 0) as s where {_winding('x0', 'y0')} <> 0 or {_crossing()}")
 def camera_lasso_indexed_touch(spark, d):
-    return views.camera_lasso(fx.triangles(spark, d), _LOOP, _VIEW, "touch", _index(spark, d)[:2])
+    return views.camera_lasso(fx.triangles(spark, d), _LOOP, _VIEW, "touch", _flat_index(spark, d))
 
 
 _EDGES = "select tri_id as edge_id, ax as x0, ay as y0, az as z0, vbx as x1, vby as y1, vbz as z1 from ({0}) as e"
