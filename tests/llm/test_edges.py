@@ -286,3 +286,13 @@ def test_near_duplicates_recall(spark, data):
     sets = {r.doc_id: brute.shingle_counts(r.text) for r in docs}
     found = [(i, j) for i in sets if i % 20 == 0 and sets[i] for j in sets if i != j and sets[i].keys() & sets[j].keys() and brute.prob_jaccard(sets[i], sets[j]) >= 0.8]
     assert all(group[i] == group[j] for i, j in found)
+
+
+def test_links_of_near_copies_do_not_depend_on_partitions(spark):
+    """Forty texts, each the same 120 words with one changed: every pair is near, and what is verified is a function of the texts."""
+    r = random.Random(3)
+    base = [f"w{r.randrange(10**6)}" for _ in range(120)]
+    rows = [(i, " ".join(base[:k] + [f"x{i}"] + base[k + 1 :])) for i in range(40) for k in [r.randrange(120)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one, five = ({x.id: (x.n_links, x.similarity, x.group_id, x.kept) for x in near_duplicates(docs.repartition(n)).collect()} for n in (1, 5))
+    assert one == five and len({g for _, _, g, _ in one.values()}) == 1
