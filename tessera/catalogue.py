@@ -126,22 +126,6 @@ def hit_interpolation(spark, d):
     return rays.interpolate(hits, values, ["uv_u", "uv_v"]).select("ray_id", "tri_id", F.round("uv_u", 9).alias("uv_u"), F.round("uv_v", 9).alias("uv_v"))
 
 
-@query("ray_by_shapecast", f"select tri_id, t, u, v from ({_hits_sql(where='ray_id = 3')}) as x")
-def ray_by_shapecast(spark, d):
-    """One ray as a region query: its line prunes the tiles, its test the triangles."""
-    one = fx.rays(spark, d).where("ray_id = 3")
-    cut, tiles = rays.tiled(fx.triangles(spark, d), 500)
-    met = regions.shapecast(tiles.crossJoin(F.broadcast(one)), cut, *_ray_states())
-    return rays.raycast(one, met, strategy="nested").select("tri_id", "t", "u", "v")
-
-
-def _ray_states():
-    """Bounds that the ray's line meets, and any of their triangles."""
-    steps = bounds.ray_interval("", vec("o"), vec("d"))
-    text = " and ".join(f"({a}) <= ({b})" for a in (steps[0][f"in_{c}"] for c in AXES) for b in (steps[0][f"out_{c}"] for c in AXES))
-    return F.expr(f"case when {text} then 1 else 0 end"), F.lit(True)
-
-
 @query("ray_aabb_prune", f"select ray_id, count(*) as n_boxes from ({nested_sql(f'select * from ({fx.RAYS}) as r, ({fx.AABBS}) as b', bounds.ray_interval('', vec('o'), vec('d')))}) as x where {bounds.ray_hits()} group by ray_id")
 def ray_aabb_prune(spark, d):
     crossed = plan.cross_small(fx.rays(spark, d), fx.aabbs(spark, d))
@@ -239,7 +223,7 @@ _FAR2 = " + ".join(f"greatest(abs(p{c} - min{c}), abs(p{c} - max{c})) * greatest
 
 
 _TURNED = f"select box_id, {', '.join(BOX)} from ({fx.BOXES}) as b"
-_AABB_OTHERS = f"select box_id as other_id, {', '.join(BOX)} from ({fx.AABBS}) as b where box_id % 7 = 0"
+_AABB_OTHERS = f"select box_id as other_id, {', '.join(BOX)} from ({fx.AABBS}) as b"
 
 
 def _oriented(spark, d) -> DataFrame:
@@ -248,7 +232,7 @@ def _oriented(spark, d) -> DataFrame:
 
 @query("obb_aabb_overlap", f"select box_id, other_id from ({oracles.obb_aabb(_TURNED, _AABB_OTHERS, oracles.untold(_TURN), _TURN)}) as x where distance = 0e0")
 def obb_aabb_overlap(spark, d):
-    others = fx.aabbs(spark, d).where("box_id % 7 = 0").withColumnRenamed("box_id", "other_id")
+    others = fx.aabbs(spark, d).withColumnRenamed("box_id", "other_id")
     return regions.oriented_box_overlaps(_oriented(spark, d), others)
 
 
@@ -272,11 +256,12 @@ def brush_selection(spark, d):
     return regions.select_region(fx.spheres(spark, d), fx.triangles(spark, d))
 
 
-@query("shapecast_tiles", f"select tri_id, false as contained from ({fx.TRIANGLES}) as t where ax + ay > 5e-1 and greatest(ax, vbx, cx) >= 2e-1")
+@query("shapecast_tiles", f"select tri_id from ({fx.TRIANGLES}) as t where greatest(ax, vbx, cx) >= 0e0 and greatest(ay, vby, cy) >= -1e-1")
 def shapecast_tiles(spark, d):
-    cut, tiles = rays.tiled(fx.triangles(spark, d), 500)
-    met = regions.shapecast(tiles, cut, F.when(F.col("maxx") >= 0.2, 1).otherwise(0), (F.col("ax") + F.col("ay") > 0.5) & (F.greatest("ax", "vbx", "cx") >= 0.2))
-    return met.select("tri_id", "contained")
+    """Triangles that reach a quarter of space; tiles that lie wholly there skip the test."""
+    held, tiles = rays.tiled(fx.triangles(spark, d), 100)
+    state = F.expr("case when maxx < 0e0 or maxy < -1e-1 then 0 when minx >= 0e0 and miny >= -1e-1 then 2 else 1 end")
+    return regions.shapecast(tiles, held, state, F.expr("greatest(ax, vbx, cx) >= 0e0 and greatest(ay, vby, cy) >= -1e-1")).select("tri_id")
 
 
 @query("shapecast_points", f"select point_id from ({fx.POINTS}) as p where px + py > 8e1 and pz < 3e2")
@@ -434,8 +419,7 @@ def closest_geometry(spark, d):
 
 @query("intersects_geometry", f"select count(*) > 0 as intersects from ({oracles.crossings(oracles.box_near(fx.TRIANGLES, _SECOND))}) as x")
 def intersects_geometry(spark, d):
-    hit = pairs.intersects_geometry(fx.triangles(spark, d), _second(spark, d))
-    return spark.range(1).select(F.lit(hit).alias("intersects"))
+    return pairs.intersects_geometry(fx.triangles(spark, d), _second(spark, d))
 
 
 # ---- scenes ---------------------------------------------------------------
@@ -445,7 +429,10 @@ _PLANES = [(1.0, 0.0, 0.0, -50000.0), (-1.0, 0.0, 0.0, 400000.0), (0.0, 0.0, 1.0
 
 @query("scene_object_bounds", fx.OBJECTS)
 def scene_object_bounds(spark, d):
-    return fx.objects(spark, d)
+    """Bounds of the orders of each customer, each order a point."""
+    at = spark.read.parquet(f"{d}/orders.parquet").selectExpr("o_custkey as object_id", "o_totalprice as x", f"{fx.HOURS_SPARK.format(t='o_orderdate')} as y", f"{fx._DIGIT} as z")
+    points = at.select("object_id", *(F.col(c).alias(f"{f}{c}") for f in ("min", "max") for c in AXES))
+    return index.node_bounds(points, ["object_id"]).select("object_id", *BOX)
 
 
 _SIDES = [bounds.plane_side("", tuple(f"cast({x!r} as double)" for x in p[:3]), f"cast({p[3]!r} as double)") for p in _PLANES]
@@ -665,12 +652,12 @@ def scene_visibility(spark, d):
     return scene.visible_objects(tree)
 
 
-@query("update_transforms", f"select object_id, instance_id, {', '.join(f'case when object_id = 2 then 2e0 * m{i} else m{i} end as m{i}' for i in range(16))}, visible and object_id <> 5 as visible from ({_INST}) as i")
+@query("update_transforms", "select vec_id as object_id, label as instance_id, " + ", ".join(f"cast(embedding[{i + 1}] as double) * case when vec_id % 7 = 2 then 2e0 else 1e0 end as m{i}" for i in range(16)) + ", label <> 3 and vec_id % 5 <> 1 as visible from embeddings")
 def update_transforms(spark, d):
-    inst = _instances(spark)
-    new = inst.where("object_id = 2").withColumn("matrix", F.transform("matrix", lambda x: x * 2))
-    seen = spark.range(9).selectExpr("id", "id <> 5 as seen")
-    out = scene.update_transforms(inst, seen, new)
+    """New matrices for some of the instances, and objects that are no longer seen."""
+    e = spark.read.parquet(f"{d}/embeddings.parquet").selectExpr("vec_id as object_id", "label as instance_id", "transform(slice(embedding, 1, 16), x -> cast(x as double)) as matrix", "label <> 3 as visible")
+    new = e.where("object_id % 7 = 2").withColumn("matrix", F.transform("matrix", lambda x: x * 2))
+    out = scene.update_transforms(e, e.selectExpr("object_id as id", "object_id % 5 <> 1 as seen"), new)
     return out.select("object_id", "instance_id", *(F.col("matrix")[i].alias(f"m{i}") for i in range(16)), "visible")
 
 
@@ -858,14 +845,15 @@ def tree_wireframe(spark, d):
     return index.wireframe(_index(spark, d)[0], 3)
 
 
-_GROUPS = [(0, 0, 21), (0, 16, 25), (0, 41, 20), (1, 5, 10), (1, 20, 5)]
-_GROUP_ROWS = ", ".join(f"({g}, {s}, {c})" for g, s, c in _GROUPS)
-_RANGES = f"with g(geom_id, s, n) as (values {_GROUP_ROWS}), c as (select geom_id, greatest(s, 10) as s, least(s + n, 55) as e from g where greatest(s, 10) < least(s + n, 55)), p as (select geom_id, s as pos from c union select geom_id, e from c), q as (select geom_id, pos, lead(pos) over (partition by geom_id order by pos) as nxt from p) select cast(geom_id as bigint) as geom_id, cast(pos as bigint) as range_start, cast(nxt as bigint) as range_end from q where nxt is not null and exists (select 1 from c where c.geom_id = q.geom_id and c.s <= q.pos and c.e >= q.nxt)"
+_LOW, _HIGH = 10, 1500
+_RANGES = f"with g as (select p_size % 3 as geom_id, p_partkey as s, p_size % 7 + 1 as n from part where p_size % 4 = 0), c as (select geom_id, greatest(s, {_LOW}) as s, least(s + n, {_HIGH}) as e from g where greatest(s, {_LOW}) < least(s + n, {_HIGH})), p as (select geom_id, s as pos from c union select geom_id, e from c), q as (select geom_id, pos, lead(pos) over (partition by geom_id order by pos) as nxt from p) select cast(geom_id as bigint) as geom_id, cast(pos as bigint) as range_start, cast(nxt as bigint) as range_end from q where nxt is not null and exists (select 1 from c where c.geom_id = q.geom_id and c.s <= q.pos and c.e >= q.nxt)"
 
 
 @query("group_root_ranges", _RANGES)
 def group_root_ranges(spark, d):
-    return geometry.root_ranges(spark.createDataFrame(_GROUPS, "geom_id long, start long, count long"), 10, 55)
+    """Overlapping groups of parts, cut at each other's ends."""
+    groups = spark.read.parquet(f"{d}/part.parquet").where("p_size % 4 = 0").selectExpr("cast(p_size % 3 as long) as geom_id", "p_partkey as start", "cast(p_size % 7 + 1 as long) as count")
+    return geometry.root_ranges(groups, _LOW, _HIGH)
 
 
 @query("range_filter", f"with r as ({_RANGES}) select t.tri_id, r.range_start from ({fx.TRIANGLES}) as t join r on r.geom_id = 0 and t.tri_id >= r.range_start and t.tri_id < r.range_end")
@@ -1097,14 +1085,14 @@ _SHORT = "select query_id as seg_id, px as x0, py as y0, pz as z0, px + 1e-1 as
 
 
 _LINE_GAP = f"abs({dot(sub(vec('q'), vec('p')), cross(vec('d'), vec('e')))}) / sqrt({dot(cross(vec('d'), vec('e')), cross(vec('d'), vec('e')))})"
-_LINES = {t: f"select query_id as {t}_id, " + ", ".join(f"p{c} as {p}{c}" for c in AXES) + ", " + ", ".join(f"{e} as {v}{c}" for c, e in zip(AXES, x)) + f" from ({fx.QUERY_POINTS}) as q where query_id < {n}" for t, p, v, x, n in (("a", "p", "d", ("1e0 + px", "2e0", "pz"), 60), ("b", "q", "e", ("py", "-1e0", "5e-1"), 80))}
+_LINES = {t: f"select query_id as {t}_id, " + ", ".join(f"p{c} as {p}{c}" for c in AXES) + ", " + ", ".join(f"{e} as {v}{c}" for c, e in zip(AXES, x)) + f" from ({fx.QUERY_POINTS}) as q" for t, p, v, x in (("a", "p", "d", ("1e0 + px", "2e0", "pz")), ("b", "q", "e", ("py", "-1e0", "5e-1")))}
 
 
 @query("line_distances", f"select a_id, b_id, round({_LINE_GAP}, 6) as distance from ({_LINES['a']}) as l, ({_LINES['b']}) as r")
 def line_distances(spark, d):
     q = fx.query_points(spark, d)
-    line = lambda n, x, y, z: q.where(F.col("query_id") < n).selectExpr("query_id as seg_id", "px as x0", "py as y0", "pz as z0", f"px + ({x}) as x1", f"py + ({y}) as y1", f"pz + ({z}) as z1")
-    found = pairs.line_distances(line(60, "1e0 + px", "2e0", "pz"), line(80, "py", "-1e0", "5e-1"))
+    line = lambda x, y, z: q.selectExpr("query_id as seg_id", "px as x0", "py as y0", "pz as z0", f"px + ({x}) as x1", f"py + ({y}) as y1", f"pz + ({z}) as z1")
+    found = pairs.line_distances(line("1e0 + px", "2e0", "pz"), line("py", "-1e0", "5e-1"))
     return found.select("a_id", "b_id", F.round("distance", 6).alias("distance"))
 
 
@@ -1131,12 +1119,23 @@ def obb_aabb_distance(spark, d):
     return pairs.oriented_box_distances(b, other).withColumn("distance", F.round("distance", 6))
 
 
-@query("camera_rays", "select vec_id as ray_id, cast(embedding[1] as double) * 2e0 + 0e0 as ox, cast(embedding[2] as double) * 2e0 + 0e0 as oy, -1e0 as oz, 0e0 as dx, 0e0 as dy, 2e0 as dz from embeddings")
+#: An inverse projection whose w depends on x, y and the depth, and a placement.
+_UNPROJECT = [0.8, 0.1, 0.0, 0.15, 0.0, 0.7, 0.05, -0.1, 0.0, 0.0, 0.2, 0.45, 0.05, 0.0, -1.0, 0.6]
+_STAND = [0.8, 0.6, 0.0, 0.0, -0.6, 0.8, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 3.0, -2.0, 5.0, 1.0]
+
+
+def _unprojected(z: str, to: str) -> list[dict[str, str]]:
+    """Clip space point (x, y, z) as rows of matrix times column, divided by the fourth, then placed."""
+    row = lambda m, r, v: " + ".join(f"{m[4 * i + r]!r}::double * {c}" for i, c in enumerate(v))
+    flat = {f"{to}{r}": row(_UNPROJECT, r, ("x", "y", z, "1e0")) for r in range(4)}
+    return [flat, {f"{to}{'xyz'[r]}": row(_STAND, r, (f"{to}0 / {to}3", f"{to}1 / {to}3", f"{to}2 / {to}3", "1e0")) for r in range(3)}]
+
+
+@query("camera_rays", "select ray_id, " + ", ".join(f"round(o{c}, 9) as o{c}, round(f{c} - o{c}, 9) as d{c}" for c in AXES) + " from (" + nested_sql("select vec_id as ray_id, cast(embedding[1] as double) as x, cast(embedding[2] as double) as y from embeddings", _unprojected("-1e0", "o") + _unprojected("1e0", "f")) + ") as p")
 def camera_rays(spark, d):
+    """Rays through a perspective view: the division by w is not by one number."""
     p = spark.read.parquet(f"{d}/embeddings.parquet").selectExpr("vec_id as ray_id", "cast(embedding[0] as double) as x", "cast(embedding[1] as double) as y")
-    one = [1.0, 0, 0, 0, 0, 1.0, 0, 0, 0, 0, 1.0, 0, 0, 0, 0, 1.0]
-    two = [2.0, 0, 0, 0, 0, 2.0, 0, 0, 0, 0, 1.0, 0, 0, 0, 0, 1.0]
-    return rays.camera_rays(p, one, two)
+    return rays.camera_rays(p, _UNPROJECT, _STAND).select("ray_id", *(F.round(c, 9).alias(c) for c in rays.RAY))
 
 
 @query("refit_hinted", _refitted("box_id = 0", "25e1"))

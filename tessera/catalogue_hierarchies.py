@@ -108,8 +108,8 @@ def shapecast_hierarchy(spark, d):
     return stored.shapecast(spheres, nodes, order, fx.triangles(spark, d), "tri_id", state, F.expr(_CORNER_IN)).select("sphere_id", "tri_id", "contained")
 
 
-@query("ray_by_hierarchy", f"select {_HIT} from ({_hits_sql()}) as x")
-def ray_by_hierarchy(spark, d):
+@query("ray_by_shapecast", f"select {_HIT} from ({_hits_sql()}) as x")
+def ray_by_shapecast(spark, d):
     """All rays by a walk whose condition is that of a ray and a box."""
     nodes, order = _flat_index(spark, d)
     steps = bounds.ray_interval("", vec("o"), vec("d"))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.staged import apply
 from ..functions.vectors import AXES, affine, cross, determinant, named, vec
+from ..plans.durable import cut
 from .rays import TRIANGLE
 from .scene import MATRIX
 
@@ -101,15 +100,12 @@ def skin(vertices: DataFrame, weights: DataFrame, bones: DataFrame) -> DataFrame
 def merge_offsets(counts: DataFrame) -> DataFrame:
     """(geom_id, n_vertices, first_vertex): running vertex offsets over the geometries in order of id.
 
-    The ids are cut at quantiles; offsets run inside each part, and the parts'
-    sums, one row for each shuffle partition, are added up on the driver.
+    Offsets run inside each range of ids, and the ranges' sums, one row for
+    each shuffle partition, are added up on the driver.
     """
     spark = counts.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shares = [i / n for i in range(1, n)]
-    cuts = sorted(set(counts.approxQuantile("geom_id", shares, 0.25 / n))) if shares else []
-    part = reduce(lambda a, b: a + b, [(F.col("geom_id") >= int(c)).cast("int") for c in cuts], F.lit(0))
-    parted = counts.withColumn("part", part)
+    parted = cut(counts.repartitionByRange(n, "geom_id").withColumn("part", F.spark_partition_id()))
     offsets, at = [], 0
     for number, size in sorted(parted.groupBy("part").agg(F.sum("n_vertices")).collect()):
         offsets.append((number, at))

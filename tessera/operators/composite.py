@@ -101,6 +101,10 @@ def segment_crossings(segments: DataFrame) -> DataFrame:
     return plan.box_join(side("a"), side("b")).where("a_id < b_id").where(SEGMENTS_CROSS).select("a_id", "b_id")
 
 
+#: Keys whose hulls a task holds before it passes them on.
+HULL_KEYS = 20_000
+
+
 def convex_hulls(points: DataFrame, key: str) -> DataFrame:
     """(key, corner, x, y): the hull of each key's points, counter-clockwise from the leftmost.
 
@@ -111,16 +115,27 @@ def convex_hulls(points: DataFrame, key: str) -> DataFrame:
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for k, h in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(h), kind), pa.array(h[:, 0]), pa.array(h[:, 1])], names=[key, "x", "y"])
+
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            xy = np.stack([batch.column(i).to_numpy() for i in (1, 2)], 1)
-            for k in set(keys):
-                mine = xy[[x == k for x in keys]]
-                both = np.concatenate([held[k], mine]) if k in held else mine
+            kind, coded = batch.column(0).type, batch.column(0).dictionary_encode()
+            code = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            order = np.argsort(code, kind="stable")
+            xy = np.stack([batch.column(i).to_numpy() for i in (1, 2)], 1)[order]
+            first = np.flatnonzero(np.diff(code[order], prepend=-2))
+            for i, j in zip(first, [*first[1:], len(order)]):
+                c = int(code[order[i]])
+                k = coded.dictionary[c].as_py() if c >= 0 else None
+                both = np.concatenate([held[k], xy[i:j]]) if k in held else xy[i:j]
                 hull = kernels.convex_hull(both)
                 held[k] = hull if len(hull) else np.unique(both, axis=0)
-        for k, h in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k] * len(h), batch.column(0).type), pa.array(h[:, 0]), pa.array(h[:, 1])], names=[key, "x", "y"])
+            if len(held) > HULL_KEYS:  # what meets again, meets in the merge
+                yield from told()
+                held.clear()
+        yield from told()
 
     def merge(table: pa.Table) -> pa.Table:
         h = kernels.convex_hull(np.stack([table.column("x").to_numpy(), table.column("y").to_numpy()], 1))

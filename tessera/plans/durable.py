@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -15,18 +17,38 @@ def folder(spark: SparkSession) -> str:
     if root is None:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="tessera-checkpoints-")
+        own = tempfile.mkdtemp(prefix="tessera-checkpoints-")
+        atexit.register(shutil.rmtree, own, True)
+        root = f"file://{own}"
     if not context.getCheckpointDir():
         context.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+#: What this process has written and not yet deleted.
+_made: list[str] = []
+
+
 def fresh(spark: SparkSession, label: str) -> str:
     """A path for files, in the same folder."""
-    return f"{folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df computed and stored: its plan is the stored rows."""
     folder(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    stored = out._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if stored.isDefined():
+        _made.append(stored.get())
+    return out
+
+
+def discard(spark: SparkSession) -> None:
+    """Delete all that this process has stored: results that still read it are lost, so write them first."""
+    jvm = spark.sparkContext._jvm
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

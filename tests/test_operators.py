@@ -126,8 +126,8 @@ def test_surface_only(spark):
     t = torus(spark)
     s = spark.createDataFrame([(0, 5.0, 0.0, 0.0, 0.5), (1, 5.0, 0.0, 2.0, 0.5), (2, 50.0, 0.0, 0.0, 1.0)], "sphere_id long, px double, py double, pz double, r double")
     assert {x.sphere_id: x.intersects for x in regions.intersects_sphere(s, t).collect()} == {0: False, 1: True, 2: False}
-    assert not pairs.intersects_geometry(t, pairs.transformed(t, [0.01, 0, 0, 0, 0, 0.01, 0, 0, 0, 0, 0.01, 0, 5, 0, 0, 1]))
-    assert pairs.intersects_geometry(t, pairs.transformed(t, [1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0, 5, 0, 0, 1]))
+    assert not pairs.intersects_geometry(t, pairs.transformed(t, [0.01, 0, 0, 0, 0, 0.01, 0, 0, 0, 0, 0.01, 0, 5, 0, 0, 1])).first().intersects
+    assert pairs.intersects_geometry(t, pairs.transformed(t, [1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0, 5, 0, 0, 1])).first().intersects
 
 
 def test_closest_geometry_of_spaced_copies(spark):
