@@ -26,6 +26,8 @@ from .shared import fresh_path, lean_batches, qualified
 #: Fixed values of the WARC/1.1 and WARC-Zstandard formats.
 DICTIONARY_MAGIC = 0x184D2A5D
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: The records' date where none is given.
+DATE = "2000-01-01T00:00:00Z"
 
 MANIFEST = "path string, records long, bytes long"
 RECORDS = "page_id long, uri string, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long"
@@ -44,7 +46,9 @@ def classify(pages: DataFrame, id_col: str, payload_col: str, min_bytes: int) ->
 def train_dictionary(pages: DataFrame, payload_col: str, samples: int = 1000, sample_bytes: int = 1 << 16, size: int = 112_640) -> bytes:
     """A dictionary from a bounded sample of the records: of distinct payloads about `samples`, chosen by hash.
 
-    A payload of up to `sample_bytes` is taken whole, of a longer one sixteen
+    Payloads are trained on as they are archived, with the WARC and HTTP heads
+    that all records have in common, some as revisits; ids, URIs and dates, which
+    differ from row to row, have a stand-in. A payload of up to `sample_bytes` is taken whole, of a longer one sixteen
     segments spread evenly from its start to its end. The sample depends on
     the payloads alone, not on their order or on how often each occurs. Empty
     if there are no payloads; with too few to train on, their bytes serve as a
@@ -56,8 +60,12 @@ def train_dictionary(pages: DataFrame, payload_col: str, samples: int = 1000, sa
     part = sample_bytes // 16
     spread = f"transform(sequence(0, 15), i -> substring(p, 1 + cast(floor(i * (length(p) - {part}) / 15) as int), {part}))"
     pieces = F.expr(f"case when length(p) <= {sample_bytes} then array(p) else {spread} end")
-    found = some.select("h", pieces.alias("pieces")).groupBy("h").agg(F.min("pieces").alias("pieces"))
-    told = sorted(bytes(x) for r in found.select("pieces").toLocalIterator() for x in r[0])
+    found = some.select("h", F.struct(pieces.alias("pieces"), F.sha2("p", 256).alias("digest")).alias("s")).groupBy("h").agg(F.min("s").alias("s"))
+    told = []
+    for h, (first, *rest), digest in sorted((r.h, [bytes(x) for x in r.s.pieces], r.s.digest) for r in found.toLocalIterator()):
+        told += [record(h, None, first, digest, None, DATE), *rest]
+        if len(told) % 16 == 0:
+            told.append(record(h, None, b"", digest, h, DATE))
     if not told:
         return b""
     try:
@@ -75,30 +83,37 @@ def _safe(value) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", value or "")
 
 
-def _name(page_id) -> str:
-    return f"<urn:page:{'none' if page_id is None else page_id}>"
+def _name(page_id, digest: str) -> str:
+    """A record's id: rows with one page_id and different payloads have different ones."""
+    return f"<urn:page:{'none' if page_id is None else page_id}:{digest[:32]}>"
+
+
+def _page_of(name: str | None) -> int | None:
+    number = None if name is None else name[len("<urn:page:") : -1].partition(":")[0]
+    return None if number in (None, "none") else int(number)
 
 
 def record(page_id, uri, payload: bytes, digest: str, refers_to, date: str) -> bytes:
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if refers_to is not None else head + payload
-    fields = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", _name(page_id)), ("WARC-Date", date)]
+    fields = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", _name(page_id, digest)), ("WARC-Date", date)]
     if uri:
         fields.append(("WARC-Target-URI", _safe(uri)))
     if refers_to is not None:
-        fields += [("WARC-Refers-To", _name(refers_to)), ("WARC-Profile", PROFILE)]
+        fields += [("WARC-Refers-To", _name(refers_to, digest)), ("WARC-Profile", PROFILE)]
     fields += [("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", payload_col: str = "html", uri_col: str | None = "url", min_revisit_bytes: int = 100, archive_bytes: int = 1 << 30, level: int = 3, date: str | Column = "2000-01-01T00:00:00Z") -> DataFrame:
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", payload_col: str = "html", uri_col: str | None = "url", min_revisit_bytes: int = 100, archive_bytes: int = 1 << 30, level: int = 3, date: str | Column = DATE) -> DataFrame:
     """Write every page as a record into archives under `path` (a URI that pyarrow and all executors reach; a path without a scheme is taken as Spark takes it); returns the manifest.
 
     A task writes archives under names of its own attempt, and just those of
     committed tasks enter the manifest, so that a lost or repeated task leaves
     no record twice. A null payload is empty; payloads under
     `min_revisit_bytes` are always responses, as are all rows with a null id
-    or with the smallest id itself. Repeated rows are records each. A payload
+    or with the smallest id itself. Repeated rows are records each; rows alike in id and payload
+    are copies of one record and share its record id. A payload
     is held whole, by the task that writes it. `date`: the records' date, one
     for all or a timestamp column's (UTC). Ids are whole numbers; columns that
     are not named are left out, so their names cannot clash. An empty table
@@ -197,10 +212,9 @@ def parse(raw: bytes) -> tuple:
     http, _, payload = block.partition(b"\r\n\r\n")
     size = int(re.search(rb"(?i)content-length: *(\d+)", http)[1])
     digest = field["warc-payload-digest"].removeprefix("sha256:")
-    number = lambda name: None if name is None or name.endswith(":none>") else int(name[len("<urn:page:") : -1])
     if field["warc-type"] == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
         raise ValueError(f"payload of {field['warc-record-id']} does not match its digest")
-    return number(field["warc-record-id"]), field.get("warc-target-uri"), size, digest, field["warc-type"], number(field.get("warc-refers-to"))
+    return _page_of(field["warc-record-id"]), field.get("warc-target-uri"), size, digest, field["warc-type"], _page_of(field.get("warc-refers-to"))
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import math
 import pathlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -296,3 +297,15 @@ def test_links_of_near_copies_do_not_depend_on_partitions(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     one, five = ({x.id: (x.n_links, x.similarity, x.group_id, x.kept) for x in near_duplicates(docs.repartition(n)).collect()} for n in (1, 5))
     assert one == five and len({g for _, _, g, _ in one.values()}) == 1
+
+
+def test_warc_dictionary_holds_heads_and_record_ids_differ(spark, tmp_path):
+    rows = [(i, f"http://x/{i}", f"<html><body>{'words of page ' * (i % 7 + 3)}{i}</body></html>") for i in range(200)] + [(3, "http://x/other", "another payload of the same page " * 5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    dictionary = warc.train_dictionary(pages, "html")
+    assert b"WARC/1.1\r\nWARC-Type: response" in dictionary or b"Content-Type: application/http; msgtype=response" in dictionary
+    names = []
+    for path in [r.path for r in warc.write_archives(pages.coalesce(1), str(tmp_path / "w")).collect()]:
+        with open(path.removeprefix("file://"), "rb") as f:
+            names += [re.search(rb"WARC-Record-ID: (\S+)", raw)[1] for _, raw in warc.records_of(f)]
+    assert len(names) == len(set(names)) == 201
