@@ -7,19 +7,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import bounds
-from ..functions.staged import apply
+from ..functions.staged import apply, matching
 from ..functions.vectors import AXES, affine, vec
 from ..plans import ordered
 from ..plans import strategy as plan
 from ..plans.durable import cut
 from ..plans.tree import build
-from .rays import RAY, TRIANGLE, cast, columns, corners, first_hits, ray_box_pairs, raycast_points, raycast_segments
+from .rays import RAY, TILE_ROWS, TRIANGLE, cast, columns, corners, first_hits, ray_box_pairs, raycast_points, raycast_segments, tiled
 from .index import build_nodes
 from .regions import BOX, NOT_INTERSECTED, _inverted, boxed, frustum_state
 
 MATRIX = [f"matrix[{i}]" for i in range(16)]
-#: Rays that one task takes to a geometry.
-GEOMETRY_RAYS = 2_000
+#: Rays that one task takes to a geometry, or to a tile of one.
+GEOMETRY_RAYS = 20_000
 
 
 def collect_objects(scene: DataFrame, roots: DataFrame, kinds: tuple[str, ...] = ("mesh", "line", "points")) -> DataFrame:
@@ -124,14 +124,26 @@ def raycast_scene(rays: DataFrame, instances: DataFrame, tris: DataFrame, side:
     return out.groupBy(*keys).agg(F.min(F.struct("distance", *rest)).alias("m")).select(*keys, "m.*").select(out.columns)
 
 
-def _local_hits(local: DataFrame, tris: DataFrame, side: str, first: bool) -> DataFrame:
+def _local_hits(local: DataFrame, tris: DataFrame, side: str, first: bool, tile_rows: int = TILE_ROWS) -> DataFrame:
     """Rays in the frames of instances against their geometries: one hierarchy per geometry and part.
 
     A geometry that many rays reach goes to several tasks, each with a part of
-    the rays; one that fits no task has to be cut into several geometries.
+    the rays. One of more than `tile_rows` triangles is cut into tiles in its
+    own frame, and rays go to those of its tiles whose bounds they meet.
     """
     keep = ["ray_id", "object_id", "instance_id", *(f"w{x}" for x in RAY)]
-    left, right = plan.dealt(local.select("geom_id", *keep, *RAY), tris.select("geom_id", "tri_id", *TRIANGLE), ["geom_id"], GEOMETRY_RAYS)
+    tris = tris.select("geom_id", "tri_id", *TRIANGLE)
+    if (tris.groupBy("geom_id").count().agg(F.max("count")).first()[0] or 0) > tile_rows:
+        held, _ = tiled(tris, tile_rows)
+        # Bounds are widened by more than rounding, so that no hit on a tile's face is lost.
+        wide = {x: F.expr(f"{x} {'-' if x.startswith('min') else '+'} 1e-9 * (1e0 + abs({x}))") for x in BOX}
+        boxes = cut(held.groupBy("geom_id", "tile").agg(*(F.expr(e).alias(n) for n, e in bounds.union_of().items())).withColumns(wide))
+        local = matching(local.join(boxes, "geom_id"), bounds.ray_interval("", vec("o"), vec("d")), bounds.ray_hits())
+        tris = held.select("geom_id", "tri_id", "tile", *TRIANGLE)
+    else:
+        local, tris = local.withColumn("tile", F.lit(0)), tris.withColumn("tile", F.lit(0))
+    key = ["geom_id", "tile"]
+    left, right = plan.dealt(local.select(*key, *keep, *RAY), tris, key, GEOMETRY_RAYS)
     kinds = dict(left.dtypes)
     ddl = ", ".join(f"{c} {kinds[c]}" for c in keep) + ", tri_id long, t double"
 
@@ -143,7 +155,7 @@ def _local_hits(local: DataFrame, tris: DataFrame, side: str, first: bool) -> Da
         at, hit, t, *_ = cast(tree, ids, tri, np.arange(rays.num_rows), columns(rays, RAY), side, first, None)
         return rays.select(keep).take(pa.array(at, pa.int64())).append_column("tri_id", pa.array(hit, pa.int64())).append_column("t", pa.array(t, pa.float64()))
 
-    return left.groupBy("geom_id", "part").cogroup(right.groupBy("geom_id", "part")).applyInArrow(run, ddl)
+    return left.groupBy(*key, "part").cogroup(right.groupBy(*key, "part")).applyInArrow(run, ddl)
 
 
 def raycast_object(rays: DataFrame, tris: DataFrame, matrix: list[float], side: str = "double", first: bool = False, near: float | None = None, far: float | None = None) -> DataFrame:

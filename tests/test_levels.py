@@ -1,9 +1,12 @@
 """Hierarchies larger than a task: building, refitting and walking them."""
 
+from functools import partial
+
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import descent, index, pairs, rays, stored
+from tessera import catalogue
+from tessera.operators import descent, index, pairs, rays, scene, stored
 from tessera.operators.regions import BOX
 from tessera.sources import fixtures as fx
 from tessera.sources import geometry
@@ -147,3 +150,13 @@ def test_descent_equals_the_cell_join(spark, boxes):
     assert {(r.a_id, r.b_id) for r in pairs.box_pairs(boxes, boxes, strategy="cells").collect()} <= got
     far = descent.range_pairs(nodes, nodes, matrix=[1.0, 0, 0, 0, 0, 1.0, 0, 0, 0, 0, 1.0, 0, 100.0, 0, 0, 1.0])
     assert not far.count()
+
+
+def test_scene_rays_meet_tiles_of_large_geometries(spark, data, monkeypatch):
+    instances, tris, r = catalogue._instances(spark), catalogue._geometry_tris(spark, data), fx.rays(spark, data)
+    names = ["ray_id", "object_id", "instance_id", "tri_id"]
+    for first in (None, "scene"):
+        want = rows(scene.raycast_scene(r, instances, tris, first=first), *names)
+        with monkeypatch.context() as m:
+            m.setattr(scene, "_local_hits", partial(scene._local_hits, tile_rows=200))
+            assert rows(scene.raycast_scene(r, instances, tris, first=first), *names) == want
