@@ -146,8 +146,9 @@ def tiled(tris: DataFrame, tile_rows: int | None = None) -> tuple[DataFrame, Dat
 def tiled_boxes(boxed: DataFrame, tile_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows with a tile, tiles with bounds): runs of a Morton order, of about `tile_rows` rows each.
 
-    The order interleaves ranks of the centres along the axes, by quantiles,
-    so that crowded regions get smaller tiles and outliers take no room. The
+    The order interleaves ranks of the centres along the axes, by quantiles and
+    by the place between two of them, so that crowded regions get smaller tiles,
+    outliers take no room, and a track along a diagonal has as many codes as any. The
     cuts are fixed values from then on: every later evaluation of the plan puts
     a row into the same tile. There are MOST_TILES tiles at most.
     """
@@ -156,13 +157,18 @@ def tiled_boxes(boxed: DataFrame, tile_rows: int | None = None) -> tuple[DataFra
         return boxed.withColumn("tile", F.lit(0)), boxed.limit(0).selectExpr("0 as tile", "minx", "miny", "minz", "maxx", "maxy", "maxz")
     parts = min(MOST_TILES, max(1, -(-n // (tile_rows or TILE_ROWS))))
     mids = boxed.withColumns({f"mid{c}": F.expr(f"(min{c} + max{c}) / 2e0") for c in AXES})
-    ranks = [np.unique(x) for x in mids.approxQuantile([f"mid{c}" for c in AXES], [i / 1024 for i in range(1, 1024)], 5e-4)] if parts > 1 else [np.zeros(0)] * 3
+    edges = [np.unique(x) if x else np.zeros(1) for x in mids.approxQuantile([f"mid{c}" for c in AXES], [i / 1024 for i in range(1025)], 5e-4)] if parts > 1 else [np.zeros(1)] * 3
 
     def codes(*mid: pa.Array) -> np.ndarray:
         code = np.zeros(len(mid[0]), np.int64)
-        for i, (x, at) in enumerate(zip(mid, ranks)):
-            rank = np.searchsorted(at, x.to_numpy(zero_copy_only=False), side="right")
-            for bit in range(10):
+        for i, (x, at) in enumerate(zip(mid, edges)):
+            x = x.to_numpy(zero_copy_only=False)
+            rank = np.searchsorted(at[1:-1], x, side="right")
+            low, high = at[rank], at[np.minimum(rank + 1, len(at) - 1)]
+            with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+                inner = np.clip(np.nan_to_num((x - low) / (high - low) * 1024), 0, 1023)
+            rank = rank << 10 | inner.astype(np.int64)
+            for bit in range(20):
                 code |= (rank >> bit & 1) << (3 * bit + i)
         return code
 

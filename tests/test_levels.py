@@ -160,3 +160,11 @@ def test_scene_rays_meet_tiles_of_large_geometries(spark, data, monkeypatch):
         with monkeypatch.context() as m:
             m.setattr(scene, "_local_hits", partial(scene._local_hits, tile_rows=200))
             assert rows(scene.raycast_scene(r, instances, tris, first=first), *names) == want
+
+
+def test_a_track_along_a_diagonal_is_cut_into_small_tiles(spark):
+    """All axes go together, with a few outliers: tiles stay small."""
+    at = spark.range(200_000).selectExpr("id", "case when id % 50000 = 0 then 1e9 else id / 1e3 end as p")
+    boxes = at.select("id", *(F.col("p").alias(x) for x in BOX))
+    sizes = [r[0] for r in rays.tiled_boxes(boxes, 50)[0].groupBy("tile").count().select("count").collect()]
+    assert sum(sizes) == 200_000 and sum(n for n in sizes if n < 150) > 190_000  # 1,024 codes would leave 195 in a tile
