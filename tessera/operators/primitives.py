@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import kernels
 from ..functions.vectors import vec
 from ..plans import strategy as plan
-from ..plans.tree import build, search
+from ..plans.tree import Found, build, search
 from . import nearest
-from .rays import RAY, TILE_QUERIES, TileTree, columns, first_hits, sent_to_tiles, tiled_boxes
+from .rays import RAY, TILE_QUERIES, TileTree, by_slices, columns, first_hits, sent_to_tiles, tiled_boxes
 from .regions import BOX
 
 
@@ -62,7 +62,7 @@ class Held:
 
 
 def _ray_hits(held: Held, kind: Kind, batch) -> list[np.ndarray]:
-    ray, tree, found = columns(batch, RAY), held.tree, []
+    ray, tree, found = columns(batch, RAY), held.tree, Found(1)
     o, d = ray[:, :3], ray[:, 3:]
 
     def keep(q, node):
@@ -72,10 +72,10 @@ def _ray_hits(held: Held, kind: Kind, batch) -> list[np.ndarray]:
 
     def visit(q, p):
         hit, t = kind.ray(o[q], d[q], held.shapes[p])
-        found.append((q[hit], p[hit], t[hit]))
+        found.add(q[hit], p[hit], t[hit])
 
     search(tree, len(o), keep, visit)
-    q, p, t = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    q, p, t = found.all()
     return [batch.column("ray_id").to_numpy()[q], held.ids[p], t, t * np.sqrt(kernels.dot(d[q], d[q]))]
 
 
@@ -91,25 +91,24 @@ def raycast(rays: DataFrame, shapes: DataFrame, kind: Kind, first: bool = False,
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _ray_hits(shipped.value, kind, batch)], names=names)
+                yield from by_slices(batch, lambda b: pa.RecordBatch.from_arrays([pa.array(x) for x in _ray_hits(shipped.value, kind, b)], names=names))
 
         hits = plan.spread(rays).mapInArrow(run, ddl)
     else:
         at, tiles = tiled_boxes(boxed(rows, kind), tile_rows)
 
-        def meet(key, left: pa.Table, right: pa.Table) -> pa.Table:
-            if not left.num_rows or not right.num_rows:
-                return pa.table({n: pa.array([], pa.int64() if i < 2 else pa.float64()) for i, n in enumerate(names)})
-            return pa.Table.from_arrays([pa.array(x) for x in _ray_hits(Held(right, kind), kind, left)], names=names)
+        def meet(left: pa.Table, right: pa.Table) -> Iterator[pa.RecordBatch]:
+            index = Held(right, kind)
+            yield from by_slices(left, lambda b: pa.RecordBatch.from_arrays([pa.array(x) for x in _ray_hits(index, kind, b)], names=names))
 
         sent, held = plan.dealt(sent_to_tiles(rays, tiles), at.select("tile", kind.key, *kind.columns), ["tile"], TILE_QUERIES)
-        hits = sent.groupBy("tile", "part").cogroup(held.groupBy("tile", "part")).applyInArrow(meet, ddl)
+        hits = plan.streamed(sent, held, ["tile", "part"], meet, ddl)
     return first_hits(hits, prim=kind.key) if first else hits
 
 
 def _nearest(held: Held, kind: Kind, p: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(point, id, distance) of the nearest shape of each point, no farther than its limit."""
-    tree, best, found = held.tree, limit.copy(), []
+    tree, best, found = held.tree, limit.copy(), Found(1, held.ids)
 
     def gap(q, node):
         g = np.maximum(np.maximum(tree.low[node] - p[q], 0), p[q] - tree.high[node])
@@ -117,15 +116,13 @@ def _nearest(held: Held, kind: Kind, p: np.ndarray, limit: np.ndarray) -> tuple[
 
     def visit(q, at):
         d = kind.distance(p[q], held.shapes[at])
+        np.minimum.at(best, q, d)
         near = d <= best[q]
-        np.minimum.at(best, q[near], d[near])
-        found.append((q[near], at[near], d[near]))
+        found.add(q[near], at[near], d[near])
 
     search(tree, len(p), lambda q, node: gap(q, node) <= best[q] * (1 + 1e-12), visit)
-    q, at, d = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-    order = np.lexsort((held.ids[at], d, q))
-    order = order[np.concatenate([[True], np.diff(q[order]) != 0])] if len(order) else order
-    return q[order], held.ids[at[order]], d[order]
+    q, at, d = found.all()
+    return q, held.ids[at], d
 
 
 def closest(points: DataFrame, shapes: DataFrame, kind: Kind, strategy: str = "auto", tile_rows: int | None = None) -> DataFrame:

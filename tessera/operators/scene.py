@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -13,7 +15,7 @@ from ..plans import ordered
 from ..plans import strategy as plan
 from ..plans.durable import cut
 from ..plans.tree import build
-from .rays import RAY, TILE_ROWS, TRIANGLE, cast, columns, corners, first_hits, ray_box_pairs, raycast_points, raycast_segments, tiled
+from .rays import RAY, TILE_ROWS, TRIANGLE, by_slices, cast, columns, corners, first_hits, ray_box_pairs, raycast_points, raycast_segments, tiled
 from .index import build_nodes
 from .regions import BOX, NOT_INTERSECTED, _inverted, boxed, frustum_state
 
@@ -147,15 +149,19 @@ def _local_hits(local: DataFrame, tris: DataFrame, side: str, first: bool, tile_
     kinds = dict(left.dtypes)
     ddl = ", ".join(f"{c} {kinds[c]}" for c in keep) + ", tri_id long, t double"
 
-    def run(key, rays: pa.Table, mesh: pa.Table) -> pa.Table:
-        rays = rays.combine_chunks()
-        tri, ids = (columns(mesh, TRIANGLE), mesh.column("tri_id").to_numpy()) if mesh.num_rows else (np.zeros((0, 9)), np.zeros(0, np.int64))
+    def run(rays: pa.Table, mesh: pa.Table) -> Iterator[pa.RecordBatch]:
+        tri, ids = columns(mesh, TRIANGLE), mesh.column("tri_id").to_numpy()
         a, b, c = corners(tri)
         tree = build(np.minimum(np.minimum(a, b), c), np.maximum(np.maximum(a, b), c))
-        at, hit, t, *_ = cast(tree, ids, tri, np.arange(rays.num_rows), columns(rays, RAY), side, first, None)
-        return rays.select(keep).take(pa.array(at, pa.int64())).append_column("tri_id", pa.array(hit, pa.int64())).append_column("t", pa.array(t, pa.float64()))
 
-    return left.groupBy(*key, "part").cogroup(right.groupBy(*key, "part")).applyInArrow(run, ddl)
+        def hits(some: pa.Table) -> pa.RecordBatch:
+            at, hit, t, *_ = cast(tree, ids, tri, np.arange(some.num_rows), columns(some, RAY), side, first, None)
+            told = some.select(keep).combine_chunks().take(pa.array(at, pa.int64())).combine_chunks()
+            return pa.RecordBatch.from_arrays([*(x.chunk(0) if x.num_chunks else pa.array([], x.type) for x in told.columns), pa.array(hit, pa.int64()), pa.array(t, pa.float64())], names=[*keep, "tri_id", "t"])
+
+        yield from by_slices(rays, hits)
+
+    return plan.streamed(left, right, [*key, "part"], run, ddl)
 
 
 def raycast_object(rays: DataFrame, tris: DataFrame, matrix: list[float], side: str = "double", first: bool = False, near: float | None = None, far: float | None = None) -> DataFrame:

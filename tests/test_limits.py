@@ -1,9 +1,13 @@
 """Limits of queries and of the memory that searches take."""
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 
 from tessera import catalogue
+from tessera.operators import rays
+from tessera.plans import strategy
+from tessera.plans.tree import PAIRS, Found, build, search
 
 
 def test_a_distance_that_rounds_to_the_limit_counts(spark, tmp_path):
@@ -13,3 +17,40 @@ def test_a_distance_that_rounds_to_the_limit_counts(spark, tmp_path):
     pq.write_table(pa.table({"vec_id": pa.array([1], pa.int64()), "embedding": pa.array([row], pa.list_(pa.float32()))}), tmp_path / "embeddings.parquet")
     found = catalogue.QUERIES["obb_point_distance"](spark, str(tmp_path)).collect()
     assert [tuple(r) for r in found] == [(1, 1, 0.2)]
+
+
+def test_searches_hold_a_bounded_number_of_pairs():
+    """However many primitives a query reaches, a test gets a bounded number, and of hits that lose nothing stays."""
+    low = np.random.default_rng(1).normal(size=(5000, 3))
+    tree = build(low, low + 1.0)
+    most, pairs = [], 0
+
+    def visit(q, p):
+        nonlocal pairs
+        most.append(len(q))
+        pairs += len(q)
+
+    search(tree, 100, lambda q, node: np.ones(len(q), bool), visit)
+    assert pairs == 500_000 and max(most) <= PAIRS
+    found = Found(1, np.arange(10)[::-1], 20)
+    for d in (3.0, 1.0, 2.0, 1.0):
+        for p in range(10):
+            found.add(np.arange(4), np.full(4, p), np.full(4, d))
+    assert found.held <= 30
+    q, p, d = found.all()
+    assert q.tolist() == [0, 1, 2, 3] and p.tolist() == [9] * 4 and d.tolist() == [1.0] * 4
+
+
+def test_many_hits_leave_in_several_batches(spark):
+    """All hits of a tile's rays come batch by batch, and are those of one batch."""
+    batch = pa.RecordBatch.from_pydict({"n": list(range(3000))})
+    out = list(rays.by_slices(batch, lambda b: pa.RecordBatch.from_pydict({"n": np.repeat(b.column("n").to_numpy(), 1000)})))
+    assert max(b.num_rows for b in out) < 300_000 and sum(b.num_rows for b in out) == 3_000_000
+    left, right = spark.range(4).selectExpr("id % 2 as k", "id as a"), spark.range(6).selectExpr("id % 3 as k", "id as b")
+
+    def both(l: pa.Table, r: pa.Table):
+        for a in l.column("a").to_pylist():
+            yield pa.RecordBatch.from_pydict({"a": [a] * r.num_rows, "b": r.column("b").to_pylist()})
+
+    got = strategy.streamed(left, right, ["k"], both, "a long, b long").collect()
+    assert sorted(map(tuple, got)) == [(0, 0), (0, 3), (1, 1), (1, 4), (2, 0), (2, 3), (3, 1), (3, 4)]
