@@ -3,9 +3,10 @@
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 from tessera import catalogue
-from tessera.operators import rays
+from tessera.operators import index, pairs, rays, stored
 from tessera.plans import strategy
 from tessera.plans.tree import PAIRS, Found, build, search
 
@@ -54,3 +55,18 @@ def test_many_hits_leave_in_several_batches(spark):
 
     got = strategy.streamed(left, right, ["k"], both, "a long, b long").collect()
     assert sorted(map(tuple, got)) == [(0, 0), (0, 3), (1, 1), (1, 4), (2, 0), (2, 3), (3, 1), (3, 4)]
+
+
+def test_all_pairs_of_two_large_tables(spark, monkeypatch):
+    """Where neither side may be sent to all tasks, or the estimate says so, there is still a result."""
+    lines = spark.range(20).selectExpr("id as seg_id", "id * 1e0 as x0", "id * id * 1e0 as y0", "0e0 as z0", "id + 1e0 as x1", "1e0 as y1", "id * 2e0 as z1")
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    want = key(pairs.line_distances(lines, lines))
+    assert len(want) == 400
+    monkeypatch.setattr(strategy, "BROADCAST_BYTES", 0)
+    assert key(pairs.line_distances(lines, lines)) == want
+    boxes = spark.range(50).selectExpr("cast(id % 2 as int) as root_id", "id as box_id", *(f"id * 1e0 as min{c}" for c in "xyz"), *(f"id + 1e0 as max{c}" for c in "xyz"))
+    monkeypatch.setattr(strategy, "spread", lambda df: df)
+    nodes, order = index.build_nodes(boxes, leaf_size=5)
+    met = stored.shapecast(spark.range(3).select(F.col("id").alias("q")), nodes, order, boxes, "box_id", F.expr("case when minx <= q * 10 and maxx >= q * 10 then 1 else 0 end"), F.expr("minx <= q * 10 and maxx >= q * 10"))
+    assert sorted((r.q, r.box_id) for r in met.collect()) == [(0, 0), (1, 9), (1, 10), (2, 19), (2, 20)]
