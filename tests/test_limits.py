@@ -70,3 +70,11 @@ def test_all_pairs_of_two_large_tables(spark, monkeypatch):
     nodes, order = index.build_nodes(boxes, leaf_size=5)
     met = stored.shapecast(spark.range(3).select(F.col("id").alias("q")), nodes, order, boxes, "box_id", F.expr("case when minx <= q * 10 and maxx >= q * 10 then 1 else 0 end"), F.expr("minx <= q * 10 and maxx >= q * 10"))
     assert sorted((r.q, r.box_id) for r in met.collect()) == [(0, 0), (1, 9), (1, 10), (2, 19), (2, 20)]
+
+
+def test_estimates_of_any_length(spark):
+    """Joins of tables of unknown size multiply their estimates: to more digits than Python reads."""
+    df = spark.createDataFrame(spark.sparkContext.parallelize([(1,)]), "a0 long")
+    for n in range(8):
+        df = df.crossJoin(df.toDF(*(f"b{n}_{i}" for i in range(len(df.columns)))))
+    assert strategy.spread(df) is df
