@@ -9,6 +9,7 @@ from tessera import catalogue
 from tessera.operators import index, pairs, rays, stored
 from tessera.plans import strategy
 from tessera.plans.tree import PAIRS, Found, build, search
+from tessera.sources import fixtures as fx
 
 
 def test_a_distance_that_rounds_to_the_limit_counts(spark, tmp_path):
@@ -78,3 +79,21 @@ def test_estimates_of_any_length(spark):
     for n in range(8):
         df = df.crossJoin(df.toDF(*(f"b{n}_{i}" for i in range(len(df.columns)))))
     assert strategy.spread(df) is df
+
+
+def test_first_hits_derive_their_tiles_once(spark, data):
+    """Rounds from front to back read what is in the tiles, and don't compute it anew."""
+    held, tiles = rays.tiled(fx.triangles(spark, data).where("tri_id < 700"), 50)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    held = held.select("tile", "tri_id", *rays.TRIANGLE)
+    told = held.mapInArrow(counted, held.schema)
+    found = rays.in_tiles(fx.rays(spark, data), told, tiles, rays.grown, "double", True, None).collect()
+    assert seen.value == 700
+    want = rays.raycast(fx.rays(spark, data), held, first=True, strategy="nested").select("ray_id", "tri_id").collect()
+    assert sorted((r.ray_id, r.tri_id) for r in found) == sorted(map(tuple, want))
