@@ -1,8 +1,10 @@
 """Joins of boxes by tiles, and how their work is dealt out."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tessera.operators import boxes, composite, pairs, rays, regions
+from tessera.operators import boxes, composite, descent, index, nearest, pairs, rays, regions, views
 from tessera.plans import strategy
 from tessera.sources import fixtures as fx
 
@@ -43,3 +45,13 @@ def test_few_tiles_make_many_parts(spark):
     l, r = strategy.dealt(left, right, ["tile"], rays.TILE_QUERIES)
     parts = l.select("part").distinct().count()
     assert parts >= 2 * spark.sparkContext.defaultParallelism and r.count() == 3 * parts
+
+
+
+def test_nested_nearest_tests_few_pairs(spark, data):
+    """The nearest corner bounds the distance: what is tested and sorted is a small part of all pairs."""
+    p, t = fx.query_points(spark, data), fx.triangles(spark, data)
+    tried = nearest._nested(p, t).count()
+    assert p.count() <= tried < p.count() * t.count() / 10
+    gone = t.limit(1).select("tri_id", *(F.lit(None).cast("double").alias(x) for x in rays.TRIANGLE)).withColumn("tri_id", F.lit(-1).cast("long"))
+    assert _key(nearest.closest_point(p, t.unionAll(gone), strategy="nested")) == _key(nearest.closest_point(p, t, strategy="nested"))
