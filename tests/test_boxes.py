@@ -55,3 +55,19 @@ def test_nested_nearest_tests_few_pairs(spark, data):
     assert p.count() <= tried < p.count() * t.count() / 10
     gone = t.limit(1).select("tri_id", *(F.lit(None).cast("double").alias(x) for x in rays.TRIANGLE)).withColumn("tri_id", F.lit(-1).cast("long"))
     assert _key(nearest.closest_point(p, t.unionAll(gone), strategy="nested")) == _key(nearest.closest_point(p, t, strategy="nested"))
+
+
+
+def test_hidden_parts_by_tiles(spark, data, monkeypatch):
+    """Parts of edges are found and merged in tasks, with two large tables as with small ones."""
+    t = fx.triangles(spark, data).where("tri_id < 700")
+    edges = t.selectExpr("tri_id as edge_id", "ax as x0", "ay as y0", "az as z0", "vbx as x1", "vby as y1", "vbz as z1")
+    want = _key(views.hidden_parts(edges, t))
+    assert want
+    monkeypatch.setattr(strategy, "NESTED_PAIRS", 0)
+    monkeypatch.setattr(strategy, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(strategy, "cell_join", None)
+    monkeypatch.setattr(boxes, "TILE_ROWS", 300)
+    assert _key(views.hidden_parts(edges, t)) == want
+    got = views._merged(pa.array([2, 1, 2, None, 2, 1]), np.array([0.5, 0.2, 0.0, 0.1, 0.1, 0.9]), np.array([0.6, 0.3, 0.2, 0.9, 0.5, 1.0]))
+    assert sorted(map(tuple, got.to_pandas().fillna(0).to_numpy().tolist())) == [(0, 0.1, 0.9), (1, 0.2, 0.3), (1, 0.9, 1.0), (2, 0.0, 0.6)]
