@@ -71,3 +71,15 @@ def test_hidden_parts_by_tiles(spark, data, monkeypatch):
     assert _key(views.hidden_parts(edges, t)) == want
     got = views._merged(pa.array([2, 1, 2, None, 2, 1]), np.array([0.5, 0.2, 0.0, 0.1, 0.1, 0.9]), np.array([0.6, 0.3, 0.2, 0.9, 0.5, 1.0]))
     assert sorted(map(tuple, got.to_pandas().fillna(0).to_numpy().tolist())) == [(0, 0.1, 0.9), (1, 0.2, 0.3), (1, 0.9, 1.0), (2, 0.0, 0.6)]
+
+
+
+def test_descent_tests_pairs_where_ranges_are(spark, data, monkeypatch):
+    """Ranges of slots go to the task that has the triangles of both, for runs of slots of any length."""
+    t = fx.triangles(spark, data).where("tri_id < 700")
+    made = index.build_nodes(t.selectExpr("cast(tri_id % 2 as int) as root_id", "tri_id as box_id", *(f"{f}(a{c}, vb{c}, c{c}) as {n}{c}" for n, f in (("min", "least"), ("max", "greatest")) for c in "xyz")), leaf_size=8)
+    monkeypatch.setattr(descent, "TILE_SLOTS", 50)
+    monkeypatch.setattr(descent, "PAIRS", 100)
+    ids = lambda df: sorted((r.a_id, r.b_id) for r in df.collect())
+    want = ids(pairs.triangle_pairs(t, t))
+    assert ids(descent.triangle_pairs(t, t, made, made)) == want and len(want) > 700
