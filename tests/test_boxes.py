@@ -83,3 +83,17 @@ def test_descent_tests_pairs_where_ranges_are(spark, data, monkeypatch):
     ids = lambda df: sorted((r.a_id, r.b_id) for r in df.collect())
     want = ids(pairs.triangle_pairs(t, t))
     assert ids(descent.triangle_pairs(t, t, made, made)) == want and len(want) > 700
+
+
+
+def test_push_out_sends_triangles_not_pairs(spark, data, monkeypatch):
+    """Probes are pushed in tiles that have their triangles; unknown ones stay as they are."""
+    t = fx.triangles(spark, data).where("tri_id < 1400")
+    probe = fx.spheres(spark, data).selectExpr("sphere_id as probe_id", "px", "py", "pz", "px as qx", "py as qy", "pz + 1e-1 as qz", "r")
+    none = spark.createDataFrame([(-1, None, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0), (-2, float("nan"), 0.0, 0.0, 0.0, 0.0, 0.0, 1.0)], probe.schema)
+    monkeypatch.setattr(strategy, "box_join", None)
+    got = {r.probe_id: r for r in composite.push_out(probe.unionAll(none), t).collect()}
+    monkeypatch.setattr(composite, "_WINDOW", 3)
+    again = {r.probe_id: r for r in composite.push_out(probe, t).collect()}
+    assert len(got) == len(again) + 2 == probe.count() + 2 and all(got[k] == r for k, r in again.items())
+    assert got[-1].px is None and got[-1].n_hits == got[-2].n_hits == 0 and max(r.n_hits for r in again.values()) > 1
