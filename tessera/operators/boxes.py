@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.vectors import AXES
 from ..plans import strategy as plan
-from ..plans.tree import PAIRS, Tree, build, search
+from ..plans.tree import PAIRS, Tree, build, search, visit_leaves
 from .rays import HITS, TileTree, tiled_boxes
 
 #: Rows of a tile, and rows of the other side that one task takes to it at most.
@@ -60,6 +60,36 @@ def overlapping(low: np.ndarray, high: np.ndarray, tree: Tree, of: tuple[np.ndar
         at, rows = at + n, min(1 << 16, max(1, rows * HITS // max(len(i), HITS // 4)))
 
 
+def _one_each(low: np.ndarray, high: np.ndarray, tree: Tree, of: tuple[np.ndarray, np.ndarray], test: Callable[[np.ndarray, np.ndarray], pa.RecordBatch], ids: pa.Array) -> Iterator[pa.RecordBatch]:
+    """For each box i (3 x n) one row that test(i, j), whose first column is of numbers i, makes of it and a box j of a hierarchy, with its id in the number's place.
+
+    Each box first goes to the leaf that its centre is nearest to; those that meet nothing there are searched for, until they do.
+    """
+    node_low, node_high, mid = tree.low.T, tree.high.T, (low + high) / 2
+    meet = lambda i, j, lows, highs: ((low[:, i] <= highs[:, j]) & (lows[:, j] <= high[:, i])).all(0)
+    done = np.zeros(low.shape[1], bool)
+    for at in range(0, len(done), 4096):
+        own, found = np.arange(at, min(at + 4096, len(done))), []
+        node = np.zeros(len(own), np.int64)
+        gap2 = lambda i, j: (np.maximum(np.maximum(node_low[:, j] - mid[:, own[i]], 0), mid[:, own[i]] - node_high[:, j]) ** 2).sum(0)
+        while len(inner := np.flatnonzero(tree.right[node] >= 0)):
+            left, right = node[inner] + 1, tree.right[node[inner]]
+            node[inner] = np.where(gap2(inner, left) <= gap2(inner, right), left, right)
+
+        def visit(q: np.ndarray, p: np.ndarray) -> None:
+            i = own[q]
+            on = ~done[i] & meet(i, p, *of)
+            if on.any():
+                out = test(i[on], p[on])
+                hit, first = np.unique(out.column(0).to_numpy(), return_index=True)
+                done[hit] = True
+                found.append(pa.RecordBatch.from_arrays([ids.take(pa.array(hit)), *out.take(pa.array(first)).columns[1:]], names=out.schema.names))
+
+        visit_leaves(tree, np.arange(len(own)), node, visit)
+        search(tree, len(own), lambda q, node: ~done[own[q]] & meet(own[q], node, node_low, node_high), visit)
+        yield from found
+
+
 def sent(left: DataFrame, tiles: DataFrame, a: str = "a_") -> DataFrame:
     """(tile, columns of left): each row with the tiles (tile, minx..maxz) whose bounds its box meets."""
     shipped, names = left.sparkSession.sparkContext.broadcast(TileTree(tiles)), ["tile", *left.columns]
@@ -91,10 +121,11 @@ def _whole(df: DataFrame, p: str) -> DataFrame:
     return df.where(" and ".join(f"{p}{x} is not null" for x in _BOX))
 
 
-def tested(left: DataFrame, right: DataFrame, test: Test, ddl: str, columns: list[str], strategy: str = "auto", ordered: bool = False, a: str = "a_", b: str = "b_") -> DataFrame:
+def tested(left: DataFrame, right: DataFrame, test: Test, ddl: str, columns: list[str], strategy: str = "auto", ordered: bool = False, a: str = "a_", b: str = "b_", some: str | None = None) -> DataFrame:
     """Rows of `ddl` that test, a function of batches of pairs with the named columns, makes of all pairs of rows whose boxes overlap; ordered: of those with a_id < b_id.
 
-    The strategy (auto, nested, cells, tiles) changes the plan, never the rows.
+    The strategy (auto, nested, cells, tiles) changes the plan, never the rows. With `some`, the key (long) of the
+    left side and first column of `ddl`, each row of the left side that has rows has at least one of them: a search ends with its first.
     """
     pairs = None if strategy == "tiles" else plan.box_join(left, right, a, b, strategy) if strategy != "auto" else plan.nested_join(left, right, a, b)
     if pairs is not None:
@@ -111,6 +142,10 @@ def tested(left: DataFrame, right: DataFrame, test: Test, ddl: str, columns: lis
         low, high = extremes(r, b)
         tree = build(low.T, high.T, leaf_size=16)
         of = {c: (l if c in mine else r).column(c).chunk(0) for c in columns}
+        if some:
+            pairs_of = lambda i, j, x: pa.RecordBatch.from_arrays([pa.array(x) if c == some else v.take(pa.array(i if c in mine else j)) for c, v in of.items()], names=columns)
+            yield from _one_each(*extremes(l, a), tree, (low, high), lambda i, j: test(pairs_of(i, j, i)), of[some])
+            return
         if ordered:
             first, second = l.column("a_id").to_numpy(), r.column("b_id").to_numpy()
         for i, j in overlapping(*extremes(l, a), tree, (low, high)):

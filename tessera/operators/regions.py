@@ -26,15 +26,15 @@ def boxed(tris: DataFrame, prefix: str = "") -> DataFrame:
     return apply(tris, [bounds.of_points([vec("a"), vec("vb"), vec("c")], prefix)])
 
 
-def candidates(shapes: DataFrame, tris: DataFrame, shape_box: dict[str, str], test: boxes_.Test, ddl: str, names: list[str], strategy: str = "auto") -> DataFrame:
+def candidates(shapes: DataFrame, tris: DataFrame, shape_box: dict[str, str], test: boxes_.Test, ddl: str, names: list[str], strategy: str = "auto", some: str | None = None) -> DataFrame:
     """Rows of `ddl` that test makes of pairs (batches of the named columns) of shapes and triangles whose boxes overlap; shape_box gives a_minx.. as expressions."""
-    return boxes_.tested(apply(shapes, [shape_box]), boxed(tris, "b_"), test, ddl, names, strategy)
+    return boxes_.tested(apply(shapes, [shape_box]), boxed(tris, "b_"), test, ddl, names, strategy, some=some)
 
 
-def sphere_hits(spheres: DataFrame, tris: DataFrame, strategy: str = "auto") -> DataFrame:
-    """(sphere_id, tri_id, d2) of spheres (sphere_id, px..pz, r) and the triangles they touch."""
+def sphere_hits(spheres: DataFrame, tris: DataFrame, strategy: str = "auto", some: bool = False) -> DataFrame:
+    """(sphere_id, tri_id, d2) of spheres (sphere_id, px..pz, r) and the triangles they touch; `some`: one at least of each sphere."""
     around = {f"a_{n}{c}": f"p{c} {s} r" for n, s in (("min", "-"), ("max", "+")) for c in AXES}
-    return candidates(spheres.select("sphere_id", *vec("p"), "r"), tris.select("tri_id", *TRIANGLE), around, _touch, _TOUCH, ["sphere_id", "tri_id", *vec("p"), "r", *TRIANGLE], strategy)
+    return candidates(spheres.select("sphere_id", *vec("p"), "r"), tris.select("tri_id", *TRIANGLE), around, _touch, _TOUCH, ["sphere_id", "tri_id", *vec("p"), "r", *TRIANGLE], strategy, "sphere_id" if some else None)
 
 
 _TOUCH = "sphere_id long, tri_id long, d2 double"
@@ -58,8 +58,8 @@ def _touching(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, _TOUCH)
 
 
-def box_hits(boxes: DataFrame, tris: DataFrame, strategy: str = "auto") -> DataFrame:
-    """(box_id, tri_id) of axis-aligned boxes (box_id, minx..maxz) and the triangles they touch."""
+def box_hits(boxes: DataFrame, tris: DataFrame, strategy: str = "auto", some: bool = False) -> DataFrame:
+    """(box_id, tri_id) of axis-aligned boxes (box_id, minx..maxz) and the triangles they touch; `some`: one at least of each box."""
     same = {f"a_{x}": x for x in BOX}
 
     def test(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -67,7 +67,7 @@ def box_hits(boxes: DataFrame, tris: DataFrame, strategy: str = "auto") -> DataF
         hit = kernels.aligned_box_triangle(box[:, :3], box[:, 3:], corners(columns(batch, TRIANGLE)))
         return pa.RecordBatch.from_arrays([batch.column("box_id"), batch.column("tri_id")], names=["box_id", "tri_id"]).filter(pa.array(hit))
 
-    return candidates(boxes.select("box_id", *BOX), tris.select("tri_id", *TRIANGLE), same, test, "box_id long, tri_id long", ["box_id", "tri_id", *BOX, *TRIANGLE], strategy)
+    return candidates(boxes.select("box_id", *BOX), tris.select("tri_id", *TRIANGLE), same, test, "box_id long, tri_id long", ["box_id", "tri_id", *BOX, *TRIANGLE], strategy, "box_id" if some else None)
 
 
 def placed_box(matrix: str, prefix: str, wider: str | None = None) -> list[dict[str, str]]:
@@ -119,11 +119,11 @@ def exists(shapes: DataFrame, hits: DataFrame, key: str, name: str) -> DataFrame
 
 
 def intersects_sphere(spheres: DataFrame, tris: DataFrame, strategy: str = "auto") -> DataFrame:
-    return exists(spheres, sphere_hits(spheres, tris, strategy), "sphere_id", "intersects")
+    return exists(spheres, sphere_hits(spheres, tris, strategy, True), "sphere_id", "intersects")
 
 
 def intersects_box(boxes: DataFrame, tris: DataFrame, strategy: str = "auto") -> DataFrame:
-    return exists(boxes, box_hits(boxes, tris, strategy), "box_id", "intersects")
+    return exists(boxes, box_hits(boxes, tris, strategy, True), "box_id", "intersects")
 
 
 def classify_boxes(boxes: DataFrame, spheres: DataFrame) -> DataFrame:

@@ -97,3 +97,17 @@ def test_push_out_sends_triangles_not_pairs(spark, data, monkeypatch):
     again = {r.probe_id: r for r in composite.push_out(probe, t).collect()}
     assert len(got) == len(again) + 2 == probe.count() + 2 and all(got[k] == r for k, r in again.items())
     assert got[-1].px is None and got[-1].n_hits == got[-2].n_hits == 0 and max(r.n_hits for r in again.values()) > 1
+
+
+def test_one_hit_settles_a_shape(spark, data, monkeypatch):
+    """Whether there is a hit costs a test or so for each shape, not one for each of its pairs."""
+    t = fx.triangles(spark, data)
+    b, s = fx.boxes(spark, data), fx.spheres(spark, data)
+    want = [_key(q(x, t)) for q, x in ((regions.intersects_box, b), (regions.intersects_sphere, s))]
+    hits = regions.box_hits(b, t).count()
+    monkeypatch.setattr(boxes, "TILE_ROWS", 2000)
+    assert [_key(q(x, t, "tiles")) for q, x in ((regions.intersects_box, b), (regions.intersects_sphere, s))] == want
+    assert {r[1] for rows in want for r in rows} == {True, False}
+    some = regions.box_hits(b, t, "tiles", True)
+    ids = {tuple(r) for r in some.collect()}
+    assert ids <= {tuple(r) for r in regions.box_hits(b, t).collect()} and len(ids) < hits / 2
