@@ -111,3 +111,22 @@ def test_one_hit_settles_a_shape(spark, data, monkeypatch):
     some = regions.box_hits(b, t, "tiles", True)
     ids = {tuple(r) for r in some.collect()}
     assert ids <= {tuple(r) for r in regions.box_hits(b, t).collect()} and len(ids) < hits / 2
+
+
+def test_cells_are_dealt_to_tasks(spark, data, monkeypatch):
+    """Crowded cells and cells that coarse boxes share with all finer ones are searched in parts; no join makes pairs."""
+    t = fx.triangles(spark, data).where("tri_id < 700")
+    b = fx.aabbs(spark, data).where("box_id < 700")
+    wide = b.where("box_id < 5").selectExpr("-1 - box_id as box_id", *(f"min{c} - 3e0 as min{c}" for c in "xyz"), *(f"max{c} + 3e0 as max{c}" for c in "xyz"))
+    b = b.unionByName(wide)
+    s = fx.spheres(spark, data)
+    want = [_key(pairs.box_pairs(b, strategy="nested")), _key(regions.sphere_hits(s, t, "nested"))]
+    assert [len(x) > 700 for x in want] == [True, True]
+    joined = strategy.cell_join(*(b.select(F.col("box_id").alias(f"{p}_id"), *(F.col(x).alias(f"{p}_{x}") for x in regions.BOX)) for p in "ab"))
+    assert sorted((r.a_id, r.b_id) for r in joined.collect() if r.a_id < r.b_id) == want[0]
+    monkeypatch.setattr(strategy, "box_join", None)
+    monkeypatch.setattr(strategy, "LEAST_PART", 50)
+    monkeypatch.setattr(boxes, "TILE_ROWS", 100)
+    assert [_key(pairs.box_pairs(b, strategy="cells")), _key(regions.sphere_hits(s, t, "cells"))] == want
+    none = b.limit(0)
+    assert not pairs.box_pairs(none, b, strategy="cells").count()
