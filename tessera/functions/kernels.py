@@ -231,20 +231,39 @@ def box_triangle(inverse: np.ndarray, low: np.ndarray, high: np.ndarray, s) -> n
     return ~apart
 
 
-def box_box(world: np.ndarray, low, high, other_low, other_high) -> np.ndarray:
-    """Whether boxes oriented by matrices (world: n x 16, column-major, local to world) meet axis-aligned ones; touching counts."""
+def oriented_axes(world: np.ndarray, low, high) -> np.ndarray:
+    """n x 36, what box_box has to know of boxes low..high oriented by matrices (world: n x 16, column-major, local to world).
+
+    Center, half sides and face axes (nine numbers each), and the reach of the box along the fifteen axes.
+    """
     m = world.reshape(-1, 4, 4)
     center, half = (low + high) / 2, (high - low) / 2
     sides = [m[:, i, :3] * half[:, i : i + 1] for i in range(3)]  # half sides, in the world
-    gap = sum(m[:, i, :3] * center[:, i : i + 1] for i in range(3)) + m[:, 3, :3] - (other_low + other_high) / 2
-    reach = (other_high - other_low) / 2
     units = [np.broadcast_to(np.eye(3)[i], center.shape) for i in range(3)]
     # Faces of a sheared box are across its other two sides.
-    axes = units + [cross(sides[1], sides[2]), cross(sides[2], sides[0]), cross(sides[0], sides[1])] + [cross(u, s) for u in units for s in sides]
-    apart = np.zeros(len(center), bool)
-    for axis in axes:
-        span = sum(np.abs(dot(axis, s)) for s in sides) + (reach * np.abs(axis)).sum(1)
-        apart |= np.abs(dot(axis, gap)) > span
+    faces = [cross(sides[1], sides[2]), cross(sides[2], sides[0]), cross(sides[0], sides[1])]
+    axes = units + faces + [cross(u, s) for u in units for s in sides]
+    at = sum(m[:, i, :3] * center[:, i : i + 1] for i in range(3)) + m[:, 3, :3]
+    return np.concatenate([at, *sides, *faces, np.stack([sum(np.abs(dot(axis, s)) for s in sides) for axis in axes], 1)], 1)
+
+
+def box_box(known, other_low, other_high) -> np.ndarray:
+    """Whether oriented boxes meet axis-aligned ones; touching counts. All as columns: known is that of oriented_axes.
+
+    A unit axis or its cross product with a side has one or two components that are not zero: only these are multiplied.
+    """
+    sides, faces, span = [known[3 + 3 * i : 6 + 3 * i] for i in range(3)], [known[12 + 3 * i : 15 + 3 * i] for i in range(3)], known[21:]
+    gap = [known[c] - (other_low[c] + other_high[c]) / 2 for c in range(3)]
+    reach = [(other_high[c] - other_low[c]) / 2 for c in range(3)]
+    apart = np.abs(gap[0]) > span[0] + reach[0]
+    for c in (1, 2):
+        apart |= np.abs(gap[c]) > span[c] + reach[c]
+    for k, f in enumerate(faces):
+        apart |= np.abs(f[0] * gap[0] + f[1] * gap[1] + f[2] * gap[2]) > span[3 + k] + (reach[0] * np.abs(f[0]) + reach[1] * np.abs(f[1]) + reach[2] * np.abs(f[2]))
+    size = [[np.abs(x) for x in s] for s in sides]
+    for u, (p, q) in enumerate(((1, 2), (0, 2), (0, 1))):  # the cross product has side's q at p, and p at q, of other signs
+        for k, (s, z) in enumerate(zip(sides, size)):
+            apart |= np.abs(s[q] * gap[p] - s[p] * gap[q]) > span[6 + 3 * u + k] + (reach[p] * z[q] + reach[q] * z[p])
     return ~apart
 
 

@@ -150,11 +150,18 @@ def _whole(df: DataFrame, p: str) -> DataFrame:
     return df.where(" and ".join(f"{p}{x} is not null" for x in _BOX))
 
 
-def tested(left: DataFrame, right: DataFrame, test: Test, ddl: str, columns: list[str], strategy: str = "auto", ordered: bool = False, a: str = "a_", b: str = "b_", some: str | None = None) -> DataFrame:
+def _with(told: pa.RecordBatch, batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The columns of told, and those of the batch that it has no like of."""
+    rest = [c for c in batch.schema.names if c not in told.schema.names]
+    return pa.RecordBatch.from_arrays([*told.columns, *(batch.column(c) for c in rest)], names=[*told.schema.names, *rest])
+
+
+def tested(left: DataFrame, right: DataFrame, test: Test, ddl: str, columns: list[str], strategy: str = "auto", ordered: bool = False, a: str = "a_", b: str = "b_", some: str | None = None, known: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None) -> DataFrame:
     """Rows of `ddl` that test, a function of batches of pairs with the named columns, makes of all pairs of rows whose boxes overlap; ordered: of those with a_id < b_id.
 
     The strategy (auto, nested, cells, tiles) changes the plan, never the rows. With `some`, the key (long) of the
     left side and first column of `ddl`, each row of the left side that has rows has at least one of them: a search ends with its first.
+    With `known`, test gets what it makes of batches with the named columns of the left side, in their place: once for each row that a task has, not for each pair.
     """
     pairs = None if strategy in ("tiles", "cells") else plan.box_join(left, right, a, b, strategy) if strategy != "auto" else plan.nested_join(left, right, a, b)
     if pairs is not None:
@@ -162,7 +169,7 @@ def tested(left: DataFrame, right: DataFrame, test: Test, ddl: str, columns: lis
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
-                    yield test(batch)
+                    yield test(batch if known is None else _with(known(batch), batch))
 
         return (pairs.where("a_id < b_id") if ordered else pairs).select(*columns).mapInArrow(each, ddl)
     mine = set(left.columns)
@@ -170,10 +177,15 @@ def tested(left: DataFrame, right: DataFrame, test: Test, ddl: str, columns: lis
     def run(l: pa.Table, r: pa.Table) -> Iterator[pa.RecordBatch]:
         low, high = extremes(r, b)
         tree = build(low.T, high.T, leaf_size=16)
-        of = {c: (l if c in mine else r).column(c).chunk(0) for c in columns}
+        own = {c: l.column(c).chunk(0) for c in columns if c in mine}
+        if known is not None:
+            told = known(pa.RecordBatch.from_arrays(list(own.values()), names=list(own)))
+            own = dict(zip(told.schema.names, told.columns))
+        of = own | {c: r.column(c).chunk(0) for c in columns if c not in mine}
+        names = list(of)
         owned = _owned(l, r, a, b) if strategy == "cells" else None
         if some and owned is None:
-            pairs_of = lambda i, j, x: pa.RecordBatch.from_arrays([pa.array(x) if c == some else v.take(pa.array(i if c in mine else j)) for c, v in of.items()], names=columns)
+            pairs_of = lambda i, j, x: pa.RecordBatch.from_arrays([pa.array(x) if c == some else v.take(pa.array(i if c in own else j)) for c, v in of.items()], names=names)
             yield from _one_each(*extremes(l, a), tree, (low, high), lambda i, j: test(pairs_of(i, j, i)), of[some])
             return
         if ordered:
@@ -187,7 +199,7 @@ def tested(left: DataFrame, right: DataFrame, test: Test, ddl: str, columns: lis
                 i, j = i[on], j[on]
             if len(i):
                 i, j = pa.array(i), pa.array(j)
-                yield test(pa.RecordBatch.from_arrays([x.take(i if c in mine else j) for c, x in of.items()], names=columns))
+                yield test(pa.RecordBatch.from_arrays([x.take(i if c in own else j) for c, x in of.items()], names=names))
 
     return (in_cells if strategy == "cells" else in_tiles)(_whole(left, a), _whole(right, b), run, ddl, a, b)
 

@@ -95,7 +95,8 @@ def oriented_box_hits(boxes: DataFrame, tris: DataFrame) -> DataFrame:
 
 
 def _matrices(of: pa.Array) -> np.ndarray:
-    return np.stack(of.to_numpy(zero_copy_only=False))
+    """n x 16; a null element is NaN."""
+    return of.flatten().to_numpy(zero_copy_only=False).reshape(-1, 16)
 
 
 @arrow_udf(ArrayType(DoubleType()))
@@ -184,18 +185,24 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame) -> DataFrame:
     return matching(pairs, [exact.box_point_local(m, vec("p"))], bounds.contains_point("", vec("l"))).select("box_id", "point_id")
 
 
-def oriented_box_overlaps(boxes: DataFrame, others: DataFrame) -> DataFrame:
+def oriented_box_overlaps(boxes: DataFrame, others: DataFrame, strategy: str = "auto") -> DataFrame:
     """(box_id, other_id) of oriented boxes (box_id, minx..maxz, inverse: world to local) that overlap aligned ones (other_id, minx..maxz), by the fifteen separating axes."""
     left = apply(boxes.select("box_id", *BOX, "inverse", _inverted(F.col("inverse")).alias("world")), placed_box("world", "a_"))
     left = left.select("box_id", *BOX, "world", *(f"a_{x}" for x in BOX))
     right = others.select("other_id", *(F.col(x).alias(f"b_{x}") for x in BOX))
 
+    def known(batch: pa.RecordBatch) -> pa.RecordBatch:
+        box = columns(batch, BOX)
+        axes = kernels.oriented_axes(_matrices(batch.column("world")), box[:, :3], box[:, 3:])
+        return pa.RecordBatch.from_arrays([batch.column("box_id"), *(pa.array(np.ascontiguousarray(x)) for x in axes.T)], names=["box_id", *(f"k{i}" for i in range(axes.shape[1]))])
+
     def test(batch: pa.RecordBatch) -> pa.RecordBatch:
-        box, other = columns(batch, BOX), columns(batch, [f"b_{x}" for x in BOX])
-        hit = kernels.box_box(_matrices(batch.column("world")), box[:, :3], box[:, 3:], other[:, :3], other[:, 3:])
+        told = [batch.column(f"k{i}").to_numpy() for i in range(36)]
+        other = [batch.column(f"b_{x}").to_numpy(zero_copy_only=False) for x in BOX]
+        hit = kernels.box_box(told, other[:3], other[3:])
         return pa.RecordBatch.from_arrays([batch.column("box_id"), batch.column("other_id")], names=["box_id", "other_id"]).filter(pa.array(hit))
 
-    return boxes_.tested(left, right, test, "box_id long, other_id long", ["box_id", "other_id", *BOX, "world", *(f"b_{x}" for x in BOX)])
+    return boxes_.tested(left, right, test, "box_id long, other_id long", ["box_id", *BOX, "world", "other_id", *(f"b_{x}" for x in BOX)], strategy, known=known)
 
 
 def oriented_box_point_distances(points: DataFrame, boxes: DataFrame, within: float) -> DataFrame:

@@ -130,3 +130,21 @@ def test_cells_are_dealt_to_tasks(spark, data, monkeypatch):
     assert [_key(pairs.box_pairs(b, strategy="cells")), _key(regions.sphere_hits(s, t, "cells"))] == want
     none = b.limit(0)
     assert not pairs.box_pairs(none, b, strategy="cells").count()
+
+
+def test_what_a_box_needs_is_computed_once(spark, data, monkeypatch):
+    """Turned and sheared boxes by tiles meet what they meet by a nested loop; their axes are computed for rows, not for pairs."""
+    b = fx.boxes(spark, data).withColumn("inverse", F.expr("transform(array(8e-1, -6e-1, 0e0, 0e0, 6e-1, 8e-1, 1e-1, 0e0, 0e0, 2e-1, 1e0 + vec_id % 3, 0e0, 1e-1, -2e-1, 5e-2, 1e0), x -> x)".replace("vec_id", "box_id")))
+    others = fx.aabbs(spark, data).withColumnRenamed("box_id", "other_id")
+    want = _key(regions.oriented_box_overlaps(b, others))
+    seen = spark.sparkContext.accumulator(0)
+    axes = regions.kernels.oriented_axes
+
+    def counted(world, low, high):
+        seen.add(len(low))
+        return axes(world, low, high)
+
+    monkeypatch.setattr(regions, "kernels", type("K", (), {"oriented_axes": staticmethod(counted), "box_box": staticmethod(regions.kernels.box_box)}))
+    got = _key(regions.oriented_box_overlaps(b, others, "tiles"))
+    assert got == want and len(want) > 700
+    assert 0 < seen.value <= 2 * b.count()
