@@ -31,10 +31,10 @@ RAY = [f"{p}{c}" for p in ("o", "d") for c in AXES]
 HIT = "ray_id long, tri_id long, t double, distance double, u double, v double"
 _HIT = pa.schema([("ray_id", pa.int64()), ("tri_id", pa.int64()), *((n, pa.float64()) for n in ("t", "distance", "u", "v"))])
 #: Triangles of a tile, and tiles of a table at most: beyond that many rows tiles are larger.
-TILE_ROWS = 200_000
+TILE_ROWS = 50_000
 MOST_TILES = 200_000
 #: Rays or points that one task takes to a tile: a tile that more of them reach goes to several tasks.
-TILE_QUERIES = 200_000
+TILE_QUERIES = 50_000
 #: Hits that a task holds, about, before it passes them on.
 HITS = 100_000
 

@@ -142,7 +142,7 @@ def refit(tree: Tree, low: np.ndarray, high: np.ndarray, nodes: np.ndarray | Non
 
 Keep = Callable[[np.ndarray, np.ndarray], np.ndarray]
 #: Pairs of queries and primitives that a search tests at once: a test holds some hundred bytes for each.
-PAIRS = 1 << 17
+PAIRS = 1 << 15
 
 
 def search(tree: Tree, n: int, keep: Keep, visit: Callable[[np.ndarray, np.ndarray], None], most: int = 4 * PAIRS) -> None:

@@ -1,12 +1,14 @@
 """Limits of queries and of the memory that searches take."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from tessera import catalogue
-from tessera.operators import index, pairs, rays, stored
+from tessera.operators import index, nearest, pairs, rays, stored
 from tessera.plans import strategy
 from tessera.plans.tree import PAIRS, Found, build, search
 from tessera.sources import fixtures as fx
@@ -97,3 +99,22 @@ def test_first_hits_derive_their_tiles_once(spark, data):
     assert seen.value == 700
     want = rays.raycast(fx.rays(spark, data), held, first=True, strategy="nested").select("ray_id", "tri_id").collect()
     assert sorted((r.ray_id, r.tri_id) for r in found) == sorted(map(tuple, want))
+
+
+def test_a_search_takes_little_memory(spark):
+    """What a task holds beside its queries: a tile, its hierarchy, and what the pairs tested at once take."""
+    rng = np.random.default_rng(2)
+    at = rng.normal(size=(rays.TILE_ROWS, 3))
+    tri = np.concatenate([at, at + 0.3 * rng.normal(size=at.shape), at + 0.3 * rng.normal(size=at.shape)], 1)
+    table = pa.table({"tri_id": np.arange(len(tri)), **{n: x for n, x in zip(rays.TRIANGLE, tri.T)}})
+    origin = rng.normal(size=(400, 3)) * 5
+    peaks = {}
+    for name, run in (
+        ("first", lambda t: rays.cast(*t, np.arange(400), np.concatenate([origin, -origin], 1), "double", True, None)),
+        ("nearest", lambda t: nearest.nearest_in_tree(*t, origin, np.full(400, np.inf))),
+    ):
+        tracemalloc.start()
+        assert len(run(rays.grown(table))[0]) > 300
+        peaks[name] = tracemalloc.get_traced_memory()[1] >> 20
+        tracemalloc.stop()
+    assert max(peaks.values()) < 20, peaks
