@@ -118,3 +118,22 @@ def test_a_search_takes_little_memory(spark):
         peaks[name] = tracemalloc.get_traced_memory()[1] >> 20
         tracemalloc.stop()
     assert max(peaks.values()) < 20, peaks
+
+
+def test_a_walk_stores_no_frontier(spark, data, monkeypatch):
+    """Nodes that all tasks may have are walked there: pairs of queries and nodes are not stored; nodes of any size give the same rows."""
+    b = fx.aabbs(spark, data).where("box_id < 700").withColumn("root_id", F.expr("cast(box_id % 2 as int)"))
+    nodes, order = index.build_nodes(b, leaf_size=8)
+    state = F.expr("case when px - minx >= 0 and px - maxx >= 0 then 2 when px >= minx then 1 else 0 end")
+    points = fx.query_points(spark, data).limit(40).select("query_id", "px").coalesce(1)
+    cast = lambda: stored.shapecast(points, nodes, order, b.selectExpr("box_id", "minx as low"), "box_id", state, F.expr("low <= px"))
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    cuts, cut = [], stored.cut
+    monkeypatch.setattr(stored, "cut", lambda df: cuts.append(df.columns) or cut(df))
+    got = key(cast())
+    assert {r.contained for r in cast().select("contained").distinct().collect()} == {True, False}
+    assert not any("query_id" in c for c in cuts)
+    want = points.join(b.selectExpr("box_id", "minx as low"), F.expr("low <= px")).select("query_id", "box_id")
+    assert sorted(r[:1] + r[2:3] for r in got) == key(want)
+    monkeypatch.setattr(strategy, "BROADCAST_BYTES", 0)
+    assert key(cast()) == got
