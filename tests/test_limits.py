@@ -8,7 +8,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from tessera import catalogue
-from tessera.operators import index, nearest, pairs, rays, stored
+from tessera.operators import index, nearest, pairs, rays, regions, stored
 from tessera.plans import strategy
 from tessera.plans.tree import PAIRS, Found, build, search
 from tessera.sources import fixtures as fx
@@ -137,3 +137,18 @@ def test_a_walk_stores_no_frontier(spark, data, monkeypatch):
     assert sorted(r[:1] + r[2:3] for r in got) == key(want)
     monkeypatch.setattr(strategy, "BROADCAST_BYTES", 0)
     assert key(cast()) == got
+
+
+def test_bounds_of_turned_boxes_are_no_expressions(spark, data):
+    """The optimizer sees none of the corners of turned boxes, whose bounds are what expressions make of them; a box whose matrix has no inverse meets nothing."""
+    from tessera.functions.staged import apply
+
+    b = fx.boxes(spark, data).withColumn("inverse", F.expr("transform(array(8e-1, -6e-1, 0e0, 0e0, 6e-1, 8e-1, 1e-1, 0e0, 0e0, 2e-1, 1e0 + box_id % 3, 0e0, 1e-1, -2e-1, 5e-2, 1e0), x -> if(box_id = 3, 0e0, x))"))
+    found = regions.oriented_box_overlaps(b, fx.aabbs(spark, data).withColumnRenamed("box_id", "other_id"))
+    assert "a_k0x" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert not found.where("box_id = 3").count()
+    got = regions.in_world(b, "a_")
+    want = apply(got.select("box_id", *regions.BOX, "world"), regions.placed_box("world", "w_"))
+    both = got.join(want, "box_id").select("box_id", *(f"a_{x}" for x in regions.BOX), *(f"w_{x}" for x in regions.BOX)).collect()
+    assert len(both) == b.count() and all(r[1:7] == r[7:13] for r in both)
+    assert [r.box_id for r in both if r.a_minx is None] == [3]
