@@ -47,17 +47,6 @@ def _touch(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column("sphere_id"), batch.column("tri_id"), pa.array(d2)], names=["sphere_id", "tri_id", "d2"]).filter(pa.array(d2 <= r * r))
 
 
-def _touching(pairs: DataFrame) -> DataFrame:
-    """(sphere_id, tri_id, d2) of the pairs whose triangle reaches into the sphere."""
-
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                yield _touch(batch)
-
-    return pairs.mapInArrow(run, _TOUCH)
-
-
 def box_hits(boxes: DataFrame, tris: DataFrame, strategy: str = "auto", some: bool = False) -> DataFrame:
     """(box_id, tri_id) of axis-aligned boxes (box_id, minx..maxz) and the triangles they touch; `some`: one at least of each box."""
     same = {f"a_{x}": x for x in BOX}
@@ -166,14 +155,24 @@ def classify_boxes(boxes: DataFrame, spheres: DataFrame) -> DataFrame:
     return pairs.where(bounds.sphere_overlaps("", vec("p"), "r")).select("sphere_id", "box_id", state.alias("state"))
 
 
-def select_region(spheres: DataFrame, tris: DataFrame) -> DataFrame:
-    """Ids of the triangles that each brush sphere touches; those of wholly contained boxes skip the exact test."""
-    t = boxed(tris.select("tri_id", *TRIANGLE))
-    state = classify_boxes(t.select(F.col("tri_id").alias("box_id"), *BOX), spheres)
-    inside = state.where(F.col("state") == CONTAINED).select("sphere_id", F.col("box_id").alias("tri_id"))
-    rest = state.where(F.col("state") == INTERSECTED).join(spheres.select("sphere_id", *vec("p"), "r"), "sphere_id").join(tris.select(F.col("tri_id").alias("box_id"), *TRIANGLE), "box_id")
-    exactly = _touching(rest.select("sphere_id", F.col("box_id").alias("tri_id"), *vec("p"), "r", *TRIANGLE)).select("sphere_id", "tri_id")
-    return inside.unionAll(exactly)
+def _selected(batch: pa.RecordBatch) -> pa.RecordBatch:
+    p, r, tri = columns(batch, list(vec("p"))), batch.column("r").to_numpy(zero_copy_only=False), columns(batch, TRIANGLE)
+    a, b, c = corners(tri)
+    far = np.maximum(np.abs(p - np.minimum(np.minimum(a, b), c)), np.abs(p - np.maximum(np.maximum(a, b), c)))
+    hit = kernels.dot(far, far) <= r * r
+    rest = np.flatnonzero(~hit)
+    gap = p[rest] - kernels.closest_on_triangle(p[rest], *corners(tri[rest]))
+    hit[rest] = kernels.dot(gap, gap) <= r[rest] * r[rest]
+    return pa.RecordBatch.from_arrays([batch.column("sphere_id"), batch.column("tri_id")], names=["sphere_id", "tri_id"]).filter(pa.array(hit))
+
+
+def select_region(spheres: DataFrame, tris: DataFrame, strategy: str = "auto") -> DataFrame:
+    """Ids of the triangles that each brush sphere touches; those of wholly contained boxes skip the exact test.
+
+    Pairs are classified and tested where they are found: their number grows with both tables, and none is shuffled.
+    """
+    around = {f"a_{n}{c}": f"p{c} {s} r" for n, s in (("min", "-"), ("max", "+")) for c in AXES}
+    return candidates(spheres.select("sphere_id", *vec("p"), "r"), tris.select("tri_id", *TRIANGLE), around, _selected, "sphere_id long, tri_id long", ["sphere_id", "tri_id", *vec("p"), "r", *TRIANGLE], strategy)
 
 
 def shapecast(nodes: DataFrame, primitives: DataFrame, intersects_bounds: Column, intersects_primitive: Column, first_only: bool = False) -> DataFrame:

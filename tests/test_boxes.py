@@ -148,3 +148,14 @@ def test_what_a_box_needs_is_computed_once(spark, data, monkeypatch):
     got = _key(regions.oriented_box_overlaps(b, others, "tiles"))
     assert got == want and len(want) > 700
     assert 0 < seen.value <= 2 * b.count()
+
+
+def test_brushes_make_no_pairs_to_shuffle(spark, data):
+    """Triangles of brushes are told where they are found: there is one join, and by any strategy the rows are those of spheres."""
+    t = fx.triangles(spark, data)
+    s = fx.spheres(spark, data).withColumn("r", F.when(F.col("sphere_id") % 9 == 0, 3.0).otherwise(F.col("r")))  # some contain whole triangles
+    want = sorted((r.sphere_id, r.tri_id) for r in regions.sphere_hits(s, t).collect())
+    found = regions.select_region(s, t)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    for strategy_ in ("nested", "tiles"):
+        assert _key(regions.select_region(s, t, strategy_)) == want
