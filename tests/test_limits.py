@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from tessera import catalogue
+from tessera import catalogue, catalogue_hierarchies
 from tessera.operators import index, nearest, pairs, rays, regions, stored
 from tessera.plans import strategy
 from tessera.plans.tree import PAIRS, Found, build, search
@@ -152,3 +152,10 @@ def test_bounds_of_turned_boxes_are_no_expressions(spark, data):
     both = got.join(want, "box_id").select("box_id", *(f"a_{x}" for x in regions.BOX), *(f"w_{x}" for x in regions.BOX)).collect()
     assert len(both) == b.count() and all(r[1:7] == r[7:13] for r in both)
     assert [r.box_id for r in both if r.a_minx is None] == [3]
+
+
+def test_a_walk_of_rays_joins_no_pairs(spark, data):
+    """What rays meet on their walk comes with its corners: above the blocks of slots there is no join by the triangle's id."""
+    plan = catalogue_hierarchies.ray_by_shapecast(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Generate explode(held")]
+    assert "Join" not in above
