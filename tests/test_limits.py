@@ -159,3 +159,25 @@ def test_a_walk_of_rays_joins_no_pairs(spark, data):
     plan = catalogue_hierarchies.ray_by_shapecast(spark, data)._jdf.queryExecution().optimizedPlan().toString()
     above = plan[: plan.index("Generate explode(held")]
     assert "Join" not in above
+
+
+def test_hits_are_decorated_where_they_are_found(spark, data, monkeypatch):
+    """Told hits need no join, and have the columns of joined ones by any strategy; materials of overlapping groups are those of the first."""
+    r, t = fx.rays(spark, data), fx.triangles(spark, data)
+    groups = spark.createDataFrame([(100, 1000, 7), (100, 500, 2), (50, 2000, 3), (60, 5, 9), (3000, 0, 4), (2050, 10, None), (2055, 400, 6)], "start long, count long, material_index int")
+    rows = groups.fillna(0).collect()
+    want = None
+    for strategy_ in ("nested", "tree", "tiles"):
+        monkeypatch.setattr(rays, "TILE_ROWS", 500)
+        hits = rays.raycast(r, t, strategy=strategy_)
+        told = rays.decorate(rays.raycast(r, t, strategy=strategy_, told=True), r, t, groups)
+        if strategy_ == "tree":
+            assert "Join" not in told._jdf.queryExecution().optimizedPlan().toString()
+        got = {(x.ray_id, x.tri_id): x for x in told.collect()}
+        joined = {(x.ray_id, x.tri_id): x for x in rays.decorate(hits, r, t, groups).collect()}
+        assert got == joined and len(got) > 1000
+        want = want or got
+        assert set(got) == set(want)
+    for (_, tri), x in want.items():
+        over = [(g.start, g.material_index) for g in rows if g.start <= tri < g.start + g["count"]]
+        assert x.material_index == (min(over)[1] if over else 0)
