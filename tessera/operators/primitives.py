@@ -18,9 +18,10 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import kernels
 from ..functions.vectors import vec
 from ..plans import strategy as plan
+from ..plans.durable import cut
 from ..plans.tree import Found, build, search
 from . import nearest
-from .rays import RAY, TILE_QUERIES, TileTree, by_slices, columns, first_hits, sent_to_tiles, tiled_boxes
+from .rays import RAY, TILE_QUERIES, TileTree, by_slices, columns, first_hits, front_to_back, sent_to_tiles, tiled_boxes
 from .regions import BOX
 
 
@@ -101,8 +102,12 @@ def raycast(rays: DataFrame, shapes: DataFrame, kind: Kind, first: bool = False,
             index = Held(right, kind)
             yield from by_slices(left, lambda b: pa.RecordBatch.from_arrays([pa.array(x) for x in _ray_hits(index, kind, b)], names=names))
 
-        sent, held = plan.dealt(sent_to_tiles(rays, tiles), at.select("tile", kind.key, *kind.columns), ["tile"], TILE_QUERIES)
-        hits = plan.streamed(sent, held, ["tile", "part"], meet, ddl)
+        at = at.select("tile", kind.key, *kind.columns)
+        at = cut(at) if first else at  # read in every round
+        met = lambda sent: plan.streamed(*plan.dealt(sent, at, ["tile"], TILE_QUERIES), ["tile", "part"], meet, ddl)
+        if first:
+            return front_to_back(rays, tiles, met, None, kind.key)
+        hits = met(sent_to_tiles(rays, tiles))
     return first_hits(hits, prim=kind.key) if first else hits
 
 

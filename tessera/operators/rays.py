@@ -279,8 +279,13 @@ def in_tiles(rays: DataFrame, held: DataFrame, tiles: DataFrame, read: Read, sid
 
     if not first:
         return meet(sent_to_tiles(rays, tiles))
-    shipped = rays.sparkSession.sparkContext.broadcast(TileTree(tiles))
     held = cut(held)  # read in every round: what derives it, as a refit and its joins, runs once
+    return front_to_back(rays, tiles, meet, far, "tri_id")
+
+
+def front_to_back(rays: DataFrame, tiles: DataFrame, meet: Callable[[DataFrame], DataFrame], far: float | None, prim: str) -> DataFrame:
+    """The nearest hit of each ray, the smallest `prim` of equal ones: meet gives the hits of rows (tile, ray_id, ox..dz, best), which go to tiles in rounds."""
+    shipped = rays.sparkSession.sparkContext.broadcast(TileTree(tiles))
     far = float("inf") if far is None else far
     todo, best, low, width = rays.select("ray_id", *RAY).withColumn("best", F.lit(far)), None, 0, 1
     while True:
@@ -288,7 +293,7 @@ def in_tiles(rays: DataFrame, held: DataFrame, tiles: DataFrame, read: Read, sid
         if sent.isEmpty():
             return best if best is not None else meet(sent)
         hits = meet(sent)
-        best = cut(first_hits(hits if best is None else best.unionByName(hits)))
+        best = cut(first_hits(hits if best is None else best.unionByName(hits), prim=prim))
         asked = sent.select("ray_id", *RAY).distinct()
         bound = best.select(F.col("ray_id").alias("of_ray"), F.col("distance").alias("so_far"))
         todo = asked.join(bound, asked["ray_id"] == bound["of_ray"], "left").select("ray_id", *RAY, F.least(F.coalesce("so_far", F.lit(far)), F.lit(far)).alias("best"))

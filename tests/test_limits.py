@@ -8,7 +8,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from tessera import catalogue, catalogue_hierarchies
-from tessera.operators import index, nearest, pairs, rays, regions, stored
+from tessera.operators import index, nearest, pairs, primitives, rays, regions, stored
 from tessera.plans import strategy
 from tessera.plans.tree import PAIRS, Found, build, search
 from tessera.sources import fixtures as fx
@@ -181,3 +181,20 @@ def test_hits_are_decorated_where_they_are_found(spark, data, monkeypatch):
     for (_, tri), x in want.items():
         over = [(g.start, g.material_index) for g in rows if g.start <= tri < g.start + g["count"]]
         assert x.material_index == (min(over)[1] if over else 0)
+
+
+def test_first_hits_of_own_kinds_go_from_front_to_back(spark, data):
+    """Rays don't go to tiles behind their first hit: of shapes that all hits test, first ones test a part, with the rows of one hierarchy."""
+    disc, tested = catalogue_hierarchies.DISC, spark.sparkContext.accumulator(0)
+
+    def counted(o, d, shapes):
+        tested.add(len(o))
+        return disc.ray(o, d, shapes)
+
+    r, s = fx.rays(spark, data), catalogue_hierarchies._discs(spark, data)
+    kind = primitives.Kind(disc.key, disc.columns, disc.bounds, counted, disc.distance)
+    primitives.raycast(r, s, kind, strategy="tiles", tile_rows=20).count()
+    whole = tested.value
+    got = sorted(map(tuple, primitives.raycast(r, s, kind, first=True, strategy="tiles", tile_rows=20).collect()))
+    assert got == sorted(map(tuple, primitives.raycast(r, s, disc, first=True).collect())) and len(got) > 100
+    assert tested.value - whole < 0.8 * whole
